@@ -5,12 +5,11 @@ meets sets of its own band and of the next one, so it signs for both. Within a b
 Jaccard threshold bounds the size of the symmetric difference by some k. The feature
 domain is hashed into n1 partitions of n2 sub-partitions; each signature is one partition
 without k2 of its sub-partitions. With few enough errors at least ``good`` partitions have
-k2 errors or fewer, so two similar sets share a signature. Where signatures hold no element
-they would match anything: a set signs by combinations of ``good`` such empty ones, and only
-if it has that many, which loses no pair and keeps those groups small.
+k2 errors or fewer, so two similar sets share a signature. Signatures that hold no element
+would match anything and are left out; a set with ``good`` or more of them ("bare") could
+miss a partner that way, and signs anew with larger signatures among all such sets.
 
-Plan. Equal sets form one class, represented by its smallest doc_id, before anything is
-joined. Each signature has a hub class, and members are compared with their hub only, which
+Plan. Equal sets form one class, known by a 64-bit fingerprint, before anything is joined. Each signature has a hub class, and members are compared with their hub only, which
 is linear in the number of signatures; links give components, and a signature whose members
 are all in one component is done. Others get a new hub, a few times over; then signatures
 with few pairs across components have these compared one by one. Classes in signatures with
@@ -20,7 +19,7 @@ signature is compared, or known to be connected, and groups of near copies cost
 
 Defined results: null text counts as empty; a document without words has n_shingles 0 and is
 alone; documents with a null doc_id get a null component and are linked with nothing; rows
-that repeat a doc_id are one node of the graph; extra columns are ignored.
+that repeat a doc_id with other texts are documents of their own; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -71,11 +70,11 @@ def shingles(text: str | None, width: int) -> np.ndarray:
 
 @lru_cache(maxsize=None)
 def bands(percent: int, upto: int) -> np.ndarray:
-    """First sizes of the bands: each ends where the squared threshold puts its start's partners' partners."""
+    """First sizes of the bands: each ends with the largest partner of its first size."""
     starts, low = [], 1
     while low <= upto:
         starts.append(low)
-        low = low * 100 * 100 // (percent * percent) + 1
+        low = low * 100 // percent + 1
     return np.array([*starts, low])
 
 
@@ -83,21 +82,19 @@ def bands(percent: int, upto: int) -> np.ndarray:
 def scheme(k: int, low: int, tier: int) -> tuple[int, int, int, int]:
     """(n1, n2, k2, good) for sets of ``low`` or more elements of which at most k differ.
 
-    Partitions are added until ``good`` lies six deviations above the number of partitions
-    in which such a set is expected to have an empty signature. Tier 0 has few signatures,
-    tier 1 has signatures of many elements.
+    At least ``good`` of the n1 partitions have k2 errors or fewer; ``good`` lies two
+    deviations above the number of partitions in which such a set is expected to have a
+    signature without elements. Tier 0 has few signatures, tier 1 has signatures of many
+    elements.
     """
-    if k <= 4:
+    if k <= (10 if tier else 4):
         return 1, k + 3, k, 1
     n2, k2 = (6, 3) if tier else (3, 1) if k <= 20 else (1, 0)
     need, good = k // (k2 + 1), 1
-    for _ in range(50):
+    for _ in range(6):
         n1 = need + good
         bare = n1 * min(1.0, math.comb(n2, k2) * math.exp(-low * (n2 - k2) / (n1 * n2)))
-        wanted = math.ceil(bare + 6 * math.sqrt(bare)) + 1
-        if wanted <= good:
-            break
-        good = wanted
+        good = max(good, min(math.ceil(bare + 2 * math.sqrt(bare)), need // 4 + 2))
     return need + good, n2, k2, good
 
 
@@ -110,15 +107,16 @@ def _subsets(n2: int, k2: int) -> np.ndarray:
     return rows
 
 
-def signatures(elements: np.ndarray, percent: int, tier: int = 0) -> np.ndarray:
-    """PartEnum signatures of a set of 64-bit elements, of either tier."""
+def signatures(elements: np.ndarray, percent: int, tier: int = 0) -> tuple[np.ndarray, bool]:
+    """PartEnum signatures of a set of 64-bit elements, of either tier, and whether the set
+    is bare: so many of its signatures hold no element that it may share only such with a
+    similar set (which then is bare as well). Signatures without elements are not returned.
+    """
     n = len(elements)
-    if not n:
-        return np.zeros(0, _U)
+    out, bare = [], False
     starts = bands(percent, 1 << max(20, n.bit_length() + 1))
     own = int(np.searchsorted(starts, n, side="right")) - 1
-    out = []
-    for band in (own, own + 1):
+    for band in (own, own + 1) if n else ():
         if band > own and n * 100 < percent * int(starts[band]):
             continue  # no set of the next band is similar enough in size
         k = (100 - percent) * 2 * (int(starts[band + 1]) - 1) // (100 + percent)
@@ -131,57 +129,79 @@ def signatures(elements: np.ndarray, percent: int, tier: int = 0) -> np.ndarray:
         content = np.zeros(n1 * n2, _U)
         np.add.at(content, cell, mix(spread + _STEP))
         filled = np.bincount(cell, minlength=n1 * n2).astype(_U)
-        keep = _subsets(n2, k2)
-        sums = (content.reshape(n1, n2)[:, None, :] * keep[None]).sum(axis=2, dtype=_U)
-        sizes = (filled.reshape(n1, n2)[:, None, :] * keep[None]).sum(axis=2, dtype=_U)
-        place = np.arange(sums.size, dtype=_U).reshape(sums.shape)
-        full = sizes > 0
-        out.append(mix(mix(sums[full] + salt) + place[full] * _STEP))
-        bare = [np.flatnonzero(~full[p]) for p in np.flatnonzero((~full).any(axis=1))]
-        if len(bare) >= good:
-            at = np.flatnonzero((~full).any(axis=1))
-            for chosen in itertools.combinations(range(len(at)), good):
-                for picks in itertools.product(*(bare[c] for c in chosen)):
-                    h = np.array([int(salt) ^ 1], _U)
-                    for c, x in zip(chosen, picks):
-                        h = mix(h + _U((int(at[c]) * 64 + int(x) + 1) * int(_STEP) & _ALL))
-                    out.append(h)
-    return np.unique(np.concatenate(out)) if out else np.zeros(0, _U)
-
-
-def _signed(df: DataFrame, width: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, two fingerprints of the set, and its signatures."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("sigs", pa.list_(pa.int64()))])
+        if n2 > 1:
+            keep = _subsets(n2, k2).T
+            content, filled = content.reshape(n1, n2) @ keep, filled.reshape(n1, n2) @ keep
+        full = (filled > 0).reshape(n1, -1)
+        content = content.reshape(n1, -1)
+        place = np.arange(content.size, dtype=_U).reshape(content.shape)
+        out.append(mix(mix(content[full] + salt) + place[full] * _STEP))
+        bare |= int((~full).any(axis=1).sum()) >= good
+    return (np.unique(np.concatenate(out)) if out else np.zeros(0, _U)), bare
+
+
+def _prints(elements: np.ndarray) -> tuple[int, int]:
+    """Two signed 64-bit fingerprints of a set, both sums of mixed elements."""
+    return int(np.add.reduce(mix(elements ^ _M1)).view(np.int64)), int(np.add.reduce(mix(elements ^ _M2)).view(np.int64))
 
+
+def _printed(docs: DataFrame, width: int) -> DataFrame:
+    """doc_id, n_shingles and the two fingerprints of the set (0 for an empty set)."""
     def run(batches):
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for at in range(0, len(texts), 200):
-                n, f1, f2, sigs = [], [], [], []
-                for t in texts[at : at + 200]:
-                    s = shingles(t, width)
-                    n.append(len(s))
-                    f1.append(np.add.reduce(mix(s ^ _M1)).astype(_U).view(np.int64) if len(s) else 0)
-                    f2.append(np.add.reduce(mix(s ^ _M2)).astype(_U).view(np.int64) if len(s) else 0)
-                    sigs.append(signatures(s, percent).view(np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[at : at + 200].cast(pa.int64()), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(sigs, pa.list_(pa.int64()))], schema=schema
-                )
+            n, f1, f2 = [], [], []
+            for t in batch.column(1).to_pylist():
+                s = shingles(t, width)
+                p = _prints(s) if len(s) else (0, 0)
+                n.append(len(s))
+                f1.append(p[0])
+                f2.append(p[1])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64())], names=["doc_id", "n_shingles", "f1", "f2"])
+
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long")
 
-    return df.mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, sigs array<long>")
 
+def _rows(sigs: list[np.ndarray], nodes: list[int]) -> pa.RecordBatch:
+    sizes = [len(x) for x in sigs]
+    flat = np.concatenate(sigs).view(np.int64) if sigs else np.zeros(0, np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(np.array(nodes, np.int64), sizes))], names=["sig", "node"])
 
-def _sets(df: DataFrame, width: int) -> DataFrame:
-    """doc_id and its set as the bytes of sorted 64-bit hashes."""
-    schema = pa.schema([("node", pa.int64()), ("elements", pa.binary())])
 
+def _signed(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(sig, node) of every set; a bare set also has the row sig 0."""
+    def run(batches):
+        seen: set[int] = set()  # spares a task most of its copies; others meet after the shuffle
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            for at in range(0, len(texts), 500):
+                sigs, nodes = [], []
+                for t in texts[at : at + 500]:
+                    s = shingles(t, width)
+                    if not len(s):
+                        continue
+                    node = _prints(s)[0]
+                    if node in seen:
+                        continue
+                    if len(seen) < 200_000:
+                        seen.add(node)
+                    own, bare = signatures(s, percent)
+                    sigs.append(np.append(own, _U(0)) if bare else own)
+                    nodes.append(node)
+                yield _rows(sigs, nodes)
+
+    return docs.mapInArrow(run, "sig long, node long")
+
+
+def _sets(docs: DataFrame, width: int) -> DataFrame:
+    """Each document's node and its set, as the bytes of sorted 64-bit hashes."""
     def run(batches):
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for at in range(0, len(texts), 200):
-                yield pa.RecordBatch.from_arrays([batch.column(0)[at : at + 200].cast(pa.int64()), pa.array([shingles(t, width).tobytes() for t in texts[at : at + 200]], pa.binary())], schema=schema)
+                found = [shingles(t, width) for t in texts[at : at + 200]]
+                yield pa.RecordBatch.from_arrays([pa.array([_prints(s)[0] for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["node", "elements"])
 
-    return df.mapInArrow(run, "node long, elements binary")
+    return docs.mapInArrow(run, "node long, elements binary")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -205,15 +225,18 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _resigned(sets: DataFrame, percent: int) -> DataFrame:
-    """(node, sig) of tier 1 for (node, elements)."""
+    """(sig, node) of tier 1 for (node, elements); bare sets share the signature 0."""
     def run(batches):
         for batch in batches:
-            nodes, elements = batch.column(0), batch.column(1).to_pylist()
-            for at in range(0, len(elements), 200):
-                sigs = [signatures(np.frombuffer(e, _U), percent, 1).view(np.int64) for e in elements[at : at + 200]]
-                yield pa.RecordBatch.from_arrays([nodes[at : at + 200], pa.array(sigs, pa.list_(pa.int64()))], names=["node", "sigs"])
+            nodes, elements = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for at in range(0, len(elements), 100):
+                sigs = []
+                for e in elements[at : at + 100]:
+                    own, bare = signatures(np.frombuffer(e, _U), percent, 1)
+                    sigs.append(np.append(own, _U(0)) if bare else own)
+                yield _rows(sigs, nodes[at : at + 100])
 
-    return sets.mapInArrow(run, "node long, sigs array<long>").select("node", F.explode("sigs").alias("sig"))
+    return sets.select("node", "elements").mapInArrow(run, "sig long, node long")
 
 
 def _shared(signed: DataFrame) -> DataFrame:
@@ -284,20 +307,25 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
     ``hub_rounds`` and ``slack`` only tell how the work is divided, not what is found.
     """
     docs = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text"))
-    signed = stored(_signed(docs, width, percent))
-    keyed = signed.where("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = keyed.groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("node"))
-    members = _shared(keyed.join(classes, ["n_shingles", "f1", "f2"]).where("doc_id = node").select("node", F.explode("sigs").alias("sig")))
-    wanted = members.select("node").distinct()
-    sets = stored(_sets(docs.join(wanted, docs["doc_id"] == wanted["node"], "left_semi"), width).where(F.octet_length("elements") > 0))
+    printed = stored(_printed(docs, width))
+    keyed = printed.where("doc_id IS NOT NULL AND n_shingles > 0")
+    classes = keyed.groupBy("n_shingles", F.col("f1").alias("node"), "f2").agg(F.min("doc_id").alias("first_id"))
+    signed = _signed(docs.where("doc_id IS NOT NULL"), width, percent)
+    members = _shared(signed)
+    bare = cut(members.where("sig = 0").select("node").distinct())
+    members = members.where("sig <> 0")
+    wanted = members.select("node").unionByName(bare).distinct().join(classes, "node").select(F.col("first_id").alias("doc_id")).distinct()
+    sets = stored(_sets(docs.join(wanted, "doc_id", "left_semi"), width).where(F.octet_length("elements") > 0))
     links = _Links(sets, percent)
     left = links.resolve(members, hub_rounds, slack, exact=False)
-    if left is not None:
+    left = bare if left is None else left.unionByName(bare).distinct()
+    if not left.isEmpty():
         links.resolve(_shared(_resigned(sets.join(left, "node", "left_semi"), percent)), hub_rounds, slack, exact=True)
-    by_class = links.labelled(classes).select("n_shingles", "f1", "f2", F.col("component").alias("component_id"))
-    rows = signed.select("doc_id", "n_shingles", "f1", "f2")
-    found = rows.where("n_shingles > 0 AND doc_id IS NOT NULL").join(by_class, ["n_shingles", "f1", "f2"]).select("doc_id", "n_shingles", "component_id")
-    alone = rows.where("NOT (n_shingles > 0 AND doc_id IS NOT NULL)").select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).alias("component_id"))
+    placed = links.labelled(classes)
+    firsts = placed.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    by_class = placed.join(firsts, "component").select("n_shingles", F.col("node").alias("f1"), "f2", "component_id")
+    found = keyed.join(by_class, ["n_shingles", "f1", "f2"]).select("doc_id", "n_shingles", "component_id")
+    alone = printed.where("NOT (doc_id IS NOT NULL AND n_shingles > 0)").select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).alias("component_id"))
     return found.unionByName(alone)
 
 
