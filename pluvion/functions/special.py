@@ -138,10 +138,10 @@ def gamma_cdf(x: Column, shape: Column, scale: Column) -> Column:
     """The gamma distribution function; missing where an argument is missing or not positive."""
     import pandas as pd
 
-    def law(x: pd.Series, shape: pd.Series, scale: pd.Series) -> pd.Series:
+    def law(x, shape, scale):
         nan = float("nan")
         rows = zip(x, shape, scale)
         return pd.Series([gamma_p(a, max(v, 0.0) / s) if v == v and a is not None and s is not None and a > 0 and s > 0 else nan for v, a, s in rows], dtype=float).where(lambda p: p.notna(), None)
 
-    p = F.pandas_udf(law, "double")(x, shape, scale)
+    p = F.pandas_udf(law, "double", F.PandasUDFType.SCALAR)(x, shape, scale)
     return F.when(x.isNotNull() & shape.isNotNull() & scale.isNotNull(), p)
