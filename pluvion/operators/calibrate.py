@@ -52,7 +52,7 @@ def delta(forecast: Cube, hindcast: Cube, observed: Cube, axis: str = "year") ->
     h = hindcast.mean(*reduce).df.withColumnRenamed(hindcast.value, "_h")
     o = observed.mean(axis).df.withColumnRenamed(observed.value, "_o")
     cell = observed.key(axis)
-    df = forecast.df.join(h, cell).join(o, cell).select(*forecast.dims, (F.col("_o") + F.col(forecast.value) - F.col("_h")).alias(forecast.value))
+    df = forecast.df.join(h, cell or None).join(o, cell or None).select(*forecast.dims, (F.col("_o") + F.col(forecast.value) - F.col("_h")).alias(forecast.value))
     return forecast.over(df)
 
 
@@ -76,11 +76,11 @@ def quantile_map(values: Cube, source: Cube, target: Cube, axis: str = "year", v
     cell, v = source.key(axis), F.col(values.value)
     if variant == "parametric":
         stats = lambda c, p: c.df.groupBy(*cell).agg(F.avg(c.value).alias(f"{p}m"), F.stddev_samp(c.value).alias(f"{p}s"))
-        df = values.df.join(stats(source, "s"), cell).join(stats(target, "t"), cell)
+        df = values.df.join(stats(source, "s"), cell or None).join(stats(target, "t"), cell or None)
         scale = F.when(F.col("ss") < 1e-12, 1.0).otherwise(F.col("ss"))
         return values.over(df.select(*values.dims, (F.col("tm") + (v - F.col("sm")) / scale * F.col("ts")).alias(values.value)))
     arrays = lambda c, p: c.df.groupBy(*cell).agg(F.sort_array(F.collect_list(c.value)).alias(f"{p}v"), F.count(F.lit(1)).alias(f"{p}n"))
-    df = values.df.join(arrays(source, "s"), cell).join(arrays(target, "t"), cell)
+    df = values.df.join(arrays(source, "s"), cell or None).join(arrays(target, "t"), cell or None)
     spots = lambda a: F.transform(a, lambda _, i: (i + 0.5) / F.size(a))
     mapped = interp(interp(v, F.col("sv"), spots(F.col("sv"))), spots(F.col("tv")), F.col("tv"))
     whole = (F.size("sv") == F.col("sn")) & (F.size("tv") == F.col("tn"))
@@ -108,7 +108,7 @@ def ereg(forecast: Cube, hindcast: Cube, observed: Cube, axis: str = "year", cli
     f = forecast.mean(*extra) if extra else forecast
     fit = _regression(hindcast, observed, axis)
     cell = observed.key(axis)
-    df = f.df.join(fit, cell).join(quantiles(observed, axis, t33=1 / 3, t67=2 / 3), cell)
+    df = f.df.join(fit, cell or None).join(quantiles(observed, axis, t33=1 / 3, t67=2 / 3), cell or None)
     mu = F.col("intercept") + F.col("slope") * F.col(f.value)
     mu = F.greatest(mu, F.lit(0.0)) if clip_negative else mu
     sigma = F.sqrt(F.greatest(F.col("pev") * (1 + 1 / F.col("n") + F.pow(F.col(f.value) - F.col("mx"), 2) / F.col("sxx")), F.lit(1e-24)))
@@ -133,6 +133,6 @@ def ereg_loyo(hindcast: Cube, observed: Cube, axis: str = "year") -> DataFrame:
     s = s.withColumn("pev", F.greatest(F.col("syy") - F.col("slope") * F.col("sxy"), F.lit(0.0)) / F.greatest(F.col("n") - 2, F.lit(1.0)))
     s = s.withColumns({"mu": F.col("my") + F.col("slope") * (F.col("x") - F.col("mx")), "sigma": F.sqrt(F.greatest(F.col("pev") * (1 + 1 / F.col("n") + F.pow(F.col("x") - F.col("mx"), 2) / F.col("sxx")), F.lit(1e-24)))})
     others = df.select(*cell, F.col(axis).alias("_j"), F.col("y").alias("_y"))
-    limits = s.select(*keep).join(others, cell).where(F.col(axis) != F.col("_j")).groupBy(*keep).agg(F.percentile("_y", F.lit(1 / 3)).alias("t33"), F.percentile("_y", F.lit(2 / 3)).alias("t67"))
+    limits = s.select(*keep).join(others, cell or None).where(F.col(axis) != F.col("_j")).groupBy(*keep).agg(F.percentile("_y", F.lit(1 / 3)).alias("t33"), F.percentile("_y", F.lit(2 / 3)).alias("t67"))
     p = s.join(limits, keep).withColumn("_a", (F.col("t33") - F.col("mu")) / F.col("sigma")).withColumn("_b", (F.col("t67") - F.col("mu")) / F.col("sigma"))
     return p.select(*keep, "mu", "sigma", phi("_a").alias("p_bn"), (phi("_b") - phi("_a")).alias("p_nn"), (1 - phi("_b")).alias("p_an"))

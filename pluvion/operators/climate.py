@@ -98,7 +98,7 @@ def percentile_of(value: Cube, reference: Cube, axis: str, method: str = "empiri
     key, r = reference.key(axis), F.col(reference.value)
     if method == "gaussian":
         stats = reference.df.groupBy(*key).agg(F.avg(r).alias("_m"), F.stddev_pop(r).alias("_s"))
-        z = value.df.join(stats, key).withColumn("_z", F.when(F.col("_s") >= 1e-12, (F.col(v) - F.col("_m")) / F.col("_s")))
+        z = value.df.join(stats, key or None).withColumn("_z", F.when(F.col("_s") >= 1e-12, (F.col(v) - F.col("_m")) / F.col("_s")))
         return value.over(z.select(*value.dims, phi("_z").alias(v)))
     if method != "gamma":
         raise ValueError(f"unknown method {method!r}")
@@ -106,7 +106,7 @@ def percentile_of(value: Cube, reference: Cube, axis: str, method: str = "empiri
     stats = reference.df.groupBy(*key).agg(
         F.when(F.count(r) > 0, F.count(F.when(r <= 0, 1)) / F.count(r)).alias("_p0"), F.avg(wet).alias("_m"), F.var_samp(wet).alias("_v"), F.count(wet).alias("_n")
     )
-    j = value.df.join(stats, key)
+    j = value.df.join(stats, key or None)
     ok = (F.col("_n") >= 2) & (F.col("_v") >= 1e-12)
     law = gamma_cdf(F.col(v), F.when(ok, F.col("_m") * F.col("_m") / F.col("_v")), F.when(ok, F.col("_v") / F.col("_m")))
     p = F.when(F.col(v) > 0, F.col("_p0") + (1 - F.col("_p0")) * law).when(F.col(v) <= 0, F.when(ok, F.col("_p0") / 2))
@@ -117,7 +117,7 @@ def percent_of_normal(value: Cube, reference: Cube, axis: str, dry_threshold: fl
     """100 x value / mean of the reference; missing where that mean is at most the threshold."""
     key = reference.key(axis)
     clim = reference.df.groupBy(*key).agg(F.avg(reference.value).alias("_c"))
-    df = value.df.join(clim, key).select(*value.dims, F.when(F.col("_c") > dry_threshold, F.lit(100.0) * F.col(value.value) / F.col("_c")).alias(value.value))
+    df = value.df.join(clim, key or None).select(*value.dims, F.when(F.col("_c") > dry_threshold, F.lit(100.0) * F.col(value.value) / F.col("_c")).alias(value.value))
     return value.over(df)
 
 
@@ -125,7 +125,7 @@ def frequency_below(sample: Cube, climatology: Cube, axis: str, q: float = 1 / 3
     """The share of the sample strictly below the climatology's quantile."""
     key = climatology.key(axis)
     limit = quantiles(climatology, axis, _t=q)
-    out = sample.df.join(limit, key).groupBy(*key).agg(F.avg(F.when(F.col(sample.value).isNotNull() & F.col("_t").isNotNull(), (F.col(sample.value) < F.col("_t")).cast("double"))).alias(sample.value))
+    out = sample.df.join(limit, key or None).groupBy(*key).agg(F.avg(F.when(F.col(sample.value).isNotNull() & F.col("_t").isNotNull(), (F.col(sample.value) < F.col("_t")).cast("double"))).alias(sample.value))
     return sample.over(out, key)
 
 
@@ -179,7 +179,7 @@ def error_bounds(predicted: Cube, observed: Cube, forecast: Cube, axis: str = "y
         z = NormalDist().inv_cdf(1 - tail)
         stats = errors.groupBy(*key).agg((F.avg("_e") - z * F.stddev_samp("_e")).alias("_lo"), (F.avg("_e") + z * F.stddev_samp("_e")).alias("_hi"))
     v = F.col(forecast.value)
-    return forecast.df.join(stats, key).select(*forecast.dims, (v - F.col("_hi")).alias("lower"), (v - F.col("_lo")).alias("upper"))
+    return forecast.df.join(stats, key or None).select(*forecast.dims, (v - F.col("_hi")).alias("lower"), (v - F.col("_lo")).alias("upper"))
 
 
 def detrend(cube: Cube, axis: str = "year") -> Cube:
@@ -188,4 +188,4 @@ def detrend(cube: Cube, axis: str = "year") -> Cube:
     key = cube.key(axis)
     line = cube.df.groupBy(*key).agg(F.expr(f"regr_slope({cube.value}, {axis})").alias("_b"), F.expr(f"regr_intercept({cube.value}, {axis})").alias("_a"))
     left = F.when(F.col("_b").isNotNull(), F.col(cube.value) - F.col("_a") - F.col("_b") * F.col(axis)).otherwise(F.col(cube.value))
-    return cube.over((cube.df.join(line, key) if key else cube.df.crossJoin(F.broadcast(line))).select(*cube.dims, left.alias(cube.value)))
+    return cube.over((cube.df.join(line, key or None) if key else cube.df.crossJoin(F.broadcast(line))).select(*cube.dims, left.alias(cube.value)))

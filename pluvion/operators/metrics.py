@@ -45,7 +45,7 @@ def _pairs(forecast: Cube, observed: Cube) -> DataFrame:
 def _pearson(df: DataFrame, key: list[str], x: str, y: str) -> DataFrame:
     """Correlation per key, where means skip missing values on each side of their own."""
     m = df.groupBy(*key).agg(F.avg(x).alias("_mx"), F.avg(y).alias("_my"))
-    j = df.join(m, key).withColumn("_dx", F.col(x) - F.col("_mx")).withColumn("_dy", F.col(y) - F.col("_my"))
+    j = df.join(m, key or None).withColumn("_dx", F.col(x) - F.col("_mx")).withColumn("_dy", F.col(y) - F.col("_my"))
     s = j.groupBy(*key).agg(F.sum(F.col("_dx") * F.col("_dy")).alias("_xy"), F.sum(F.col("_dx") * F.col("_dx")).alias("_xx"), F.sum(F.col("_dy") * F.col("_dy")).alias("_yy"))
     den = F.sqrt(F.col("_xx") * F.col("_yy"))
     return s.select(*key, F.when(den > 0, F.col("_xy") / den).alias("value"))
@@ -81,7 +81,7 @@ def two_afc(forecast: Cube, observed: Cube, spatial: bool = False, axis: str = "
     key, df = observed.key(axis), _pairs(forecast, observed).where("f IS NOT NULL AND o IS NOT NULL")
     # The key is the cell, so this grows with the square of the years of one cell.
     other = df.select(*key, F.col(axis).alias("_j"), F.col("f").alias("_f"), F.col("o").alias("_o"))
-    pairs = df.join(other, key).where((F.col("o") < F.col("_o")))
+    pairs = df.join(other, key or None).where((F.col("o") < F.col("_o")))
     right = F.when(F.col("f") < F.col("_f"), 1.0).when(F.col("f") == F.col("_f"), 0.5).otherwise(0.0)
     return _pooled(pairs.groupBy(*key).agg(F.avg(right).alias("value")), spatial)
 
@@ -105,7 +105,7 @@ def msss(forecast: Cube, observed: Cube, spatial: bool = False, axis: str = "yea
 
 def _probabilities_with(terciles: DataFrame, observed: Cube, axis: str, limits: DataFrame) -> DataFrame:
     o = observed.df.select(*observed.dims, F.col(observed.value).alias("o"))
-    return terciles.join(o, list(observed.dims)).join(limits, observed.key(axis))
+    return terciles.join(o, list(observed.dims)).join(limits, observed.key(axis) or None)
 
 
 @metric("rpss")

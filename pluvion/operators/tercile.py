@@ -25,7 +25,7 @@ def to_tercile(forecast: Cube, climatology: Cube, member: str = "member", axis:
     """
     limits = quantiles(climatology, axis, t33=1 / 3, t67=2 / 3)
     cell, key, v = climatology.key(axis), forecast.key(member), F.col(forecast.value)
-    df = forecast.df.join(limits, cell)
+    df = forecast.df.join(limits, cell or None)
     if method == "counting":
         n = F.count(F.lit(1))
         df = df.groupBy(*key).agg((F.count(F.when(v < F.col("t33"), 1)) / n).alias("p_bn"), (F.count(F.when(v > F.col("t67"), 1)) / n).alias("p_an"))
@@ -59,7 +59,7 @@ def to_tercile_cv(predicted: Cube, observed: Cube, axis: str = "year", method: s
     if method in ("bootstrap", "gaussian_loo"):
         # Years of a cell are few, and the join key holds the cell, so this grows with them only.
         others = pairs.select(*key, F.col(axis).alias("_j"), F.col("_o").alias("_oj"), F.col("_e").alias("_ej"))
-        loo = pairs.join(others, key).where(F.col(axis) != F.col("_j"))
+        loo = pairs.join(others, key or None).where(F.col(axis) != F.col("_j"))
         limits = loo.groupBy(*keep, v).agg(F.percentile("_oj", F.lit(1 / 3)).alias("t33"), F.percentile("_oj", F.lit(2 / 3)).alias("t67"), F.avg(F.col("_ej") * F.col("_ej")).alias("_p"))
         if method == "gaussian_loo":
             s = F.greatest(F.sqrt("_p"), F.lit(1e-12))
@@ -74,13 +74,13 @@ def to_tercile_cv(predicted: Cube, observed: Cube, axis: str = "year", method: s
         dof = years - n_modes - 1
         limits = cpt_boundaries(observed, axis)
         s2 = pairs.groupBy(*key).agg((F.sum(F.col("_e") * F.col("_e")) / dof).alias("s2"))
-        return cpt_tercile(pairs.join(limits, key).join(s2, key).withColumn("value", F.col(v)).withColumn("leverage", F.lit(0.0)), keep, dof)
+        return cpt_tercile(pairs.join(limits, key or None).join(s2, key or None).withColumn("value", F.col(v)).withColumn("leverage", F.lit(0.0)), keep, dof)
     if method not in ("t", "gaussian_pev"):
         raise ValueError(f"unknown method {method!r}")
     limits = quantiles(observed, axis, t33=1 / 3, t67=2 / 3)
     pev = pairs.groupBy(*key).agg(F.avg(F.col("_e") * F.col("_e")).alias("_p"))
     s = F.greatest(F.sqrt(F.col("_p") * ((years - 2) / years)), F.lit(1e-12))
-    df = pairs.join(limits, key).join(pev, key).withColumn("_a", (F.col("t33") - F.col(v)) / s).withColumn("_b", (F.col("t67") - F.col(v)) / s)
+    df = pairs.join(limits, key or None).join(pev, key or None).withColumn("_a", (F.col("t33") - F.col(v)) / s).withColumn("_b", (F.col("t67") - F.col(v)) / s)
     cdf = (lambda c: t_cdf(c, years)) if method == "t" else phi
     return _probabilities(df, keep, cdf("_a"), cdf("_b"))
 
@@ -90,7 +90,7 @@ def labels(observed: Cube, axis: str = "year", below_wins: bool = False) -> Data
     limits = quantiles(observed, axis, t33=1 / 3, t67=2 / 3)
     v = F.col(observed.value)
     below = v <= F.col("t33") if below_wins else v < F.col("t33")
-    return observed.df.join(limits, observed.key(axis)).select(*observed.dims, F.when(v.isNull(), None).when(below, 0).when(v > F.col("t67"), 2).otherwise(1).alias("category"))
+    return observed.df.join(limits, observed.key(axis) or None).select(*observed.dims, F.when(v.isNull(), None).when(below, 0).when(v > F.col("t67"), 2).otherwise(1).alias("category"))
 
 
 def simplex_or_null(df: DataFrame) -> DataFrame:
@@ -132,5 +132,5 @@ def mask_by_skill(field: DataFrame, skill: DataFrame, keep: list[str], values: l
 def flex(forecast: DataFrame, keep: list[str], observed: Cube, threshold: float, axis: str = "year") -> DataFrame:
     """The probability of exceeding the climatology's quantile, for columns value and pev."""
     limit = quantiles(observed, axis, _t=threshold)
-    df = forecast.join(limit, observed.key(axis)).withColumn("_z", (F.col("_t") - F.col("value")) / F.sqrt(F.greatest(F.col("pev"), F.lit(1e-12))))
+    df = forecast.join(limit, observed.key(axis) or None).withColumn("_z", (F.col("_t") - F.col("value")) / F.sqrt(F.greatest(F.col("pev"), F.lit(1e-12))))
     return df.select(*keep, (1 - phi("_z")).alias("p_exceed"))
