@@ -15,7 +15,7 @@ from pluvion import cube
 from pluvion.cube import Cube
 from pluvion.functions import calendar
 from pluvion.functions.special import density_sql, phi_inverse_sql, phi_sql, t_cdf_sql
-from pluvion.operators import analog, calibrate, climate, ensemble, metrics, regrid, tercile, timing
+from pluvion.operators import analog, calibrate, climate, ensemble, linear, metrics, regrid, tercile, timing
 from pluvion.sources import terciles as store
 from pluvion.streaming import scoring
 
@@ -470,3 +470,29 @@ put("complete", f"{_DONE} SELECT segment, {sel('scenario nation step', 'value')}
 put("scenario_totals", f"{_DONE} SELECT {sel('scenario nation', 'total')} FROM (SELECT scenario, nation, sum(value) AS total FROM done GROUP BY ALL)")(lambda spark, sf: out(analog.scenario_totals(_completion(spark, sf), "nation"), "scenario nation", "total"))  # 12.9
 put("issuance_dates", "SELECT CAST(d AS VARCHAR) AS issuance FROM (SELECT CAST(unnest(generate_series(DATE '2024-01-01', DATE '2024-03-31', INTERVAL 1 DAY)) AS DATE) AS d) WHERE dayofweek(d) IN (1, 4)")(lambda spark, sf: store.issuance_dates(spark, "2024-01-01", "2024-03-31").select(F.col("issuance").cast("string").alias("issuance")))  # 1.13
 put("dekad_totals", "SELECT CAST(dekad AS VARCHAR) AS dekad, event_type, CAST(n AS BIGINT) AS n, round(total, 4) AS total FROM (SELECT CAST(date_trunc('month', ts) AS DATE) + CAST(least((day(ts) - 1) // 10, 2) AS INTEGER) * 10 AS dekad, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY ALL)")(lambda spark, sf: scoring.dekad_totals(spark.read.parquet(f"{sf}/events.parquet"), "ts", "value", "10 days", "event_type").select(F.to_date("dekad").cast("string").alias("dekad"), "event_type", "n", F.round("total", 4).alias("total")))  # 2.13
+
+
+def _seasonal(spark, sf) -> tuple[Cube, Cube]:
+    """Cubes with a cyclic season axis: the ship month, by year and cell."""
+    line, supplier = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("lineitem", "supplier"))
+    rows = line.join(supplier, line["l_suppkey"] == supplier["s_suppkey"]).select(
+        F.year("l_shipdate").alias("year"), (F.month("l_shipdate") - 1).alias("season"), (F.col("l_linenumber") % 2).alias("member"), F.col("s_nationkey").cast("int").alias("cell"), "l_quantity", "l_extendedprice"
+    ).where("year BETWEEN 1996 AND 2000")
+    h = rows.groupBy("year", "season", "member", "cell").agg(F.avg("l_quantity").alias("value"))
+    o = rows.groupBy("year", "season", "cell").agg(F.avg("l_extendedprice").alias("value"))
+    return Cube(h, ("year", "season", "member", "cell")), Cube(o, ("year", "season", "cell"))
+
+
+_SEASONAL = """WITH rows_ AS (SELECT year(l_shipdate) AS year, month(l_shipdate) - 1 AS season, l_linenumber % 2 AS member, s_nationkey AS cell, l_quantity, l_extendedprice FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE year(l_shipdate) BETWEEN 1996 AND 2000),
+sh AS (SELECT year, season, member, cell, avg(l_quantity) AS value FROM rows_ GROUP BY ALL), so AS (SELECT year, season, cell, avg(l_extendedprice) AS value FROM rows_ GROUP BY ALL),
+sx AS (SELECT year, season, cell, avg(value) AS x, var_pop(value) AS s2 FROM sh GROUP BY ALL), sp AS (SELECT sx.*, so.value AS y FROM sx JOIN so USING (year, season, cell))"""
+_RING = ", ".join(f"({s}, {(s + d) % 12}, {w!r})" for s in range(12) for d, w in linear.cyclic_weights(12, 1.0))
+put("smoothed_coefficients", f"{_SEASONAL}, a AS (SELECT season, cell, covar_pop(x, y) / var_pop(x) AS a FROM sp GROUP BY ALL), w(t, f, w) AS (VALUES {_RING}) SELECT {sel('season cell', 'a')} FROM (SELECT w.t AS season, cell, sum(a * w) AS a FROM a JOIN w ON a.season = w.f GROUP BY ALL)")(lambda spark, sf: out(linear.smoothed_coefficients(*_seasonal(spark, sf)), "season cell", "a"))  # 11.18, 7.16
+put(
+    "smoothed_tercile",
+    f"""{_SEASONAL}, fit AS (SELECT season, cell, avg(x) AS mx, avg(y) AS my, var_pop(x) AS vx, var_pop(y) AS vy, covar_pop(x, y) / var_pop(x) AS a, avg(s2) AS ms2, quantile_cont(y, 1.0/3) AS t33, quantile_cont(y, 2.0/3) AS t67 FROM sp GROUP BY ALL),
+now_ AS (SELECT season, cell, avg(value) AS f, var_pop(value) AS fs2 FROM sh WHERE year = 2000 GROUP BY ALL), m AS (SELECT season, cell, my + a * (f - mx) AS mu, greatest(sqrt(greatest(vy - a * a * vx, 0.0) / ms2 * fs2), 1e-12) AS sd, t33, t67 FROM now_ JOIN fit USING (season, cell)),
+z AS (SELECT season, cell, (t33 - mu) / sd AS za, (t67 - mu) / sd AS zb FROM m) SELECT {sel('season cell', 'p_bn p_nn p_an')} FROM (SELECT season, cell, {phi_sql('za')} AS p_bn, greatest(least({phi_sql('zb')} - {phi_sql('za')}, 1.0), 0.0) AS p_nn, 1 - {phi_sql('zb')} AS p_an FROM z)""",
+)(lambda spark, sf: out(linear.smoothed_tercile((x := _seasonal(spark, sf))[0], x[1], x[0].over(x[0].df.where("year = 2000").drop("year"), ["season", "member", "cell"])), "season cell", "p_bn p_nn p_an"))  # 11.16
+put("cca_cv")(lambda spark, sf: out(linear.cca_cv(cube.hindcast(spark, sf).mean("member").df.withColumn("model", F.lit("m")), cube.observed(spark, sf)), "year lat lon", "value leverage"))  # 11.6, 11.7
+put("logit_tercile")(lambda spark, sf: out(linear.logit(_index(spark, sf), cube.observed(spark, sf), 0.5, least_years=5), "lat lon", "p_bn p_nn p_an p_value"))  # 11.14
