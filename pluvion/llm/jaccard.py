@@ -9,13 +9,14 @@ k2 errors or fewer, so two similar sets share a signature. Signatures that hold
 would match anything and are left out; a set with ``good`` or more of them ("bare") could
 miss a partner that way, and signs anew with larger signatures among all such sets.
 
-Plan. Equal sets form one class, known by a 64-bit fingerprint, before anything is joined. Each signature has a hub class, and members are compared with their hub only, which
-is linear in the number of signatures; links give components, and a signature whose members
-are all in one component is done. Others get a new hub, a few times over; then signatures
-with few pairs across components have these compared one by one. Classes in signatures with
-many (documents that share a passage but are not alike) sign anew with signatures of several
-times as many elements, and are resolved by those to the end. So every pair that shares a
-signature is compared, or known to be connected, and groups of near copies cost no square.
+Plan. Equal sets form one class, known by a 64-bit fingerprint, before anything is joined.
+Each signature has a hub class, and each class is compared with the best of its hubs; links
+give components, and a signature whose members are all in one component is done. Others get
+new hubs, a few times over; then signatures with few pairs across components have these
+compared one by one. Classes in signatures with many (documents that share a passage but are
+not alike) sign anew with signatures of several times as many elements, and are resolved by
+those to the end. So every pair that shares a signature is compared, or known to be
+connected, and groups of near copies cost no square.
 
 Defined results: null text counts as empty; a document without words has n_shingles 0 and is
 alone; documents with a null doc_id get a null component and are linked with nothing; rows
@@ -31,6 +32,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pluvion.llm.common import components, cut, stored
@@ -240,18 +242,22 @@ def _resigned(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _shared(signed: DataFrame) -> DataFrame:
-    """The (sig, node) rows whose signature more than one node has."""
-    dealt = signed.repartition("sig")
-    several = dealt.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("sig")
-    return stored(dealt.join(several, "sig").distinct())
+    """(sig, node, hub) of the signatures that more than one node has, each row once.
+
+    The hub is the member of the smallest hash, so that signatures of one group mostly have
+    the same hub. A window over the signature: one shuffle, no join.
+    """
+    place = F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("n"))
+    over = W.partitionBy("sig")
+    rows = signed.select("sig", "node", F.min(place).over(over).alias("lo"), F.max(place).over(over).alias("hi"))
+    several = rows.where("lo.n <> hi.n").select("sig", "node", F.col("lo.n").alias("hub"))
+    return stored(several.groupBy("sig", "node").agg(F.first("hub").alias("hub")))
 
 
-def _cross(members: DataFrame) -> DataFrame:
-    """Per signature: its members, and its pairs of members of different components."""
-    size = F.col("n").cast("double")
-    by_label = members.groupBy("sig", "component").agg(F.count("*").alias("n"))
-    sums = by_label.groupBy("sig").agg(F.sum(size).alias("n"), F.sum(size * size).alias("s"))
-    return sums.select("sig", "n", ((F.col("n") * F.col("n") - F.col("s")) / 2).alias("pairs"))
+def _nearest_hub(rows: DataFrame) -> DataFrame:
+    """One pair per node of (node, hub): its hub of the smallest hash."""
+    best = rows.where("node <> hub").groupBy("node").agg(F.min(F.struct(F.xxhash64("hub").alias("h"), F.col("hub").alias("n"))).alias("b"))
+    return best.select(F.least("node", "b.n").alias("a"), F.greatest("node", "b.n").alias("b")).distinct()
 
 
 class _Links:
@@ -260,10 +266,15 @@ class _Links:
     def __init__(self, sets: DataFrame, percent: int):
         self.sets, self.percent, self.edges, self.labels = sets, percent, None, None
 
-    def labelled(self, members: DataFrame) -> DataFrame:
+    def labelled(self, rows: DataFrame, *columns: str) -> DataFrame:
+        """Rows with their node's component. Labels ride along as rows of their own in a window
+        over the node, which is one shuffle and holds no more than a node's rows at a time."""
         if self.labels is None:
-            return members.withColumn("component", F.col("node"))
-        return members.join(self.labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+            return rows.select(*columns, "node", F.col("node").alias("component"))
+        marks = self.labels.select(*(F.lit(None).cast(dict(rows.dtypes)[c]).alias(c) for c in columns), "node", "component", F.lit(True).alias("_mark"))
+        both = rows.select(*columns, "node", F.lit(None).cast("long").alias("component"), F.lit(False).alias("_mark")).unionByName(marks)
+        known = both.withColumn("component", F.coalesce(F.max("component").over(W.partitionBy("node")), "node"))
+        return known.where("NOT _mark").drop("_mark")
 
     def compare(self, pairs: DataFrame) -> None:
         new = cut(_linked(pairs, self.sets, self.percent))
@@ -272,35 +283,44 @@ class _Links:
         self.edges = new if self.edges is None else self.edges.unionByName(new)
         self.labels = components(self.edges)
 
+    def still_open(self, rows: DataFrame) -> DataFrame:
+        """(sig, node, component, n, pairs) of signatures whose members are in several components;
+        n counts its members, and pairs those in different components."""
+        known = self.labelled(rows, "sig")
+        size = F.col("n").cast("double")
+        sums = known.groupBy("sig", "component").agg(F.count("*").alias("n")).groupBy("sig").agg(F.count("*").alias("k"), F.sum(size).alias("n"), F.sum(size * size).alias("s"))
+        mixed = sums.where("k > 1").select("sig", "n", ((F.col("n") * F.col("n") - F.col("s")) / 2).alias("pairs"))
+        return cut(known.join(mixed, "sig"))
+
     def resolve(self, members: DataFrame, hub_rounds: int, slack: float, exact: bool) -> DataFrame | None:
         """Links every similar pair that shares a signature of ``members``.
 
-        Without ``exact``, signatures that still have more cross pairs than ``slack`` times
-        their members are left, and their nodes are returned.
+        Without ``exact``, signatures that still have more than ``8 n`` pairs are left after
+        ``hub_rounds``, and their nodes are returned.
         """
         total = members.count()
-        for turn in range(hub_rounds + 1):
-            open_ = self.labelled(members)
-            cross = _cross(open_).where("pairs > 0")
-            open_ = cut(open_.join(cross, "sig"))
-            work = open_.select("sig", "pairs").distinct().agg(F.sum("pairs")).first()[0]
+        if not total:
+            return None
+        self.compare(_nearest_hub(members))
+        rows = members
+        for turn in range(1, hub_rounds + 1):
+            rows = self.still_open(rows)
+            work = rows.select("sig", "pairs").distinct().agg(F.sum("pairs")).first()[0]
             if not work:
                 return None
-            if turn < hub_rounds and work > slack * total:
-                hub = open_.groupBy("sig").agg(F.min_by(F.struct("node", "component"), F.xxhash64("node", F.lit(turn))).alias("hub"))
-                pairs = open_.join(hub, "sig").where("component <> hub.component")
-                self.compare(pairs.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct())
-                continue
-            heavy = F.lit(False) if exact or work <= slack * total else F.col("pairs") > slack * F.col("n")
-            light = open_.where(~heavy)
-            other = light.select("sig", F.col("node").alias("b"), F.col("component").alias("cb"))
-            self.compare(light.withColumnRenamed("node", "a").join(other, "sig").where("a < b AND component <> cb").select("a", "b").distinct())
-            left = open_.where(heavy).select("node").distinct()
-            return None if exact or left.isEmpty() else left
-        return None
-
-
-def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", hub_rounds: int = 4, slack: float = 4.0) -> DataFrame:
+            if work <= slack * total or turn == hub_rounds:
+                break
+            hub = rows.groupBy("sig").agg(F.min_by(F.struct(F.col("node").alias("hub"), F.col("component").alias("theirs")), F.xxhash64("node", F.lit(turn))).alias("h"))
+            self.compare(_nearest_hub(rows.join(hub.select("sig", "h.*"), "sig").where("component <> theirs")))
+        heavy = F.lit(False) if exact or work <= slack * total else F.col("pairs") > 8 * F.col("n")
+        light = rows.where(~heavy)
+        other = light.select("sig", F.col("node").alias("b"), F.col("component").alias("cb"))
+        self.compare(light.withColumnRenamed("node", "a").join(other, "sig").where("a < b AND component <> cb").select("a", "b").distinct())
+        left = rows.where(heavy).select("node").distinct()
+        return None if exact or left.isEmpty() else left
+
+
+def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", hub_rounds: int = 6, slack: float = 0.25) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id that links reach) per row.
 
     Documents link when 100 x intersection >= ``percent`` x union of their shingle sets.
@@ -321,7 +341,7 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
     left = bare if left is None else left.unionByName(bare).distinct()
     if not left.isEmpty():
         links.resolve(_shared(_resigned(sets.join(left, "node", "left_semi"), percent)), hub_rounds, slack, exact=True)
-    placed = links.labelled(classes)
+    placed = links.labelled(classes, "n_shingles", "f2", "first_id")
     firsts = placed.groupBy("component").agg(F.min("first_id").alias("component_id"))
     by_class = placed.join(firsts, "component").select("n_shingles", F.col("node").alias("f1"), "f2", "component_id")
     found = keyed.join(by_class, ["n_shingles", "f1", "f2"]).select("doc_id", "n_shingles", "component_id")
