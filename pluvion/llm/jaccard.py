@@ -12,8 +12,8 @@ miss a partner that way, and signs anew with larger signatures among all such se
 Plan. Equal sets form one class, known by a 64-bit fingerprint, before anything is joined.
 Each signature has a hub class, and each class is compared with the best of its hubs; links
 give components, and a signature whose members are all in one component is done. Others get
-new hubs, a few times over; then signatures with few pairs across components have these
-compared one by one. Classes in signatures with many (documents that share a passage but are
+new hubs, until the pairs across components are few against the signatures (``slack``) or
+hubs stop helping; then signatures with few such pairs have these compared one by one. Classes in signatures with many (documents that share a passage but are
 not alike) sign anew with signatures of several times as many elements, and are resolved by
 those to the end. So every pair that shares a signature is compared, or known to be
 connected, and groups of near copies cost no square.
@@ -302,14 +302,16 @@ class _Links:
         if not total:
             return None
         self.compare(_nearest_hub(members))
-        rows = members
+        rows, before = members, math.inf
         for turn in range(1, hub_rounds + 1):
             rows = self.still_open(rows)
             work = rows.select("sig", "pairs").distinct().agg(F.sum("pairs")).first()[0]
             if not work:
                 return None
-            if work <= slack * total or turn == hub_rounds:
+            stalled = not exact and work > 0.7 * before  # members are mostly not alike: hubs join no more of them
+            if work <= slack * total or turn == hub_rounds or stalled:
                 break
+            before = work
             hub = rows.groupBy("sig").agg(F.min_by(F.struct(F.col("node").alias("hub"), F.col("component").alias("theirs")), F.xxhash64("node", F.lit(turn))).alias("h"))
             self.compare(_nearest_hub(rows.join(hub.select("sig", "h.*"), "sig").where("component <> theirs")))
         heavy = F.lit(False) if exact or work <= slack * total else F.col("pairs") > 8 * F.col("n")
@@ -320,7 +322,7 @@ class _Links:
         return None if exact or left.isEmpty() else left
 
 
-def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", hub_rounds: int = 6, slack: float = 0.25) -> DataFrame:
+def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", hub_rounds: int = 6, slack: float = 4.0) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id that links reach) per row.
 
     Documents link when 100 x intersection >= ``percent`` x union of their shingle sets.
