@@ -9,8 +9,10 @@ hold enough entries, and those are reranked by their exact distance.
 * The number of centroids grows with the root of the number of vectors, up to ``most_centroids``.
 * Equal vectors are one entry, with the smallest ids that an answer can need, and equal
   queries are searched once, so a vector that holds a third of all rows costs as much as one.
-* Full cells are dealt into blocks, and so are the queries that reach a cell. Each block
-  returns its best for each query, no more.
+* Entries lie in order of their cells and are cut into blocks of about ``block`` entries, so
+  a block holds many small cells or a part of a full one. A query goes once to each block
+  that holds one of its cells, with the list of these cells; the queries of a block are dealt
+  as well. Each block returns its best for each query, no more.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components,
 and those not of the usual length, take no part, neither as queries nor as candidates; ties
@@ -125,28 +127,34 @@ def search(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id",
     index.sizes = sizes
     enough = max(least, math.ceil(share * total), k + 1)
 
+    starts = np.cumsum(sizes) - sizes
+    first_block, last_block = starts // block, np.maximum(starts + sizes - 1, starts) // block
+
     def route(batches):
         h = index.first.shape[1]
         for b in batches:
             x = _matrix(b.column(1)) if b.num_rows else np.zeros((0, 2 * h))
             d1, d2 = squared(x[:, :h], index.first), squared(x[:, h:], index.second)
-            found = [walk(d1[i], d2[i], sizes, enough) for i in range(b.num_rows)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(pa.int32()))], names=["q", "v", "cells"])
+            for i in range(b.num_rows):
+                by_block: dict[int, list[int]] = {}
+                for cell in walk(d1[i], d2[i], sizes, enough):
+                    for at in range(int(first_block[cell]), int(last_block[cell]) + 1):
+                        by_block.setdefault(at, []).append(cell)
+                times = np.full(len(by_block), i)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).take(times), b.column(1).take(times), pa.array(list(by_block), pa.int32()), pa.array(list(by_block.values()), pa.list_(pa.int32()))],
+                    names=["q", "v", "block", "cells"],
+                )
 
     asked = valid.where(is_query)
     distinct = asked.groupBy("v").agg(F.min("vec_id").alias("q")).select("q", "v")
-    routed = stored(distinct.mapInArrow(route, f"q long, v {dict(entries.dtypes)['v']}, cells array<int>").select("q", "v", F.explode("cells").alias("cell")))
-    hits = np.zeros(n_cells, np.int64)
-    for r in routed.groupBy("cell").count().collect():
-        hits[r["cell"]] = r["count"]
-    blocks, turns = np.maximum(1, -(-sizes // block)), np.maximum(1, -(-hits // block))
-    spread = placed.sparkSession.createDataFrame([(i, int(blocks[i]), int(turns[i])) for i in range(n_cells) if hits[i]], "cell int, blocks int, turns int")
-    left = placed.join(F.broadcast(spread), "cell").select(
-        "cell", F.pmod(F.xxhash64("ids"), F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"), "v", "ids"
-    )
-    right = routed.join(F.broadcast(spread), "cell").select(
-        "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("q"), F.col("turns")).cast("int").alias("turn"), "q", "v"
-    )
+    routed = stored(distinct.mapInArrow(route, f"q long, v {dict(entries.dtypes)['v']}, block int, cells array<int>"))
+    turns = routed.groupBy("block").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("turns"))
+    spread = placed.sparkSession.createDataFrame([(i, int(starts[i]), int(sizes[i])) for i in range(n_cells) if sizes[i]], "cell int, start long, held long")
+    position = F.col("start") + F.pmod(F.xxhash64("ids"), F.col("held"))
+    blocked = placed.join(F.broadcast(spread), "cell").select("cell", F.floor(position / F.lit(block)).cast("int").alias("block"), "v", "ids")
+    left = blocked.join(turns, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"), "cell", "v", "ids")
+    right = routed.join(turns, "block").select("block", F.pmod(F.xxhash64("q"), F.col("turns")).cast("int").alias("turn"), "q", "v", "cells")
 
     def nearest(entries_pdf, queries_pdf):
         import pandas as pd
@@ -154,16 +162,19 @@ def search(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id",
         if not len(entries_pdf) or not len(queries_pdf):
             return pd.DataFrame({"q": [], "score": [], "ids": []})
         x, first = np.stack(entries_pdf["v"]).astype(np.float64), np.array([i[0] for i in entries_pdf["ids"]])
+        cell, passed = entries_pdf["cell"].to_numpy(), np.zeros(n_cells, bool)
         out = []
-        for q, v in zip(queries_pdf["q"], queries_pdf["v"]):
-            d = x - np.asarray(v, np.float64)
+        for q, v, cells in zip(queries_pdf["q"], queries_pdf["v"], queries_pdf["cells"]):
+            passed[cells] = True
+            at = np.flatnonzero(passed[cell])
+            passed[cells] = False
+            d = x[at] - np.asarray(v, np.float64)
             d = np.sqrt((d * d).sum(1))
-            order = np.lexsort((first, d))[: k + 1]
-            out += [(q, d[i], entries_pdf["ids"].iat[i]) for i in order]
+            order = np.lexsort((first[at], d))[: k + 1]
+            out += [(q, d[i], entries_pdf["ids"].iat[at[i]]) for i in order]
         return pd.DataFrame(out, columns=["q", "score", "ids"])
 
-    keys = ["cell", "block", "turn"]
-    best = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(nearest, "q long, score double, ids array<long>")
+    best = left.groupBy("block", "turn").cogroup(right.groupBy("block", "turn")).applyInPandas(nearest, "q long, score double, ids array<long>")
     best = best.withColumn("n", F.row_number().over(W.partitionBy("q").orderBy("score", F.col("ids")[0]))).where(F.col("n") <= k + 1)
     each = asked.join(distinct, "v").select("q", F.col("vec_id").alias("query_id"))
     answers = best.join(each, "q").select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")

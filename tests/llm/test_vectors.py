@@ -36,6 +36,10 @@ def test_search_recall_and_scores(vectors):
         assert [found[i] for i in sorted(found)] == sorted(found.values(), key=lambda p: (p[1], p[0]))
         hits.append(len({int(ids[i]) for i in order} & {v for v, _ in found.values()}) / 10)
     assert np.mean(hits) >= 0.9
+    small = ann.search(df, F.col("vec_id") % 20 == 0, share=1.0, block=40).collect()  # many blocks, cells cut over several
+    for r in small:
+        d = {i: np.sqrt(((x[i] - x[r["query_id"]]) ** 2).sum()) for i in x if i != r["query_id"]}
+        assert r["vec_id"] == sorted(d, key=lambda i: (d[i], i))[r["rank"] - 1]
     assert ann.search(df.limit(0), F.col("vec_id") >= 0).count() == 0
 
 
