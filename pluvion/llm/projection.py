@@ -1,18 +1,18 @@
-"""Operator 9: near-duplicate vectors by sorted projection passes.
+"""Operator 9: near-duplicate vectors by projection passes.
 
-In each pass every vector gets the signs of random projections as one number, first
-projection first; sorting by it orders the vectors lexicographically by their concatenated
-hashes. Each vector is compared with its next ``window`` neighbours in that order, and the
-pairs that reach the threshold are united over all passes.
+In each pass every vector gets the signs of random projections as one number. All vectors with
+one number are compared with each other, and those that reach the threshold are united over all
+passes. The bits of the number and the passes follow from the number of vectors, the threshold
+and a target of recall (``plan``), so what is missed does not grow with the table, nor where
+vectors lie close together. Few vectors get no bits: all are compared.
 
 * Equal vectors are one entry with a number of copies, so a vector that holds a third of all
   rows is compared once.
-* A pass is a range-partitioned sort, read as a stream with ``window`` rows of memory. Ties in
-  the hash are ordered by a hash of the id, so a frequent hash can be cut over partitions.
-  The first and last rows of partitions are compared in a second step.
-* A window bounds what a pass sees of a large group. So once components are known, links are
-  counted between all members of a component, in blocks that return counts, never pairs;
-  this costs the square of a component's distinct vectors in arithmetic, divided over tasks.
+* A number that many vectors share is cut into blocks that meet pairwise, each pair of blocks in
+  a group of its own; it returns stars of what it links, never more pairs than rows.
+* Once components are known, links are counted between all members of a component, in blocks
+  that return counts, never pairs; this costs the square of a component's distinct vectors in
+  arithmetic, divided over tasks.
 
 Defined results: vectors that are null, empty, zero, hold null or non-finite components, have no
 id, or are not of the usual length get n_links 0 and are alone; rows that repeat an id are one
@@ -21,6 +21,8 @@ node with as many copies; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,8 +31,8 @@ from pyspark.sql import functions as F
 from pluvion.llm.common import components, cut, stored
 from pluvion.llm.vectors import valid_vectors
 
-#: Bits of the hash and of the tie-breaking id hash in the 63-bit sort key.
-_HASH_BITS, _TIE_BITS = 40, 23
+#: Bits of a hash at most.
+_HASH_BITS = 40
 
 
 def _unit(rows) -> np.ndarray:
@@ -39,18 +41,42 @@ def _unit(rows) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _close(u: np.ndarray, nodes: np.ndarray, window: int, least: float, fresh_from: int = 0) -> list[tuple[int, int]]:
-    """Pairs at most ``window`` rows apart, of which the later is at ``fresh_from`` or behind."""
-    out = []
-    for step in range(1, min(window, len(u) - 1) + 1):
-        lo = max(0, fresh_from - step)
-        at = np.flatnonzero((u[lo:-step] * u[lo + step :]).sum(axis=1) >= least) + lo
-        out += [(min(a, b), max(a, b)) for a, b in zip(nodes[at].tolist(), nodes[at + step].tolist()) if a != b]
-    return out
-
+def plan(n: int, least: float, recall: float, window: int) -> tuple[int, int]:
+    """Bits of the prefix and number of passes that find a pair at cosine ``least`` with
+    probability ``recall``, at the least work.
+
+    A bit agrees for such a pair with probability 1 - acos(least) / pi. Moving a row once is
+    taken to cost as much as ``window`` comparisons.
+    """
+    agree = 1 - math.acos(max(-1.0, min(1.0, least))) / math.pi
+    best = (math.inf, 0, 1)
+    for bits in range(_HASH_BITS + 1):
+        share = agree**bits
+        if share < 1e-9:
+            break
+        passes = 1 if share >= recall else math.ceil(math.log1p(-recall) / math.log1p(-share))
+        best = min(best, (passes * (window + n / 2**bits), bits, passes))
+    return best[1:]
+
+
+def _tied(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest row that each of ``n`` rows is linked with, over any number of links (a, b)."""
+    label = np.arange(n)
+    while True:
+        new = label.copy()
+        np.minimum.at(new, a, label[b])
+        np.minimum.at(new, b, label[a])
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def ties(entries: DataFrame, least: float, recall: float, window: int, seed: int, block: int = 1024) -> DataFrame:
+    """Distinct pairs (a, b) of (node, v) rows that links of cosine ``least`` or more join,
+    directly or inside one block: stars, so a block returns no more pairs than it has rows."""
+    bits, passes = plan(entries.count(), least, recall, window)
 
-def close_pairs(entries: DataFrame, least: float, passes: int, window: int, seed: int) -> DataFrame:
-    """Distinct pairs (a, b) of (node, v) rows whose cosine is ``least`` or more."""
     def keyed(batches):
         planes = None
         for b in batches:
@@ -58,71 +84,32 @@ def close_pairs(entries: DataFrame, least: float, passes: int, window: int, seed
                 continue
             u = _unit(b.column(1).to_pylist())
             if planes is None:
-                planes = np.random.default_rng(seed).standard_normal((passes, u.shape[1], _HASH_BITS))
-            weights = (1 << np.arange(_HASH_BITS - 1, -1, -1)).astype(np.int64)
-            keys = np.stack([(u @ planes[p] > 0) @ weights for p in range(passes)], axis=1)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(keys), pa.list_(pa.int64()))], names=["node", "v", "keys"])
-
-    kind = dict(entries.dtypes)["v"]
-    hashed = entries.select("node", "v").mapInArrow(keyed, f"node long, v {kind}, keys array<long>")
-    tie = F.pmod(F.xxhash64("node"), F.lit(1 << _TIE_BITS))
-    rows = hashed.select(F.posexplode("keys").alias("pass", "key"), "node", "v").select("pass", (F.shiftleft("key", _TIE_BITS) + tie).alias("place"), "node", "v")
-    ordered = rows.repartitionByRange("pass", "place").sortWithinPartitions("pass", "place", "node")
-
-    def scan(batches):
-        """Pairs within the window (edge false), and the rows at both ends of each run (edge true)."""
-        held = None  # (pass, rows before the batch that the window still reaches)
-        tail: list = []
-
-        def made(pairs, edges):
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([p[0] for p in pairs] + [None] * len(edges), pa.int64()),
-                    pa.array([p[1] for p in pairs] + [None] * len(edges), pa.int64()),
-                    pa.array([None] * len(pairs) + [e[0] for e in edges], pa.int32()),
-                    pa.array([None] * len(pairs) + [e[1] for e in edges], pa.int64()),
-                    pa.array([None] * len(pairs) + [e[2] for e in edges], pa.int64()),
-                    pa.array([None] * len(pairs) + [e[3] for e in edges], pa.list_(pa.float64())),
-                ],
-                names=["a", "b", "pass", "place", "node", "v"],
-            )
-
-        count = 0
-        for b in batches:
-            p, place, node = (np.asarray(b.column(i)) for i in range(3))
-            v = b.column(3).to_pylist()
-            cuts = [0, *(np.flatnonzero(p[1:] != p[:-1]) + 1).tolist(), len(p)]
-            for lo, hi in zip(cuts, cuts[1:]):
-                if lo == hi:
-                    continue
-                edges = []
-                if held is not None and held[0] != p[lo]:
-                    edges += tail
-                    held, tail, count = None, [], 0
-                before = held[1] if held else (np.zeros((0, len(v[lo]))), np.zeros(0, np.int64))
-                u, nodes = np.concatenate((before[0], _unit(v[lo:hi]))), np.concatenate((before[1], node[lo:hi]))
-                pairs = set(_close(u, nodes, window, least, len(before[1])))
-                here = [(int(p[i]), int(place[i]), int(node[i]), v[i]) for i in [*range(lo, min(hi, lo + max(0, window - count))), *range(max(lo, hi - window), hi)]]
-                n_first = min(hi - lo, max(0, window - count))
-                edges += here[:n_first]
-                tail = (tail + here[n_first:])[-window:]
-                count += hi - lo
-                held = (p[lo], (u[-window:], nodes[-window:]))
-                yield made(sorted(pairs), edges)
-        yield made([], tail)
-
-    found = stored(ordered.mapInArrow(scan, "a long, b long, pass int, place long, node long, v array<double>"))
-    pairs = found.where("a IS NOT NULL").select("a", "b")
-    # Window rows at each end of each partition: their number follows the partitions.
-    edges = found.where("a IS NULL").select("pass", "place", "node", "v").dropDuplicates(["pass", "node"])
-
-    def across(pdf):
-        import pandas as pd
+                planes = np.random.default_rng(seed).standard_normal((passes, u.shape[1], bits))
+            weights = (1 << np.arange(bits - 1, -1, -1)).astype(np.int64)
+            keys = np.stack([(u @ planes[p] > 0) @ weights for p in range(passes)], axis=1).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(keys), pa.list_(pa.int64()))], names=["node", "keys"])
+
+    rows = stored(entries.select("node", "v").mapInArrow(keyed, "node long, keys array<long>")).select("node", F.posexplode("keys").alias("pass", "key"))
+    sizes = rows.groupBy("pass", "key").agg(F.count("*").alias("rows")).where("rows > 1").select("pass", "key", F.ceil(F.col("rows") / F.lit(block)).cast("int").alias("blocks"))
+    sides = _sides(rows.join(sizes, ["pass", "key"])).join(entries.select("node", "v"), "node")
+
+    def compare(key, table):
+        u, own, node = _unit(table.column("v").to_pylist()), table.column("own").to_numpy(), table.column("node").to_numpy()
+        i, j = (k.as_py() for k in key[2:])
+        at_i, at_j = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        x, y = np.nonzero(u[at_i] @ u[at_j].T >= least)
+        first = _tied(len(node), at_i[x], at_j[y])
+        at = np.flatnonzero(first != np.arange(len(node)))
+        p, q = node[first[at]], node[at]
+        return pa.table({"a": pa.array(np.minimum(p, q), pa.int64()), "b": pa.array(np.maximum(p, q), pa.int64())})
+
+    return sides.groupBy("pass", "key", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
-        pdf = pdf.sort_values(["place", "node"])
-        return pd.DataFrame(sorted(set(_close(_unit(pdf["v"].tolist()), pdf["node"].to_numpy(), window, least))), columns=["a", "b"], dtype="int64")
 
-    return pairs.unionByName(edges.groupBy("pass").applyInPandas(across, "a long, b long")).distinct()
+def _sides(rows: DataFrame) -> DataFrame:
+    """Rows with the number of ``blocks`` of their group, once for each pair (i, j) of blocks that takes them in."""
+    dealt = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other", "blocks")
 
 
 def count_links(members: DataFrame, least: float, block: int = 1024) -> DataFrame:
@@ -130,10 +117,7 @@ def count_links(members: DataFrame, least: float, block: int = 1024) -> DataFram
     component whose cosine is ``least`` or more. Blocks of a component meet pairwise; each
     pair of blocks returns a count per node."""
     sizes = members.groupBy("component").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
-    dealt = members.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    sides = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "v", "copies"
-    )
+    sides = _sides(members.join(sizes, "component"))
 
     def count(key, pdf):
         import pandas as pd
@@ -154,12 +138,13 @@ def count_links(members: DataFrame, least: float, block: int = 1024) -> DataFram
     return sides.groupBy("component", "i", "j").applyInPandas(count, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
 
 
-def near_duplicates(df: DataFrame, least: float = 0.9, passes: int = 16, window: int = 24, seed: int = 29, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def near_duplicates(df: DataFrame, least: float = 0.9, recall: float = 0.999, window: int = 1024, seed: int = 29, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """vec_id, n_links, component_id (smallest linked id, over any number of links) and kept,
-    one row per row of ``df``."""
+    one row per row of ``df``. A pair at cosine ``least`` that no other vector links is found
+    with probability ``recall``, at any number of rows; one above it more often."""
     valid = valid_vectors(df, id_col, vec_col)
     entries = stored(valid.groupBy("v").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies")))
-    pairs = cut(close_pairs(entries, least, passes, window, seed))
+    pairs = cut(ties(entries, least, recall, window, seed))
     found = components(pairs)
     members = cut(entries.join(found, "node"))
     links = count_links(members, least)

@@ -1,6 +1,7 @@
 """Operators 5 and 9 against brute force."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,6 +73,37 @@ def test_links_and_components(vectors):
     assert projection.near_duplicates(df.limit(0)).count() == 0
 
 
+def planted(spark, n, pairs, dense=0, dim=64):
+    """``n`` rows of which the last 2 * ``pairs`` are isolated pairs at cosine 0.90 to 0.92; ``dense`` rows lie close together, below 0.9."""
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=(n, dim))
+    x[:dense] = x[0] / np.linalg.norm(x[0]) * 1.5 * dim**0.5 + rng.normal(size=(dense, dim))
+    a = x[n - 2 * pairs : n - pairs]
+    if dense:  # the pairs lie in the dense region
+        a[:] = x[0] / np.linalg.norm(x[0]) * 1.5 * dim**0.5 + rng.normal(size=(pairs, dim))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    side = rng.normal(size=(pairs, dim))
+    side -= (side * a).sum(1, keepdims=True) * a
+    c = rng.uniform(0.9005, 0.92, size=(pairs, 1))
+    x[n - pairs :] = c * a + np.sqrt(1 - c * c) * side / np.linalg.norm(side, axis=1, keepdims=True)
+    return spark.createDataFrame(pa.table({"vec_id": np.arange(n), "embedding": list(x)}))
+
+
+@pytest.mark.parametrize("n, dense", [(4000, 0), (40_000, 0), (30_000, 5000)])
+def test_isolated_pairs_are_found_at_any_size(spark, n, dense):
+    pairs = 500
+    got = {r["vec_id"]: r for r in projection.near_duplicates(planted(spark, n, pairs, dense)).where(f"vec_id >= {n - 2 * pairs}").collect()}
+    found = sum(got[i]["n_links"] >= 1 and got[i]["component_id"] == got[i + pairs]["component_id"] for i in range(n - 2 * pairs, n - pairs))
+    assert found >= 0.995 * pairs
+
+
+def test_plan_holds_its_recall():
+    for n in (10**3, 10**5, 10**7, 10**9):
+        bits, passes = projection.plan(n, 0.9, 0.999, 1024)
+        assert 1 - (1 - (1 - np.arccos(0.9) / np.pi) ** bits) ** passes >= 0.999
+    assert projection.plan(1000, 0.9, 0.999, 1024) == (0, 1) and projection.plan(10**6, 1.0, 0.999, 1024)[1] == 1
+
+
 def test_components_and_running_total(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 60)] + [(100, 99), (99, 100), (5, 5)], "a long, b long")
     got = {r["node"]: r["component"] for r in components(edges).collect()}
