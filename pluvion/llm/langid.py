@@ -22,6 +22,7 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -219,21 +220,50 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     return predict(df, model, id_col, text_col).select("doc_id", F.coalesce(bucket(F.col("doc_id")) == 0, F.lit(True)).alias("held_out"), "lang_pred", "score")
 
 
+def _scores(model: LanguageModel):
+    """A function of text: the best language and its calibrated score, or None without a letter or a language."""
+    langs, table, temperature = model.langs, model.table, model.temperature
+    dim = len(table)
+
+    def best(t):
+        if not langs or not has_letter(t):
+            return None
+        at = ngrams(t, dim)
+        p = softmax(table[at].sum(axis=0, dtype=np.float64) * (_TF / len(at)) / temperature)
+        return langs[int(p.argmax())], float(p.max())
+
+    return best
+
+
+def least_score(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> float:
+    """The threshold for ``keep_identified``: halfway between the score of a text that tells
+    nothing (1 / languages) and the lowest score of all labelled training rows whose language
+    is identified. 0 without such rows."""
+    best = _scores(model)
+
+    @F.pandas_udf("double")
+    def right(texts, langs):
+        found = [(best(t), k) for t, k in zip(texts, langs)]
+        return pd.Series([x[1] if x and x[0] == k else None for x, k in found], dtype="float64")
+
+    rows = df.where(df[lang_col].isNotNull() & df[text_col].isNotNull() & (bucket(df[id_col]) != 0))
+    lowest = rows.select(right(rows[text_col], rows[lang_col]).alias("s")).where("s IS NOT NULL AND NOT isnan(s)").agg(F.min("s")).first()[0] if model.langs else None
+    return 0.0 if lowest is None else (lowest + 1 / len(model.langs)) / 2
+
+
 def keep_identified(df: DataFrame, model: LanguageModel, text_col: str = "text", least: float = 0.0) -> DataFrame:
-    """Rows of ``df`` whose text has a language, with a score of ``least`` or more.
+    """Rows of ``df`` whose text has a language, with a score of ``least`` or more; rows with
+    a letter where the model knows no language.
 
     The text is the only column that Python sees; the rows never leave their tasks.
     """
-    langs, table, temperature = model.langs, model.table, model.temperature
-    dim = len(table)
+    best, blank = _scores(model), not model.langs
 
     @F.pandas_udf("boolean")
     def known(texts):
         def one(t):
-            if not langs or not has_letter(t):
-                return False
-            at = ngrams(t, dim)
-            return float(softmax(table[at].sum(axis=0, dtype=np.float64) * (_TF / len(at)) / temperature).max()) >= least
+            x = best(t)
+            return has_letter(t) if blank else x is not None and x[1] >= least
 
         return texts.map(one)
 
