@@ -9,8 +9,9 @@
    by their checks; the features leave the checks out, so what is learnt carries over to forms
    that have none. The training data are counts by feature vector, grouped in Spark; their
    number is bounded by the features' bins, and the trees become Column expressions.
-4. Scores are calibrated (Platt scaling on the documents kept from the trees) and a threshold
-   per kind is the lowest at which the kept candidates of that kind reach ``precision``.
+4. Scores are calibrated (Platt scaling on all documents that the trees did not see) and a
+   threshold per kind is the lowest at which those candidates of that kind reach ``precision``;
+   a kind that has none there takes the threshold of all kinds together.
    A chosen span that overlaps a base span gives way to it.
 
 Offsets are code points, ends exclusive. Quantifiers over groups are possessive, which finds
@@ -40,10 +41,11 @@ STRICT = {
 }
 #: Wide patterns (fixed values).
 WIDE = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?[\[(](?:at|AT)[\])]\x20?[A-Za-z0-9-]++(?:\x20?[\[(](?:dot|DOT)[\])]\x20?[A-Za-z0-9-]++|\.[A-Za-z0-9-]++)++",
-    "ip": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
-    "card": r"(?<![0-9._-])[0-9]{4}([._/])[0-9]{4}\1[0-9]{4}\1[0-9]{2,7}(?![0-9])",
-    "phone": r"(?<![0-9+.)-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
+    "email": r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+(?:\x20?[\[({<]\x20?at\x20?[\])}>]\x20?[A-Za-z0-9-]++(?:\x20?[\[({<]\x20?dot\x20?[\])}>]\x20?[A-Za-z0-9-]++|\x20dot\x20[A-Za-z0-9-]++|\.[A-Za-z0-9-]++)++"
+    r"|\x20at\x20[A-Za-z0-9-]++(?:\x20dot\x20[A-Za-z0-9-]+)*?\x20dot\x20(?:com|org|net|edu|gov|info|io|de|fr|es|uk|eu)(?![A-Za-z0-9-]))",
+    "ip": r"(?<![0-9A-Za-z:.])(?=[A-Fa-f:]{0,40}[0-9])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}|::[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6}|(?:[0-9A-Fa-f]{1,4}:){1,7}:)(?![0-9A-Za-z:])",
+    "card": r"(?<![0-9._-])(?:[0-9]{4}([._/])[0-9]{4}\1[0-9]{4}\1[0-9]{2,7}|[0-9]{4}([._/])[0-9]{6}\2[0-9]{5})(?![0-9])",
+    "phone": r"(?<![0-9+.)-])(?:(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20./-])[0-9]{3}[\x20./-][0-9]{4}|00[1-9][0-9]{0,2}(?:[\x20.-][0-9]{1,4}){3,5}|0[1-9](?:[\x20.-][0-9]{2}){4})(?![0-9])",
 }
 #: A text without this string has no strict candidate of the kind.
 _NEEDS = {"email": "@", "phone": "+"}
@@ -108,7 +110,7 @@ def _with_candidates(df: DataFrame, text: str, wide: bool = True) -> DataFrame:
     if wide:
         for kind in KINDS:
             # Few texts have any, so the test comes first.
-            has = F.rlike(F.col(text), F.lit(WIDE[kind])) if kind != "email" else (F.rlike(F.col(text), F.lit(r"(?i)[\[(]at[\])]")))
+            has = F.rlike(F.col(text), F.lit(WIDE[kind])) if kind != "email" else F.rlike(F.col(text), F.lit(r"(?i)[\[({<]\x20?at\x20?[\])}>]|\x20dot\x20"))
             m, g = _found(F.col(text), WIDE[kind])
             none = F.array().cast("array<string>")
             df = df.withColumn(f"_h_{kind}", has)
@@ -244,22 +246,24 @@ class Detector:
 
 
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_docs: int = 4000, precision: float = 0.95) -> Detector:
-    """Learns from about ``train_docs`` documents, chosen by a hash of their ids.
+    """Trees learn from about ``train_docs`` documents, chosen by a hash of their ids;
+    calibration and thresholds count the candidates of all other documents.
 
     Only counts by feature vector and label reach the driver. Of the chosen documents a
-    third is kept from the trees for calibration and thresholds.
+    third is kept from the trees as well. A kind without candidates takes the threshold of
+    all kinds together.
     """
     total = df.count()
-    chosen = df.select(df[id_col].alias("_id"), F.coalesce(df[text_col], F.lit("")).alias("_text"))
-    chosen = chosen.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, train_docs / max(1, total))))
-    found = _with_candidates(chosen, "_text", wide=False)
+    every = df.select(df[id_col].alias("_id"), F.coalesce(df[text_col], F.lit("")).alias("_text"))
+    chosen = F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, train_docs / max(1, total)))
+    found = _with_candidates(every, "_text", wide=False)
 
     def labelled(kind: str) -> Column:
         return F.transform(f"_c_{kind}", lambda c: F.struct(_features(kind, c).alias("x"), _passes(kind, c["s"]).cast("int").alias("y")))
 
     rows = F.concat(*map(labelled, KINDS))
     counts = (
-        found.select((F.pmod(F.xxhash64("_id", F.lit(7)), F.lit(3)) == 0).alias("kept"), F.explode(rows).alias("r"))
+        found.select((~chosen | (F.pmod(F.xxhash64("_id", F.lit(7)), F.lit(3)) == 0)).alias("kept"), F.explode(rows).alias("r"))
         .groupBy("kept", "r").count().collect()
     )
     split = {kept: [(tuple(r["r"]["x"]), r["r"]["y"], r["count"]) for r in counts if r["kept"] == kept] for kept in (False, True)}
@@ -268,7 +272,8 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_d
     booster = Booster().fit(split[False]).calibrate(split[True])
     thresholds = {}
     for k, kind in enumerate(KINDS):
-        scored = sorted(((booster.probability(x), y, c) for x, y, c in split[True] if x[0] == k), reverse=True)
+        own = [r for r in split[True] if r[0][0] == k]
+        scored = sorted(((booster.probability(x), y, c) for x, y, c in own or split[True]), reverse=True)
         hit = seen = 0
         thresholds[kind] = 1.01  # nothing is added unless the kept candidates bear it out
         for i, (p, y, c) in enumerate(scored):
@@ -296,7 +301,7 @@ def _spans(df: DataFrame, text: str, detector: Detector) -> DataFrame:
         return F.filter(f"_w_{kind}", good)
 
     df = df.withColumn("_base", F.array_sort(F.concat(*(spans(k, passing(k)) for k in KINDS))))
-    # Strict candidates that failed their check stay out; the wide ones are scored.
+    # Strict candidates that failed their check are known to be none; the wide ones are scored.
     more = F.concat(*(spans(k, chosen(k)) for k in KINDS))
     empty = F.lit(True)
     for k in KINDS:
