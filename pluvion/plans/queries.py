@@ -496,3 +496,45 @@ z AS (SELECT season, cell, (t33 - mu) / sd AS za, (t67 - mu) / sd AS zb FROM m)
 )(lambda spark, sf: out(linear.smoothed_tercile((x := _seasonal(spark, sf))[0], x[1], x[0].over(x[0].df.where("year = 2000").drop("year"), ["season", "member", "cell"])), "season cell", "p_bn p_nn p_an"))  # 11.16
 put("cca_cv")(lambda spark, sf: out(linear.cca_cv(cube.hindcast(spark, sf).mean("member").df.withColumn("model", F.lit("m")), cube.observed(spark, sf)), "year lat lon", "value leverage"))  # 11.6, 11.7
 put("logit_tercile")(lambda spark, sf: out(linear.logit(_index(spark, sf), cube.observed(spark, sf), 0.5, least_years=5), "lat lon", "p_bn p_nn p_an p_value"))  # 11.14
+
+
+# The same operators over all members and all years; the queries above read three members and five seasons.
+_ALL_YEARS = range(1995, 2002)
+_ALL_SKILL = _SKILL | {"m4": 0.3, "m5": 0.2, "m6": 0.0, "m7": -0.1}
+
+
+def _all_models(spark, sf) -> DataFrame:
+    return cube.hindcast(spark, sf).df.select(F.concat(F.lit("m"), F.col("member")).alias("model"), "year", "lat", "lon", "value")
+
+
+def _all_skill(spark) -> DataFrame:
+    return spark.createDataFrame(list(_ALL_SKILL.items()), "model string, skill double")
+
+
+put("ensemble_uniform_all", f"{BASE} SELECT {sel('year lat lon', 'value')} FROM (SELECT year, lat, lon, CASE WHEN count(*) = 7 THEN avg(value) END AS value FROM hind GROUP BY ALL)")(lambda spark, sf: out(ensemble.uniform(_all_models(spark, sf), _K), "year lat lon", "value"))
+put("ensemble_skill_weighted_all", f"{BASE} SELECT {sel('year lat lon', 'value')} FROM (SELECT year, lat, lon, sum(value * CASE member WHEN 1 THEN 0.4 WHEN 2 THEN 0.1 WHEN 4 THEN 0.3 WHEN 5 THEN 0.2 ELSE 0.0 END) AS value FROM hind GROUP BY ALL)")(lambda spark, sf: out(ensemble.skill_weighted(_all_models(spark, sf), _K, _all_skill(spark)), "year lat lon", "value"))
+put("ensemble_drop_worst_all", f"{BASE} SELECT {sel('year lat lon', 'value')} FROM (SELECT year, lat, lon, CASE WHEN count(*) = 6 THEN avg(value) END AS value FROM hind WHERE member <> 3 GROUP BY ALL)")(lambda spark, sf: out(ensemble.drop_worst(_all_models(spark, sf), _K, _all_skill(spark)), "year lat lon", "value"))
+put("ensemble_bma_all")(lambda spark, sf: out(ensemble.bma(_all_models(spark, sf), _K, cube.observed(spark, sf).df.withColumn("value", F.col("value") / 1500.0))[0], "year lat lon", "value"))
+put("pool_ensembles_all", f"{BASE} SELECT {sel('year lat lon member', 'value')} FROM (SELECT year, lat, lon, member - 1 AS member, value FROM hind)")(lambda spark, sf: out(ensemble.pool(_all_models(spark, sf).withColumn("member", F.lit(0)), _K), "year lat lon member", "value"))
+
+
+def _all_seasons(spark, sf, tail: int = 0) -> Cube:
+    return climate.seasonal_stack(cube.daily(spark, sf), "date", (3, 5), list(_ALL_YEARS), tail_days=tail)
+
+
+def _all_timed(spark, sf):
+    s = _all_seasons(spark, sf, 12)
+    first = timing.onset(s, **_ON)
+    return first, timing.cessation(s, first, 5.0, 4, 92)
+
+
+for _m, _f in {
+    "seasonal_stack": lambda spark, sf: out(_all_seasons(spark, sf).df, "nation year step", "value"),
+    "dry_runs": lambda spark, sf: out(timing.dry_runs(_all_seasons(spark, sf), "step", 5.0), "nation year step run"),
+    "rolling_total": lambda spark, sf: out(timing.rolling_total(_all_seasons(spark, sf), "step", 3), "nation year step", "total"),
+    "dry_spell": lambda spark, sf: out(timing.dry_spell(_all_seasons(spark, sf), 5.0, 4), "nation year", "longest count"),
+    "onset": lambda spark, sf: out(_all_timed(spark, sf)[0], "nation year", "step occurred"),
+    "cessation": lambda spark, sf: out(_all_timed(spark, sf)[1], "nation year", "step occurred"),
+    "season_length": lambda spark, sf: out(timing.season_length(*_all_timed(spark, sf), "nation", "year"), "nation year", "length"),
+}.items():
+    put(f"{_m}_all", ORACLES[_m].replace("range(1996, 2001)", "range(1995, 2002)"))(_f)
