@@ -49,6 +49,8 @@ WIDE = {
 }
 #: A text without this string has no strict candidate of the kind.
 _NEEDS = {"email": "@", "phone": "+"}
+#: What a text with a wide address holds: a sign in words, or seven colons where none is doubled.
+_SPELT, _EIGHT = r"(?i)[\[({<]\x20?at\x20?[\])}>]|\x20dot\x20", r"(?:[0-9A-Fa-f]{1,4}:){7}"
 #: Words that announce each kind (fixed values).
 CUES = {
     "email": r"(?i)\b(e-?mail|contact|write|mailto|adresse|correo|courriel)\b",
@@ -110,7 +112,7 @@ def _with_candidates(df: DataFrame, text: str, wide: bool = True) -> DataFrame:
     if wide:
         for kind in KINDS:
             # Few texts have any, so the test comes first.
-            has = F.rlike(F.col(text), F.lit(WIDE[kind])) if kind != "email" else F.rlike(F.col(text), F.lit(r"(?i)[\[({<]\x20?at\x20?[\])}>]|\x20dot\x20"))
+            has = F.contains(F.col(text), F.lit("::")) | F.rlike(F.col(text), F.lit(_EIGHT)) if kind == "ip" else F.rlike(F.col(text), F.lit(_SPELT if kind == "email" else WIDE[kind]))
             m, g = _found(F.col(text), WIDE[kind])
             none = F.array().cast("array<string>")
             df = df.withColumn(f"_h_{kind}", has)
