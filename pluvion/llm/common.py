@@ -31,6 +31,32 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes what ``stored`` wrote for these tables, once nothing reads them any more."""
+    for path in {f.rpartition("/")[0] for t in tables for f in t.inputFiles()}:
+        if path.rpartition("/")[2].startswith("table-"):
+            spark = tables[0].sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def perhaps_in(df: DataFrame, column: str, ids: DataFrame, flag: str | None = None, log_bits: int = 24) -> DataFrame:
+    """The rows of ``df`` whose ``column`` may be among ``ids`` (one column), or all with ``flag``.
+
+    ``ids`` become a bitmap of 2 ** ``log_bits`` bits by hash, so what is broadcast has at most
+    2 ** (log_bits - 6) rows whatever the size of ``ids``. Rows outside need no shuffle; those
+    inside are still to be joined exactly. Nulls are not inside.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << log_bits))
+    at = ids.select(place(F.col(ids.columns[0])).alias("p")).groupBy(F.shiftright("p", 6).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 AS int))")).alias("_bits"))
+    spot = place(F.col(column))
+    both = df.withColumn("_spot", F.when(F.col(column).isNotNull(), spot)).withColumn("_word", F.shiftright("_spot", 6)).join(F.broadcast(at), "_word", "left")
+    inside = F.coalesce(F.expr("shiftright(_bits, cast(_spot & 63 AS int)) & 1") == 1, F.lit(False))
+    if flag is None:
+        return both.where(inside).select(*df.columns)
+    return both.select(*df.columns, inside.alias(flag))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` checkpointed reliably (small intermediate tables)."""
     shared_dir(df.sparkSession)

@@ -5,18 +5,23 @@ meets sets of its own band and of the next one, so it signs for both. Within a b
 Jaccard threshold bounds the size of the symmetric difference by some k. The feature
 domain is hashed into n1 partitions of n2 sub-partitions; each signature is one partition
 without k2 of its sub-partitions. With few enough errors at least ``good`` partitions have
-k2 errors or fewer, so two similar sets share a signature. Signatures that hold no element
-would match anything and are left out; a set with ``good`` or more of them ("bare") could
-miss a partner that way, and signs anew with larger signatures among all such sets.
+k2 errors or fewer, so two similar sets share at least that many signatures.
+
+* Signatures that hold no element would match anything and are left out. ``good`` allows for
+  some; a set with more of them ("bare") signs again with another hash, and so do all bare
+  sets that are like it. Sets that are bare three times share one signature.
+* ``good`` exceeds what is allowed for by ``spare``, so similar sets share more than ``spare``
+  signatures, and each may forget its ``spare`` most frequent ones: of the shared ones the
+  rarest is kept by both. What forgets itself are passages that many documents share.
 
 Plan. Equal sets form one class, known by a 64-bit fingerprint, before anything is joined.
-Each signature has a hub class, and each class is compared with the best of its hubs; links
-give components, and a signature whose members are all in one component is done. Others get
-new hubs, until the pairs across components are few against the signatures (``slack``) or
-hubs stop helping; then signatures with few such pairs have these compared one by one. Classes in signatures with many (documents that share a passage but are
-not alike) sign anew with signatures of several times as many elements, and are resolved by
-those to the end. So every pair that shares a signature is compared, or known to be
-connected, and groups of near copies cost no square.
+Signatures that several classes hold give pairs of a class and the signature's hub. A parity
+sketch of each set bounds the symmetric difference from below and rules most unlike pairs out;
+the others are compared exactly. Links give components, and a signature whose members are all
+in one component is done. Of the rest, those with few pairs between components have these
+compared; those with many take other hubs while that joins components, and then their members
+meet in blocks, which return stars of links and never more pairs than rows. So every pair that
+shares a signature is compared or known to be connected, and groups of copies cost no square.
 
 Defined results: null text counts as empty; a document without words has n_shingles 0 and is
 alone; documents with a null doc_id get a null component and are linked with nothing; rows
@@ -35,11 +40,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pluvion.llm.common import components, cut, stored
+from pluvion.llm.common import components, cut, discard, perhaps_in, stored
 
 _U, _ALL = np.uint64, (1 << 64) - 1
 #: Odd multipliers of the 64-bit mixing function (fixed values).
 _M1, _M2, _STEP = _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB), _U(0x9E3779B97F4A7C15)
+#: Low bits of a signature: spare (4), parity of the band (1), how often the set was bare (2).
+_MARKS, _MOST_SPARE, _TRIES = 7, 15, 3
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -72,32 +79,33 @@ def shingles(text: str | None, width: int) -> np.ndarray:
 
 @lru_cache(maxsize=None)
 def bands(percent: int, upto: int) -> np.ndarray:
-    """First sizes of the bands: each ends with the largest partner of its first size."""
+    """First sizes of the bands; the largest partner of a set lies in its band or the next."""
     starts, low = [], 1
     while low <= upto:
         starts.append(low)
-        low = low * 100 // percent + 1
+        low = (low * 100 // percent) * 100 // percent + 1
     return np.array([*starts, low])
 
 
 @lru_cache(maxsize=None)
-def scheme(k: int, low: int, tier: int) -> tuple[int, int, int, int]:
-    """(n1, n2, k2, good) for sets of ``low`` or more elements of which at most k differ.
+def scheme(k: int, low: int) -> tuple[int, int, int, int, int]:
+    """(n1, n2, k2, good, spare) for sets of ``low`` or more elements of which at most k differ.
 
-    At least ``good`` of the n1 partitions have k2 errors or fewer; ``good`` lies two
-    deviations above the number of partitions in which such a set is expected to have a
-    signature without elements. Tier 0 has few signatures, tier 1 has signatures of many
-    elements.
+    At least ``good`` of the n1 partitions have k2 errors or fewer. ``good`` exceeds ``spare``
+    by three deviations above the number of partitions in which a set of ``low`` elements is
+    expected to have a signature without elements.
     """
-    if k <= (10 if tier else 4):
-        return 1, k + 3, k, 1
-    n2, k2 = (6, 3) if tier else (3, 1) if k <= 20 else (1, 0)
-    need, good = k // (k2 + 1), 1
-    for _ in range(6):
+    if k <= 4:
+        return 1, k + 3, k, 1, 0
+    n2, k2 = (3, 1) if k <= 20 else (1, 0)
+    need = k // (k2 + 1)
+    spare = min(_MOST_SPARE, need // 8 + 1)
+    good = spare + 1
+    for _ in range(8):
         n1 = need + good
         bare = n1 * min(1.0, math.comb(n2, k2) * math.exp(-low * (n2 - k2) / (n1 * n2)))
-        good = max(good, min(math.ceil(bare + 2 * math.sqrt(bare)), need // 4 + 2))
-    return need + good, n2, k2, good
+        good = spare + 1 + min(math.ceil(bare + 3 * math.sqrt(bare)), need // 4 + 2)
+    return need + good, n2, k2, good, spare
 
 
 @lru_cache(maxsize=None)
@@ -109,13 +117,10 @@ def _subsets(n2: int, k2: int) -> np.ndarray:
     return rows
 
 
-def signatures(elements: np.ndarray, percent: int, tier: int = 0) -> tuple[np.ndarray, bool]:
-    """PartEnum signatures of a set of 64-bit elements, of either tier, and whether the set
-    is bare: so many of its signatures hold no element that it may share only such with a
-    similar set (which then is bare as well). Signatures without elements are not returned.
-    """
-    n = len(elements)
-    out, bare = [], False
+def signatures(elements: np.ndarray, percent: int) -> np.ndarray:
+    """PartEnum signatures of a set of 64-bit elements; the lowest four bits tell how many of
+    those that agree in the lowest seven the set may forget."""
+    n, out = len(elements), []
     starts = bands(percent, 1 << max(20, n.bit_length() + 1))
     own = int(np.searchsorted(starts, n, side="right")) - 1
     for band in (own, own + 1) if n else ():
@@ -124,22 +129,55 @@ def signatures(elements: np.ndarray, percent: int, tier: int = 0) -> tuple[np.nd
         k = (100 - percent) * 2 * (int(starts[band + 1]) - 1) // (100 + percent)
         if k == 0:
             continue  # only equal sets link, and those are one class
-        n1, n2, k2, good = scheme(k, -(-percent * int(starts[band]) // 100), tier)
-        salt = _U((2 * band + tier + 1) * int(_STEP) & _ALL)
-        spread = mix(elements ^ salt)
-        cell = (spread % _U(n1 * n2)).astype(np.int64)
-        content = np.zeros(n1 * n2, _U)
-        np.add.at(content, cell, mix(spread + _STEP))
-        filled = np.bincount(cell, minlength=n1 * n2).astype(_U)
-        if n2 > 1:
-            keep = _subsets(n2, k2).T
-            content, filled = content.reshape(n1, n2) @ keep, filled.reshape(n1, n2) @ keep
-        full = (filled > 0).reshape(n1, -1)
-        content = content.reshape(n1, -1)
-        place = np.arange(content.size, dtype=_U).reshape(content.shape)
-        out.append(mix(mix(content[full] + salt) + place[full] * _STEP))
-        bare |= int((~full).any(axis=1).sum()) >= good
-    return (np.unique(np.concatenate(out)) if out else np.zeros(0, _U)), bare
+        n1, n2, k2, good, spare = scheme(k, -(-percent * int(starts[band]) // 100))
+        for turn in range(_TRIES + 1):
+            salt = _U((4 * band + turn + 1) * int(_STEP) & _ALL)
+            if turn == _TRIES:
+                out.append(mix(np.array([salt])) << _U(_MARKS) | _U((band & 1) << 4 | turn << 5))
+                break
+            spread = mix(elements ^ salt)
+            cell = (spread % _U(n1 * n2)).astype(np.int64)
+            content = np.zeros(n1 * n2, _U)
+            np.add.at(content, cell, mix(spread + _STEP))
+            filled = np.bincount(cell, minlength=n1 * n2).astype(_U)
+            if n2 > 1:
+                keep = _subsets(n2, k2).T
+                content, filled = content.reshape(n1, n2) @ keep, filled.reshape(n1, n2) @ keep
+            full = (filled > 0).reshape(n1, -1)
+            content = content.reshape(n1, -1)
+            place = np.arange(content.size, dtype=_U).reshape(content.shape)
+            marks = _U(spare | (band & 1) << 4 | turn << 5)
+            out.append(mix(mix(content[full] + salt) + place[full] * _STEP) << _U(_MARKS) | marks)
+            if int((~full).any(axis=1).sum()) < good - spare:
+                break
+    return np.unique(np.concatenate(out)) if out else np.zeros(0, _U)
+
+
+def sketch(elements: np.ndarray) -> np.ndarray:
+    """One bit for each residue of the elements, by a power of two at least their number: the
+    parity of how many have it. Two sets differ in at least as many elements as their sketches
+    differ in bits, also when the longer sketch is folded to the shorter one's length."""
+    bits = 1 << max(6, (len(elements) - 1).bit_length())
+    odd = np.bincount((mix(elements + _M2) % _U(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(_U)
+
+
+def _folded(s: np.ndarray, words: int) -> np.ndarray:
+    # Residues that agree modulo the shorter length lie that many bits apart.
+    return s if len(s) == words else np.bitwise_xor.reduce(s.reshape(-1, words), axis=0)
+
+
+def most_differing(n: int, m: int, percent: int) -> int:
+    """The largest symmetric difference of two similar sets of these sizes."""
+    return (n + m) * (100 - percent) // (100 + percent)
+
+
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sets, each sorted, reach the threshold."""
+    both = np.concatenate((x, y))
+    both.sort(kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= percent * (len(both) - common)
 
 
 def _prints(elements: np.ndarray) -> tuple[int, int]:
@@ -148,29 +186,23 @@ def _prints(elements: np.ndarray) -> tuple[int, int]:
 
 
 def _printed(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles and the two fingerprints of the set (0 for an empty set)."""
+    """doc_id, a hash of the text, n_shingles and the two fingerprints of the set (0 for an empty set)."""
     def run(batches):
         for batch in batches:
             n, f1, f2 = [], [], []
-            for t in batch.column(1).to_pylist():
+            for t in batch.column(2).to_pylist():
                 s = shingles(t, width)
                 p = _prints(s) if len(s) else (0, 0)
                 n.append(len(s))
                 f1.append(p[0])
                 f2.append(p[1])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64())], names=["doc_id", "n_shingles", "f1", "f2"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64())], names=["doc_id", "said", "n_shingles", "f1", "f2"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long")
-
-
-def _rows(sigs: list[np.ndarray], nodes: list[int]) -> pa.RecordBatch:
-    sizes = [len(x) for x in sigs]
-    flat = np.concatenate(sigs).view(np.int64) if sigs else np.zeros(0, np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(np.array(nodes, np.int64), sizes))], names=["sig", "node"])
+    return docs.select("doc_id", F.xxhash64("text").alias("said"), "text").mapInArrow(run, "doc_id long, said long, n_shingles long, f1 long, f2 long")
 
 
 def _signed(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(sig, node) of every set; a bare set also has the row sig 0."""
+    """(sig, node) of every set."""
     def run(batches):
         seen: set[int] = set()  # spares a task most of its copies; others meet after the shuffle
         for batch in batches:
@@ -186,78 +218,99 @@ def _signed(docs: DataFrame, width: int, percent: int) -> DataFrame:
                         continue
                     if len(seen) < 200_000:
                         seen.add(node)
-                    own, bare = signatures(s, percent)
-                    sigs.append(np.append(own, _U(0)) if bare else own)
+                    sigs.append(signatures(s, percent))
                     nodes.append(node)
-                yield _rows(sigs, nodes)
+                flat = np.concatenate(sigs).view(np.int64) if sigs else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(np.array(nodes, np.int64), [len(x) for x in sigs]))], names=["sig", "node"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "sig long, node long")
 
-    return docs.mapInArrow(run, "sig long, node long")
+
+def _candidates(signed: DataFrame) -> DataFrame:
+    """(sig, node, hub) of the signatures that several nodes hold and do not forget.
+
+    The hub is the member of the smallest hash, so that signatures of one group mostly have
+    the same hub.
+    """
+    over = W.partitionBy("sig")
+    rows = signed.select("sig", "node", F.min("node").over(over).alias("lo"), F.max("node").over(over).alias("hi"), F.count("*").over(over).alias("n"))
+    several = rows.where("lo <> hi").groupBy("sig", "node").agg(F.first("n").alias("n"))
+    rank = F.row_number().over(W.partitionBy("node", F.expr(f"sig & {(1 << _MARKS) - 1}")).orderBy(F.desc("n"), "sig"))
+    kept = several.withColumn("rank", rank).where(f"rank > (sig & {_MOST_SPARE})")
+    hub = F.min(F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("hub"))).over(over)
+    return kept.select("sig", "node", F.count("*").over(over).alias("n"), hub.alias("h")).where("n > 1").select("sig", "node", "h.hub")
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """Each document's node and its set, as the bytes of sorted 64-bit hashes."""
+    """Each document's node with the size, sketch and sorted elements of its set."""
     def run(batches):
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for at in range(0, len(texts), 200):
-                found = [shingles(t, width) for t in texts[at : at + 200]]
-                yield pa.RecordBatch.from_arrays([pa.array([_prints(s)[0] for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["node", "elements"])
+                found = [s for s in (shingles(t, width) for t in texts[at : at + 200]) if len(s)]
+                columns = [pa.array([_prints(s)[0] for s in found], pa.int64()), pa.array(list(map(len, found)), pa.int64()), pa.array([sketch(s).tobytes() for s in found], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["node", "n", "sketch", "elements"])
 
-    return docs.mapInArrow(run, "node long, elements binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "node long, n long, sketch binary, elements binary")
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b), those whose sets reach the threshold."""
+def _not_ruled_out(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (a, b), those that sizes and sketches leave possible."""
     def run(batches):
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            for n, m, x, y in zip(*(batch.column(i).to_pylist() for i in range(2, 6))):
                 x, y = np.frombuffer(x, _U), np.frombuffer(y, _U)
-                both = np.concatenate((x, y))
-                both.sort(kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * common >= percent * (len(both) - common))
+                words = min(len(x), len(y))
+                keep.append(int(np.bitwise_count(_folded(x, words) ^ _folded(y, words)).sum()) <= most_differing(n, m, percent))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    one = pairs.join(sets.select(F.col("node").alias("a"), F.col("elements").alias("x")), "a")
-    two = one.join(sets.select(F.col("node").alias("b"), F.col("elements").alias("y")), "b").select("a", "b", "x", "y")
-    # Sizes alone rule many pairs out before any bytes reach Python.
-    size = lambda c: F.octet_length(c)
-    return two.where(F.least(size("x"), size("y")) * 100 >= F.greatest(size("x"), size("y")) * percent).mapInArrow(run, "a long, b long")
+    side = lambda k, n, s: sets.select(F.col("node").alias(k), F.col("n").alias(n), F.col("sketch").alias(s))
+    both = pairs.join(side("a", "n", "x"), "a").join(side("b", "m", "y"), "b").select("a", "b", "n", "m", "x", "y")
+    return both.where(F.least("n", "m") * 100 >= F.greatest("n", "m") * percent).mapInArrow(run, "a long, b long")
 
 
-def _resigned(sets: DataFrame, percent: int) -> DataFrame:
-    """(sig, node) of tier 1 for (node, elements); bare sets share the signature 0."""
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (a, b), those whose sets reach the threshold."""
     def run(batches):
         for batch in batches:
-            nodes, elements = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for at in range(0, len(elements), 100):
-                sigs = []
-                for e in elements[at : at + 100]:
-                    own, bare = signatures(np.frombuffer(e, _U), percent, 1)
-                    sigs.append(np.append(own, _U(0)) if bare else own)
-                yield _rows(sigs, nodes[at : at + 100])
+            keep = [similar(np.frombuffer(x, _U), np.frombuffer(y, _U), percent) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return sets.select("node", "elements").mapInArrow(run, "sig long, node long")
+    one = pairs.join(sets.select(F.col("node").alias("a"), F.col("elements").alias("x")), "a")
+    return one.join(sets.select(F.col("node").alias("b"), F.col("elements").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _shared(signed: DataFrame) -> DataFrame:
-    """(sig, node, hub) of the signatures that more than one node has, each row once.
+def _in_blocks(rows: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
+    """Pairs (a, b) that tie what is similar among the (sig, node, component) of each signature.
 
-    The hub is the member of the smallest hash, so that signatures of one group mostly have
-    the same hub. A window over the signature: one shuffle, no join.
+    Members are dealt to blocks of about ``block``, and blocks meet pairwise, each pair of
+    blocks in a group of its own; what is in one component already is not compared.
     """
-    place = F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("n"))
-    over = W.partitionBy("sig")
-    rows = signed.select("sig", "node", F.min(place).over(over).alias("lo"), F.max(place).over(over).alias("hi"))
-    several = rows.where("lo.n <> hi.n").select("sig", "node", F.col("lo.n").alias("hub"))
-    return stored(several.groupBy("sig", "node").agg(F.first("hub").alias("hub")))
-
-
-def _nearest_hub(rows: DataFrame) -> DataFrame:
-    """One pair per node of (node, hub): its hub of the smallest hash."""
-    best = rows.where("node <> hub").groupBy("node").agg(F.min(F.struct(F.xxhash64("hub").alias("h"), F.col("hub").alias("n"))).alias("b"))
-    return best.select(F.least("node", "b.n").alias("a"), F.greatest("node", "b.n").alias("b")).distinct()
+    sizes = rows.groupBy("sig").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
+    dealt = rows.join(sizes, "sig").withColumn("own", F.pmod(F.xxhash64("node", "sig"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    sides = dealt.select("sig", "node", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).join(sets, "node")
+
+    def compare(key, table):
+        own, node, label = table.column("own").to_numpy(), table.column("node").to_numpy(), table.column("component").to_numpy().copy()
+        size, sets_ = table.column("n").to_numpy(), [np.frombuffer(e, _U) for e in table.column("elements").to_pylist()]
+        short = [np.frombuffer(s, _U) for s in table.column("sketch").to_pylist()]
+        words = min(map(len, short))
+        flat = np.stack([_folded(s, words) for s in short])
+        i, j = (k.as_py() for k in key[1:])
+        a, b = [], []
+        rights = np.flatnonzero(own == j)
+        for x in np.flatnonzero(own == i):
+            apart = rights[label[rights] != label[x]]
+            bits = np.bitwise_count(flat[apart] ^ flat[x]).sum(axis=1)
+            for y in apart[bits <= (size[apart] + size[x]) * (100 - percent) // (100 + percent)]:
+                if label[x] != label[y] and similar(sets_[x], sets_[y], percent):
+                    a.append(min(node[x], node[y]))
+                    b.append(max(node[x], node[y]))
+                    label[label == label[y]] = label[x]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return sides.groupBy("sig", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
 class _Links:
@@ -266,97 +319,117 @@ class _Links:
     def __init__(self, sets: DataFrame, percent: int):
         self.sets, self.percent, self.edges, self.labels = sets, percent, None, None
 
-    def labelled(self, rows: DataFrame, *columns: str) -> DataFrame:
-        """Rows with their node's component. Labels ride along as rows of their own in a window
-        over the node, which is one shuffle and holds no more than a node's rows at a time."""
+    def labelled(self, rows: DataFrame) -> DataFrame:
+        """Rows with their node's component."""
+        if self.labels is None:
+            return rows.withColumn("component", F.col("node"))
+        return rows.join(self.labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+    def add(self, found: DataFrame) -> None:
+        new = cut(found)
+        if not new.isEmpty():
+            self.edges = new if self.edges is None else self.edges.unionByName(new)
+            self.labels = components(self.edges)
+
+    def apart(self, pairs: DataFrame) -> DataFrame:
+        """Of pairs (a, b), those in different components."""
         if self.labels is None:
-            return rows.select(*columns, "node", F.col("node").alias("component"))
-        marks = self.labels.select(*(F.lit(None).cast(dict(rows.dtypes)[c]).alias(c) for c in columns), "node", "component", F.lit(True).alias("_mark"))
-        both = rows.select(*columns, "node", F.lit(None).cast("long").alias("component"), F.lit(False).alias("_mark")).unionByName(marks)
-        known = both.withColumn("component", F.coalesce(F.max("component").over(W.partitionBy("node")), "node"))
-        return known.where("NOT _mark").drop("_mark")
+            return pairs
+        of = lambda k: self.labels.select(F.col("node").alias(k), F.col("component").alias(f"c{k}"))
+        known = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+        return known.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
     def compare(self, pairs: DataFrame) -> None:
-        new = cut(_linked(pairs, self.sets, self.percent))
-        if new.isEmpty():
-            return
-        self.edges = new if self.edges is None else self.edges.unionByName(new)
-        self.labels = components(self.edges)
+        self.add(_linked(_not_ruled_out(pairs, self.sets, self.percent), self.sets, self.percent))
 
     def still_open(self, rows: DataFrame) -> DataFrame:
-        """(sig, node, component, n, pairs) of signatures whose members are in several components;
-        n counts its members, and pairs those in different components."""
-        known = self.labelled(rows, "sig")
+        """(sig, node, component, n, pairs, largest) of signatures whose members are in several
+        components: how many members and pairs between components, and the largest component."""
+        known = self.labelled(rows.select("sig", "node"))
         size = F.col("n").cast("double")
-        sums = known.groupBy("sig", "component").agg(F.count("*").alias("n")).groupBy("sig").agg(F.count("*").alias("k"), F.sum(size).alias("n"), F.sum(size * size).alias("s"))
-        mixed = sums.where("k > 1").select("sig", "n", ((F.col("n") * F.col("n") - F.col("s")) / 2).alias("pairs"))
-        return cut(known.join(mixed, "sig"))
-
-    def resolve(self, members: DataFrame, hub_rounds: int, slack: float, exact: bool) -> DataFrame | None:
-        """Links every similar pair that shares a signature of ``members``.
-
-        Without ``exact``, signatures that still have more than ``8 n`` pairs are left after
-        ``hub_rounds``, and their nodes are returned.
-        """
-        total = members.count()
-        if not total:
-            return None
-        self.compare(_nearest_hub(members))
-        rows, before = members, math.inf
-        for turn in range(1, hub_rounds + 1):
-            rows = self.still_open(rows)
-            work = rows.select("sig", "pairs").distinct().agg(F.sum("pairs")).first()[0]
-            if not work:
-                return None
-            stalled = not exact and work > 0.7 * before  # members are mostly not alike: hubs join no more of them
-            if work <= slack * total or turn == hub_rounds or stalled:
-                break
+        sums = known.groupBy("sig", "component").agg(F.count("*").alias("n")).groupBy("sig").agg(F.count("*").alias("k"), F.sum(size).alias("n"), F.sum(size * size).alias("s"), F.max_by("component", F.struct("n", "component")).alias("largest"))
+        return cut(known.join(sums.where("k > 1").select("sig", "n", ((F.col("n") * F.col("n") - F.col("s")) / 2).alias("pairs"), "largest"), "sig").select("sig", "node", "component", "n", "pairs", "largest"))
+
+    def resolve(self, members: DataFrame, hub_rounds: int, few: int, block: int) -> None:
+        """Links every similar pair that shares a signature of the (sig, node, hub)."""
+        pairs = members.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+        near = cut(_not_ruled_out(pairs, self.sets, self.percent))
+        best = near.groupBy("a").agg(F.min_by("b", F.xxhash64("b")).alias("b"))
+        self.add(_linked(best, self.sets, self.percent))
+        self.add(_linked(self.apart(near), self.sets, self.percent))
+        rows, before, heavy = self.still_open(members), math.inf, F.col("pairs") > few * F.col("n")
+        for turn in range(hub_rounds):
+            work = rows.where(heavy).select("sig", "pairs").distinct().agg(F.sum("pairs")).first()[0] or 0
+            if not work or work > 0.7 * before:
+                break  # nothing to do, or members are mostly not alike: hubs join no more of them
             before = work
-            hub = rows.groupBy("sig").agg(F.min_by(F.struct(F.col("node").alias("hub"), F.col("component").alias("theirs")), F.xxhash64("node", F.lit(turn))).alias("h"))
-            self.compare(_nearest_hub(rows.join(hub.select("sig", "h.*"), "sig").where("component <> theirs")))
-        heavy = F.lit(False) if exact or work <= slack * total else F.col("pairs") > 8 * F.col("n")
+            hub = rows.where(heavy).groupBy("sig").agg(F.min_by(F.struct(F.col("node").alias("b"), F.col("component").alias("cb")), F.xxhash64("node", F.lit(turn))).alias("h"))
+            self.compare(rows.withColumnRenamed("node", "a").join(hub.select("sig", "h.*"), "sig").where("component <> cb").select("a", "b").distinct())
+            rows = self.still_open(rows)
         light = rows.where(~heavy)
         other = light.select("sig", F.col("node").alias("b"), F.col("component").alias("cb"))
-        self.compare(light.withColumnRenamed("node", "a").join(other, "sig").where("a < b AND component <> cb").select("a", "b").distinct())
-        left = rows.where(heavy).select("node").distinct()
-        return None if exact or left.isEmpty() else left
+        pairs = light.where("component <> largest").withColumnRenamed("node", "a").join(other, "sig").where("component <> cb")
+        self.compare(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        rows = self.still_open(rows.where(heavy))
+        if not rows.isEmpty():
+            self.add(_in_blocks(rows.select("sig", "node", "component"), self.sets, self.percent, block))
 
 
-def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", hub_rounds: int = 6, slack: float = 4.0) -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest doc_id that links reach) per row.
+def _placed(df: DataFrame, width: int, percent: int, id_col: str, text_col: str, hub_rounds: int = 6, few: int = 8, block: int = 256) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, said, n_shingles, component_id) per row with an id and words, and (doc_id, said, n_shingles) of the rest.
 
-    Documents link when 100 x intersection >= ``percent`` x union of their shingle sets.
-    ``hub_rounds`` and ``slack`` only tell how the work is divided, not what is found.
+    ``few`` (pairs a member) and ``block`` only tell how the work is divided, not what is found.
     """
     docs = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text"))
     printed = stored(_printed(docs, width))
     keyed = printed.where("doc_id IS NOT NULL AND n_shingles > 0")
     classes = keyed.groupBy("n_shingles", F.col("f1").alias("node"), "f2").agg(F.min("doc_id").alias("first_id"))
-    signed = _signed(docs.where("doc_id IS NOT NULL"), width, percent)
-    members = _shared(signed)
-    bare = cut(members.where("sig = 0").select("node").distinct())
-    members = members.where("sig <> 0")
-    wanted = members.select("node").unionByName(bare).distinct().join(classes, "node").select(F.col("first_id").alias("doc_id")).distinct()
-    sets = stored(_sets(docs.join(wanted, "doc_id", "left_semi"), width).where(F.octet_length("elements") > 0))
+    members = stored(_candidates(_signed(docs.where("doc_id IS NOT NULL"), width, percent)))
+    wanted = cut(members.select("node").distinct().join(classes, "node").select(F.col("first_id").alias("doc_id")).distinct())
+    asked = perhaps_in(docs.where("doc_id IS NOT NULL"), "doc_id", wanted).join(wanted, "doc_id", "left_semi")
+    sets = stored(_sets(asked.dropDuplicates(["doc_id", "text"]), width))
     links = _Links(sets, percent)
-    left = links.resolve(members, hub_rounds, slack, exact=False)
-    left = bare if left is None else left.unionByName(bare).distinct()
-    if not left.isEmpty():
-        links.resolve(_shared(_resigned(sets.join(left, "node", "left_semi"), percent)), hub_rounds, slack, exact=True)
-    placed = links.labelled(classes, "n_shingles", "f2", "first_id")
-    firsts = placed.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    by_class = placed.join(firsts, "component").select("n_shingles", F.col("node").alias("f1"), "f2", "component_id")
-    found = keyed.join(by_class, ["n_shingles", "f1", "f2"]).select("doc_id", "n_shingles", "component_id")
-    alone = printed.where("NOT (doc_id IS NOT NULL AND n_shingles > 0)").select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).alias("component_id"))
-    return found.unionByName(alone)
+    links.resolve(members, hub_rounds, few, block)
+    discard(members, sets)
+    known = links.labelled(classes)
+    firsts = known.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    by_class = known.join(firsts, "component").select("n_shingles", F.col("node").alias("f1"), "f2", "component_id")
+    found = keyed.join(by_class, ["n_shingles", "f1", "f2"]).select("doc_id", "said", "n_shingles", "component_id")
+    return found, printed.where("NOT (doc_id IS NOT NULL AND n_shingles > 0)").select("doc_id", "said", "n_shingles")
+
+
+def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles and component_id (the smallest doc_id that links reach) per row.
+
+    Documents link when 100 x intersection >= ``percent`` x union of their shingle sets.
+    """
+    found, rest = _placed(df, width, percent, id_col, text_col)
+    alone = rest.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).alias("component_id"))
+    return found.select("doc_id", "n_shingles", "component_id").unionByName(alone)
 
 
 def one_per_group(df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` with one row of each group of near duplicates: that of the smallest id.
 
-    Rows that repeat both id and text stay once; rows without an id all stay.
+    Rows that repeat both id and text stay once; of several texts with one id that are in one
+    group, one stays; rows without an id all stay. Most rows are known to stay by a bitmap of
+    the others' ids and are not shuffled.
     """
-    groups = near_duplicates(df, width, percent, id_col, text_col)
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = df.where(F.col(id_col).isNotNull()).join(gone, F.col(id_col) == F.col("_gone"), "left_anti").dropDuplicates([id_col, text_col])
-    return kept.unionByName(df.where(F.col(id_col).isNull()))
+    found, rest = _placed(df, width, percent, id_col, text_col)
+    first = W.partitionBy("component_id")
+    texts = found.select("doc_id", "said", "component_id").unionByName(rest.where("doc_id IS NOT NULL").select("doc_id", "said", F.lit(None).cast("long").alias("component_id")))
+    once = texts.groupBy("doc_id", "said", "component_id").agg(F.count("*").alias("rows"))
+    lead = once.where("component_id = doc_id").groupBy("component_id").agg(F.min("said").alias("lead"))
+    judged = once.join(lead, "component_id", "left")
+    stays = F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id")) & (F.col("said") == F.col("lead"))
+    doubtful = cut(judged.where(~stays | (F.col("rows") > 1)).select("doc_id", "said", stays.alias("stays")))
+    key, flag = "row", "in_doubt"
+    rows = df.select(F.struct("*").alias(key), df[id_col].cast("long").alias("doc_id"), F.xxhash64(df[text_col]).alias("said"))
+    marked = perhaps_in(rows, "doc_id", doubtful.select("doc_id"), flag)
+    sure = marked.where(~F.col(flag)).select(key)
+    gone = doubtful.where("NOT stays").select("doc_id", "said")
+    left = marked.where(flag).join(gone, ["doc_id", "said"], "left_anti")
+    again = doubtful.where("stays").select("doc_id", "said")
+    single = left.join(again, ["doc_id", "said"], "left_anti").select(key)
+    repeated = left.join(again, ["doc_id", "said"], "left_semi").groupBy("doc_id", "said").agg(F.min_by(key, F.xxhash64(key)).alias(key)).select(key)
+    return sure.unionByName(single).unionByName(repeated).select(f"{key}.*")
