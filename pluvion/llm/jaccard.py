@@ -19,9 +19,9 @@ Signatures that several classes hold give pairs of a class and the signature's h
 sketch of each set bounds the symmetric difference from below and rules most unlike pairs out;
 the others are compared exactly. Links give components, and a signature whose members are all
 in one component is done. Of the rest, those with few pairs between components have these
-compared; those with many take other hubs while that joins components, and then their members
-meet in blocks, which return stars of links and never more pairs than rows. So every pair that
-shares a signature is compared or known to be connected, and groups of copies cost no square.
+compared; those with many take other hubs while that joins components, and then the sketches of
+their members meet in blocks, which return the pairs that are left. So every pair that shares a
+signature is compared, ruled out, or known to be connected; groups of copies cost no square.
 
 Defined results: null text counts as empty; a document without words has n_shingles 0 and is
 alone; documents with a null doc_id get a null component and are linked with nothing; rows
@@ -52,10 +52,17 @@ _MARKS, _MOST_SPARE, _TRIES = 7, 15, 3
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every bit."""
     x = x ^ (x >> _U(30))
-    x = x * _M1
-    x = x ^ (x >> _U(27))
-    x = x * _M2
-    return x ^ (x >> _U(31))
+    x *= _M1
+    x ^= x >> _U(27)
+    x *= _M2
+    x ^= x >> _U(31)
+    return x
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values (of arrays this small, by sorting faster than by hashing)."""
+    x = np.sort(x)
+    return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
 
 
 def shingles(text: str | None, width: int) -> np.ndarray:
@@ -73,8 +80,9 @@ def shingles(text: str | None, width: int) -> np.ndarray:
     width = min(width, len(words))
     out = np.full(len(h) - width + 1, width, _U)
     for i in range(width):
-        out = mix(out + _STEP) ^ h[i : len(h) - width + 1 + i]
-    return np.unique(mix(out))
+        out *= _M1
+        out += h[i : len(h) - width + 1 + i]
+    return _distinct(mix(out))
 
 
 @lru_cache(maxsize=None)
@@ -136,7 +144,7 @@ def signatures(elements: np.ndarray, percent: int) -> np.ndarray:
                 out.append(mix(np.array([salt])) << _U(_MARKS) | _U((band & 1) << 4 | turn << 5))
                 break
             spread = mix(elements ^ salt)
-            cell = (spread % _U(n1 * n2)).astype(np.int64)
+            cell = ((spread >> _U(32)) * _U(n1 * n2) >> _U(32)).astype(np.int64)
             content = np.zeros(n1 * n2, _U)
             np.add.at(content, cell, mix(spread + _STEP))
             filled = np.bincount(cell, minlength=n1 * n2).astype(_U)
@@ -150,14 +158,14 @@ def signatures(elements: np.ndarray, percent: int) -> np.ndarray:
             out.append(mix(mix(content[full] + salt) + place[full] * _STEP) << _U(_MARKS) | marks)
             if int((~full).any(axis=1).sum()) < good - spare:
                 break
-    return np.unique(np.concatenate(out)) if out else np.zeros(0, _U)
+    return np.concatenate(out) if out else np.zeros(0, _U)
 
 
 def sketch(elements: np.ndarray) -> np.ndarray:
-    """One bit for each residue of the elements, by a power of two at least their number: the
-    parity of how many have it. Two sets differ in at least as many elements as their sketches
+    """One bit for each residue of the elements, by a power of two at least twice their number:
+    the parity of how many have it. Two sets differ in at least as many elements as their sketches
     differ in bits, also when the longer sketch is folded to the shorter one's length."""
-    bits = 1 << max(6, (len(elements) - 1).bit_length())
+    bits = 1 << max(6, (2 * len(elements) - 1).bit_length())
     odd = np.bincount((mix(elements + _M2) % _U(bits)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(_U)
 
@@ -181,8 +189,8 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 
 def _prints(elements: np.ndarray) -> tuple[int, int]:
-    """Two signed 64-bit fingerprints of a set, both sums of mixed elements."""
-    return int(np.add.reduce(mix(elements ^ _M1)).view(np.int64)), int(np.add.reduce(mix(elements ^ _M2)).view(np.int64))
+    """Two signed 64-bit fingerprints of a set: sums of its elements, which are hashes, and of the same mixed once more."""
+    return int(np.add.reduce(mix(elements ^ _M1)).view(np.int64)), int(np.add.reduce(elements).view(np.int64))
 
 
 def _printed(docs: DataFrame, width: int) -> DataFrame:
@@ -282,33 +290,33 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _in_blocks(rows: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
-    """Pairs (a, b) that tie what is similar among the (sig, node, component) of each signature.
+    """Pairs (a, b) of different components that sketches leave possible, among the
+    (sig, node, component) of each signature.
 
     Members are dealt to blocks of about ``block``, and blocks meet pairwise, each pair of
-    blocks in a group of its own; what is in one component already is not compared.
+    blocks in a group of its own that holds sketches only.
     """
     sizes = rows.groupBy("sig").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
     dealt = rows.join(sizes, "sig").withColumn("own", F.pmod(F.xxhash64("node", "sig"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    sides = dealt.select("sig", "node", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).join(sets, "node")
+    short = sets.select("node", "n", "sketch")
+    sides = dealt.select("sig", "node", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).join(short, "node")
 
     def compare(key, table):
-        own, node, label = table.column("own").to_numpy(), table.column("node").to_numpy(), table.column("component").to_numpy().copy()
-        size, sets_ = table.column("n").to_numpy(), [np.frombuffer(e, _U) for e in table.column("elements").to_pylist()]
-        short = [np.frombuffer(s, _U) for s in table.column("sketch").to_pylist()]
-        words = min(map(len, short))
-        flat = np.stack([_folded(s, words) for s in short])
+        own, node, label, size = (table.column(c).to_numpy() for c in ("own", "node", "component", "n"))
+        each = [np.frombuffer(s, _U) for s in table.column("sketch").to_pylist()]
+        words = min(map(len, each))
+        flat = np.stack([_folded(s, words) for s in each])
         i, j = (k.as_py() for k in key[1:])
         a, b = [], []
         rights = np.flatnonzero(own == j)
         for x in np.flatnonzero(own == i):
-            apart = rights[label[rights] != label[x]]
+            apart = rights[(label[rights] != label[x]) & ((rights > x) | (i != j))]
             bits = np.bitwise_count(flat[apart] ^ flat[x]).sum(axis=1)
-            for y in apart[bits <= (size[apart] + size[x]) * (100 - percent) // (100 + percent)]:
-                if label[x] != label[y] and similar(sets_[x], sets_[y], percent):
-                    a.append(min(node[x], node[y]))
-                    b.append(max(node[x], node[y]))
-                    label[label == label[y]] = label[x]
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+            near = node[apart[bits <= most_differing(size[apart], size[x], percent)]]
+            a.append(np.minimum(near, node[x]))
+            b.append(np.maximum(near, node[x]))
+        both = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in (a, b)]
+        return pa.table({"a": pa.array(both[0], pa.int64()), "b": pa.array(both[1], pa.int64())})
 
     return sides.groupBy("sig", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
@@ -372,10 +380,10 @@ class _Links:
         self.compare(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         rows = self.still_open(rows.where(heavy))
         if not rows.isEmpty():
-            self.add(_in_blocks(rows.select("sig", "node", "component"), self.sets, self.percent, block))
+            self.add(_linked(_in_blocks(rows.select("sig", "node", "component"), self.sets, self.percent, block), self.sets, self.percent))
 
 
-def _placed(df: DataFrame, width: int, percent: int, id_col: str, text_col: str, hub_rounds: int = 6, few: int = 8, block: int = 256) -> tuple[DataFrame, DataFrame]:
+def _placed(df: DataFrame, width: int, percent: int, id_col: str, text_col: str, hub_rounds: int = 6, few: int = 8, block: int = 1024) -> tuple[DataFrame, DataFrame]:
     """(doc_id, said, n_shingles, component_id) per row with an id and words, and (doc_id, said, n_shingles) of the rest.
 
     ``few`` (pairs a member) and ``block`` only tell how the work is divided, not what is found.
