@@ -4,11 +4,13 @@
    numbers; wide patterns propose obfuscated or differently grouped forms. Spans overlap.
 2. A strict candidate that passes its check (part range, digit count, Luhn) is a base span
    and always stays.
-3. Boosted trees score the other candidates from format and context features. They learn on
-   the strict candidates of a bounded, hash-chosen set of documents (``train_docs``), labelled
-   by their checks; the features leave the checks out, so what is learnt carries over to forms
-   that have none. The training data are counts by feature vector, grouped in Spark; their
-   number is bounded by the features' bins, and the trees become Column expressions.
+3. Boosted trees score the wide candidates from format and context features. They learn on a
+   bounded, hash-chosen set of documents (``train_docs``): base spans, rewritten into the wide
+   formats and left in their context, are the positives; what looks alike is not (base spans
+   with a digit changed or digits missing, numbers that fail their check, prose around the word
+   "at"), rewritten into the same formats. The training data are counts by feature vector,
+   grouped in Spark; their number is bounded by the features' bins, and the trees become Column
+   expressions.
 4. Scores are calibrated (Platt scaling on all documents that the trees did not see) and a
    threshold per kind is the lowest at which those candidates of that kind reach ``precision``;
    a kind that has none there takes the threshold of all kinds together.
@@ -45,7 +47,7 @@ WIDE = {
     r"|\x20at\x20[A-Za-z0-9-]++(?:\x20dot\x20[A-Za-z0-9-]+)*?\x20dot\x20(?:com|org|net|edu|gov|info|io|de|fr|es|uk|eu)(?![A-Za-z0-9-]))",
     "ip": r"(?<![0-9A-Za-z:.])(?=[A-Fa-f:]{0,40}[0-9])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}|::[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6}|(?:[0-9A-Fa-f]{1,4}:){1,7}:)(?![0-9A-Za-z:])",
     "card": r"(?<![0-9._-])(?:[0-9]{4}([._/])[0-9]{4}\1[0-9]{4}\1[0-9]{2,7}|[0-9]{4}([._/])[0-9]{6}\2[0-9]{5})(?![0-9])",
-    "phone": r"(?<![0-9+.)-])(?:(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20./-])[0-9]{3}[\x20./-][0-9]{4}|00[1-9][0-9]{0,2}(?:[\x20.-][0-9]{1,4}){3,5}|0[1-9](?:[\x20.-][0-9]{2}){4})(?![0-9])",
+    "phone": r"(?<![0-9+.)-])(?:(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20./-])[0-9]{3}[\x20./-][0-9]{4}|00[1-9][0-9]{0,2}(?:[\x20.-][0-9]{1,4}){3,5}|0[1-9](?:[\x20.-][0-9]{2}){4}|[0-9]{2,4}[./-][0-9]{2}[./-][0-9]{2,4}|[0-9]{3}[\x20./-][0-9]{4})(?![0-9])",
 }
 #: A text without this string has no strict candidate of the kind.
 _NEEDS = {"email": "@", "phone": "+"}
@@ -58,7 +60,9 @@ CUES = {
     "card": r"(?i)\b(card|visa|credit|pay|payment|karte|carte|tarjeta)\b",
     "phone": r"(?i)\b(phone|tel|call|mobile|fax|cell|telefon|telephone|movil)\b",
 }
-FEATURES = ("kind", "digits", "length", "separator", "groups", "cue", "left", "right")
+#: Prose that could be taken for a spelt address, and endings of addresses (fixed values).
+_PROSE, _ENDING = r"\b[A-Za-z]+ at [A-Za-z]+ [A-Za-z]+", r"(?i)\b(com|org|net|edu|gov|info|io|de|fr|es|uk|eu)$"
+FEATURES = ("kind", "digits", "length", "separator", "groups", "cue", "left", "right", "form")
 _CONTEXT = 32
 
 
@@ -122,7 +126,7 @@ def _with_candidates(df: DataFrame, text: str, wide: bool = True) -> DataFrame:
 
 
 def _features(kind: str, c: Column) -> Column:
-    """Small whole numbers that describe a candidate: format, then context; no checks."""
+    """Small whole numbers that describe a candidate: format, context, and whether its form is that of the kind."""
     s = c["s"]
     n, length = F.char_length(_digits(s)), F.char_length(s)
     before = F.right(c["left"], F.lit(1))
@@ -136,9 +140,64 @@ def _features(kind: str, c: Column) -> Column:
         F.rlike(c["left"], F.lit(CUES[kind])).cast("int").alias("cue"),
         side(before).alias("left"),
         side(c["right"]).alias("right"),
+        _formed(kind, s).cast("int").alias("form"),
     )
 
 
+def _formed(kind: str, s: Column) -> Column:
+    """Of a wide candidate: an ending of addresses, three groups or more, a card's check digit, a phone's number of digits."""
+    if kind == "email":
+        return F.rlike(s, F.lit(_ENDING))
+    if kind == "ip":
+        return F.size(F.filter(F.split(s, ":"), lambda g: g != "")) >= 3
+    return _passes(kind, s)
+
+
+def _grouped(d: Column, *sizes: int) -> list[Column]:
+    """The digits cut into groups; what is left joins the last one."""
+    ends = [sum(sizes[: i + 1]) for i in range(len(sizes))]
+    return [F.substr(d, F.lit(e - n + 1), F.lit(n if e < ends[-1] else 99)) for n, e in zip(sizes, ends)]
+
+
+def _one_of(seed: Column, *forms: Column) -> Column:
+    return F.element_at(F.array(*forms), (F.pmod(F.xxhash64(seed), F.lit(len(forms))) + 1).cast("int"))
+
+
+def _rewritten(kind: str, s: Column) -> Column:
+    """A strict span in one of the wide formats."""
+    if kind == "email":
+        user, host = F.regexp_extract(s, "^([^@]+)@", 1), F.regexp_extract(s, "@(.+)$", 1)
+        return _one_of(s, F.concat(user, F.lit(" (at) "), F.replace(host, F.lit("."), F.lit(" (dot) "))), F.concat(user, F.lit("[at]"), host), F.concat(user, F.lit(" at "), F.replace(host, F.lit("."), F.lit(" dot "))))
+    if kind == "ip":
+        part = [F.lower(F.conv(F.element_at(F.split(s, r"\."), i), 10, 16)) for i in range(1, 5)]
+        start = lambda *x: F.concat_ws(":", *map(F.lit, x), *part)
+        return _one_of(s, start("2001", "db8", "0", "0"), start("2001", "db8:"), start("fe80:"))
+    if kind == "card":
+        return F.concat_ws("", *_interleaved(_grouped(_digits(s), 4, 4, 4, 4), _one_of(s, *map(F.lit, "._/"))))
+    d = _digits(s)
+    a, b, c = _grouped(F.right(d, F.lit(10)), 3, 3, 4)
+    code = F.concat(F.lit("00"), F.left(d, F.greatest(F.char_length(d) - 10, F.lit(1))))
+    return _one_of(s, F.concat_ws(" ", code, a, b, c), F.concat(F.lit("("), a, F.lit(") "), b, F.lit("-"), c), F.concat_ws("-", a, b, c), F.concat_ws(".", a, b, c))
+
+
+def _interleaved(groups: list[Column], sep: Column) -> list[Column]:
+    return [x for g in groups for x in (g, sep)][:-1]
+
+
+def _spoilt(kind: str, s: Column) -> Column:
+    """What looks like a strict span in a wide format but is none: another check digit, too few digits or groups; for an address, prose."""
+    if kind == "email":
+        w = [F.element_at(F.split(s, " "), i) for i in (1, 3, 4)]
+        return _one_of(s, F.concat(w[0], F.lit(" (at) "), w[1], F.lit(" (dot) "), w[2]), F.concat(w[0], F.lit("[at]"), w[1], F.lit("."), w[2]), F.concat(w[0], F.lit(" at "), w[1], F.lit(" dot "), w[2]))
+    d = _digits(s)
+    if kind == "ip":
+        return F.concat_ws("::", *(F.element_at(F.split(s, r"\."), i) for i in (1, 2)))
+    if kind == "card":
+        last = F.right(d, F.lit(1)).cast("int")
+        return _rewritten("card", F.concat(F.left(d, F.char_length(d) - 1), F.pmod(last + 1, F.lit(10)).cast("string")))
+    return _one_of(s, F.concat_ws("-", *_grouped(F.right(d, F.lit(7)), 3, 4)), F.concat_ws("-", *_grouped(F.right(d, F.lit(8)), 4, 2, 2)), F.concat_ws("-", *_grouped(F.right(d, F.lit(9)), 3, 2, 4)))
+
+
 class Booster:
     """Boosted depth-two trees over small whole-number features, with logistic loss.
 
@@ -158,7 +217,7 @@ class Booster:
         """The best (gain, feature, bound): rows with feature <= bound go left."""
         best = (1e-9, None, None)
         total_g, total_h = sum(grads[i][0] for i in rows), sum(grads[i][1] for i in rows)
-        for f in range(len(FEATURES)):
+        for f in range(len(data[0][0])):
             sums: dict[int, list[float]] = {}
             for i in rows:
                 x = sums.setdefault(data[i][0][f], [0.0, 0.0])
@@ -260,10 +319,24 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_d
     chosen = F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, train_docs / max(1, total)))
     found = _with_candidates(every, "_text", wide=False)
 
-    def labelled(kind: str) -> Column:
-        return F.transform(f"_c_{kind}", lambda c: F.struct(_features(kind, c).alias("x"), _passes(kind, c["s"]).cast("int").alias("y")))
-
-    rows = F.concat(*map(labelled, KINDS))
+    def example(kind: str, c: Column, form: Column, y: Column | bool) -> Column:
+        told = F.struct(form.alias("s"), c["left"].alias("left"), c["right"].alias("right"))
+        return F.struct(_features(kind, told).alias("x"), F.lit(y).cast("int").alias("y"))
+
+    def labelled(kind: str) -> list[Column]:
+        spans = F.col(f"_c_{kind}")
+        if kind == "card":  # the pattern takes any number; those of a card's length are of use
+            spans = F.filter(spans, lambda c: F.char_length(_digits(c["s"])).between(14, 19))
+        good = F.filter(spans, lambda c: _passes(kind, c["s"]))
+        out = [F.transform(good, lambda c: example(kind, c, _rewritten(kind, c["s"]), True))]
+        if kind == "card":
+            bad = F.filter(spans, lambda c: ~_passes(kind, c["s"]))
+            out.append(F.transform(bad, lambda c: example(kind, c, _rewritten(kind, c["s"]), False)))
+        return [*out, F.transform("_prose" if kind == "email" else good, lambda c: example(kind, c, _spoilt(kind, c["s"]), False))]
+
+    m, g = _found(F.col("_text"), _PROSE, " at ")
+    found = found.withColumn("_prose", _placed(m, g))
+    rows = F.concat(*(x for kind in KINDS for x in labelled(kind)))
     counts = (
         found.select((~chosen | (F.pmod(F.xxhash64("_id", F.lit(7)), F.lit(3)) == 0)).alias("kept"), F.explode(rows).alias("r"))
         .groupBy("kept", "r").count().collect()
@@ -303,7 +376,7 @@ def _spans(df: DataFrame, text: str, detector: Detector) -> DataFrame:
         return F.filter(f"_w_{kind}", good)
 
     df = df.withColumn("_base", F.array_sort(F.concat(*(spans(k, passing(k)) for k in KINDS))))
-    # Strict candidates that failed their check are known to be none; the wide ones are scored.
+    # Strict candidates that failed their check are known to be none; wide ones are scored.
     more = F.concat(*(spans(k, chosen(k)) for k in KINDS))
     empty = F.lit(True)
     for k in KINDS:
@@ -328,10 +401,11 @@ def find(df: DataFrame, detector: Detector, id_col: str = "doc_id", text_col: st
 def redact(df: DataFrame, detector: Detector, text_col: str = "text") -> DataFrame:
     """``df`` with every chosen span of its text replaced by its kind in square brackets.
 
-    Overlapping spans become one, named after the first. Null texts stay null.
+    Overlapping spans become one, named after the first. Null texts stay null; extra columns
+    stay as they are, whatever their names.
     """
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
-    rows = df.withColumn("_text", F.coalesce(df[text_col], F.lit("")))
+    rows = df.select(F.struct("*").alias("_row"), F.coalesce(df[text_col], F.lit("")).alias("_text"))
     found = _spans(rows, "_text", detector)
     text = F.col("_text")
     piece = lambda a, b: F.substr(text, (a + 1).cast("int"), (b - a).cast("int"))
@@ -344,5 +418,6 @@ def redact(df: DataFrame, detector: Detector, text_col: str = "text") -> DataFra
         ),
         lambda acc: F.array_join(F.concat(acc["out"], F.array(piece(acc["at"], F.char_length(text).cast("long")))), ""),
     )
-    new = F.when(F.size("_all") == 0, F.col(text_col)).otherwise(parts)
-    return found.withColumn(text_col, new).select(*df.columns)
+    own = lambda c: F.col("_row").getField(c)
+    new = F.when(F.size("_all") == 0, own(text_col)).otherwise(parts)
+    return found.select(*(new.alias(c) if c == text_col else own(c).alias(c) for c in df.columns))
