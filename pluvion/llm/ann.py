@@ -4,15 +4,18 @@ Vectors are cut into halves, each half quantised by its own codebook; a cell is
 centroids. A query walks the pairs by summed distance with a heap until the cells it passed
 hold enough entries, and those are reranked by their exact distance.
 
-* Codebooks: k-means on about ``sample`` vectors, chosen by a hash of the id. Every vector is
-  indexed.
-* The number of centroids grows with the root of the number of vectors, up to ``most_centroids``.
+* Codebooks: k-means on about ``sample`` distinct vectors, chosen by a hash of the vector.
+  Every vector is indexed.
+* How far a walk goes is fitted on the same sample, for a target of ``recall``: the share of the
+  sample that a walk must pass until it has met that part of the exact neighbours within the
+  sample. Vectors in clusters need little, vectors without structure much. In the whole table
+  neighbours are nearer than in a sample, so the share errs on the safe side.
 * Equal vectors are one entry, with the smallest ids that an answer can need, and equal
   queries are searched once, so a vector that holds a third of all rows costs as much as one.
 * Entries lie in order of their cells and are cut into blocks of about ``block`` entries, so
   a block holds many small cells or a part of a full one. A query goes once to each block
-  that holds one of its cells, with the list of these cells; the queries of a block are dealt
-  as well. Each block returns its best for each query, no more.
+  that holds one of its cells, with the summed distance at which its walk ended; the queries of
+  a block are dealt as well. Each block returns its best for each query, no more.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components,
 and those not of the usual length, take no part, neither as queries nor as candidates; ties
@@ -88,22 +91,35 @@ def _matrix(column) -> np.ndarray:
     return np.asarray(flat, np.float64).reshape(len(column), -1)
 
 
-def fit(vectors: DataFrame, total: int, sample: int = 20_000, most_centroids: int = 128, per_cell: int = 10) -> MultiIndex:
-    """Codebooks from about ``sample`` of the (vec_id, v) rows."""
-    k = max(4, min(most_centroids, round(math.sqrt(max(total, 1) / per_cell))))
-    chosen = vectors.where(F.pmod(F.xxhash64("vec_id", F.lit(11)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample / max(total, 1))))
-    x = np.array([r["v"] for r in chosen.orderBy("vec_id").select("v").collect()], np.float64)
+def share_for(index: MultiIndex, x: np.ndarray, k: int, recall: float, probes: int = 200) -> float:
+    """The share of ``x`` that walks must pass to meet ``recall`` of the k nearest in ``x`` of some rows of ``x``."""
+    h, at = index.first.shape[1], np.random.default_rng(7).permutation(len(x))[:probes]
+    sums = squared(x[at, :h], index.first)[:, squared(x[:, :h], index.first).argmin(1)] + squared(x[at, h:], index.second)[:, squared(x[:, h:], index.second).argmin(1)]
+    exact = squared(x[at], x)
+    exact[np.arange(len(at)), at] = sums[np.arange(len(at)), at] = np.inf
+    near = np.argsort(exact, axis=1, kind="stable")[:, : min(k, len(x) - 1)]
+    place = np.argsort(np.argsort(sums, axis=1, kind="stable"), axis=1)
+    met = np.sort(np.take_along_axis(place, near, axis=1), axis=None)
+    return float(met[min(len(met) - 1, math.ceil(recall * len(met)))] + 1) / len(x) if len(met) else 1.0
+
+
+def fit(vectors: DataFrame, total: int, k: int = 10, recall: float = 0.95, sample: int = 20_000, most_centroids: int = 256) -> tuple[MultiIndex, float]:
+    """Codebooks from about ``sample`` of the distinct vectors ``v``, and the share of entries that a walk is to pass."""
+    place = F.xxhash64("v", F.lit(11))
+    chosen = vectors.where(F.pmod(place, F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample / max(total, 1))))
+    x = np.array([r["v"] for r in chosen.orderBy(place).select("v").collect()], np.float64)
     if not len(x):
-        x = np.array([r["v"] for r in vectors.orderBy("vec_id").limit(sample).select("v").collect()], np.float64)
-    h = x.shape[1] // 2
-    return MultiIndex(kmeans(x[:, :h], k), kmeans(x[:, h:], k, seed=6))
+        x = np.array([r["v"] for r in vectors.orderBy(place).limit(sample).select("v").collect()], np.float64)
+    h, n = x.shape[1] // 2, max(4, min(most_centroids, total // 8))
+    index = MultiIndex(kmeans(x[:, :h], n), kmeans(x[:, h:], n, seed=6))
+    return index, share_for(index, x, k, recall)
 
 
-def search(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", share: float = 0.5, least: int = 1000, block: int = 4096) -> DataFrame:
+def search(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", recall: float = 0.95, block: int = 4096) -> DataFrame:
     """query_id, rank (from 1), vec_id and score (Euclidean distance) of each query's k nearest.
 
-    ``is_query`` is a condition on column vec_id. A walk ends when its cells hold ``share``
-    of the entries, and ``least`` at any rate.
+    ``is_query`` is a condition on column vec_id. A walk ends when its cells hold the share of
+    the entries that was fitted for ``recall``; at 1 it passes all.
     """
     valid = valid_vectors(df, id_col, vec_col)
     ranked = valid.withColumn("n", F.row_number().over(W.partitionBy("v").orderBy("vec_id"))).where(F.col("n") <= k + 1)
@@ -112,7 +128,7 @@ def search(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id",
     schema = "query_id long, rank int, vec_id long, score double"
     if not total:
         return df.sparkSession.createDataFrame([], schema)
-    index = fit(entries.select(F.col("ids")[0].alias("vec_id"), "v"), total)
+    index, share = fit(entries, total, k, recall)
     n_cells = len(index.first) * len(index.second)
 
     def place(batches):
@@ -125,7 +141,7 @@ def search(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id",
     for r in placed.groupBy("cell").count().collect():  # one row per cell
         sizes[r["cell"]] = r["count"]
     index.sizes = sizes
-    enough = max(least, math.ceil(share * total), k + 1)
+    enough = max(total if recall >= 1 else math.ceil(share * total), k + 1)
 
     starts = np.cumsum(sizes) - sizes
     first_block, last_block = starts // block, np.maximum(starts + sizes - 1, starts) // block
@@ -136,25 +152,25 @@ def search(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id",
             x = _matrix(b.column(1)) if b.num_rows else np.zeros((0, 2 * h))
             d1, d2 = squared(x[:, :h], index.first), squared(x[:, h:], index.second)
             for i in range(b.num_rows):
-                by_block: dict[int, list[int]] = {}
-                for cell in walk(d1[i], d2[i], sizes, enough):
-                    for at in range(int(first_block[cell]), int(last_block[cell]) + 1):
-                        by_block.setdefault(at, []).append(cell)
-                times = np.full(len(by_block), i)
+                cells = np.array(walk(d1[i], d2[i], sizes, enough))
+                to = np.unique(np.concatenate([first_block[cells], last_block[cells], *(np.arange(first_block[c], last_block[c]) for c in cells[last_block[cells] > first_block[cells] + 1])]))
+                end = d1[i][cells[-1] // len(index.second)] + d2[i][cells[-1] % len(index.second)]
+                times = np.full(len(to), i)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(times), b.column(1).take(times), pa.array(list(by_block), pa.int32()), pa.array(list(by_block.values()), pa.list_(pa.int32()))],
-                    names=["q", "v", "block", "cells"],
+                    [b.column(0).take(times), b.column(1).take(times), pa.array(to, pa.int32()), pa.array(np.full(len(to), end))],
+                    names=["q", "v", "block", "end"],
                 )
 
     asked = valid.where(is_query)
-    distinct = asked.groupBy("v").agg(F.min("vec_id").alias("q")).select("q", "v")
-    routed = stored(distinct.mapInArrow(route, f"q long, v {dict(entries.dtypes)['v']}, block int, cells array<int>"))
+    distinct = stored(asked.groupBy("v").agg(F.min("vec_id").alias("q")).select("q", "v"))
+    tasks = min(10_000, distinct.count() // 64 + 1)  # a walk takes a while
+    routed = stored(distinct.repartition(tasks).mapInArrow(route, f"q long, v {dict(entries.dtypes)['v']}, block int, end double"))
     turns = routed.groupBy("block").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("turns"))
     spread = placed.sparkSession.createDataFrame([(i, int(starts[i]), int(sizes[i])) for i in range(n_cells) if sizes[i]], "cell int, start long, held long")
     position = F.col("start") + F.pmod(F.xxhash64("ids"), F.col("held"))
     blocked = placed.join(F.broadcast(spread), "cell").select("cell", F.floor(position / F.lit(block)).cast("int").alias("block"), "v", "ids")
     left = blocked.join(turns, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"), "cell", "v", "ids")
-    right = routed.join(turns, "block").select("block", F.pmod(F.xxhash64("q"), F.col("turns")).cast("int").alias("turn"), "q", "v", "cells")
+    right = routed.join(turns, "block").select("block", F.pmod(F.xxhash64("q"), F.col("turns")).cast("int").alias("turn"), "q", "v", "end")
 
     def nearest(entries_pdf, queries_pdf):
         import pandas as pd
@@ -162,16 +178,17 @@ def search(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id",
         if not len(entries_pdf) or not len(queries_pdf):
             return pd.DataFrame({"q": [], "score": [], "ids": []})
         x, first = np.stack(entries_pdf["v"]).astype(np.float64), np.array([i[0] for i in entries_pdf["ids"]])
-        cell, passed = entries_pdf["cell"].to_numpy(), np.zeros(n_cells, bool)
+        one, two = np.divmod(entries_pdf["cell"].to_numpy(), len(index.second))
+        asked_for = np.stack(queries_pdf["v"]).astype(np.float64)
+        h = index.first.shape[1]
+        d1, d2 = squared(asked_for[:, :h], index.first), squared(asked_for[:, h:], index.second)
         out = []
-        for q, v, cells in zip(queries_pdf["q"], queries_pdf["v"], queries_pdf["cells"]):
-            passed[cells] = True
-            at = np.flatnonzero(passed[cell])
-            passed[cells] = False
-            d = x[at] - np.asarray(v, np.float64)
+        for i, (q, end) in enumerate(zip(queries_pdf["q"], queries_pdf["end"])):
+            at = np.flatnonzero(d1[i][one] + d2[i][two] <= end + 1e-9 * abs(end))
+            d = x[at] - asked_for[i]
             d = np.sqrt((d * d).sum(1))
             order = np.lexsort((first[at], d))[: k + 1]
-            out += [(q, d[i], entries_pdf["ids"].iat[at[i]]) for i in order]
+            out += [(q, d[j], entries_pdf["ids"].iat[at[j]]) for j in order]
         return pd.DataFrame(out, columns=["q", "score", "ids"])
 
     best = left.groupBy("block", "turn").cogroup(right.groupBy("block", "turn")).applyInPandas(nearest, "q long, score double, ids array<long>")

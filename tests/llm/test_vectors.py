@@ -37,13 +37,35 @@ def test_search_recall_and_scores(vectors):
         assert [found[i] for i in sorted(found)] == sorted(found.values(), key=lambda p: (p[1], p[0]))
         hits.append(len({int(ids[i]) for i in order} & {v for v, _ in found.values()}) / 10)
     assert np.mean(hits) >= 0.9
-    small = ann.search(df, F.col("vec_id") % 20 == 0, share=1.0, block=40).collect()  # many blocks, cells cut over several
+    small = ann.search(df, F.col("vec_id") % 20 == 0, recall=1.0, block=40).collect()  # many blocks, cells cut over several
     for r in small:
         d = {i: np.sqrt(((x[i] - x[r["query_id"]]) ** 2).sum()) for i in x if i != r["query_id"]}
         assert r["vec_id"] == sorted(d, key=lambda i: (d[i], i))[r["rank"] - 1]
     assert ann.search(df.limit(0), F.col("vec_id") >= 0).count() == 0
 
 
+@pytest.mark.parametrize("clusters", [0, 40])
+def test_recall_without_passing_half_of_the_entries(spark, clusters):
+    rng = np.random.default_rng(12)
+    n, dim = 6000, 64
+    x = rng.normal(size=(n, dim))
+    if clusters:
+        x = rng.normal(size=(clusters, dim))[rng.integers(0, clusters, n)] * 2 + 0.5 * x
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(n), "embedding": list(x)}))
+    got: dict = {}
+    for r in ann.search(df, F.col("vec_id") % 100 == 0).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert len(got) == 60 and all(len(v) == 10 for v in got.values())
+    d = np.linalg.norm(x[::100, None] - x[None], axis=2)
+    d[np.arange(60), np.arange(0, n, 100)] = np.inf
+    near = np.argsort(d, axis=1)[:, :10]
+    assert np.mean([len(got[100 * i] & set(near[i].tolist())) / 10 for i in range(60)]) >= 0.9
+    index, share = ann.fit(df.select(F.col("embedding").alias("v")), n)
+    assert share < (0.1 if clusters else 0.5)
+    assert len(ann.walk(*(ann.squared(x[:1, h], c)[0] for h, c in ((slice(32), index.first), (slice(32, 64), index.second))), np.ones(len(index.first) * len(index.second), int), 1)) == 1
+
+
 def test_walk_is_in_order_of_summed_distance():
     rng = np.random.default_rng(2)
     a, b = rng.random(7), rng.random(9)
