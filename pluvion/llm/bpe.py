@@ -40,7 +40,7 @@ def byte_alphabet() -> dict[str, int]:
 class ByteBpe:
     """A byte-level BPE vocabulary file, with its merges as a rank table."""
 
-    def __init__(self, path: str, memo: int = 400_000):
+    def __init__(self, path: str, memo: int = 100_000):
         import regex
 
         with open(path, encoding="utf-8") as f:

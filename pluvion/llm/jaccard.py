@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pluvion.llm.common import components, cut, discard, perhaps_in, stored
+from pluvion.llm.common import batches_of, components, cut, discard, perhaps_in, stored
 
 _U, _ALL = np.uint64, (1 << 64) - 1
 #: Odd multipliers of the 64-bit mixing function (fixed values).
@@ -389,16 +389,17 @@ def _placed(df: DataFrame, width: int, percent: int, id_col: str, text_col: str,
     ``few`` (pairs a member) and ``block`` only tell how the work is divided, not what is found.
     """
     docs = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text"))
-    printed = stored(_printed(docs, width))
-    keyed = printed.where("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = keyed.groupBy("n_shingles", F.col("f1").alias("node"), "f2").agg(F.min("doc_id").alias("first_id"))
-    members = stored(_candidates(_signed(docs.where("doc_id IS NOT NULL"), width, percent)))
-    wanted = cut(members.select("node").distinct().join(classes, "node").select(F.col("first_id").alias("doc_id")).distinct())
-    asked = perhaps_in(docs.where("doc_id IS NOT NULL"), "doc_id", wanted).join(wanted, "doc_id", "left_semi")
-    sets = stored(_sets(asked.dropDuplicates(["doc_id", "text"]), width))
-    links = _Links(sets, percent)
-    links.resolve(members, hub_rounds, few, block)
-    discard(members, sets)
+    with batches_of(df.sparkSession, 500):
+        printed = stored(_printed(docs, width))
+        keyed = printed.where("doc_id IS NOT NULL AND n_shingles > 0")
+        classes = keyed.groupBy("n_shingles", F.col("f1").alias("node"), "f2").agg(F.min("doc_id").alias("first_id"))
+        members = stored(_candidates(_signed(docs.where("doc_id IS NOT NULL"), width, percent)))
+        wanted = cut(members.select("node").distinct().join(classes, "node").select(F.col("first_id").alias("doc_id")).distinct())
+        asked = perhaps_in(docs.where("doc_id IS NOT NULL"), "doc_id", wanted).join(wanted, "doc_id", "left_semi")
+        sets = stored(_sets(asked.dropDuplicates(["doc_id", "text"]), width))
+        links = _Links(sets, percent)
+        links.resolve(members, hub_rounds, few, block)
+        discard(members, sets)
     known = links.labelled(classes)
     firsts = known.groupBy("component").agg(F.min("first_id").alias("component_id"))
     by_class = known.join(firsts, "component").select("n_shingles", F.col("node").alias("f1"), "f2", "component_id")

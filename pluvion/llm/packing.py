@@ -40,7 +40,7 @@ class WordTokenizer:
     cut as its pre-tokeniser does; any other text is cut at spaces and line feeds alone.
     """
 
-    def __init__(self, path: str, memo: int = 400_000):
+    def __init__(self, path: str, memo: int = 100_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)

@@ -30,7 +30,7 @@ MARK = "▁"
 class PrefixCounter:
     """Prefix token counts under a sentencepiece BPE model with byte fallback."""
 
-    def __init__(self, path: str, memo: int = 400_000):
+    def __init__(self, path: str, memo: int = 100_000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -87,7 +87,7 @@ class PrefixCounter:
         """Whether the token b can follow the token a."""
         got = self.fit.get((a, b))
         if got is None:
-            if len(self.fit) > 1_000_000:
+            if len(self.fit) > 200_000:
                 self.fit.clear()
             got = self.fit[a, b] = self.encode(a + b) == [a, b]
         return got
@@ -111,7 +111,9 @@ class PrefixCounter:
                         last.append(piece)
                         break
             else:
-                raise ValueError(f"no last token for {word[:i]!r}")
+                pieces = self.encode(word[:i])  # no token fits what was found for shorter prefixes
+                counts.append(sum(1 if p in score else len(p.encode()) for p in pieces))
+                last.append(pieces[-1] if pieces[-1] in score else "")
         return np.array(counts[1:], np.int32).tobytes()
 
     def prefixes(self, text: str) -> np.ndarray:

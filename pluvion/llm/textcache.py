@@ -7,15 +7,18 @@ class Memo(dict):
     """``memo[key]`` computes a missing value with ``make`` and keeps it.
 
     Two generations bound the memory: when the young one is full it becomes the old one,
-    and the old one is forgotten. Frequent keys survive by being copied back on use.
-    Only speed depends on the bound, never a result.
+    and the old one is forgotten. Frequent keys survive by being copied back on use. Keys longer
+    than ``longest`` are not kept, so memory is bounded in bytes as well: a long unbroken string
+    is computed whenever it comes. Only speed depends on the bounds, never a result.
     """
 
-    def __init__(self, make, limit: int = 400_000):
+    def __init__(self, make, limit: int = 100_000, longest: int = 64):
         super().__init__()
-        self.make, self.limit, self.old = make, limit, {}
+        self.make, self.limit, self.longest, self.old = make, limit, longest, {}
 
     def __missing__(self, key):
+        if len(key) > self.longest:
+            return self.make(key)
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
