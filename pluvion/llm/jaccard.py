@@ -322,10 +322,10 @@ def _in_blocks(rows: DataFrame, sets: DataFrame, percent: int, block: int) -> Da
 
 
 class _Links:
-    """Links found so far, and the component of every node they reach."""
+    """The component of every node that the links found so far reach."""
 
     def __init__(self, sets: DataFrame, percent: int):
-        self.sets, self.percent, self.edges, self.labels = sets, percent, None, None
+        self.sets, self.percent, self.labels = sets, percent, None
 
     def labelled(self, rows: DataFrame) -> DataFrame:
         """Rows with their node's component."""
@@ -336,8 +336,8 @@ class _Links:
     def add(self, found: DataFrame) -> None:
         new = cut(found)
         if not new.isEmpty():
-            self.edges = new if self.edges is None else self.edges.unionByName(new)
-            self.labels = components(self.edges)
+            stars = new if self.labels is None else new.unionByName(self.labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
+            self.labels = components(stars)
 
     def apart(self, pairs: DataFrame) -> DataFrame:
         """Of pairs (a, b), those in different components."""
@@ -377,13 +377,12 @@ class _Links:
         light = rows.where(~heavy)
         other = light.select("sig", F.col("node").alias("b"), F.col("component").alias("cb"))
         pairs = light.where("component <> largest").withColumnRenamed("node", "a").join(other, "sig").where("component <> cb")
-        self.compare(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        rows = self.still_open(rows.where(heavy))
-        if not rows.isEmpty():
-            self.add(_linked(_in_blocks(rows.select("sig", "node", "component"), self.sets, self.percent, block), self.sets, self.percent))
+        possible = _not_ruled_out(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), self.sets, self.percent)
+        rest = _in_blocks(rows.where(heavy).select("sig", "node", "component"), self.sets, self.percent, block)
+        self.add(_linked(possible.unionByName(rest).distinct(), self.sets, self.percent))
 
 
-def _placed(df: DataFrame, width: int, percent: int, id_col: str, text_col: str, hub_rounds: int = 6, few: int = 8, block: int = 1024) -> tuple[DataFrame, DataFrame]:
+def _placed(df: DataFrame, width: int, percent: int, id_col: str, text_col: str, hub_rounds: int = 2, few: int = 8, block: int = 1024) -> tuple[DataFrame, DataFrame]:
     """(doc_id, said, n_shingles, component_id) per row with an id and words, and (doc_id, said, n_shingles) of the rest.
 
     ``few`` (pairs a member) and ``block`` only tell how the work is divided, not what is found.
