@@ -70,10 +70,12 @@ def perhaps_in(df: DataFrame, column: str, ids: DataFrame, flag: str | None = No
     return both.select(*df.columns, inside.alias(flag))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed reliably (small intermediate tables)."""
+def cut(df: DataFrame, rows_each: int = 50_000) -> DataFrame:
+    """``df`` checkpointed reliably, read in partitions of ``rows_each`` rows or more: what follows
+    a small table need not write a shuffle file for each of many empty partitions."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    done = df.checkpoint(eager=True)
+    return done.coalesce(max(1, done.count() // rows_each))
 
 
 def running_total(values: Column, block: int = 256) -> Column:

@@ -364,7 +364,6 @@ class _Links:
         near = cut(_not_ruled_out(pairs, self.sets, self.percent))
         best = near.groupBy("a").agg(F.min_by("b", F.xxhash64("b")).alias("b"))
         self.add(_linked(best, self.sets, self.percent))
-        self.add(_linked(self.apart(near), self.sets, self.percent))
         rows, before, heavy = self.still_open(members), math.inf, F.col("pairs") > few * F.col("n")
         for turn in range(hub_rounds):
             work = rows.where(heavy).select("sig", "pairs").distinct().agg(F.sum("pairs")).first()[0] or 0
@@ -379,10 +378,10 @@ class _Links:
         pairs = light.where("component <> largest").withColumnRenamed("node", "a").join(other, "sig").where("component <> cb")
         possible = _not_ruled_out(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), self.sets, self.percent)
         rest = _in_blocks(rows.where(heavy).select("sig", "node", "component"), self.sets, self.percent, block)
-        self.add(_linked(possible.unionByName(rest).distinct(), self.sets, self.percent))
+        self.add(_linked(self.apart(near).unionByName(possible).unionByName(rest).distinct(), self.sets, self.percent))
 
 
-def _placed(df: DataFrame, width: int, percent: int, id_col: str, text_col: str, hub_rounds: int = 2, few: int = 8, block: int = 1024) -> tuple[DataFrame, DataFrame]:
+def _placed(df: DataFrame, width: int, percent: int, id_col: str, text_col: str, hub_rounds: int = 1, few: int = 8, block: int = 1024) -> tuple[DataFrame, DataFrame]:
     """(doc_id, said, n_shingles, component_id) per row with an id and words, and (doc_id, said, n_shingles) of the rest.
 
     ``few`` (pairs a member) and ``block`` only tell how the work is divided, not what is found.

@@ -47,7 +47,7 @@ WIDE = {
     r"|\x20at\x20[A-Za-z0-9-]++(?:\x20dot\x20[A-Za-z0-9-]+)*?\x20dot\x20(?:com|org|net|edu|gov|info|io|de|fr|es|uk|eu)(?![A-Za-z0-9-]))",
     "ip": r"(?<![0-9A-Za-z:.])(?=[A-Fa-f:]{0,40}[0-9])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}|::[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6}|(?:[0-9A-Fa-f]{1,4}:){1,7}:)(?![0-9A-Za-z:])",
     "card": r"(?<![0-9._-])(?:[0-9]{4}([._/])[0-9]{4}\1[0-9]{4}\1[0-9]{2,7}|[0-9]{4}([._/])[0-9]{6}\2[0-9]{5})(?![0-9])",
-    "phone": r"(?<![0-9+.)-])(?:(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20./-])[0-9]{3}[\x20./-][0-9]{4}|00[1-9][0-9]{0,2}(?:[\x20.-][0-9]{1,4}){3,5}|0[1-9](?:[\x20.-][0-9]{2}){4}|[0-9]{2,4}[./-][0-9]{2}[./-][0-9]{2,4}|[0-9]{3}[\x20./-][0-9]{4})(?![0-9])",
+    "phone": r"(?=[(0-9])(?<![0-9+.)-])(?:(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20./-])[0-9]{3}[\x20./-][0-9]{4}|00[1-9][0-9]{0,2}(?:[\x20.-][0-9]{1,4}){3,5}|0[1-9](?:[\x20.-][0-9]{2}){4}|[0-9]{2,4}[./-][0-9]{2}[./-][0-9]{2,4}|[0-9]{3}[\x20./-][0-9]{4})(?![0-9])",
 }
 #: A text without this string has no strict candidate of the kind.
 _NEEDS = {"email": "@", "phone": "+"}
@@ -61,7 +61,7 @@ CUES = {
     "phone": r"(?i)\b(phone|tel|call|mobile|fax|cell|telefon|telephone|movil)\b",
 }
 #: Prose that could be taken for a spelt address, and endings of addresses (fixed values).
-_PROSE, _ENDING = r"\b[A-Za-z]+ at [A-Za-z]+ [A-Za-z]+", r"(?i)\b(com|org|net|edu|gov|info|io|de|fr|es|uk|eu)$"
+_PROSE, _ENDING = r"\b[A-Za-z]++ at [A-Za-z]++ [A-Za-z]++", r"(?i)\b(com|org|net|edu|gov|info|io|de|fr|es|uk|eu)$"
 FEATURES = ("kind", "digits", "length", "separator", "groups", "cue", "left", "right", "form")
 _CONTEXT = 32
 
