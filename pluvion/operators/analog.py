@@ -29,6 +29,8 @@ class Index:
     boxes: dict[str, tuple[float, float, float, float]]
     combine: Callable[..., Column]
     transform: str = "anomaly"
+    #: None for plain box means, "cos_lat" for means weighted by the cosine of latitude.
+    weights: str | None = None
 
     def reduce(self, field: Cube, axis: str = "year", baseline: tuple[int, int] | None = None) -> DataFrame:
         """The index per year: box means over space and member in one scan, standardised
@@ -36,7 +38,14 @@ class Index:
         if self.transform not in ("standardize", "anomaly", "raw"):
             raise ValueError(f"unknown transform {self.transform!r}")
         v = F.col(field.value)
-        means = field.df.groupBy(axis).agg(*(F.avg(F.when(in_box(F.col("lon"), F.col("lat"), *box), v)).alias(b) for b, box in self.boxes.items()))
+        area = F.cos(F.radians("lat")) if self.weights == "cos_lat" else F.lit(1.0)
+
+        def mean(box) -> Column:
+            inside = in_box(F.col("lon"), F.col("lat"), *box) & v.isNotNull()
+            total = F.sum(F.when(inside, area))
+            return F.when(total > 0, F.sum(F.when(inside, area * v)) / F.greatest(total, F.lit(1e-300)))
+
+        means = field.df.groupBy(axis).agg(*(mean(box).alias(b) for b, box in self.boxes.items()))
         if self.transform == "raw":
             return means.select(axis, self.combine(*(F.col(b) for b in self.boxes)).alias("value"))
         ref = means.where(F.col(axis).between(*baseline)) if baseline else means
@@ -45,16 +54,33 @@ class Index:
         return means.crossJoin(F.broadcast(stats)).select(axis, self.combine(*map(part, self.boxes)).alias("value"))  # one row of statistics
 
 
-#: Boxes of the equatorial Pacific indices, in degrees: south, north, west, east (fixed values).
-NINO = {"nino12": (-10, 0, 270, 280), "nino3": (-5, 5, 210, 270), "nino34": (-5, 5, 190, 240), "nino4": (-5, 5, 160, 210)}
+#: Boxes of the named indices, in degrees: south, north, west, east (fixed values).
+BOXES = {
+    "nino12": (-10, 0, 270, 280), "nino3": (-5, 5, 210, 270), "nino34": (-5, 5, 190, 240), "nino4": (-5, 5, 160, 210),
+    "wep": (-15, 20, 120, 160), "wnp": (20, 35, 160, 210), "wsp": (-30, -15, 155, 210),
+    "wtio": (-10, 10, 50, 70), "setio": (-10, 0, 90, 110), "tropics": (-20, 20, 0, 360), "wpac": (-9, 4, 103, 140),
+}
+#: Named indices: boxes, transform, weights (fixed values). Several boxes are the first less the mean of the others.
+NAMED = {
+    "wvg": (("nino34", "wnp", "wep", "wsp"), "standardize", None), "wvg2": (("nino34", "wnp", "wep"), "standardize", None),
+    "nino12": (("nino12",), "standardize", None), "nino3": (("nino3",), "standardize", None), "nino34": (("nino34",), "standardize", None), "nino4": (("nino4",), "standardize", None),
+    "oni": (("nino34",), "anomaly", "cos_lat"), "roni": (("nino34", "tropics"), "anomaly", "cos_lat"),
+    "dmi": (("wtio", "setio"), "anomaly", "cos_lat"), "wtio": (("wtio",), "anomaly", "cos_lat"), "setio": (("setio",), "anomaly", "cos_lat"),
+    "wio": (("wtio",), "raw", "cos_lat"), "wpac": (("wpac",), "standardize", None),
+}
+
+
+def list_named() -> list[str]:
+    return sorted(NAMED)
 
 
 def named(name: str) -> Index:
-    if name in NINO:
-        return Index(name, {"box": NINO[name]}, lambda a: a)
-    if name in ("dmi", "iod"):
-        return Index("dmi", {"west": (-10, 10, 50, 70), "east": (-10, 0, 90, 110)}, lambda a, b: a - b)
-    raise KeyError(f"unknown index {name!r}")
+    key = "dmi" if name == "iod" else name
+    if key not in NAMED:
+        raise KeyError(f"unknown index {name!r}; known: {list_named()}")
+    boxes, transform, weights = NAMED[key]
+    less = lambda first, *others: first - sum(others[1:], others[0]) / len(others) if others else first
+    return Index(key, {b: BOXES[b] for b in boxes}, less, transform, weights)
 
 
 def analogs_from_index(index: DataFrame, target: float, n: int, metric: str = "absolute", axis: str = "year") -> DataFrame:

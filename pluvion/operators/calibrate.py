@@ -87,6 +87,57 @@ def quantile_map(values: Cube, source: Cube, target: Cube, axis: str = "year", v
     return values.over(df.select(*values.dims, F.when(whole & v.isNotNull(), mapped).alias(values.value)))
 
 
+def bcsd(forecast: Cube, hindcast: Cube, observed: Cube, axis: str = "year", member: str = "member") -> Cube:
+    """Bias correction on a common grid: the share of the hindcast's years below a value, kept in
+    [0.01, 0.99], read off the sorted observations linearly. To downscale, ``regrid.linear`` the
+    observations to the model's grid before and the result to the fine grid after."""
+    cell, n = observed.key(axis), F.size("_xs")
+    h = hindcast.mean(member) if member in hindcast.dims else hindcast
+    sorted_ = lambda c, name: c.df.where(F.col(c.value).isNotNull()).groupBy(*cell).agg(F.sort_array(F.collect_list(c.value)).alias(name))
+    df = forecast.df.join(sorted_(h, "_xs"), cell or None).join(sorted_(observed, "_ys"), cell or None)
+    v = F.col(forecast.value)
+    share = F.size(F.filter("_xs", lambda x: x < v)) / n
+    df = df.withColumn("_at", F.greatest(F.least(share, F.lit(0.99)), F.lit(0.01)) * (n - 1)).withColumn("_lo", F.floor("_at").cast("int"))
+    low, high, w = F.get("_ys", F.col("_lo")), F.get("_ys", F.least(F.col("_lo") + 1, n - 1)), F.col("_at") - F.col("_lo")
+    return forecast.over(df.select(*forecast.dims, F.when(v.isNotNull(), low * (1 - w) + high * w).alias(forecast.value)))
+
+
+def dqm(forecast: Cube, hindcast: Cube, observed: Cube, axis: str = "year", member: str = "member", variant: str = "empirical") -> Cube:
+    """Detrended quantile mapping on a common grid: the linear trends of hindcast and observations
+    are taken out, values are mapped, and the hindcast's trend at its last year is put back."""
+    cell = observed.key(axis)
+    h = hindcast.mean(member) if member in hindcast.dims else hindcast
+    years = h.df.select(axis).distinct().agg(F.avg(axis).alias("_mid"), F.max(axis).alias("_last"))  # one row
+
+    def without_trend(c: Cube) -> tuple[Cube, DataFrame]:
+        timed = c.df.join(h.df.select(axis).distinct(), axis, "left_semi").crossJoin(F.broadcast(years)).withColumn("_t", F.col(axis) - F.col("_mid"))
+        tt = F.sum(F.col("_t") * F.col("_t"))
+        slope = timed.groupBy(*cell).agg(F.when(tt > 0, F.sum(F.col("_t") * F.col(c.value)) / F.greatest(tt, F.lit(1e-300))).otherwise(0.0).alias("_b"))
+        flat = timed.join(slope, cell or None).select(*c.dims, (F.col(c.value) - F.col("_b") * F.col("_t")).alias(c.value))
+        return c.over(flat), slope
+
+    (source, slope), (target, _) = without_trend(h), without_trend(observed)
+    shift = slope.crossJoin(F.broadcast(years)).select(*cell, (F.col("_b") * (F.col("_last") - F.col("_mid"))).alias("_shift"))
+    less = forecast.df.join(shift, cell or None).select(*forecast.dims, (F.col(forecast.value) - F.col("_shift")).alias(forecast.value))
+    mapped = quantile_map(forecast.over(less), source, target, axis, variant)
+    return forecast.over(mapped.df.join(shift, cell or None).select(*forecast.dims, (F.col(forecast.value) + F.col("_shift")).alias(forecast.value)))
+
+
+#: Methods of ``downscale`` by name.
+METHODS = {"climatology": lambda f, h, o, **k: climatology(o), "delta": delta, "bcsd": bcsd, "qm": lambda f, h, o, **k: quantile_map(f, h.mean("member"), o, **k), "dqm": dqm}
+
+
+def get_method(name: str):
+    if name not in METHODS:
+        raise KeyError(f"unknown method {name!r}; known: {sorted(METHODS)}")
+    return METHODS[name]
+
+
+def downscale(forecast: Cube, hindcast: Cube, observed: Cube, method: str = "bcsd", **options) -> Cube:
+    """The forecast by a registered method, fitted on hindcast and observations of a common grid."""
+    return get_method(method)(forecast, hindcast, observed, **options)
+
+
 def _regression(x: Cube, y: Cube, axis: str) -> DataFrame:
     """Least squares of y on x per cell, over years that have both."""
     extra = [d for d in x.dims if d not in y.dims]

@@ -54,35 +54,43 @@ def drop_worst(models: DataFrame, keep: list[str], skill: DataFrame, n_drop: int
 
 
 @strategy("bma")
-def bma(models: DataFrame, keep: list[str], observed: DataFrame, rounds: int = 200, tolerance: float = 1e-7) -> tuple[DataFrame, dict[str, float], float]:
-    """Bayesian model averaging: weights and one variance by expectation maximisation.
+def bma(models: DataFrame, keep: list[str], observed: DataFrame, rounds: int = 200, tolerance: float = 1e-7) -> tuple[DataFrame, dict[str, float], dict[str, float]]:
+    """Bayesian model averaging: a weight and a variance per model by expectation maximisation.
 
-    Rows with any missing value are left out. Each round is one aggregate over the wide table.
+    Rows with any missing value are left out. Each round is one aggregate over the wide table;
+    its parameters come as a table of one row, so that every round runs the same code.
+    Responsibilities are taken from log densities, so far residuals keep their share.
     """
     names = sorted(r[0] for r in models.select("model").distinct().collect())
+    spark, idx = models.sparkSession, range(len(names))
     wide = models.groupBy(*keep).pivot("model", names).agg(F.first("value")).join(observed.select(*keep, F.col("value").alias("_o")), keep).dropna()
-    wide = wide.persist()
+    wide = wide.select(*(F.pow(F.col("_o") - F.col(f"`{m}`"), 2).alias(f"r{i}") for i, m in enumerate(names)), *((F.col("_o") - F.col(f"`{m}`")).alias(f"d{i}") for i, m in enumerate(names))).persist()
     try:
-        at = {m: F.col(f"`{m}`") for m in names}
-        n, *moments = wide.agg(F.count(F.lit(1)), *(F.var_pop(F.col("_o") - at[m]) for m in names)).first()
+        n, *moments = wide.agg(F.count(F.lit(1)), *(F.var_pop(f"d{i}") for i in idx)).first()
         if not n:
             raise ValueError("no complete rows")
-        weights, var = {m: 1 / len(names) for m in names}, max(sum(moments) / len(names), 1e-12)
+        weights, var = [1 / len(names)] * len(names), [max(v, 1e-12) for v in moments]
+        kinds = ", ".join([f"w{i} double" for i in idx] + [f"v{i} double" for i in idx])
+        dens = [F.log(F.greatest(F.col(f"w{i}"), F.lit(1e-300))) - 0.5 * (F.log(F.col(f"v{i}")) + F.col(f"r{i}") / F.col(f"v{i}")) for i in idx]
         for _ in range(rounds):
-            dens = {m: F.lit(weights[m]) * F.exp(-F.pow(F.col("_o") - at[m], 2) / (2 * var)) for m in names}
-            total = F.greatest(sum(dens.values(), F.lit(0.0)), F.lit(1e-300))
-            got = wide.agg(*(F.sum(dens[m] / total) for m in names), *(F.sum(dens[m] / total * F.pow(F.col("_o") - at[m], 2)) for m in names)).first()
-            new = {m: got[i] / n for i, m in enumerate(names)}
-            var, moved = max(sum(got[len(names) :]) / n, 1e-12), max(abs(new[m] - weights[m]) for m in names)
-            weights = new
+            scored = wide.crossJoin(F.broadcast(spark.createDataFrame([(*weights, *var)], kinds)))  # one row
+            scored = scored.select("*", *(d.alias(f"l{i}") for i, d in zip(idx, dens)))
+            top = F.greatest(*(F.col(f"l{i}") for i in idx)) if len(names) > 1 else F.col("l0")
+            scored = scored.withColumn("_top", top).withColumn("_all", F.col("_top") + F.log(sum((F.exp(F.col(f"l{i}") - F.col("_top")) for i in idx), F.lit(0.0))))
+            share = [F.exp(F.col(f"l{i}") - F.col("_all")) for i in idx]
+            got = scored.agg(*(F.sum(z) for z in share), *(F.sum(z * F.col(f"r{i}")) for i, z in zip(idx, share))).first()
+            new = [got[i] / n for i in idx]
+            var = [max(got[len(names) + i] / (got[i] or 1.0), 1e-12) for i in idx]
+            moved, weights = max(abs(a - b) for a, b in zip(new, weights)), new
             if moved < tolerance:
                 break
     finally:
         wide.unpersist()
-    out = None
-    table = models.sparkSession.createDataFrame(list(weights.items()), "model string, weight double")
+    total = sum(weights)
+    chosen = {m: w / total for m, w in zip(names, weights)}
+    table = spark.createDataFrame(list(chosen.items()), "model string, weight double")
     out = models.join(F.broadcast(table), "model").groupBy(*keep).agg(F.when(F.count("value") == F.count(F.lit(1)), F.sum(F.col("value") * F.col("weight"))).alias("value"))
-    return out, weights, var
+    return out, chosen, dict(zip(names, var))
 
 
 def pool(members: DataFrame, keep: list[str]) -> DataFrame:

@@ -81,14 +81,13 @@ def cca_cv(predictor: DataFrame, observed: Cube, modes: tuple[int, int, int] = (
 
 def logit_fit(x, label, ridge: float = 1e-6, rounds: int = 50):
     """Intercept and slope of a binomial logit by reweighted least squares, and the slope's
-    two-sided Wald p; a label of one class gives its rate and no slope."""
+    two-sided Wald p; a label of one class gives its rate (an infinite intercept), no slope and no p."""
     import math
 
     import numpy as np
 
     if label.min() == label.max():
-        p = float(np.clip(label.mean(), 1e-6, 1 - 1e-6))
-        return math.log(p / (1 - p)), 0.0, 1.0
+        return math.inf if label[0] else -math.inf, 0.0, None
     a = np.column_stack((np.ones_like(x), x))
     beta, pen = np.zeros(2), np.diag([0.0, ridge])
     for _ in range(rounds):
@@ -121,7 +120,7 @@ def logit(index: DataFrame, observed: Cube, at: float, least_years: int = 10, ri
             return pd.DataFrame([[*key, None, None, None, None]], columns=[*cell, "p_bn", "p_nn", "p_an", "p_value"])
         x, c = pdf["x"].to_numpy(float), pdf["c"].to_numpy()
         fits = [logit_fit(x, (c == k).astype(float), ridge) for k in range(3)]
-        p = np.array([1 / (1 + np.exp(-np.clip(a + b * at, -30, 30))) for a, b, _ in fits])
+        p = np.array([float(a > 0) if np.isinf(a) else 1 / (1 + np.exp(-np.clip(a + b * at, -30, 30))) for a, b, _ in fits])
         p /= p.sum()
         return pd.DataFrame([[*key, *p, fits[0][2]]], columns=[*cell, "p_bn", "p_nn", "p_an", "p_value"])
 
@@ -142,20 +141,23 @@ def cyclic_weights(n: int, sigma: float) -> list[tuple[int, float]]:
 
 
 def smooth_cyclic(df: DataFrame, season: str, value: str, keep: list[str], n: int = 12, sigma: float = 1.0) -> DataFrame:
-    """Values smoothed over a cyclic season index: an equi-join with a table of n weights each."""
+    """Values smoothed over a cyclic season index: an equi-join with a table of n weights each.
+    Missing where a season of the window is missing, as a value or as a row."""
     table = df.sparkSession.createDataFrame([(s, (s + d) % n, w) for s in range(n) for d, w in cyclic_weights(n, sigma)], "_to int, _from int, _w double")
     j = df.join(F.broadcast(table), F.col(season) == F.col("_from"))
-    whole = F.count(value) == F.count(F.lit(1))
+    whole = F.count(value) == F.lit(len(cyclic_weights(n, sigma)))
     return j.groupBy(*keep, F.col("_to").alias(season)).agg(F.when(whole, F.sum(F.col(value) * F.col("_w"))).alias(value))
 
 
 def smoothed_coefficients(hindcast: Cube, observed: Cube, season: str = "season", axis: str = "year", sigma: float = 1.0, n: int = 12) -> DataFrame:
-    """The slope of observations on the hindcast per season and cell, smoothed over seasons."""
+    """The slope of observations on the hindcast per season and cell, smoothed over seasons, from
+    the years that have both, three at least."""
     extra = [d for d in hindcast.dims if d not in observed.dims]
     h = hindcast.mean(*extra) if extra else hindcast
     key = observed.key(axis)
     pairs = h.df.select(*h.dims, F.col(h.value).alias("x")).join(observed.df.select(*observed.dims, F.col(observed.value).alias("y")), list(observed.dims))
-    slope = pairs.groupBy(*key).agg(F.when(F.var_pop("x") > 0, F.covar_pop("x", "y") / F.var_pop("x")).alias("a"))
+    pairs = pairs.where("x IS NOT NULL AND y IS NOT NULL")
+    slope = pairs.groupBy(*key).agg(F.when((F.count(F.lit(1)) >= 3) & (F.var_pop("x") > 0), F.covar_pop("x", "y") / F.var_pop("x")).alias("a"))
     return smooth_cyclic(slope, season, "a", [k for k in key if k != season], n, sigma)
 
 
@@ -164,11 +166,12 @@ def smoothed_tercile(hindcast: Cube, observed: Cube, forecast: Cube, season: str
     the deviation makes up the observed variance; the middle probability is cut to [0, 1]."""
     key = observed.key(axis)
     spread = hindcast.df.groupBy(*[d for d in hindcast.dims if d != member]).agg(F.avg(hindcast.value).alias("x"), F.var_pop(hindcast.value).alias("s2"))
-    pairs = spread.join(observed.df.select(*observed.dims, F.col(observed.value).alias("y")), list(observed.dims))
+    pairs = spread.join(observed.df.select(*observed.dims, F.col(observed.value).alias("y")), list(observed.dims)).where("x IS NOT NULL AND s2 IS NOT NULL AND y IS NOT NULL")
     fit = pairs.groupBy(*key).agg(
+        F.count(F.lit(1)).alias("n"),
         F.avg("x").alias("mx"), F.avg("y").alias("my"), F.var_pop("x").alias("vx"), F.var_pop("y").alias("vy"), F.covar_pop("x", "y").alias("cxy"), F.avg("s2").alias("ms2"),
         F.percentile("y", F.lit(1 / 3)).alias("t33"), F.percentile("y", F.lit(2 / 3)).alias("t67"),
-    ).withColumn("a", F.when(F.col("vx") > 0, F.col("cxy") / F.col("vx")))
+    ).withColumn("a", F.when((F.col("n") >= 3) & (F.col("vx") > 0), F.col("cxy") / F.col("vx")))
     b2 = F.when(F.col("ms2") > 0, F.greatest(F.col("vy") - F.col("a") * F.col("a") * F.col("vx"), F.lit(0.0)) / F.col("ms2"))
     now = forecast.df.groupBy(*key).agg(F.avg(forecast.value).alias("f"), F.var_pop(forecast.value).alias("fs2")).join(fit, key)
     now = now.withColumn("mu", F.col("my") + F.col("a") * (F.col("f") - F.col("mx"))).withColumn("sd", F.greatest(F.sqrt(b2 * F.col("fs2")), F.lit(1e-12)))

@@ -34,6 +34,32 @@ def get_metric(name: str) -> Callable[..., DataFrame]:
     return METRICS[name]
 
 
+#: What ``skill`` scores of a forecast of each kind.
+PRESETS = {"deterministic": ("pearson_r", "spearman", "2afc", "rmse", "msss"), "tercile": ("rpss", "hss", "groc", "roc_area_below_normal", "roc_area_above_normal", "reliability")}
+
+
+def skill(forecast: Cube | DataFrame, observed: Cube, names: tuple[str, ...] | None = None) -> DataFrame:
+    """A table (metric, value) of several metrics of one forecast, by default those of its kind:
+    a cube is deterministic, a table of probabilities is tercile."""
+    chosen = names or PRESETS["deterministic" if isinstance(forecast, Cube) else "tercile"]
+    rows = [get_metric(n)(forecast, observed).select(F.lit(n).alias("metric"), "value") for n in chosen]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out
+
+
+def skill_compare(forecasts: dict[str, Cube | DataFrame], observed: Cube, names: tuple[str, ...] | None = None) -> DataFrame:
+    """The skill tables of several named forecasts in one: forecast, metric, value."""
+    if not forecasts:
+        raise ValueError("no forecast to compare")
+    out = None
+    for name, f in forecasts.items():
+        rows = skill(f, observed, names).select(F.lit(name).alias("forecast"), "metric", "value")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def _pairs(forecast: Cube, observed: Cube) -> DataFrame:
     """year, cell, f and o; a member dimension of the forecast is averaged first."""
     extra = [d for d in forecast.dims if d not in observed.dims]
@@ -128,13 +154,17 @@ def rpss(terciles: DataFrame, observed: Cube, spatial: bool = False, axis: str =
 
 @metric("heidke_skill_score", "hss")
 def hss(terciles: DataFrame, observed: Cube, spatial: bool = False, axis: str = "year") -> DataFrame:
-    """(hits - expected) / (n - expected) of the most likely category, first of equals; a third is expected."""
+    """(hits - expected) / (n - expected) of the most likely category, first of equals. Expected
+    hits are the products of how often each category was said and seen; missing if all n are expected."""
     df = _probabilities_with(terciles, observed, axis, cpt_boundaries(observed, axis)).where("o IS NOT NULL AND t33 IS NOT NULL AND p_bn IS NOT NULL AND p_nn IS NOT NULL AND p_an IS NOT NULL")
     said = F.when((F.col("p_bn") >= F.col("p_nn")) & (F.col("p_bn") >= F.col("p_an")), 0).when(F.col("p_nn") >= F.col("p_an"), 1).otherwise(2)
     was = F.when(F.col("t33") > F.col("o"), 0).when(F.col("t67") > F.col("o"), 1).otherwise(2)
     key = observed.key(axis) if spatial else []
-    out = df.groupBy(*key).agg(F.count(F.when(said == was, 1)).alias("_h"), F.count(F.lit(1)).alias("_n"))
-    return out.select(*key, F.when(F.col("_n") > 0, (F.col("_h") - F.col("_n") / 3) / (F.col("_n") - F.col("_n") / 3)).alias("value"))
+    times = lambda c, k: F.count(F.when(c == k, 1)).cast("double")
+    chance = sum((times(said, k) * times(was, k) for k in range(1, 3)), times(said, 0) * times(was, 0))
+    out = df.groupBy(*key).agg(F.count(F.when(said == was, 1)).alias("_h"), F.count(F.lit(1)).alias("_n"), chance.alias("_x"))
+    out = out.withColumn("_e", F.when(F.col("_n") > 0, F.col("_x") / F.col("_n")))
+    return out.select(*key, F.when(F.col("_n") - F.col("_e") > 1e-12, (F.col("_h") - F.col("_e")) / (F.col("_n") - F.col("_e"))).alias("value"))
 
 
 def roc_area(scored: DataFrame, prob: str, event: str) -> DataFrame:
@@ -149,6 +179,7 @@ def roc_area(scored: DataFrame, prob: str, event: str) -> DataFrame:
     return out.select(F.when((F.col("_t") > 0) & (F.col("_f") > 0), F.col("_a") / (F.col("_t") * F.col("_f"))).otherwise(0.5).alias("value"))
 
 
+@metric("roc")
 def roc(terciles: DataFrame, observed: Cube, axis: str = "year") -> DataFrame:
     """roc_bn, roc_nn, roc_an: areas per category, pooled over cells and years."""
     df = _probabilities_with(terciles, observed, axis, cpt_boundaries(observed, axis))
@@ -190,28 +221,32 @@ def reliability_diagram(terciles: DataFrame, observed: Cube, axis: str = "year",
 
 @metric("generalized_roc", "groc")
 def generalized_roc(terciles: DataFrame, observed: Cube, spatial: bool = False, axis: str = "year") -> DataFrame:
-    """The mean of one-against-rest areas over the categories, from average ranks (ties count half)."""
+    """The mean over ordered pairs of categories (i, j) of the area that the probability of i has
+    in telling i from j (ties count half); pairs of which one was never seen are left out."""
     df = _probabilities_with(terciles, observed, axis, cpt_boundaries(observed, axis)).where("o IS NOT NULL AND t33 IS NOT NULL AND p_bn IS NOT NULL AND p_nn IS NOT NULL AND p_an IS NOT NULL")
     was = F.when(F.col("t33") > F.col("o"), 0).when(F.col("t67") > F.col("o"), 1).otherwise(2)
-    long = df.withColumn("_was", was).selectExpr("_was", "stack(3, 0, p_bn, 1, p_nn, 2, p_an) AS (tercile, p)")
-    steps = long.groupBy("tercile", "p").agg(F.count(F.when(F.col("_was") == F.col("tercile"), 1)).alias("_t"), F.count(F.when(F.col("_was") != F.col("tercile"), 1)).alias("_f"))
-    order = W.partitionBy("tercile").orderBy(F.desc("p")).rowsBetween(W.unboundedPreceding, 0)
+    key = observed.key(axis) if spatial else []
+    # A row of category c is an event of the pairs (c, j), and none of the pairs (i, c).
+    scored = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(p).alias("p"), (F.col("_was") == i).alias("e")) for i, p in enumerate(("p_bn", "p_nn", "p_an")) for j in range(3) if i != j]
+    long = df.withColumn("_was", was).select(*key, "_was", F.explode(F.array(*scored)).alias("s")).where("_was = s.i OR _was = s.j").select(*key, "s.*")
+    steps = long.groupBy(*key, "i", "j", "p").agg(F.count(F.when(F.col("e"), 1)).alias("_t"), F.count(F.when(~F.col("e"), 1)).alias("_f"))
+    order = W.partitionBy(*key, "i", "j").orderBy(F.desc("p")).rowsBetween(W.unboundedPreceding, 0)
     run = steps.withColumn("_ct", F.sum("_t").over(order))
-    area = run.groupBy("tercile").agg((F.sum(F.col("_f") * (F.col("_ct") - F.col("_t") / 2))).alias("_a"), F.sum("_t").alias("_t"), F.sum("_f").alias("_f"))
-    return area.where("_t > 0 AND _f > 0").agg(F.avg(F.col("_a") / (F.col("_t") * F.col("_f"))).alias("value"))
+    area = run.groupBy(*key, "i", "j").agg((F.sum(F.col("_f") * (F.col("_ct") - F.col("_t") / 2))).alias("_a"), F.sum("_t").alias("_t"), F.sum("_f").alias("_f"))
+    return area.groupBy(*key).agg(F.avg(F.when((F.col("_t") > 0) & (F.col("_f") > 0), F.col("_a") / F.greatest(F.col("_t") * F.col("_f"), F.lit(1)))).alias("value"))
 
 
 @metric("continuous_ranked_probability_skill_score", "crpss")
 def crpss(gaussian: DataFrame, observed: Cube, spatial: bool = False, axis: str = "year") -> DataFrame:
-    """1 - CRPS of N(mu, sigma) / CRPS of N(0, deviation of all observations)."""
+    """1 - CRPS of N(mu, sigma) / CRPS of N(0, deviation of all observations); missing where the latter is 0."""
     o = observed.df.select(*observed.dims, F.col(observed.value).alias("o"))
     all_ = observed.df.agg(F.stddev_pop(observed.value).alias("_sd"))
     df = gaussian.join(o, list(observed.dims)).crossJoin(F.broadcast(all_))  # one row
-    df = df.withColumn("_s", F.greatest("sigma", F.lit(1e-12))).withColumn("_z", (F.col("o") - F.col("mu")) / F.col("_s")).withColumn("_zc", F.col("o") / F.col("_sd"))
+    df = df.withColumn("_s", F.greatest("sigma", F.lit(1e-12))).withColumn("_z", (F.col("o") - F.col("mu")) / F.col("_s")).withColumn("_zc", F.when(F.col("_sd") > 0, F.col("o") / F.col("_sd")))
     crps = lambda z, s: F.col(s) * (F.col(z) * (2 * phi(z) - 1) + 2 * density(z) - 0.5641895835477563)
     key = observed.key(axis) if spatial else []
     out = df.groupBy(*key).agg(F.avg(crps("_z", "_s")).alias("_a"), F.avg(crps("_zc", "_sd")).alias("_b"))
-    return out.select(*key, (1 - F.col("_a") / F.col("_b")).alias("value"))
+    return out.select(*key, F.when(F.col("_b") > 0, 1 - F.col("_a") / F.col("_b")).alias("value"))
 
 
 def _spread_error(ensemble: Cube, observed: Cube, member: str) -> DataFrame:

@@ -44,13 +44,14 @@ def cpt_tercile(forecast: DataFrame, keep: list[str], dof: int) -> DataFrame:
     return _probabilities(df, keep, t_cdf("_a", dof), t_cdf("_b", dof))
 
 
-def to_tercile_cv(predicted: Cube, observed: Cube, axis: str = "year", method: str = "bootstrap", n_modes: int = 1, n_years: int | None = None) -> DataFrame:
+def to_tercile_cv(predicted: Cube, observed: Cube, axis: str = "year", method: str = "bootstrap", n_modes: int = 1, n_years: int | None = None, leverage: Cube | None = None) -> DataFrame:
     """Cross-validated probabilities of hindcast predictions.
 
     bootstrap: each year's prediction minus the other years' residuals is an ensemble, set
     against the terciles of the other years. gaussian_loo: the normal law with the other years'
     mean squared residual. t and gaussian_pev: full-sample terciles, scale^2 = (n - 2) / n x PEV,
-    Student's t with n degrees of freedom or the normal law. cpt: CPT terciles and Student's t.
+    Student's t with n degrees of freedom or the normal law. cpt: CPT terciles and Student's t,
+    with the ``leverage`` of each year (0 if none is given), as ``linear.cca_cv`` and ``metrics.loo`` have it.
     """
     key, v = observed.key(axis), predicted.value
     o = observed.df.select(*observed.dims, F.col(observed.value).alias("_o"))
@@ -74,7 +75,11 @@ def to_tercile_cv(predicted: Cube, observed: Cube, axis: str = "year", method: s
         dof = years - n_modes - 1
         limits = cpt_boundaries(observed, axis)
         s2 = pairs.groupBy(*key).agg((F.sum(F.col("_e") * F.col("_e")) / dof).alias("s2"))
-        return cpt_tercile(pairs.join(limits, key or None).join(s2, key or None).withColumn("value", F.col(v)).withColumn("leverage", F.lit(0.0)), keep, dof)
+        told = pairs.join(limits, key or None).join(s2, key or None).withColumn("value", F.col(v))
+        if leverage is None:
+            return cpt_tercile(told.withColumn("leverage", F.lit(0.0)), keep, dof)
+        lever = leverage.df.select(*leverage.dims, F.col(leverage.value).alias("leverage"))
+        return cpt_tercile(told.join(lever, list(leverage.dims), "left"), keep, dof)
     if method not in ("t", "gaussian_pev"):
         raise ValueError(f"unknown method {method!r}")
     limits = quantiles(observed, axis, t33=1 / 3, t67=2 / 3)

@@ -312,11 +312,12 @@ _RPS = "avg((power(p_bn - y1, 2) + power(p_bn + p_nn - y2, 2)) / 2) AS s, avg((p
 _SC = BASE + PROBS + CPT + CAT
 put("rpss_pooled", f"{_SC} SELECT {sel('', 'value')} FROM (SELECT CASE WHEN c > 0 THEN 1 - s / c ELSE 0 END AS value FROM (SELECT {_RPS}))")(lambda spark, sf: out(metrics.rpss(*_probs(spark, sf)), "", "value"))  # 9.1
 put("rpss_spatial", f"{_SC} SELECT {sel('lat lon', 'value')} FROM (SELECT lat, lon, CASE WHEN c > 0 THEN 1 - s / c ELSE 0 END AS value FROM (SELECT lat, lon, {_RPS} GROUP BY lat, lon))")(lambda spark, sf: out(metrics.rpss(*_probs(spark, sf), spatial=True), "lat lon", "value"))
-put("hss", f"{_SC} SELECT {sel('', 'value')} FROM (SELECT (h - n / 3.0) / (n - n / 3.0) AS value FROM (SELECT count(*) AS n, count(*) FILTER (was = CASE WHEN p_bn >= p_nn AND p_bn >= p_an THEN 0 WHEN p_nn >= p_an THEN 1 ELSE 2 END) AS h FROM scored))")(lambda spark, sf: out(metrics.hss(*_probs(spark, sf)), "", "value"))  # 9.11
+_TOLD = ", told AS (SELECT was, CASE WHEN p_bn >= p_nn AND p_bn >= p_an THEN 0 WHEN p_nn >= p_an THEN 1 ELSE 2 END AS said FROM scored)"
+put("hss", f"{_SC}{_TOLD} SELECT {sel('', 'value')} FROM (SELECT (h - e) / (n - e) AS value FROM (SELECT sum(CASE WHEN said = was THEN c ELSE 0 END) AS h, sum(c) AS n, sum(CASE WHEN said = was THEN ns * nw / total END) AS e FROM (SELECT k.said, k.was, coalesce(t.c, 0) AS c, (SELECT count(*) FROM told x WHERE x.said = k.said) AS ns, (SELECT count(*) FROM told x WHERE x.was = k.was) AS nw, (SELECT count(*) FROM told) AS total FROM (SELECT a.i AS said, b.i AS was FROM range(3) a(i), range(3) b(i)) k LEFT JOIN (SELECT said, was, count(*) AS c FROM told GROUP BY ALL) t USING (said, was))))")(lambda spark, sf: out(metrics.hss(*_probs(spark, sf)), "", "value"))  # 9.11
 _LONG = ", long AS (SELECT was, 0 AS tercile, p_bn AS p FROM scored UNION ALL SELECT was, 1, p_nn FROM scored UNION ALL SELECT was, 2, p_an FROM scored)"
 _AREA = ", pos AS (SELECT tercile, p FROM long WHERE was = tercile), neg AS (SELECT tercile, p FROM long WHERE was <> tercile), auc AS (SELECT pos.tercile, avg(CASE WHEN pos.p > neg.p THEN 1.0 WHEN pos.p = neg.p THEN 0.5 ELSE 0.0 END) AS value FROM pos JOIN neg USING (tercile) GROUP BY ALL)"
 put("roc_areas", f"{_SC}{_LONG}{_AREA} SELECT CASE tercile WHEN 0 THEN 'roc_bn' WHEN 1 THEN 'roc_nn' ELSE 'roc_an' END AS metric, {sel('', 'value')} FROM auc")(lambda spark, sf: metrics.roc(*_probs(spark, sf)).select("metric", (F.round("value", 6) + 0.0).alias("value")))  # 9.2
-put("generalized_roc", f"{_SC}{_LONG}{_AREA} SELECT {sel('', 'value')} FROM (SELECT avg(value) AS value FROM auc)")(lambda spark, sf: out(metrics.generalized_roc(*_probs(spark, sf)), "", "value"))  # 9.4
+put("generalized_roc", f"{_SC}{_LONG} SELECT {sel('', 'value')} FROM (SELECT avg(value) AS value FROM (SELECT a.tercile, b.was, avg(CASE WHEN a.p > b.p THEN 1.0 WHEN a.p = b.p THEN 0.5 ELSE 0.0 END) AS value FROM long a JOIN long b ON b.tercile = a.tercile AND a.was = a.tercile AND b.was <> a.was GROUP BY ALL))")(lambda spark, sf: out(metrics.generalized_roc(*_probs(spark, sf)), "", "value"))  # 9.4
 _DIAGRAM = ", diagram AS (SELECT tercile, (CASE WHEN p >= 0.2 THEN 1 ELSE 0 END) + (CASE WHEN p >= 0.4 THEN 1 ELSE 0 END) + (CASE WHEN p >= 0.6 THEN 1 ELSE 0 END) + (CASE WHEN p >= 0.8 THEN 1 ELSE 0 END) AS bin, avg(p) AS mean_prob, avg(CASE WHEN was = tercile THEN 1.0 ELSE 0.0 END) AS obs_freq, count(*) AS n FROM long GROUP BY ALL)"
 put("reliability_diagram", f"{_SC}{_LONG}{_DIAGRAM} SELECT {sel('tercile bin n', 'mean_prob obs_freq')} FROM diagram")(lambda spark, sf: out(metrics.reliability_diagram(*_probs(spark, sf)), "tercile bin n", "mean_prob obs_freq"))  # 9.12
 put("reliability", f"{_SC}{_LONG}{_DIAGRAM} SELECT {sel('', 'value')} FROM (SELECT sum(n * power(mean_prob - obs_freq, 2)) / sum(n) AS value FROM diagram)")(lambda spark, sf: out(metrics.reliability(*_probs(spark, sf)), "", "value"))
@@ -465,7 +466,7 @@ def _completion(spark, sf) -> DataFrame:
     return analog.complete(s, chosen, seen)
 
 
-_DONE = SEASONS.format(tail=0) + ", done AS (SELECT a.year AS scenario, a.nation, a.step, CASE WHEN o.value IS NULL THEN 'analog' ELSE 'observed' END AS segment, coalesce(o.value, a.value) AS value FROM stack a LEFT JOIN (SELECT * FROM stack WHERE year = 2000 AND step < 40) o USING (nation, step) WHERE a.year IN (1996, 1998))"
+_DONE = SEASONS.format(tail=0).replace("stack AS (", "stack AS MATERIALIZED (") + ", done AS (SELECT a.year AS scenario, a.nation, a.step, CASE WHEN o.value IS NULL THEN 'analog' ELSE 'observed' END AS segment, coalesce(o.value, a.value) AS value FROM stack a LEFT JOIN (SELECT * FROM stack WHERE year = 2000 AND step < 40) o USING (nation, step) WHERE a.year IN (1996, 1998))"
 put("complete", f"{_DONE} SELECT segment, {sel('scenario nation step', 'value')} FROM done")(lambda spark, sf: _completion(spark, sf).select("segment", *(F.col(c).cast("long").alias(c) for c in ("scenario", "nation", "step")), F.round("value", 6).alias("value")))  # 12.9
 put("scenario_totals", f"{_DONE} SELECT {sel('scenario nation', 'total')} FROM (SELECT scenario, nation, sum(value) AS total FROM done GROUP BY ALL)")(lambda spark, sf: out(analog.scenario_totals(_completion(spark, sf), "nation"), "scenario nation", "total"))  # 12.9
 put("issuance_dates", "SELECT CAST(d AS VARCHAR) AS issuance FROM (SELECT CAST(unnest(generate_series(DATE '2024-01-01', DATE '2024-03-31', INTERVAL 1 DAY)) AS DATE) AS d) WHERE dayofweek(d) IN (1, 4)")(lambda spark, sf: store.issuance_dates(spark, "2024-01-01", "2024-03-31").select(F.col("issuance").cast("string").alias("issuance")))  # 1.13
@@ -538,3 +539,15 @@ for _m, _f in {
     "season_length": lambda spark, sf: out(timing.season_length(*_all_timed(spark, sf), "nation", "year"), "nation year", "length"),
 }.items():
     put(f"{_m}_all", ORACLES[_m].replace("range(1996, 2001)", "range(1995, 2002)"))(_f)
+
+
+# Downscaling methods on a common grid, and the front door to the metrics.
+_SORTED = ", s AS (SELECT lat, lon, list(value ORDER BY value) AS xs FROM past GROUP BY ALL), t AS (SELECT lat, lon, list(value ORDER BY value) AS ys FROM obs GROUP BY ALL)"
+_BCSD = f"{BASE}{_SORTED}, q AS (SELECT member, lat, lon, xs, ys, least(greatest(len([x for x in xs if x < value]) / len(xs), 0.01), 0.99) * (len(xs) - 1) AS spot FROM hind JOIN s USING (lat, lon) JOIN t USING (lat, lon) WHERE year = 2001)"
+put("bcsd", f"{_BCSD} SELECT {sel('member lat lon', 'value')} FROM (SELECT member, lat, lon, ys[CAST(floor(spot) AS INT) + 1] * (1 - (spot - floor(spot))) + ys[CAST(least(floor(spot) + 1, len(xs) - 1) AS INT) + 1] * (spot - floor(spot)) AS value FROM q)")(lambda spark, sf: out(calibrate.downscale(*_split(spark, sf), "bcsd").df, "member lat lon", "value"))  # 11.3, 10.10
+_DQM = f"""{BASE}, mid AS (SELECT avg(year) AS mid, max(year) AS last FROM (SELECT DISTINCT year FROM past)),
+hb AS (SELECT lat, lon, sum((year - mid) * value) / sum((year - mid) * (year - mid)) AS b FROM past CROSS JOIN mid GROUP BY ALL), ob AS (SELECT lat, lon, sum((year - mid) * value) / sum((year - mid) * (year - mid)) AS b FROM obs CROSS JOIN mid WHERE year < 2001 GROUP BY ALL),
+hs AS (SELECT lat, lon, avg(value - b * (year - mid)) AS m, stddev_samp(value - b * (year - mid)) AS d FROM past JOIN hb USING (lat, lon) CROSS JOIN mid GROUP BY ALL), os AS (SELECT lat, lon, avg(value - b * (year - mid)) AS m, stddev_samp(value - b * (year - mid)) AS d FROM obs JOIN ob USING (lat, lon) CROSS JOIN mid WHERE year < 2001 GROUP BY ALL)"""
+put("dqm_parametric", f"{_DQM} SELECT {sel('member lat lon', 'value')} FROM (SELECT h.member, h.lat, h.lon, os.m + (h.value - hb.b * (last - mid) - hs.m) / hs.d * os.d + hb.b * (last - mid) AS value FROM hind h JOIN hb USING (lat, lon) JOIN hs USING (lat, lon) JOIN os USING (lat, lon) CROSS JOIN mid WHERE h.year = 2001)")(lambda spark, sf: out(calibrate.downscale(*_split(spark, sf), "dqm", variant="parametric").df, "member lat lon", "value"))  # 11.5
+_TABLE = " UNION ALL ".join(f"SELECT '{n}' AS metric, value FROM ({ORACLES[q]})" for n, q in (("pearson_r", "pearson_r_pooled"), ("spearman", "spearman_pooled"), ("2afc", "two_afc_pooled"), ("rmse", "rmse_pooled"), ("msss", "msss_pooled")))
+put("skill", _TABLE)(lambda spark, sf: metrics.skill(*_predicted(spark, sf)).select("metric", (F.round("value", 6) + 0.0).alias("value")))  # 9.19
