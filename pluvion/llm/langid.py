@@ -77,14 +77,11 @@ def _document_frequency(rows: DataFrame, dim: int) -> tuple[np.ndarray, int]:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(total[at], docs), pa.int64())], schema=schema)
 
-    found = rows.mapInArrow(run, "h int, n long").groupBy("h").agg(F.sum("n").alias("n")).collect()  # dim + 1 rows at most
-    df, docs = np.zeros(dim), 0
-    for r in found:
-        if r["h"] < 0:
-            docs = r["n"]
-        else:
-            df[r["h"]] = r["n"]
-    return df, docs
+    found = rows.mapInArrow(run, "h int, n long").groupBy("h").agg(F.sum("n").alias("n")).toArrow()  # dim + 1 rows at most
+    at, n = found["h"].to_numpy(), found["n"].to_numpy()
+    df = np.zeros(dim)
+    df[at[at >= 0]] = n[at >= 0]
+    return df, int(n[at < 0].sum())
 
 
 class Ftrl:
@@ -170,11 +167,11 @@ def fit(
 
     parts = sample.where(~kept).withColumn("shard", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(shards)).cast("int"))
     learnt = parts.groupBy("shard").applyInPandas(lambda pdf: train(pdf), "h int, w array<double>")
-    mean = learnt.groupBy("h").agg(*(F.sum(F.col("w")[i]).alias(f"w{i}") for i in range(n))).collect()  # dim rows at most
+    mean = learnt.groupBy("h").agg(*(F.sum(F.col("w")[i]).alias(f"w{i}") for i in range(n))).toArrow()  # dim rows at most
     shards_used = max(1, parts.select("shard").distinct().count())
     table = np.zeros((dim, n), np.float32)
-    for r in mean:
-        table[r["h"]] = [r[f"w{i}"] / shards_used for i in range(n)]
+    for i in range(n):
+        table[mean["h"].to_numpy(), i] = mean[f"w{i}"].to_numpy() / shards_used
     table *= idf[:, None]
     model = LanguageModel(langs, table.astype(np.float32), 1.0)
     seen = predict(sample.where(kept), model, "id", margins=True).join(sample.where(kept).select("id", "lang"), F.col("doc_id") == F.col("id")).select("lang", "margins").collect()
