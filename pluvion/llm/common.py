@@ -32,6 +32,18 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """From here on Python workers of this session get at most ``rows`` rows at a time.
+
+    For a DataFrame that is returned and run later, which ``batches_of`` can't reach. The text of
+    a batch is in memory several times (in the JVM, as Arrow and as Python strings), so the
+    default of 10,000 whole texts is much for an executor. Never raises a lower setting.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = int(spark.conf.get(key))
+    spark.conf.set(key, str(min(rows, before) if before > 0 else rows))
+
+
 @contextmanager
 def batches_of(spark: SparkSession, rows: int):
     """Within it, Python workers get at most ``rows`` at a time: for jobs whose rows are large."""

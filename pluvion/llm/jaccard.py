@@ -41,6 +41,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pluvion.llm.common import batches_of, components, cut, discard, perhaps_in, stored
+from pluvion.llm.textcache import release
 
 _U, _ALL = np.uint64, (1 << 64) - 1
 #: Odd multipliers of the 64-bit mixing function (fixed values).
@@ -196,6 +197,7 @@ def _prints(elements: np.ndarray) -> tuple[int, int]:
 def _printed(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, a hash of the text, n_shingles and the two fingerprints of the set (0 for an empty set)."""
     def run(batches):
+        release()
         for batch in batches:
             n, f1, f2 = [], [], []
             for t in batch.column(2).to_pylist():

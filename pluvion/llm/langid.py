@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pluvion.llm.textcache import release
+
 UNKNOWN = "und"
 _TF = 100.0
 
@@ -64,6 +66,7 @@ def _document_frequency(rows: DataFrame, dim: int) -> tuple[np.ndarray, int]:
     schema = pa.schema([("h", pa.int32()), ("n", pa.int64())])
 
     def run(batches):
+        release()
         total, docs = np.zeros(dim, np.int64), 0
         seen = np.zeros(dim, bool)
         for batch in batches:
@@ -188,6 +191,7 @@ def predict(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_co
     dim = len(table)
 
     def run(batches):
+        release()
         for batch in batches:
             lang, score, raw = [], [], []
             for t in batch.column(1).to_pylist():

@@ -33,7 +33,16 @@ _LIVE: dict = {}
 
 
 def per_worker(key, build):
-    """An object that lives as long as the Python worker, built on first use."""
+    """An object that the Python worker keeps from task to task, built on first use.
+
+    A worker serves one operator after another: asking for another key lets the last one go.
+    """
     if key not in _LIVE:
+        release()
         _LIVE[key] = build()
     return _LIVE[key]
+
+
+def release() -> None:
+    """Lets go what tasks of other operators left in this Python worker."""
+    _LIVE.clear()
