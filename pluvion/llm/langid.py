@@ -238,17 +238,19 @@ def _scores(model: LanguageModel):
 
 def least_score(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> float:
     """The threshold for ``keep_identified``: halfway between the score of a text that tells
-    nothing (1 / languages) and the lowest score of all labelled training rows whose language
-    is identified. 0 without such rows."""
+    nothing (1 / languages) and the lowest score of all labelled training rows that hold a letter.
+
+    Rows taken for another of the languages count too: they are written in a known language, as
+    a short text with a line of another one is, and so no labelled training row is below the
+    threshold. 0 without such rows."""
     best = _scores(model)
 
     @F.pandas_udf("double")
-    def right(texts, langs):
-        found = [(best(t), k) for t, k in zip(texts, langs)]
-        return pd.Series([x[1] if x and x[0] == k else None for x, k in found], dtype="float64")
+    def score(texts):
+        return pd.Series([x[1] if x else None for x in map(best, texts)], dtype="float64")
 
     rows = df.where(df[lang_col].isNotNull() & df[text_col].isNotNull() & (bucket(df[id_col]) != 0))
-    lowest = rows.select(right(rows[text_col], rows[lang_col]).alias("s")).where("s IS NOT NULL AND NOT isnan(s)").agg(F.min("s")).first()[0] if model.langs else None
+    lowest = rows.select(score(rows[text_col]).alias("s")).where("s IS NOT NULL AND NOT isnan(s)").agg(F.min("s")).first()[0] if model.langs else None
     return 0.0 if lowest is None else (lowest + 1 / len(model.langs)) / 2
 
 

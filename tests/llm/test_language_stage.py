@@ -18,3 +18,11 @@ def test_without_labels_documents_with_letters_stay(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet").withColumn("lang", F.lit(None).cast("string"))
     more = spark.createDataFrame([(-3, "12 34", None, None, 5), (-4, None, None, None, 0)], docs.schema)
     assert corpus_pipeline.language(spark, docs.unionByName(more), small).count() == docs.count()
+
+
+def test_labelled_rows_that_are_taken_for_another_language_stay(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    english = docs.where("lang = 'en'").orderBy("doc_id").first()["text"]
+    mixed = spark.createDataFrame([(-k, f"De la en {english[:80]}", "es", "x", 0) for k in range(10, 20)], docs.schema).where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) != 0)
+    left = corpus_pipeline.language(spark, docs.unionByName(mixed), small)
+    assert mixed.count() and left.where("doc_id < 0").count() == mixed.count()
