@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -85,3 +85,14 @@ def season_step(date: Column, start: Column, cadence: str = "daily") -> Column:
     per_month, width, most = {"dekad": (3, 10, 2), "pentad": (6, 5, 5), "monthly": (1, 31, 0)}[cadence]
     ordinal = lambda d: F.year(d) * (12 * per_month) + (F.month(d) - 1) * per_month + _slot(d, width, most)
     return (ordinal(date) - ordinal(start)).cast("int")
+
+
+def season_times(spark: SparkSession, season: str | tuple[int, int], years: list[int], cadence: str = "daily") -> DataFrame:
+    """year, step and time of every step of a season, in order; the first step holds the season's
+    first day and may begin before it."""
+    starts = {"daily": lambda d: d, "dekad": dekad_start, "pentad": pentad_start, "monthly": lambda d: F.trunc(d, "month").cast("date")}
+    if cadence not in starts:
+        raise ValueError(f"unknown cadence {cadence!r}")
+    bounds = spark.createDataFrame([(y, *season_bounds(season, y)) for y in years], "year int, season_start date, season_end date")
+    steps = F.array_distinct(F.transform(F.sequence("season_start", "season_end"), starts[cadence]))
+    return bounds.select("year", F.posexplode(steps).alias("step", "time"))

@@ -7,6 +7,10 @@ forms are made from that text, so the two cannot drift apart.
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -102,46 +106,113 @@ def t_cdf(column: str, dof: int) -> Column:
     return F.expr(t_cdf_sql(column, dof))
 
 
-def gamma_p(a: float, x: float) -> float:
-    """The regularised lower incomplete gamma function: series below a + 1, else Lentz's
-    continued fraction."""
-    import math
-
-    if not (a > 0) or x < 0 or math.isnan(x):
-        return math.nan
-    if x == 0:
-        return 0.0
-    front = math.exp(a * math.log(x) - x - math.lgamma(a))
-    if x < a + 1:
-        term = total = 1.0 / a
-        n = a
-        while abs(term) > abs(total) * 1e-16:
+def gamma_p(a, x):
+    """The regularised lower incomplete gamma function of arrays or numbers: series below a + 1,
+    else Lentz's continued fraction. Not a number where a is not positive or x is negative."""
+    a, x = np.broadcast_arrays(np.asarray(a, float), np.asarray(x, float))
+    out = np.full(a.shape, np.nan)
+    with np.errstate(invalid="ignore"):
+        fine = (a > 0) & (x >= 0)
+    out[fine & (x == 0)] = 0.0
+    shapes, which = np.unique(a, return_inverse=True)
+    log_gamma = np.array([math.lgamma(v) if v > 0 else np.nan for v in shapes])[which].reshape(a.shape)
+    small, large = fine & (x > 0) & (x < a + 1), fine & (x >= a + 1) & np.isfinite(x)
+    out[fine & np.isinf(x)] = 1.0
+    front = lambda at: np.exp(a[at] * np.log(x[at]) - x[at] - log_gamma[at])
+    if small.any():
+        n, v = a[small].copy(), x[small]
+        term = 1.0 / n
+        total = term.copy()
+        while (term > total * 1e-16).any():
             n += 1
-            term *= x / n
+            term *= v / n
             total += term
-        return min(1.0, front * total)
-    b, c = x + 1 - a, 1e300
-    d = h = 1.0 / b
-    for i in range(1, 10_000):
-        an = -i * (i - a)
-        b += 2
-        d = an * d + b
-        d = 1.0 / (d if abs(d) > 1e-300 else 1e-300)
-        c = b + an / (c if abs(c) > 1e-300 else 1e-300)
-        h *= d * c
-        if abs(d * c - 1) < 1e-16:
-            break
-    return max(0.0, 1.0 - front * h)
+        out[small] = np.minimum(1.0, front(small) * total)
+    if large.any():
+        b, k = x[large] + 1 - a[large], a[large]
+        c, d = np.full(b.shape, 1e300), 1.0 / b
+        h = d.copy()
+        for i in range(1, 10_000):
+            an = -i * (i - k)
+            b += 2
+            d, c = an * d + b, b + an / c
+            d = 1.0 / np.where(np.abs(d) > 1e-300, d, 1e-300)
+            c = np.where(np.abs(c) > 1e-300, c, 1e-300)
+            h *= d * c
+            if (np.abs(d * c - 1) < 1e-15).all():
+                break
+        out[large] = np.maximum(0.0, 1.0 - front(large) * h)
+    return out if out.shape else float(out)
+
+
+def gamma_quantile(a, p):
+    """The x at which ``gamma_p(a, x)`` is p, for arrays or numbers: bisection of logarithms,
+    from the leading term of the series, which lies below, to a doubled bound above."""
+    a, p = np.broadcast_arrays(np.asarray(a, float), np.asarray(p, float))
+    with np.errstate(invalid="ignore"):
+        fine = (a > 0) & (p >= 0) & (p < 1)
+    k, q = a[fine], p[fine]
+    shapes, which = np.unique(k, return_inverse=True)
+    log_gamma = np.array([math.lgamma(v + 1) for v in shapes])[which].reshape(k.shape)
+    low = np.exp(np.maximum((np.log(np.maximum(q, 1e-300)) + log_gamma) / k, -690.0))
+    high = np.maximum(k + 10 * np.sqrt(k) + 10, low)
+    while (short := gamma_p(k, high) < q).any():
+        high = np.where(short, high * 2, high)
+    for _ in range(80):
+        mid = np.sqrt(low * high)
+        under = gamma_p(k, mid) < q
+        low, high = np.where(under, mid, low), np.where(under, high, mid)
+    out = np.full(a.shape, np.nan)
+    out[fine] = np.where(q > 0, np.sqrt(low * high), 0.0)
+    return out if out.shape else float(out)
+
+
+def _positive(shape: Column, scale: Column) -> Column:
+    return (shape > 0) & (scale > 0)
 
 
 def gamma_cdf(x: Column, shape: Column, scale: Column) -> Column:
     """The gamma distribution function; missing where an argument is missing or not positive."""
-    import pandas as pd
 
-    def law(x, shape, scale):
-        nan = float("nan")
-        rows = zip(x, shape, scale)
-        return pd.Series([gamma_p(a, max(v, 0.0) / s) if v == v and a is not None and s is not None and a > 0 and s > 0 else nan for v, a, s in rows], dtype=float).where(lambda p: p.notna(), None)
+    @F.pandas_udf("double")
+    def law(x: pd.Series, shape: pd.Series) -> pd.Series:
+        return pd.Series(gamma_p(shape.to_numpy(float), x.clip(lower=0.0).to_numpy(float)))
+
+    fine = x.isNotNull() & _positive(shape, scale)
+    return F.when(fine, law(F.when(fine, x / scale), F.when(fine, shape)))
+
+
+def gamma_ppf(p: Column, shape: Column, scale: Column) -> Column:
+    """The gamma quantile function for 0 <= p < 1; missing where an argument is missing or out of range."""
+
+    @F.pandas_udf("double")
+    def law(p: pd.Series, shape: pd.Series) -> pd.Series:
+        return pd.Series(gamma_quantile(shape.to_numpy(float), p.to_numpy(float)))
+
+    fine = (p >= 0) & (p < 1) & _positive(shape, scale)
+    return F.when(fine, law(F.when(fine, p), F.when(fine, shape)) * scale)
+
+
+def gamma_to_normal(x: Column, shape: Column, scale: Column) -> Column:
+    """The standard normal score of a gamma value; probabilities are kept 1e-6 from 0 and 1.
+    Missing where an argument is missing, or a parameter not positive."""
+
+    @F.pandas_udf("double")
+    def score(x: pd.Series, shape: pd.Series, scale: pd.Series) -> pd.Series:
+        p = gamma_p(shape.to_numpy(float), (x.clip(lower=0.0) / scale.where(scale > 0)).to_numpy(float)).clip(1e-6, 1 - 1e-6)
+        # |z| squared over 2 follows a gamma law of shape 1/2.
+        return pd.Series(np.sign(p - 0.5) * np.sqrt(2 * gamma_quantile(0.5, np.abs(2 * p - 1))))
+
+    return score(x, shape, scale)
+
+
+def normal_to_gamma(z: Column, shape: Column, scale: Column) -> Column:
+    """The gamma value of a standard normal score, with probabilities and missing values as above."""
+
+    @F.pandas_udf("double")
+    def value(z: pd.Series, shape: pd.Series, scale: pd.Series) -> pd.Series:
+        v = z.to_numpy(float)
+        p = ((1 + np.sign(v) * gamma_p(0.5, v * v / 2)) / 2).clip(1e-6, 1 - 1e-6)
+        return pd.Series(gamma_quantile(shape.to_numpy(float), p)) * scale.where(scale > 0)
 
-    p = F.pandas_udf(law, "double", F.PandasUDFType.SCALAR)(x, shape, scale)
-    return F.when(x.isNotNull() & shape.isNotNull() & scale.isNotNull(), p)
+    return value(z, shape, scale)

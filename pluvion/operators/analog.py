@@ -177,3 +177,46 @@ def weighted_quantile(totals: DataFrame, weights: DataFrame, q: float, *key: str
         .when(F.col("_hi._p") == F.col("_lo._p"), F.col("_lo.total"))
         .otherwise(F.col("_lo.total") + (F.lit(q) - F.col("_lo._p")) / (F.col("_hi._p") - F.col("_lo._p")) * (F.col("_hi.total") - F.col("_lo.total"))).alias("total"),
     )
+
+
+def analogs_from_years(years: list[int], candidates: DataFrame, axis: str = "year") -> DataFrame:
+    """Given years as analogs, ranked in the order given: year, score (0, missing for the other
+    candidates) and rank."""
+    if not years:
+        raise ValueError("no year given")
+    order = candidates.sparkSession.createDataFrame([(y, i) for i, y in enumerate(dict.fromkeys(years), 1)], f"{axis} int, rank int")
+    pool = candidates.select(F.col(axis).cast("int").alias(axis)).unionByName(order.select(axis)).distinct()
+    return pool.join(F.broadcast(order), axis, "left").select(axis, F.when(F.col("rank").isNotNull(), 0.0).alias("score"), "rank")
+
+
+def analogs_where(condition: DataFrame, axis: str = "year") -> DataFrame:
+    """The years whose condition holds (missing: it does not), all equally good, in order of time."""
+    if condition.where(F.col("condition")).isEmpty():
+        raise ValueError("the condition selects no year")
+    return _again(condition.select(axis, F.when(F.col("condition"), 0.0).alias("score"), F.when(F.col("condition"), F.col(axis)).alias("_o")), axis)
+
+
+def _again(analogs: DataFrame, axis: str) -> DataFrame:
+    """Ranks from 1 in the order of ``_o``, missing where that is. A row per year."""
+    kept = analogs.where("_o IS NOT NULL").select(axis, F.row_number().over(W.orderBy("_o")).alias("rank"))
+    return analogs.drop("_o").join(F.broadcast(kept), axis, "left").select(axis, "score", "rank")
+
+
+def keep_years(analogs: DataFrame, mask: DataFrame, axis: str = "year") -> DataFrame:
+    """Drops selected years unless (year, keep) says true; the others keep their order."""
+    j = analogs.join(mask.where(F.col("keep")).select(axis, F.lit(True).alias("_k")).distinct(), axis, "left")
+    return _again(j.select(axis, "score", F.when(F.col("_k"), F.col("rank")).alias("_o")), axis)
+
+
+def top(analogs: DataFrame, n: int) -> DataFrame:
+    """The first n of the selected years."""
+    have = analogs.where("rank IS NOT NULL").count()
+    if not 1 <= n <= have:
+        raise ValueError(f"{n} of {have} selected years")
+    return analogs.withColumn("rank", F.when(F.col("rank") <= n, F.col("rank")))
+
+
+def accumulation(completed: DataFrame, *key: str) -> DataFrame:
+    """Season-to-date totals of each scenario; a missing step adds nothing."""
+    run = W.partitionBy("scenario", *key).orderBy("step").rowsBetween(W.unboundedPreceding, 0)
+    return completed.withColumn("accumulation", F.sum(F.coalesce("value", F.lit(0.0))).over(run))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from pluvion.cube import Cube
 from pluvion.functions import calendar
 from pluvion.functions.special import gamma_cdf, phi
+from pluvion.operators import regrid
 
 HOW = {"sum": F.sum, "mean": F.avg, "max": F.max, "min": F.min}
 
@@ -55,15 +58,17 @@ def seasonal_reduce(cube: Cube, time: str, months: list[int], how: str = "sum")
 def seasonal_stack(cube: Cube, time: str, season, years: list[int], cadence: str = "daily", tail_days: int = 0) -> Cube:
     """Time to (year, step): a row for every step of every season, missing where no data are.
 
-    A broadcast table of season bounds (a row per year) meets the dates by range; years
-    without any date are left out, and short ones are padded to the longest season.
+    Each date meets the season of its own year and of those before it that may reach so far, by
+    an equi-join with the season bounds (a row per year); years without any date are left out,
+    and short ones are padded to the longest season.
     """
     spark = cube.df.sparkSession
     bounds = [(y, *calendar.season_bounds(season, y)) for y in years]
     table = spark.createDataFrame(bounds, "year int, season_start date, season_end date")
-    date = F.to_date(time)
-    hit = cube.df.join(F.broadcast(table), (date >= F.col("season_start")) & (date <= F.date_add("season_end", tail_days)))
-    key = cube.key(time)
+    key, date = cube.key(time), F.to_date(time)
+    back = max(((e + dt.timedelta(days=tail_days)).year - y for y, _, e in bounds), default=0)
+    asked = cube.df.select(*key, time, cube.value, F.explode(F.sequence(F.year(date) - back, F.year(date))).alias("year"))
+    hit = asked.join(F.broadcast(table), "year").where(date.between(F.col("season_start"), F.date_add("season_end", tail_days)))
     rows = hit.select(*key, "year", "season_start", calendar.season_step(date, F.col("season_start"), cadence).alias("step"), cube.value)
     widest = max((e - s).days + 1 for _, s, e in bounds) + tail_days if bounds else 0
     last = widest - 1 if cadence == "daily" else {"dekad": 36, "pentad": 72, "monthly": 12}[cadence]
@@ -189,3 +194,49 @@ def detrend(cube: Cube, axis: str = "year") -> Cube:
     line = cube.df.groupBy(*key).agg(F.expr(f"regr_slope({cube.value}, {axis})").alias("_b"), F.expr(f"regr_intercept({cube.value}, {axis})").alias("_a"))
     left = F.when(F.col("_b").isNotNull(), F.col(cube.value) - F.col("_a") - F.col("_b") * F.col(axis)).otherwise(F.col(cube.value))
     return cube.over((cube.df.join(line, key or None) if key else cube.df.crossJoin(F.broadcast(line))).select(*cube.dims, left.alias(cube.value)))
+
+
+def dry_mask(climatology: Cube, threshold: float, lat: list[float] | None = None, lon: list[float] | None = None) -> DataFrame:
+    """The cells of a climatological total and dry (below the threshold; a missing total is not).
+    On another grid the mask is interpolated as 0 and 1 and cut above 0.5."""
+    dry = F.coalesce(F.col(climatology.value) < threshold, F.lit(False))
+    if lat is None or lon is None:
+        return climatology.df.select(*climatology.dims, dry.alias("dry"))
+    share = regrid.linear(climatology.over(climatology.df.withColumn(climatology.value, dry.cast("double"))), lat, lon)
+    return share.df.select(*share.dims, F.coalesce(F.col(share.value) > 0.5, F.lit(False)).alias("dry"))
+
+
+def fit_gamma(cube: Cube, axis: str) -> DataFrame:
+    """shape and scale per cell by moments of the positive values (population variance); missing
+    with fewer than three of them, or without spread."""
+    x = F.when(F.col(cube.value) > 0, F.col(cube.value))
+    m = cube.df.groupBy(*cube.key(axis)).agg(F.avg(x).alias("_m"), F.var_pop(x).alias("_v"), F.count(x).alias("_n"))
+    fine = (F.col("_n") >= 3) & (F.col("_m") >= 1e-12) & (F.col("_v") >= 1e-12)
+    return m.select(*cube.key(axis), F.when(fine, F.col("_m") * F.col("_m") / F.col("_v")).alias("shape"), F.when(fine, F.col("_v") / F.col("_m")).alias("scale"))
+
+
+def shared_years(tables: list[DataFrame], axis: str = "year", least: int = 5) -> DataFrame:
+    """The years that every table holds; too few raise."""
+    common = tables[0].select(axis).distinct()
+    for t in tables[1:]:
+        common = common.intersect(t.select(axis))
+    if (n := common.count()) < least:
+        raise ValueError(f"only {n} common years, {least} are needed")
+    return common
+
+
+def native_years(models: DataFrame, observed: DataFrame, axis: str = "year", least: int = 5) -> DataFrame:
+    """model and year: each model's own years among the observed; a model with too few raises."""
+    own = models.select("model", axis).distinct().join(observed.select(axis).distinct(), axis, "left_semi").select("model", axis)
+    short = models.select("model").distinct().join(own.groupBy("model").count(), "model", "left").where(F.coalesce("count", F.lit(0)) < least)
+    if (r := short.orderBy("model").first()) is not None:
+        raise ValueError(f"model {r['model']!r} shares fewer than {least} years")
+    return own
+
+
+def require_years(df: DataFrame, needed: list[int], axis: str = "year") -> DataFrame:
+    """The rows of the needed years; any year without a row raises."""
+    want = df.sparkSession.createDataFrame([(y,) for y in needed], f"{axis} int")
+    if lacking := sorted(r[0] for r in want.join(df.select(axis).distinct(), axis, "left_anti").collect()):  # at most the years asked for
+        raise ValueError(f"years without data: {lacking}")
+    return df.join(F.broadcast(want), axis, "left_semi")

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pluvion.cube import Cube
+from pluvion.operators import metrics
+
 STRATEGIES: dict[str, object] = {}
 
 
@@ -106,3 +109,19 @@ def shrink(weights: dict[str, float], toward_uniform: float = 0.5, least_effecti
     n = len(weights)
     out = {m: (1 - toward_uniform) * w + toward_uniform / n for m, w in weights.items()}
     return out if 1 / sum(w * w for w in out.values()) >= min(least_effective, n) else dict.fromkeys(weights, 1 / n)
+
+
+def member_correlations(models: DataFrame, combined: DataFrame, axis: str = "year") -> DataFrame:
+    """model and value: the correlation over years of a model's spatial mean with the combination's."""
+    own = models.groupBy("model", axis).agg(F.avg("value").alias("f"))
+    every = combined.groupBy(axis).agg(F.avg("value").alias("o"))
+    return metrics.pearson_by(own.join(every, axis), ["model"], "f", "o")
+
+
+def skill_deltas(models: DataFrame, combined: Cube, observed: Cube, axis: str = "year") -> DataFrame:
+    """model, cell and value: how far the combination's correlation with the observed exceeds the model's."""
+    cell = observed.key(axis)
+    ours = metrics.pearson_r(combined, observed, spatial=True, axis=axis).withColumnRenamed("value", "_ours")
+    pairs = models.withColumnRenamed("value", "f").join(observed.df.select(*observed.dims, F.col(observed.value).alias("o")), list(observed.dims))
+    theirs = metrics.pearson_by(pairs, ["model", *cell], "f", "o").withColumnRenamed("value", "_theirs")
+    return theirs.join(ours, cell).select("model", *cell, (F.col("_ours") - F.col("_theirs")).alias("value"))

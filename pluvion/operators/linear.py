@@ -48,35 +48,150 @@ def cca_fit(x, y, x_modes: int, y_modes: int, modes: int):
     return predict, leverage, r[:k]
 
 
+def _grams(cells: DataFrame, sides: tuple[str, ...], n: int) -> dict:
+    """Sums over cells of the products of all pairs of years: {(model, side): n x n array}.
+
+    ``cells`` holds model and an array of n numbers per side and cell. A task adds its cells up
+    before anything is shuffled, so n squared numbers a task, model and side are all that moves.
+    """
+    import numpy as np
+
+    def part(batches):
+        import pandas as pd
+
+        sums = {}
+        for pdf in batches:
+            for model, g in pdf.groupby("model"):
+                for side in sides:
+                    a = np.stack(g[side].to_numpy())
+                    sums[model, side] = sums.get((model, side), 0.0) + a.T @ a
+        for (model, side), v in sums.items():
+            yield pd.DataFrame({"model": model, "side": side, "i": np.repeat(np.arange(n), n), "j": np.tile(np.arange(n), n), "v": v.ravel()})
+
+    parts = cells.select("model", *sides).mapInPandas(part, "model string, side string, i int, j int, v double")
+    out: dict = {}
+    for r in parts.groupBy("model", "side", "i", "j").agg(F.sum("v").alias("v")).collect():  # years squared, by model
+        out.setdefault((r["model"], r["side"]), np.zeros((n, n)))[r["i"], r["j"]] = r["v"]
+    return out
+
+
+def _by_year(years: list[int], value: str):
+    """The values of a group's years as an array, in order; missing where there is none."""
+    return F.array(*(F.max(F.when(F.col("year") == y, F.col(value))) for y in years))
+
+
+def _eofs(gram, k: int):
+    """The first k left vectors and singular values of the centred matrix that a Gram matrix stands for."""
+    import numpy as np
+
+    centred = gram - gram.mean(0) - gram.mean(1)[:, None] + gram.mean()
+    e, u = np.linalg.eigh((centred + centred.T) / 2)
+    e, u = e[::-1], u[:, ::-1]
+    k = int((e[: min(k, len(e))] > 1e-13 * max(e[0], 1e-300)).sum())
+    return u[:, :k], np.sqrt(e[:k])
+
+
+def cca_fold(gx, gy, train, at: int, modes: tuple[int, int, int]):
+    """Weights of all years in the prediction of year ``at`` by a CCA of the training years, and
+    its leverage, from the years x years Gram matrices of predictor and predictand alone."""
+    import numpy as np
+
+    xx = gx[np.ix_(train, train)]
+    ux, sx = _eofs(xx, modes[0])
+    if not len(sx) or sx[0] ** 2 <= 1e-14 * max(float(np.abs(np.diag(gx)).max()), 1e-300):
+        raise ValueError("the predictor does not vary")
+    uy, _ = _eofs(gy[np.ix_(train, train)], modes[1])
+    weights, n = np.zeros(len(gx)), len(xx)
+    weights[train] = 1 / n
+    if not uy.shape[1]:
+        return weights, 1 / n
+    a, r, b = np.linalg.svd(ux.T @ uy, full_matrices=False)
+    k = min(modes[2], len(r))
+    new = gx[at, train] - gx[at, train].mean() - xx.mean(0) + xx.mean()
+    score = (new @ ux / sx**2) @ a[:, :k]
+    weights[train] += (score * r[:k]) @ b[:k] @ uy.T
+    return weights, float(min(1 / n + score.sum() ** 2, 100.0))
+
+
 def cca_cv(predictor: DataFrame, observed: Cube, modes: tuple[int, int, int] = (2, 2, 1), window: int = 1) -> DataFrame:
     """Leave-years-out CCA predictions: model, year, lat, lon, value and leverage.
 
     ``predictor`` holds model, year, lat, lon, value. Cells are weighted by the root of the
     cosine of latitude; cells that are wholly missing are left out, others filled with the mean.
+    Predictions are weighted sums over years, and the weights follow from products summed over
+    cells: the fields stay in Spark, and the driver sees years squared numbers a model.
     """
-    half = (window - 1) // 2
+    import numpy as np
+
+    half, spark = (window - 1) // 2, predictor.sparkSession
     obs = observed.df.select("year", "lat", "lon", F.col(observed.value).alias("o"))
-    both = predictor.join(obs, ["year", "lat", "lon"], "full").where("model IS NOT NULL")
+    both = predictor.where("model IS NOT NULL").join(obs, ["year", "lat", "lon"], "left")
+    own: dict = {}
+    usable = both.groupBy("model", "year").agg(F.count("value").alias("_x"), F.count("o").alias("_y")).where("_x > 0 AND _y > 0")
+    for r in usable.select("model", "year").collect():  # a row per model and year
+        own.setdefault(r["model"], []).append(r["year"])
+    years = sorted({y for v in own.values() for y in v})
+    at = {y: i for i, y in enumerate(years)}
+    schema = "model string, year int, lat int, lon int, value double, leverage double"
+    if not years:
+        return spark.createDataFrame([], schema)
+    kept = both.join(F.broadcast(spark.createDataFrame([(m, y) for m, v in own.items() for y in v], "model string, year int")), ["model", "year"], "left_semi")
+    cells = kept.groupBy("model", "lat", "lon").agg(_by_year(years, "value").alias("x"), _by_year(years, "o").alias("y"), F.avg("value").alias("_cx"), F.avg("o").alias("_cy"))
+    fill = F.broadcast(kept.groupBy("model").agg(F.avg("value").alias("_fx"), F.avg("o").alias("_fy")))  # a row per model
+    cells = cells.join(fill, "model")
+    weight = F.sqrt(F.cos(F.radians("lat")))
+    filled = lambda side: F.transform(side, lambda v: F.coalesce(v, F.col(f"_f{side}")))
+    level = lambda side: F.transform(filled(side), lambda v: F.coalesce((v - F.col(f"_c{side}")) * weight, F.lit(0.0)))
+    grams = _grams(cells.select("model", level("x").alias("x"), level("y").alias("y")), ("x", "y"), len(years))
+    rows = []
+    for model, mine in own.items():
+        spots = np.array(sorted(at[y] for y in mine))
+        for i, spot in enumerate(spots):
+            train = spots[np.abs(np.arange(len(spots)) - i) > half]
+            w, leverage = cca_fold(grams[model, "x"], grams[model, "y"], train, spot, modes)
+            rows.append((model, years[spot], w.tolist(), leverage))
+    folds = spark.createDataFrame(rows, "model string, year int, w array<double>, leverage double")  # years squared, by model
+    told = F.aggregate(F.zip_with(filled("y"), "w", lambda v, w: v * w), F.lit(0.0), lambda s, v: s + v)
+    seen = cells.where("_cy IS NOT NULL").join(F.broadcast(folds), "model")
+    return seen.select("model", "year", F.col("lat").cast("int").alias("lat"), F.col("lon").cast("int").alias("lon"), told.alias("value"), "leverage")
+
+
+def north_modes(field: Cube, ceiling: int = 10, least_share: float = 1.0) -> int:
+    """How many EOFs of a (year, lat, lon) field to keep, 1 at least: leading ones that hold more
+    than the average share of the variance, up to the first that the sampling error of its
+    eigenvalue does not tell from the next. Members are averaged first; cells with a missing year
+    are left out.
+    """
+    import numpy as np
+
+    extra = [d for d in field.dims if d not in ("year", "lat", "lon")]
+    cube = field.mean(*extra) if extra else field
+    years = sorted(r[0] for r in cube.df.select("year").distinct().collect())
+    n = len(years)
+    cells = cube.df.groupBy("lat", "lon").agg(_by_year(years, cube.value).alias("x"), F.avg(cube.value).alias("_c")).where(F.forall("x", lambda v: v.isNotNull()))
+    weight = F.sqrt(F.cos(F.radians("lat")))
+    level = cells.select(F.lit("m").alias("model"), F.transform("x", lambda v: (v - F.col("_c")) * weight).alias("x"))
+    gram = _grams(level, ("x",), n).get(("m", "x"))
+    if gram is None:
+        return 1
+    size = min(n, cells.count())
+    lam = np.clip(np.linalg.eigvalsh((gram + gram.T) / 2)[::-1][:size], 0.0, None)
+    if lam.sum() <= 0:
+        return 1
+    keep = 1
+    for i in range(min(size - 1, ceiling)):
+        if lam[i] / lam.sum() < least_share / size:
+            break
+        keep = i + 1
+        if lam[i] - lam[i + 1] <= lam[i] * np.sqrt(2 / n):
+            break
+    return max(1, min(keep, ceiling))
 
-    def run(key, pdf):
-        import numpy as np
-        import pandas as pd
 
-        wide = lambda v: pdf.pivot_table(index="year", columns=["lat", "lon"], values=v, aggfunc="first").dropna(axis=1, how="all")
-        x, y = wide("value"), wide("o")
-        years = x.index.intersection(y.index)
-        x, y = x.loc[years], y.loc[years]
-        weigh = lambda t: t.fillna(np.nanmean(t.to_numpy())).to_numpy() * np.sqrt(np.cos(np.radians(t.columns.get_level_values(0).to_numpy(float))))
-        xw, yw = weigh(x), weigh(y)
-        back = np.sqrt(np.cos(np.radians(y.columns.get_level_values(0).to_numpy(float))))
-        out = []
-        for i, year in enumerate(years):
-            train = np.abs(np.arange(len(years)) - i) > half
-            predict, leverage, _ = cca_fit(xw[train], yw[train], *modes)
-            out.append(pd.DataFrame({"model": key[0], "year": year, "lat": y.columns.get_level_values(0), "lon": y.columns.get_level_values(1), "value": predict(xw[i : i + 1])[0] / back, "leverage": leverage(xw[i : i + 1])[0]}))
-        return pd.concat(out)
-
-    return both.groupBy("model").applyInPandas(run, "model string, year int, lat int, lon int, value double, leverage double")
+def modes_north(predictor: Cube, observed: Cube, x_ceiling: int = 10, y_ceiling: int = 10) -> tuple[int, int, int]:
+    """Numbers of EOFs of predictor and predictand, and of canonical modes (the smaller)."""
+    x, y = north_modes(predictor, x_ceiling), north_modes(observed, y_ceiling)
+    return x, y, min(x, y)
 
 
 def logit_fit(x, label, ridge: float = 1e-6, rounds: int = 50):

@@ -68,7 +68,7 @@ def _pairs(forecast: Cube, observed: Cube) -> DataFrame:
     return f.df.select(*f.dims, F.col(f.value).alias("f")).join(o, list(observed.dims))
 
 
-def _pearson(df: DataFrame, key: list[str], x: str, y: str) -> DataFrame:
+def pearson_by(df: DataFrame, key: list[str], x: str, y: str) -> DataFrame:
     """Correlation per key, where means skip missing values on each side of their own."""
     m = df.groupBy(*key).agg(F.avg(x).alias("_mx"), F.avg(y).alias("_my"))
     j = df.join(m, key or None).withColumn("_dx", F.col(x) - F.col("_mx")).withColumn("_dy", F.col(y) - F.col("_my"))
@@ -83,7 +83,7 @@ def _pooled(cells: DataFrame, spatial: bool) -> DataFrame:
 
 @metric("pearson_r")
 def pearson_r(forecast: Cube, observed: Cube, spatial: bool = False, axis: str = "year") -> DataFrame:
-    return _pooled(_pearson(_pairs(forecast, observed), observed.key(axis), "f", "o"), spatial)
+    return _pooled(pearson_by(_pairs(forecast, observed), observed.key(axis), "f", "o"), spatial)
 
 
 @metric("spearman")
@@ -98,7 +98,7 @@ def spearman(forecast: Cube, observed: Cube, spatial: bool = False, axis: str =
         return F.when(F.col(c).isNotNull(), place + (ties - 1) / 2)
 
     ranks = df.withColumn("_rf", ranked("f")).withColumn("_ro", ranked("o"))
-    return _pooled(_pearson(ranks, key, "_rf", "_ro"), spatial)
+    return _pooled(pearson_by(ranks, key, "_rf", "_ro"), spatial)
 
 
 @metric("2afc")
@@ -167,13 +167,27 @@ def hss(terciles: DataFrame, observed: Cube, spatial: bool = False, axis: str =
     return out.select(*key, F.when(F.col("_n") - F.col("_e") > 1e-12, (F.col("_h") - F.col("_e")) / (F.col("_n") - F.col("_e"))).alias("value"))
 
 
+def _pieces(df: DataFrame, by: str, parts: int = 64) -> DataFrame:
+    """Adds ``_piece``, the number of a range of the column's values, from approximate quantiles
+    (at most ``parts`` numbers in the driver), so that an order over all rows can be kept range by range."""
+    cuts = df.agg(F.percentile_approx(by, [i / parts for i in range(1, parts)], 10_000)).first()[0] or []
+    limits = F.array(*(F.lit(c) for c in sorted(set(cuts)))) if cuts else F.array().cast("array<double>")
+    return df.withColumn("_piece", F.size(F.filter(limits, lambda c: c <= F.col(by))))
+
+
 def roc_area(scored: DataFrame, prob: str, event: str) -> DataFrame:
     """Area under the ROC curve of a probability and a boolean column; ties are one step of the
-    curve, and without both outcomes it is 0.5."""
+    curve, and without both outcomes it is 0.5.
+
+    One row per distinct probability is dealt into ranges; running sums inside a range start
+    from the totals of the ranges above it (a table of a row per range).
+    """
     steps = scored.groupBy(prob).agg(F.count(F.when(F.col(event), 1)).alias("_t"), F.count(F.when(~F.col(event), 1)).alias("_f"))
-    # One row per distinct probability; the running sum is a global order by nature.
-    order = W.orderBy(F.desc(prob)).rowsBetween(W.unboundedPreceding, 0)
-    run = steps.withColumn("_ct", F.sum("_t").over(order)).withColumn("_cf", F.sum("_f").over(order))
+    steps = _pieces(steps.where(F.col(prob).isNotNull()), prob)
+    above = W.orderBy(F.desc("_piece")).rowsBetween(W.unboundedPreceding, -1)
+    before = steps.groupBy("_piece").agg(F.sum("_t").alias("_all")).select("_piece", F.coalesce(F.sum("_all").over(above), F.lit(0)).alias("_before"))
+    order = W.partitionBy("_piece").orderBy(F.desc(prob)).rowsBetween(W.unboundedPreceding, 0)
+    run = steps.join(F.broadcast(before), "_piece").withColumn("_ct", F.col("_before") + F.sum("_t").over(order))
     area = F.sum(F.col("_f") * (F.col("_ct") - F.col("_t") / 2))
     out = run.agg(area.alias("_a"), F.sum("_t").alias("_t"), F.sum("_f").alias("_f"))
     return out.select(F.when((F.col("_t") > 0) & (F.col("_f") > 0), F.col("_a") / (F.col("_t") * F.col("_f"))).otherwise(0.5).alias("value"))
@@ -256,6 +270,12 @@ def _spread_error(ensemble: Cube, observed: Cube, member: str) -> DataFrame:
     return m.join(o, list(observed.dims)).select(*observed.dims, "spread", F.abs(F.col("_m") - F.col("_o")).alias("error"))
 
 
+def spread_error_diagnostics(ensemble: Cube, observed: Cube, spatial: bool = False, axis: str = "year", member: str = "member") -> DataFrame:
+    """The pairs behind the two metrics below: spread and error by year (means over cells), or by year and cell."""
+    df = _spread_error(ensemble, observed, member)
+    return df if spatial else df.groupBy(axis).agg(F.avg("spread").alias("spread"), F.avg("error").alias("error"))
+
+
 @metric("spread_error_ratio")
 def spread_error_ratio(ensemble: Cube, observed: Cube, spatial: bool = False, axis: str = "year", member: str = "member") -> DataFrame:
     key = observed.key(axis) if spatial else []
@@ -266,20 +286,28 @@ def spread_error_ratio(ensemble: Cube, observed: Cube, spatial: bool = False, ax
 @metric("spread_error_correlation")
 def spread_error_correlation(ensemble: Cube, observed: Cube, spatial: bool = False, axis: str = "year", member: str = "member") -> DataFrame:
     """Over years, of spread and error averaged over cells first; missing with fewer than three years."""
-    df = _spread_error(ensemble, observed, member)
-    if not spatial:
-        df = df.groupBy(axis).agg(F.avg("spread").alias("spread"), F.avg("error").alias("error"))
+    df = spread_error_diagnostics(ensemble, observed, spatial, axis, member)
     key = observed.key(axis) if spatial else []
     return df.groupBy(*key).agg(F.when(F.count(F.lit(1)) >= 3, F.corr("spread", "error")).alias("value"))
 
 
 def fdr(pvalues: DataFrame, p: str = "p") -> DataFrame:
-    """Benjamini-Hochberg: p m / rank, made monotone from the largest down, 1 at most."""
+    """Benjamini-Hochberg: p m / rank, made monotone from the largest down, 1 at most.
+
+    Equal values share the last rank among them. Distinct values are dealt into ranges, whose
+    counts and minima (a row per range) carry the order from one range to the next.
+    """
     known = pvalues.where(F.col(p).isNotNull())
-    m = known.agg(F.count(F.lit(1)).alias("_m"))
-    ranked = known.withColumn("_r", F.row_number().over(W.orderBy(p))).crossJoin(F.broadcast(m))  # one row
-    low = F.min(F.col(p) * F.col("_m") / F.col("_r")).over(W.orderBy(F.desc("_r")).rowsBetween(W.unboundedPreceding, 0))
-    return ranked.withColumn("q", F.least(low, F.lit(1.0))).drop("_m", "_r")
+    steps = _pieces(known.groupBy(p).agg(F.count(F.lit(1)).alias("_n")), p)
+    up = W.orderBy("_piece")
+    before = steps.groupBy("_piece").agg(F.sum("_n").alias("_all")).withColumns({"_before": F.coalesce(F.sum("_all").over(up.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)), "_m": F.sum("_all").over(up.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))})
+    inside = W.partitionBy("_piece").orderBy(p)
+    ranked = steps.join(F.broadcast(before), "_piece").withColumn("_r", F.col("_before") + F.sum("_n").over(inside.rowsBetween(W.unboundedPreceding, 0)))
+    raw = ranked.withColumn("_raw", F.col(p) * F.col("_m") / F.col("_r"))
+    later = raw.groupBy("_piece").agg(F.min("_raw").alias("_low")).select("_piece", F.min("_low").over(up.rowsBetween(1, W.unboundedFollowing)).alias("_later"))
+    low = F.min("_raw").over(inside.rowsBetween(0, W.unboundedFollowing))
+    q = raw.join(F.broadcast(later), "_piece").select(p, F.least(low, F.col("_later"), F.lit(1.0)).alias("q"))
+    return known.join(q, p)
 
 
 def permutation_test(x, y, statistic, alternative: str = "greater", n: int = 5000, seed: int | None = None) -> tuple[float, float]:

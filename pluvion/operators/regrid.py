@@ -71,3 +71,12 @@ def range_stats(points: DataFrame, edges: DataFrame) -> DataFrame:
     inside = (F.col("lat") >= F.col("south")) & (F.col("lat") < F.col("north")) & (F.col("lon") >= F.col("west")) & (F.col("lon") < F.col("east"))
     spread = F.sqrt(F.greatest(F.avg(F.col("value") * F.col("value")) - F.avg("value") * F.avg("value"), F.lit(0.0)))
     return points.join(edges, inside).groupBy("cell").agg(F.avg("value").alias("elevation"), spread.alias("roughness"))
+
+
+def with_parent(cube: Cube, factor: int) -> DataFrame:
+    """Each cell's value beside the mean and the largest value of its block of ``factor`` cells."""
+    others = cube.key("lat", "lon")
+    block = [F.floor(F.col(c) / factor).alias(f"{c}_block") for c in ("lat", "lon")]
+    cells = cube.df.select(*cube.dims, cube.value, *block)
+    parents = cells.groupBy(*others, "lat_block", "lon_block").agg(F.avg(cube.value).alias("parent_mean"), F.max(cube.value).alias("parent_max"))
+    return cells.join(parents, [*others, "lat_block", "lon_block"]).select(*cube.dims, cube.value, "parent_mean", "parent_max")

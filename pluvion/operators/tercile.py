@@ -139,3 +139,11 @@ def flex(forecast: DataFrame, keep: list[str], observed: Cube, threshold: float,
     limit = quantiles(observed, axis, _t=threshold)
     df = forecast.join(limit, observed.key(axis) or None).withColumn("_z", (F.col("_t") - F.col("value")) / F.sqrt(F.greatest(F.col("pev"), F.lit(1e-12))))
     return df.select(*keep, (1 - phi("_z")).alias("p_exceed"))
+
+
+def tercile_mae(probabilities: DataFrame, percent: DataFrame, cell: list[str]) -> DataFrame:
+    """The mean absolute difference, in percentage points, from a reference in percent: one row
+    with value. Only cells where all three categories are there on both sides count."""
+    ref = percent.select(*cell, *(F.col(p).alias(f"_{p}") for p in P))
+    j = probabilities.join(ref, cell).dropna(subset=[*P, *(f"_{p}" for p in P)])
+    return j.agg(F.avg(sum((F.abs(F.col(p) * 100 - F.col(f"_{p}")) for p in P), F.lit(0.0)) / 3).alias("value"))

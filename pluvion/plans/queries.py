@@ -6,6 +6,7 @@ comments are the rows of the operator inventory.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,9 +14,9 @@ from pyspark.sql import functions as F
 
 from pluvion import cube
 from pluvion.cube import Cube
-from pluvion.functions import calendar
+from pluvion.functions import calendar, special
 from pluvion.functions.special import density_sql, phi_inverse_sql, phi_sql, t_cdf_sql
-from pluvion.operators import analog, calibrate, climate, ensemble, linear, metrics, regrid, tercile, timing
+from pluvion.operators import analog, calibrate, climate, ensemble, linear, metrics, regrid, subseasonal, tercile, timing
 from pluvion.sources import terciles as store
 from pluvion.streaming import scoring
 
@@ -551,3 +552,89 @@ hs AS (SELECT lat, lon, avg(value - b * (year - mid)) AS m, stddev_samp(value -
 put("dqm_parametric", f"{_DQM} SELECT {sel('member lat lon', 'value')} FROM (SELECT h.member, h.lat, h.lon, os.m + (h.value - hb.b * (last - mid) - hs.m) / hs.d * os.d + hb.b * (last - mid) AS value FROM hind h JOIN hb USING (lat, lon) JOIN hs USING (lat, lon) JOIN os USING (lat, lon) CROSS JOIN mid WHERE h.year = 2001)")(lambda spark, sf: out(calibrate.downscale(*_split(spark, sf), "dqm", variant="parametric").df, "member lat lon", "value"))  # 11.5
 _TABLE = " UNION ALL ".join(f"SELECT '{n}' AS metric, value FROM ({ORACLES[q]})" for n, q in (("pearson_r", "pearson_r_pooled"), ("spearman", "spearman_pooled"), ("2afc", "two_afc_pooled"), ("rmse", "rmse_pooled"), ("msss", "msss_pooled")))
 put("skill", _TABLE)(lambda spark, sf: metrics.skill(*_predicted(spark, sf)).select("metric", (F.round("value", 6) + 0.0).alias("value")))  # 9.19
+
+
+# Masks, gamma fits, years, analogs by hand, contributions, and the sub-seasonal chain.
+_CLIMATE = "SELECT lat, lon, avg(value) AS value FROM obs GROUP BY ALL"
+put("dry_mask", f"{BASE} SELECT {sel('lat lon dry')} FROM (SELECT lat, lon, CAST(coalesce(value < 38000.0, FALSE) AS INT) AS dry FROM ({_CLIMATE}))")(lambda spark, sf: out(climate.dry_mask(cube.observed(spark, sf).mean("year"), 38000.0), "lat lon dry"))  # 2.9
+put("fit_gamma", f"{BASE} SELECT {sel('lat lon', 'shape scale')} FROM (SELECT lat, lon, CASE WHEN count(*) >= 3 THEN avg(value) * avg(value) / var_pop(value) END AS shape, CASE WHEN count(*) >= 3 THEN var_pop(value) / avg(value) END AS scale FROM obs WHERE value > 0 GROUP BY ALL)")(lambda spark, sf: out(climate.fit_gamma(cube.observed(spark, sf), "year"), "lat lon", "shape scale"))  # 4.12
+
+
+@put("gamma_round_trip", f"{BASE} SELECT {sel('year lat lon', 'value')} FROM (SELECT year, lat, lon, round(value, 2) AS value FROM obs)")  # 11.19
+def gamma_round_trip(spark, sf):
+    o = cube.observed(spark, sf)
+    law = [F.col("shape"), F.col("scale")]
+    scored = o.df.join(climate.fit_gamma(o, "year"), ["lat", "lon"]).withColumn("normal", special.gamma_to_normal(F.col("value"), *law))
+    return out(scored.withColumn("value", F.round(special.normal_to_gamma(F.col("normal"), *law), 2)), "year lat lon", "value")
+
+
+put("parent_cells", f"{BASE} SELECT {sel('year lat lon', 'parent_mean parent_max')} FROM (SELECT year, lat, lon, avg(value) OVER w AS parent_mean, max(value) OVER w AS parent_max FROM obs WINDOW w AS (PARTITION BY year, lat // 2, lon // 2))")(lambda spark, sf: out(regrid.with_parent(cube.observed(spark, sf), 2), "year lat lon", "parent_mean parent_max"))  # 4.16
+put("native_years", f"{BASE} SELECT model, {sel('year')} FROM (SELECT DISTINCT concat('m', member) AS model, year FROM hind WHERE year IN (SELECT year FROM obs))")(lambda spark, sf: climate.native_years(_all_models(spark, sf), cube.observed(spark, sf).df).select("model", F.col("year").cast("long").alias("year")))  # 8.9, 2.12
+put("shared_years", f"{BASE} SELECT {sel('year')} FROM (SELECT year FROM hind INTERSECT SELECT year FROM obs)")(lambda spark, sf: out(climate.shared_years([cube.hindcast(spark, sf).df, cube.observed(spark, sf).df]), "year"))  # 8.8
+put("tercile_mae", f"{BASE}{PROBS} SELECT {sel('', 'value')} FROM (SELECT avg((abs(a.p_bn - b.p_bn) + abs(a.p_nn - b.p_nn) + abs(a.p_an - b.p_an)) * 100 / 3) AS value FROM probs a JOIN probs b ON b.year = a.year - 1 AND a.lat = b.lat AND a.lon = b.lon)")(lambda spark, sf: out(tercile.tercile_mae(p := _probs(spark, sf)[0], p.select((F.col("year") + 1).alias("year"), "lat", "lon", *(F.col(c).__mul__(100).alias(c) for c in tercile.P)), _K), "", "value"))  # 4.14
+put("season_times", "SELECT CAST(year AS BIGINT) AS year, CAST(row_number() OVER (PARTITION BY year ORDER BY t) - 1 AS BIGINT) AS step, CAST(t AS VARCHAR) AS time FROM (SELECT DISTINCT year, CAST(date_trunc('month', d) AS DATE) + CAST(10 * least((day(d) - 1) // 10, 2) AS INTEGER) AS t FROM (SELECT y AS year, CAST(unnest(generate_series(make_date(y, 11, 1), make_date(y + 1, 1, 31), INTERVAL 1 DAY)) AS DATE) AS d FROM (SELECT unnest(range(1995, 2002)) AS y)))")(lambda spark, sf: calendar.season_times(spark, "NDJ", list(_ALL_YEARS), "dekad").select(F.col("year").cast("long").alias("year"), F.col("step").cast("long").alias("step"), F.col("time").cast("string").alias("time")))  # 5.8
+put("analogs_where", f"{_IDX} SELECT {sel('year rank', 'score')} FROM (SELECT year, CASE WHEN value >= 0 THEN 0.0 END AS score, CASE WHEN value >= 0 THEN sum(CASE WHEN value >= 0 THEN 1 ELSE 0 END) OVER (ORDER BY year) END AS rank FROM idx)")(lambda spark, sf: out(analog.analogs_where(_index(spark, sf).select("year", (F.col("value") >= 0).alias("condition"))), "year rank", "score"))  # 12.5
+put("analogs_from_years", f"{BASE} SELECT {sel('year rank', 'score')} FROM (SELECT DISTINCT year, CASE year WHEN 1999 THEN 1 WHEN 1996 THEN 2 END AS rank, CASE WHEN year IN (1999, 1996) THEN 0.0 END AS score FROM obs)")(lambda spark, sf: out(analog.top(analog.analogs_from_years([1999, 1996, 2001], cube.observed(spark, sf).df.select("year")), 2).withColumn("score", F.when(F.col("rank").isNotNull(), F.col("score"))), "year rank", "score"))  # 12.5, 8.3
+put("analogs_filtered", f"{_IDX}, s2 AS (SELECT year, abs(value - 0.5) AS score, value FROM idx), r AS ({_RANKED.replace('SELECT year,', 'SELECT year, value,', 1)}) SELECT {sel('year rank', 'score')} FROM (SELECT year, score, CASE WHEN rank IS NOT NULL AND value > 0 THEN row_number() OVER (PARTITION BY rank IS NOT NULL AND value > 0 ORDER BY rank) END AS rank FROM r)")(lambda spark, sf: out(analog.keep_years(analog.analogs_from_index(i := _index(spark, sf), 0.5, 3), i.select("year", (F.col("value") > 0).alias("keep"))), "year rank", "score"))  # 2.15
+put("accumulation", f"{SEASONS.format(tail=0).replace('range(1996, 2001)', 'range(1995, 2002)')} SELECT {sel('nation scenario step', 'accumulation')} FROM (SELECT nation, year AS scenario, step, sum(value) OVER (PARTITION BY nation, year ORDER BY step) AS accumulation FROM stack)")(lambda spark, sf: out(analog.accumulation(_all_seasons(spark, sf).df.withColumnRenamed("year", "scenario"), "nation"), "nation scenario step", "accumulation"))  # 7.10
+_COMBINED = f"{BASE}, comb AS (SELECT year, lat, lon, CASE WHEN count(*) = 7 THEN avg(value) END AS value FROM hind GROUP BY ALL)"
+
+
+def _corr_sql(table: str, key: str) -> str:
+    """Correlation of f and o by key; each mean over all its values that are there."""
+    keys = key.split(", ")
+    return f"(SELECT {key}, sum((f - mf) * (o - mo)) / sqrt(sum((f - mf) * (f - mf)) * sum((o - mo) * (o - mo))) AS value FROM (SELECT *, avg(f) OVER (PARTITION BY {key}) AS mf, avg(o) OVER (PARTITION BY {key}) AS mo FROM {table}) GROUP BY {', '.join(keys)})"
+
+
+def _combined(spark, sf) -> tuple[DataFrame, Cube]:
+    models = _all_models(spark, sf)
+    return models, Cube(ensemble.uniform(models, _K), ("year", "lat", "lon"))
+
+
+put("member_correlations", f"{_COMBINED}, t AS (SELECT model, year, f, o FROM (SELECT concat('m', member) AS model, year, avg(value) AS f FROM hind GROUP BY ALL) JOIN (SELECT year, avg(value) AS o FROM comb GROUP BY ALL) USING (year)) SELECT model, {sel('', 'value')} FROM {_corr_sql('t', 'model')}")(lambda spark, sf: ensemble.member_correlations((x := _combined(spark, sf))[0], x[1].df).select("model", (F.round("value", 6) + 0.0).alias("value")))  # 10.7
+put("skill_deltas", f"{_COMBINED}, t AS (SELECT concat('m', member) AS model, h.lat, h.lon, h.value AS f, o.value AS o FROM hind h JOIN obs o USING (year, lat, lon)), c AS (SELECT c.lat, c.lon, c.value AS f, o.value AS o FROM comb c JOIN obs o USING (year, lat, lon)) SELECT model, {sel('lat lon', 'value')} FROM (SELECT model, a.lat, a.lon, CASE WHEN isfinite(b.value - a.value) THEN b.value - a.value END AS value FROM {_corr_sql('t', 'model, lat, lon')} a JOIN {_corr_sql('c', 'lat, lon')} b USING (lat, lon))")(lambda spark, sf: ensemble.skill_deltas((x := _combined(spark, sf))[0], x[1], cube.observed(spark, sf)).select("model", *(F.col(c).cast("long").alias(c) for c in ("lat", "lon")), (F.round("value", 6) + 0.0).alias("value")))  # 10.7
+put("spread_error_diagnostics", f"{BASE}, m AS (SELECT year, lat, lon, stddev_pop(h.value) AS spread, abs(avg(h.value) - max(o.value) / 1500) AS error FROM hind h JOIN obs o USING (year, lat, lon) GROUP BY ALL) SELECT {sel('year', 'spread error')} FROM (SELECT year, avg(spread) AS spread, avg(error) AS error FROM m GROUP BY ALL)")(lambda spark, sf: out(metrics.spread_error_diagnostics(cube.hindcast(spark, sf), (o := cube.observed(spark, sf)).over(o.df.withColumn("value", F.col("value") / 1500.0))), "year", "spread error"))  # 9.15
+put("require_years", f"{BASE} SELECT {sel('year lat lon', 'value')} FROM obs WHERE year IN (1996, 1998)")(lambda spark, sf: out(climate.require_years(cube.observed(spark, sf).df, [1996, 1998]), "year lat lon", "value"))  # 2.12, 8.10
+put("new_since", "SELECT CAST(d AS VARCHAR) AS issuance FROM (SELECT CAST(unnest(generate_series(DATE '1996-01-01', DATE '1996-12-31', INTERVAL 1 DAY)) AS DATE) AS d) WHERE dayofweek(d) IN (1, 4) AND d NOT IN (SELECT CAST(l_shipdate AS DATE) FROM lineitem WHERE l_quantity > 49)")(lambda spark, sf: store.new_since(spark, "1996-01-01", "1996-12-31", spark.read.parquet(f"{sf}/lineitem.parquet").where("l_quantity > 49").select(F.to_date("l_shipdate").alias("issuance"))).select(F.col("issuance").cast("string").alias("issuance")))  # 1.13
+
+
+@put("select_targets", "SELECT country, season, CAST(i // 100 AS BIGINT) AS init_year, CAST(i % 100 AS BIGINT) AS init_month FROM (SELECT country, season, max(iy * 100 + m) AS i FROM (SELECT *, ty - CASE WHEN m < sm THEN 0 ELSE 1 END AS iy FROM (SELECT n_name AS country, 's' || sm AS season, sm, CASE WHEN sm > 5 THEN 2024 ELSE 2025 END AS ty, unnest([(sm + 8) % 12 + 1, (sm + 10) % 12 + 1]) AS m FROM (SELECT n_name, n_nationkey % 12 + 1 AS sm FROM nation))) WHERE make_date(iy, m, 1) <= DATE '2024-05-01' GROUP BY ALL)")  # 5.20
+def select_targets(spark, sf):
+    start = (F.col("n_nationkey") % 12 + 1).cast("int")
+    seasons = spark.read.parquet(f"{sf}/nation.parquet").select(F.col("n_name").alias("country"), start.alias("start_month")).withColumn("season", F.concat(F.lit("s"), F.col("start_month")))
+    months = F.array(*((F.col("start_month") + k) % 12 + 1 for k in (8, 10)))
+    got = store.select_targets(seasons.withColumn("init_months", months), F.lit("2024-05-20").cast("date"))
+    return got.select("country", "season", *(F.col(c).cast("long").alias(c) for c in ("init_year", "init_month")))
+
+
+def _leads(spark, sf) -> Cube:
+    """Quantity shipped by priority, order date and hours from order to shipping."""
+    order, line = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("orders", "lineitem"))
+    rows = line.join(order, line["l_orderkey"] == order["o_orderkey"]).select(F.col("o_orderpriority").alias("priority"), F.to_date("o_orderdate").alias("issued"), (F.datediff("l_shipdate", "o_orderdate") * 24).alias("lead"), "l_quantity")
+    return Cube(rows.groupBy("priority", "issued", "lead").agg(F.avg("l_quantity").alias("value")), ("priority", "issued", "lead"))
+
+
+_DEKAD = "CAST(date_trunc('month', {d}) AS DATE) + CAST(10 * least((day({d}) - 1) // 10, 2) AS INTEGER)"
+put("dekads_from_leads", f"WITH c AS (SELECT o_orderpriority AS priority, CAST(o_orderdate AS DATE) AS issued, CAST(l_shipdate AS DATE) AS day, avg(l_quantity) AS value FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL) SELECT priority, CAST(issued AS VARCHAR) AS issued, CAST(dekad AS VARCHAR) AS dekad, {sel('', 'value')} FROM (SELECT priority, issued, {_DEKAD.format(d='day')} AS dekad, avg(value) AS value FROM c GROUP BY ALL)")(lambda spark, sf: subseasonal.dekads_from_leads(_leads(spark, sf), "issued", "lead").df.select("priority", F.col("issued").cast("string").alias("issued"), F.col("dekad").cast("string").alias("dekad"), (F.round("value", 6) + 0.0).alias("value")))  # 2.5
+put("same_day_of_year", f"{DAILY} SELECT {sel('nation year', 'value')} FROM (SELECT nation, year(date) AS year, value FROM daily WHERE dayofyear(date) = dayofyear(DATE '2001-04-11') AND year(date) BETWEEN 1995 AND 2001)")(lambda spark, sf: out(subseasonal.same_day_of_year(cube.daily(spark, sf), "date", dt.date(2001, 4, 11), 1995, 2001).df, "nation year", "value"))  # 2.4
+
+
+def _shipped(spark, sf) -> Cube:
+    return Cube(spark.read.parquet(f"{sf}/lineitem.parquet").groupBy(F.to_date("l_shipdate").alias("date")).agg(F.sum("l_quantity").alias("value")), ("date",))
+
+
+put("dekads_from_days", f"WITH d AS (SELECT CAST(l_shipdate AS DATE) AS date, sum(l_quantity) AS value FROM lineitem GROUP BY ALL) SELECT CAST(dekad AS VARCHAR) AS dekad, {sel('', 'value')} FROM (SELECT {_DEKAD.format(d='date')} AS dekad, avg(value) AS value FROM d WHERE day(date) <= 30 GROUP BY ALL HAVING count(*) = 10)")(lambda spark, sf: subseasonal.dekads_from_days(_shipped(spark, sf), "date").df.select(F.col("dekad").cast("string").alias("dekad"), (F.round("value", 6) + 0.0).alias("value")))  # 2.6
+put("tercile_probabilities", f"{BASE}, t AS (SELECT lat, lon, quantile_cont(value, 1.0/3) AS t33, quantile_cont(value, 2.0/3) AS t67 FROM hmean GROUP BY ALL), p AS (SELECT year, lat, lon, count(*) FILTER (value < t33) / CAST(count(*) AS DOUBLE) AS below, count(*) FILTER (value > t67) / CAST(count(*) AS DOUBLE) AS above FROM hind JOIN t USING (lat, lon) GROUP BY ALL) SELECT category, {sel('year lat lon')}, round(CAST(CAST(p AS FLOAT) AS DOUBLE), 5) + 0.0 AS p FROM (SELECT year, lat, lon, unnest(['below', 'normal', 'above']) AS category, unnest([below, 1 - below - above, above]) AS p FROM p)")(lambda spark, sf: subseasonal.tercile_probabilities(h := cube.hindcast(spark, sf), h.mean("member")).select("category", *(F.col(c).cast("long").alias(c) for c in _K), (F.round(F.col("p").cast("double"), 5) + 0.0).alias("p")))  # 6.10
+put(
+    "score_pairs",
+    f"""{BASE}{PRED}{PROBS}, clim AS (SELECT lat, lon, avg(value) AS m, quantile_cont(value, 1.0/3) AS a, quantile_cont(value, 2.0/3) AS b FROM obs GROUP BY ALL),
+c AS (SELECT year, f, o, f - m AS fa, o - m AS oa, p_bn, p_bn + p_nn AS p2, p_bn + p_nn + p_an AS p3, CASE WHEN o < a THEN 1.0 ELSE 0.0 END AS c1, CASE WHEN o > b THEN 0.0 ELSE 1.0 END AS c2 FROM pair JOIN clim USING (lat, lon) JOIN probs USING (year, lat, lon))
+SELECT {sel('year', 'acc rmse bias rpss')} FROM (SELECT year, corr(fa, oa) AS acc, sqrt(avg((f - o) * (f - o))) AS rmse, avg(f - o) AS bias,
+1 - avg(power(p_bn - c1, 2) + power(p2 - c2, 2) + power(p3 - 1, 2)) / avg(power(1.0 / 3 - c1, 2) + power(2.0 / 3 - c2, 2)) AS rpss FROM c GROUP BY year)""",
+)(lambda spark, sf: out(subseasonal.score_pairs(*_predicted(spark, sf), cube.observed(spark, sf), ["year"], _probs(spark, sf)[0]), "year", "acc rmse bias rpss"))  # 9.18
+
+
+@put("modes_north")  # 11.9
+def modes_north(spark, sf):
+    x, y, k = linear.modes_north(cube.hindcast(spark, sf), cube.observed(spark, sf))
+    return spark.createDataFrame([(x, y, k)], "x_modes long, y_modes long, modes long")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pluvion.operators.tercile import P
@@ -33,10 +33,27 @@ def write_issuance(df: DataFrame, root: str) -> None:
     df.write.mode("append").partitionBy("country", "issuance", "method", "target_dekad").parquet(root)
 
 
+KEYS = ["country", "issuance", "method", "target_dekad"]
+
+
+def read_issuances(spark: SparkSession, root: str, **only: str) -> DataFrame:
+    """The issuance store; named partition values prune what is read."""
+    df = spark.read.parquet(root)
+    for name, value in only.items():
+        if name not in KEYS:
+            raise ValueError(f"no partition {name!r}; known: {KEYS}")
+        df = df.where(F.col(name) == value)
+    return df
+
+
+def scored_keys(spark: SparkSession, path: str) -> DataFrame:
+    """The distinct keys of the score log."""
+    return spark.read.schema(", ".join(f"{k} string" for k in KEYS)).json(path).distinct()
+
+
 def pending(issued: DataFrame, scored: DataFrame) -> DataFrame:
     """Keys that were issued and not yet scored."""
-    keys = ["country", "issuance", "method", "target_dekad"]
-    return issued.select(*keys).distinct().join(scored.select(*keys).distinct(), keys, "left_anti")
+    return issued.select(*KEYS).distinct().join(scored.select(*KEYS).distinct(), KEYS, "left_anti")
 
 
 def append_scores(scores: DataFrame, path: str) -> None:
@@ -47,3 +64,23 @@ def issuance_dates(spark: SparkSession, first: str, last: str, weekdays: tuple[i
     """Mondays and Thursdays (Spark numbers 2 and 5) in a closed range of dates."""
     days = spark.range(1).select(F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"))).alias("issuance"))
     return days.where(F.dayofweek("issuance").isin(*weekdays))
+
+
+def new_since(spark: SparkSession, first: str, last: str, existing: DataFrame) -> DataFrame:
+    """Issuance dates of the range that are not among the existing ones."""
+    return issuance_dates(spark, first, last).join(existing.select(F.col("issuance").cast("date").alias("issuance")), "issuance", "left_anti")
+
+
+def select_targets(seasons: DataFrame, today: Column) -> DataFrame:
+    """country, season, init_year and init_month to run: for the next start of a season that has
+    not begun, the latest start month of a forecast before it and not after today's month.
+
+    ``seasons`` holds country, season, start_month and init_months (an array); a season without
+    such a month is left out.
+    """
+    year = F.year(today) + F.when(F.col("start_month") > F.month(today), 0).otherwise(1)
+    each = seasons.select("country", "season", "start_month", year.alias("_y"), F.explode("init_months").alias("init_month"))
+    each = each.withColumn("init_year", F.col("_y") - F.when(F.col("init_month") < F.col("start_month"), 0).otherwise(1))
+    begun = F.make_date("init_year", "init_month", F.lit(1)) <= F.trunc(today, "month")
+    latest = each.where(begun).groupBy("country", "season").agg(F.max(F.struct("init_year", "init_month")).alias("_at"))
+    return latest.select("country", "season", "_at.init_year", "_at.init_month")
