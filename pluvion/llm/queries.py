@@ -1,7 +1,7 @@
 """Queries of the training-data operators, one per operator, and the pipeline.
 
-None has SQL: models, hash signatures, tokenizers and walks are beyond it. The tests hold
-each query against a brute-force version, an exact round trip, or held-out accuracy.
+Collocations have SQL. Models, hash signatures, tokenizers and walks are beyond it: the tests hold
+these queries against a brute-force version, an exact round trip, or held-out accuracy.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pluvion.llm import align, ann, bpe, chat, jaccard, langid, packing, pii, prefixcount, projection, warc
+from pluvion.llm import align, ann, bpe, chat, collocations, jaccard, langid, packing, pii, prefixcount, projection, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +70,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_read(spark, sf_dir, "documents"), least=10, share=50, most=2000)
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
     return align.scored(_read(spark, sf_dir, "documents"), *paths, digests=True).withColumnRenamed("groups", "groups_sha256")
@@ -82,9 +86,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_language_id, op2_jaccard_join, op3_pii, op4_warc, op5_ann, op6_bpe, op7_chat_format, op8_token_counts, op9_embedding_dedup, op10_packing, op13_token_alignment, pipeline]
+    found = [op1_language_id, op2_jaccard_join, op3_pii, op4_warc, op5_ann, op6_bpe, op7_chat_format, op8_token_counts, op9_embedding_dedup, op10_packing, op11_collocations, op13_token_alignment, pipeline]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_collocations": collocations.SQL}
