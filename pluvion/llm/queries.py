@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pluvion.llm import align, ann, bpe, chat, collocations, jaccard, langid, packing, pii, prefixcount, projection, warc
+from pluvion.llm import align, ann, bpe, chat, collocations, jaccard, langid, maintext, packing, pii, prefixcount, projection, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +74,10 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(_read(spark, sf_dir, "documents"), least=10, share=50, most=2000)
 
 
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maintext.extract(_read(spark, sf_dir, "pages"))
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
     return align.scored(_read(spark, sf_dir, "documents"), *paths, digests=True).withColumnRenamed("groups", "groups_sha256")
@@ -86,7 +90,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_language_id, op2_jaccard_join, op3_pii, op4_warc, op5_ann, op6_bpe, op7_chat_format, op8_token_counts, op9_embedding_dedup, op10_packing, op11_collocations, op13_token_alignment, pipeline]
+    found = [op1_language_id, op2_jaccard_join, op3_pii, op4_warc, op5_ann, op6_bpe, op7_chat_format, op8_token_counts, op9_embedding_dedup, op10_packing, op11_collocations, op12_html_extraction, op13_token_alignment, pipeline]
     return {f.__name__: f for f in found}
 
 
