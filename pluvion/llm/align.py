@@ -1,8 +1,8 @@
 """Operator 13: alignment of the tokens of two tokenizers.
 
-Both tokenizers cover the same bytes, a space and the text. Per text NumPy sums token lengths to
+Both tokenizers cover the same bytes, a space and the text. NumPy sums token lengths to
 ends (``cumsum``), ``intersect1d`` finds the offsets where tokens of both end, ``searchsorted`` gives
-each token its group, and repeats expand the tokens that end at a cut to links. A link is a pair
+each token its group, and repeats expand the tokens that end at a cut to links, then the links of words to those of texts. A link is a pair
 of token occurrences whose byte ranges end together.
 
 Counts of linked id pairs are summed in two shuffles, first by pair and salt, then by pair. They come
@@ -19,6 +19,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,7 @@ from pluvion.llm.textcache import per_worker
 
 #: Runs that a merge loop of quadratic cost should not get; the heap takes them.
 _LONG = re.compile(r"\S{400}|\s{400}")
+_WIDE_SPACE = re.compile(r" \s")
 
 
 class ByteSide:
@@ -69,8 +72,6 @@ class PieceSide:
     def _bytes(piece: str, single: bool) -> bytes:
         return bytes([int(piece[1:-1], 16)]) if single else piece.replace(MARK, " ").encode()
 
-    def ids(self, text: str) -> np.ndarray:
-        return np.array(self.sp.encode(text, num_threads=1), np.int64)
 
 
 def shared_ends(ends_a: np.ndarray, ends_b: np.ndarray) -> np.ndarray:
@@ -92,47 +93,99 @@ def expand(cuts: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray, in_a: np.nd
     return left, at_b[first + step]
 
 
+@dataclass
+class Aligned:
+    """Of some units of text: numbers of tokens, groups and links of each, its groups as written, and the
+    linked pairs (A id * 2^32 + B id) of all units in order. ``good``: whether both tokenizers give the bytes back."""
+
+    numbers: np.ndarray
+    groups: list[str]
+    pairs: np.ndarray
+    good: np.ndarray
+
+
 class Aligner:
-    """Tokens, groups and links of a text under two tokenizers."""
+    """Tokens, groups and links of texts under two tokenizers.
+
+    Neither tokenizer has tokens across a single space between words, so the ends of words are cuts. A text
+    whose spaces are all single is a list of words, and each distinct word of a batch of texts is aligned once;
+    any other text is aligned whole. Words or texts, the units of a batch are laid end to end and
+    aligned by the same few array operations.
+    """
 
     def __init__(self, path_a: str, path_b: str):
         self.a, self.b = ByteSide(path_a), PieceSide(path_b)
         self.size_a, self.size_b = (np.array([len(s) for s in x.strings], np.int64) for x in (self.a, self.b))
-        names = [[str(i) + end for i in range(len(x.strings))] for x, ends in ((self.a, ",|"), (self.b, ",;")) for end in ends]
+        names = [[str(i) + end for i in range(len(x.strings))] for x, ends in ((self.a, ",|"), (self.b, ",;\n")) for end in ends]
         self.names = sum(names, [])
         self.starts = np.cumsum([0] + [len(n) for n in names])
 
-    def tokens(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of a space and the text under A and B; none where either does not give the bytes back."""
-        none = np.zeros(0, np.int64)
-        if not text:
-            return none, none
-        raw, a, b = b" " + text.encode(), self.a.ids(" " + text), self.b.ids(text)
-        for side, ids in ((self.a, a), (self.b, b)):
-            if b"".join(map(side.strings.__getitem__, ids.tolist())) != raw:
-                return none, none
-        return a, b
-
-    def groups(self, a: np.ndarray, b: np.ndarray, in_a: np.ndarray, in_b: np.ndarray) -> str:
-        """``a1,a2|b1;a3|b2,b3``: a group's A ids, a bar, its B ids; groups are parted by semicolons."""
-        if not len(a):
-            return ""
-        last_a, last_b = np.append(in_a[1:] != in_a[:-1], True), np.append(in_b[1:] != in_b[:-1], True)
-        written = np.empty(len(a) + len(b), np.int64)
-        # A token i of group g stands behind the B tokens of earlier groups, B token j behind the A tokens of its own too.
-        written[np.arange(len(a)) + np.searchsorted(in_b, in_a, "left")] = a + np.where(last_a, self.starts[1], self.starts[0])
-        written[np.arange(len(b)) + np.searchsorted(in_a, in_b, "right")] = b + np.where(last_b, self.starts[3], self.starts[2])
-        return "".join(map(self.names.__getitem__, written.tolist()))[:-1]
-
-    def align(self, text: str | None) -> tuple:
-        """n_a, n_b, n_groups, n_links, groups, distinct linked pairs (A id * 2^32 + B id), their times."""
-        a, b = self.tokens(text)
+    def units(self, words: list[str], wholes: list[str]) -> Aligned:
+        """``words`` hold no space and begin with no white space; ``wholes`` are any texts. Distinct or not."""
+        texts = words + wholes
+        found = self.b.sp.encode(texts, num_threads=1) if texts else []
+        raw = [b" " + t.encode() for t in texts]
+        good = np.array([b"".join(map(self.b.strings.__getitem__, ids)) == r for ids, r in zip(found, raw)], bool)
+        ids_a = [self.a.ids(" " + " ".join(some))] if (some := [w for w, ok in zip(words, good) if ok]) else []
+        ids_a += [self.a.ids(" " + t) for t, ok in zip(wholes, good[len(words) :]) if ok]
+        a = np.concatenate([*ids_a, np.zeros(0, np.int64)])
+        if b"".join(map(self.a.strings.__getitem__, a.tolist())) != b"".join(r for r, ok in zip(raw, good) if ok):
+            raise ValueError("the byte-level tokenizer does not give back the bytes")
+        b = np.fromiter(chain.from_iterable(ids for ids, ok in zip(found, good) if ok), np.int64)
         ends_a, ends_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
         cuts = shared_ends(ends_a, ends_b)
         in_a, in_b = np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b)
         left, right = expand(cuts, ends_a, ends_b, in_a, in_b)
-        pairs, times = np.unique((a[left] << 32) | b[right], return_counts=True)
-        return len(a), len(b), len(cuts), len(left), self.groups(a, b, in_a, in_b), pairs, times
+        last = np.cumsum([len(r) for r, ok in zip(raw, good) if ok])  # where units end
+        if not np.isin(last, cuts).all():
+            raise ValueError("a token spans two words")
+        numbers = np.zeros((4, len(texts)), np.int64)
+        for row, ends in zip(numbers, (ends_a, ends_b, cuts, ends_a[left])):
+            row[good] = np.diff(np.searchsorted(ends, last, "right"), prepend=0)
+        written = iter(self.written(a, b, in_a, in_b, np.isin(cuts, last)))
+        return Aligned(numbers, [next(written) if ok else "" for ok in good], (a[left] << 32) | b[right], good)
+
+    def written(self, a: np.ndarray, b: np.ndarray, in_a: np.ndarray, in_b: np.ndarray, closing: np.ndarray) -> list[str]:
+        """``a1,a2|b1;a3|b2,b3`` of each unit: a group's A ids, a bar, its B ids; groups are parted by semicolons.
+        ``closing``: whether a group is its unit's last."""
+        last_a, last_b = np.append(in_a[1:] != in_a[:-1], True)[: len(a)], np.append(in_b[1:] != in_b[:-1], True)[: len(b)]
+        out = np.empty(len(a) + len(b), np.int64)
+        # A token i of group g stands behind the B tokens of earlier groups, B token j behind the A tokens of its own too.
+        out[np.arange(len(a)) + np.searchsorted(in_b, in_a, "left")] = a + np.where(last_a, self.starts[1], self.starts[0])
+        ends = np.where(last_b, np.where(closing[in_b], self.starts[4], self.starts[3]), self.starts[2])
+        out[np.arange(len(b)) + np.searchsorted(in_a, in_b, "right")] = b + ends
+        return "".join(map(self.names.__getitem__, out.tolist())).split("\n")
+
+    def align(self, texts: list[str | None]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Of each text n_a, n_b, n_groups, n_links (rows of an array) and groups; then the distinct linked pairs
+        of all texts in order, how often each is linked, and how many each text has."""
+        words: list[str] = []
+        wholes: list[str] = []
+        spans = []
+        for t in texts:
+            own = t.split(" ") if t and t[-1] != " " and not _WIDE_SPACE.search(" " + t) else None
+            if own is None or max(map(len, own)) > 400:
+                spans.append((-1 - len(wholes), 1 if t else 0))
+                wholes += [t] if t else []
+            else:
+                spans.append((len(words), len(own)))
+                words += own
+        distinct = pa.array(words, pa.string()).dictionary_encode()
+        found = self.units(distinct.dictionary.to_pylist(), wholes)
+        codes, base = distinct.indices.to_numpy(), len(distinct.dictionary)
+        of = [codes[at : at + n] if at >= 0 else np.arange(base - 1 - at, base - 1 - at + n) for at, n in spans]
+        of = [c if found.good[c].all() else c[:0] for c in of]
+        flat, size = np.concatenate([*of, np.zeros(0, np.int64)]).astype(np.int64), np.array([len(c) for c in of], np.int64)
+        doc = np.repeat(np.arange(len(of)), size)
+        numbers = np.stack([np.bincount(doc, row[flat], minlength=len(of)).astype(np.int64) for row in found.numbers])
+        groups = [";".join(map(found.groups.__getitem__, c.tolist())) for c in of]
+        many = found.numbers[3]
+        times = many[flat]
+        step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        kinds, kind = np.unique(found.pairs, return_inverse=True)
+        linked = kind[np.repeat((np.cumsum(many) - many)[flat], times) + step]
+        keys, count = np.unique(np.repeat(doc, times) * max(1, len(kinds)) + linked, return_counts=True)
+        return numbers, groups, kinds[keys % max(1, len(kinds))], count, np.bincount(keys // max(1, len(kinds)), minlength=len(of))
 
 
 _ROW = pa.schema([
@@ -141,20 +194,22 @@ _ROW = pa.schema([
 ])
 
 
-def align_texts(df: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
+def align_texts(df: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False, chars: int = 2_000_000) -> DataFrame:
     """One row per row of ``df``: doc_id, n_a, n_b, n_groups, n_links, groups (or its SHA-256 with
     ``digests``; empty stays empty), pairs (A id * 2^32 + B id) and times, how often the text links each."""
     def run(batches):
         aligner = per_worker(("align", path_a, path_b), lambda: Aligner(path_a, path_b))
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for at in range(0, len(texts), 200):
-                rows = [aligner.align(t) for t in texts[at : at + 200]]
-                groups = [hashlib.sha256(r[4].encode()).hexdigest() if digests and r[4] else r[4] for r in rows]
-                numbers = [pa.array([r[k] for r in rows], pa.int64()) for k in range(4)]
-                offsets = pa.array(np.cumsum([0] + [len(r[5]) for r in rows]), pa.int32())
-                lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([r[k] for r in rows]), pa.int64())) for k in (5, 6)]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[at : at + 200], *numbers, pa.array(groups, pa.string()), *lists], schema=_ROW)
+            sizes, at = np.cumsum([len(t or "") for t in texts]), 0
+            while at < len(texts):  # as many texts as hold ``chars`` characters, one at least
+                end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + chars, "right")))
+                numbers, groups, pairs, times, many = aligner.align(texts[at:end])
+                groups = [hashlib.sha256(g.encode()).hexdigest() if digests and g else g for g in groups]
+                offsets = pa.array(np.append(0, np.cumsum(many)), pa.int32())
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(x, pa.int64())) for x in (pairs, times)]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[at:end], *(pa.array(n) for n in numbers), pa.array(groups, pa.string()), *lists], schema=_ROW)
+                at = end
 
     names = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, pairs array<long>, times array<long>"
     return df.select(df[id_col].cast("long"), df[text_col]).mapInArrow(run, names)
