@@ -192,7 +192,9 @@ def fit(df: DataFrame, pages: int = 500, blocks: int = 200, near: float = 20.0,
                 rows += [[*features(b, page.elements[b.parent].tag), float(said[b.parent][0] == 0)] for b in known[:blocks]]
             yield pa.RecordBatch.from_arrays([pa.array(rows, schema.types[0])], schema=schema)
 
-    some = df.where(F.length(html_col) > 0).select(F.col(html_col).alias("h"), F.xxhash64(F.col(id_col), F.col(url_col)).alias("o")).orderBy("o", "h").limit(pages)
+    order = F.xxhash64(F.col(id_col), F.col(url_col)).alias("o")
+    cutoff = df.select(order).orderBy("o").limit(pages).agg(F.max("o")).first()[0]  # hashes alone are sorted, not pages
+    some = df.select(F.col(html_col).alias("h"), order).where((F.col("o") <= cutoff) & (F.length("h") > 0)).orderBy("o", "h").limit(pages)
     with batches_of(df.sparkSession, 100):
         rows = some.select("h").mapInArrow(run, "x array<double>").toArrow().column("x").to_pylist()
     w0 = w = np.array(GIVEN)
