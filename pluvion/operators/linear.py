@@ -91,39 +91,40 @@ def _eofs(gram, k: int):
     return u[:, :k], np.sqrt(e[:k])
 
 
-def cca_fold(gx, gy, train, at: int, modes: tuple[int, int, int]):
-    """Weights of all years in the prediction of year ``at`` by a CCA of the training years, and
-    its leverage, from the years x years Gram matrices of predictor and predictand alone."""
+def cca_folds(gx, gy, train, at: int, combos: list[tuple[int, int, int]]):
+    """For each (x, y, canonical) number of modes the weights of all years in the prediction of year
+    ``at`` by a CCA of the training years, and its leverage, from the years x years Gram matrices of
+    predictor and predictand alone. Fields are decomposed once; combinations truncate."""
     import numpy as np
 
     xx = gx[np.ix_(train, train)]
-    ux, sx = _eofs(xx, modes[0])
+    ux, sx = _eofs(xx, max(c[0] for c in combos))
     if not len(sx) or sx[0] ** 2 <= 1e-14 * max(float(np.abs(np.diag(gx)).max()), 1e-300):
         raise ValueError("the predictor does not vary")
-    uy, _ = _eofs(gy[np.ix_(train, train)], modes[1])
-    weights, n = np.zeros(len(gx)), len(xx)
-    weights[train] = 1 / n
-    if not uy.shape[1]:
-        return weights, 1 / n
-    a, r, b = np.linalg.svd(ux.T @ uy, full_matrices=False)
-    k = min(modes[2], len(r))
-    new = gx[at, train] - gx[at, train].mean() - xx.mean(0) + xx.mean()
-    score = (new @ ux / sx**2) @ a[:, :k]
-    weights[train] += (score * r[:k]) @ b[:k] @ uy.T
-    return weights, float(min(1 / n + score.sum() ** 2, 100.0))
-
+    uy, _ = _eofs(gy[np.ix_(train, train)], max(c[1] for c in combos))
+    n, out, crossed = len(xx), [], {}
+    amplitude = (gx[at, train] - gx[at, train].mean() - xx.mean(0) + xx.mean()) @ ux / sx**2
+    for kx, ky, kc in combos:
+        kx, ky = min(kx, ux.shape[1]), min(ky, uy.shape[1])
+        weights = np.zeros(len(gx))
+        weights[train] = 1 / n
+        lever = 1 / n
+        if ky:
+            if (kx, ky) not in crossed:
+                crossed[kx, ky] = np.linalg.svd(ux[:, :kx].T @ uy[:, :ky], full_matrices=False)
+            a, r, b = crossed[kx, ky]
+            k = min(kc, len(r))
+            score = amplitude[:kx] @ a[:, :k]
+            weights[train] += (score * r[:k]) @ b[:k] @ uy[:, :ky].T
+            lever = float(min(1 / n + score.sum() ** 2, 100.0))
+        out.append((weights, lever))
+    return out
 
-def cca_cv(predictor: DataFrame, observed: Cube, modes: tuple[int, int, int] = (2, 2, 1), window: int = 1) -> DataFrame:
-    """Leave-years-out CCA predictions: model, year, lat, lon, value and leverage.
 
-    ``predictor`` holds model, year, lat, lon, value. Cells are weighted by the root of the
-    cosine of latitude; cells that are wholly missing are left out, others filled with the mean.
-    Predictions are weighted sums over years, and the weights follow from products summed over
-    cells: the fields stay in Spark, and the driver sees years squared numbers a model.
-    """
-    import numpy as np
-
-    half, spark = (window - 1) // 2, predictor.sparkSession
+def _cca_cells(predictor: DataFrame, observed: Cube):
+    """What a cross-validated CCA needs: the years, each model's own years, one row per model and cell
+    with both sides' values by year (missing ones filled with the side's mean), and Gram matrices
+    of both sides. Cells are weighted by the root of the cosine of latitude; those wholly missing weigh nothing."""
     obs = observed.df.select("year", "lat", "lon", F.col(observed.value).alias("o"))
     both = predictor.where("model IS NOT NULL").join(obs, ["year", "lat", "lon"], "left")
     own: dict = {}
@@ -131,29 +132,138 @@ def cca_cv(predictor: DataFrame, observed: Cube, modes: tuple[int, int, int] = (
     for r in usable.select("model", "year").collect():  # a row per model and year
         own.setdefault(r["model"], []).append(r["year"])
     years = sorted({y for v in own.values() for y in v})
-    at = {y: i for i, y in enumerate(years)}
-    schema = "model string, year int, lat int, lon int, value double, leverage double"
     if not years:
-        return spark.createDataFrame([], schema)
-    kept = both.join(F.broadcast(spark.createDataFrame([(m, y) for m, v in own.items() for y in v], "model string, year int")), ["model", "year"], "left_semi")
+        return [], own, None, {}
+    kept = both.join(F.broadcast(predictor.sparkSession.createDataFrame([(m, y) for m, v in own.items() for y in v], "model string, year int")), ["model", "year"], "left_semi")
     cells = kept.groupBy("model", "lat", "lon").agg(_by_year(years, "value").alias("x"), _by_year(years, "o").alias("y"), F.avg("value").alias("_cx"), F.avg("o").alias("_cy"))
     fill = F.broadcast(kept.groupBy("model").agg(F.avg("value").alias("_fx"), F.avg("o").alias("_fy")))  # a row per model
     cells = cells.join(fill, "model")
-    weight = F.sqrt(F.cos(F.radians("lat")))
     filled = lambda side: F.transform(side, lambda v: F.coalesce(v, F.col(f"_f{side}")))
+    weight = F.sqrt(F.cos(F.radians("lat")))
     level = lambda side: F.transform(filled(side), lambda v: F.coalesce((v - F.col(f"_c{side}")) * weight, F.lit(0.0)))
     grams = _grams(cells.select("model", level("x").alias("x"), level("y").alias("y")), ("x", "y"), len(years))
+    return years, own, cells.withColumn("_filled", filled("y")), grams
+
+
+def _plan(years: list[int], mine: list[int], window: int):
+    """(held-out position, training positions) for each of a model's years."""
+    import numpy as np
+
+    half, at = (window - 1) // 2, {y: i for i, y in enumerate(years)}
+    spots = np.array(sorted(at[y] for y in mine))
+    return [(spot, spots[np.abs(np.arange(len(spots)) - i) > half]) for i, spot in enumerate(spots)]
+
+
+def cca_cv(predictor: DataFrame, observed: Cube, modes: tuple[int, int, int] = (2, 2, 1), window: int = 1) -> DataFrame:
+    """Leave-years-out CCA predictions: model, year, lat, lon, value and leverage.
+
+    ``predictor`` holds model, year, lat, lon, value; see ``_cca_cells`` for missing values.
+    Predictions are weighted sums over years, and the weights follow from products summed over
+    cells: the fields stay in Spark, and the driver sees years squared numbers a model.
+    """
+    spark, kinds = predictor.sparkSession, dict(predictor.dtypes)
+    years, own, cells, grams = _cca_cells(predictor, observed)
+    if not years:
+        return spark.createDataFrame([], f"model string, year int, lat {kinds['lat']}, lon {kinds['lon']}, value double, leverage double")
     rows = []
     for model, mine in own.items():
-        spots = np.array(sorted(at[y] for y in mine))
-        for i, spot in enumerate(spots):
-            train = spots[np.abs(np.arange(len(spots)) - i) > half]
-            w, leverage = cca_fold(grams[model, "x"], grams[model, "y"], train, spot, modes)
+        for spot, train in _plan(years, mine, window):
+            ((w, leverage),) = cca_folds(grams[model, "x"], grams[model, "y"], train, spot, [modes])
             rows.append((model, years[spot], w.tolist(), leverage))
     folds = spark.createDataFrame(rows, "model string, year int, w array<double>, leverage double")  # years squared, by model
-    told = F.aggregate(F.zip_with(filled("y"), "w", lambda v, w: v * w), F.lit(0.0), lambda s, v: s + v)
+    told = F.aggregate(F.zip_with("_filled", "w", lambda v, w: v * w), F.lit(0.0), lambda s, v: s + v)
     seen = cells.where("_cy IS NOT NULL").join(F.broadcast(folds), "model")
-    return seen.select("model", "year", F.col("lat").cast("int").alias("lat"), F.col("lon").cast("int").alias("lon"), told.alias("value"), "leverage")
+    return seen.select("model", "year", "lat", "lon", told.alias("value"), "leverage")
+
+
+def mode_combos(n: int, window: int, x: tuple[int, int], y: tuple[int, int], canonical: tuple[int, int]) -> list[tuple[int, int, int]]:
+    """Numbers of modes to search: ranges cut to what n years less a window determine, no more
+    canonical modes than either side has."""
+    most = max(1, n - max(window, 1) - 2)
+    (x0, x1), (y0, y1), (c0, c1) = ((min(a, most), min(b, most)) for a, b in (x, y, canonical))
+    return [(i, j, k) for i in range(x0, x1 + 1) for j in range(y0, y1 + 1) for k in range(c0, min(c1, i, j) + 1)]
+
+
+def search_modes(predictor: DataFrame, observed: Cube, window: int = 1, x: tuple[int, int] = (1, 10), y: tuple[int, int] = (1, 10), canonical: tuple[int, int] = (1, 10), fallback: tuple[int, int, int] | None = None) -> DataFrame:
+    """The goodness of every combination of modes: the mean over cells of Kendall's tau between
+    observations and leave-years-out CCA predictions. model, x_modes, y_modes, modes, tau, cells, best.
+
+    Each fold is decomposed once and truncated; the cells are read once for all combinations, each
+    giving a tau a combination, added up in the tasks. Of equally good combinations the first is best. A cell
+    counts with four pairs at least and where neither side is constant. Where no combination has a tau
+    the ``fallback`` is best, or the search raises.
+    """
+    import numpy as np
+
+    spark = predictor.sparkSession
+    years, own, cells, grams = _cca_cells(predictor, observed)
+    schema = "model string, x_modes int, y_modes int, modes int, tau double, cells long, best boolean"
+    if not years:
+        return spark.createDataFrame([], schema)
+    combos, weights = {}, {}
+    for model, mine in own.items():
+        combos[model] = mode_combos(len(mine), window, x, y, canonical)
+        w = np.full((len(combos[model]), len(years), len(years)), np.nan)
+        for spot, train in _plan(years, mine, window):
+            try:
+                found = cca_folds(grams[model, "x"], grams[model, "y"], train, spot, combos[model])
+            except (ValueError, np.linalg.LinAlgError):
+                continue  # this fold predicts nothing
+            w[:, spot] = [f[0] for f in found]
+        weights[model] = w
+    shared = spark.sparkContext.broadcast(weights)  # combinations x years squared, by model
+
+    def run(batches):
+        import pandas as pd
+
+        from pluvion.functions.ranks import kendall
+
+        sums: dict = {}
+        for pdf in batches:
+            for model, g in pdf.groupby("model"):
+                w = shared.value[model]
+                seen, told = np.stack(g["y"].to_numpy()).astype(float), np.stack(g["_filled"].to_numpy()).astype(float)
+                total, count = sums.setdefault(model, (np.zeros(len(w)), np.zeros(len(w), np.int64)))
+                for at in range(0, len(seen), 64):
+                    o = np.broadcast_to(seen[at : at + 64], (len(w), *seen[at : at + 64].shape))
+                    tau = kendall(np.einsum("kij,cj->kci", w, told[at : at + 64]), o, least=4)
+                    total += np.nansum(tau, axis=1)
+                    count += np.isfinite(tau).sum(axis=1)
+        for model, (total, count) in sums.items():
+            yield pd.DataFrame({"model": model, "combo": np.arange(len(total)), "t": total, "c": count})
+
+    rows = cells.where("_cy IS NOT NULL").select("model", "y", "_filled").mapInPandas(run, "model string, combo int, t double, c long")
+    found: dict = {}
+    for r in rows.groupBy("model", "combo").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).collect():  # a row per combination
+        found[r["model"], r["combo"]] = (r["t"] / r["c"] if r["c"] else None, r["c"])
+    out = []
+    for model, tried in combos.items():
+        tau = [found.get((model, i), (None, 0)) for i in range(len(tried))]
+        known = [t for t, _ in tau if t is not None]
+        if known:
+            best = next(i for i, (t, _) in enumerate(tau) if t is not None and t >= max(known) - 1e-12)
+        elif fallback is None:
+            raise ValueError("no combination of modes has a tau; give fallback=(x, y, canonical)")
+        elif tuple(fallback) not in tried:
+            raise ValueError(f"fallback {fallback} is not among the combinations searched")
+        else:
+            best = tried.index(tuple(fallback))
+        out += [(model, *c, t, n, i == best) for i, (c, (t, n)) in enumerate(zip(tried, tau))]
+    return spark.createDataFrame(out, schema)
+
+
+def select_modes(predictor: DataFrame, observed: Cube, window: int = 1, **search) -> tuple[DataFrame, DataFrame]:
+    """The best combination of each model (model, x_modes, y_modes, modes, tau), and the
+    leave-years-out predictions and leverages made with it."""
+    best = search_modes(predictor, observed, window, **search).where("best").select("model", "x_modes", "y_modes", "modes", "tau")
+    chosen: dict = {}
+    for r in best.collect():  # a row per model
+        chosen.setdefault((r["x_modes"], r["y_modes"], r["modes"]), []).append(r["model"])
+    parts = [cca_cv(predictor.where(F.col("model").isin(models)), observed, modes, window) for modes, models in chosen.items()]
+    predictions = parts[0] if parts else cca_cv(predictor, observed, window=window)
+    for p in parts[1:]:
+        predictions = predictions.unionByName(p)
+    return best, predictions
 
 
 def north_modes(field: Cube, ceiling: int = 10, least_share: float = 1.0) -> int:
@@ -178,14 +288,11 @@ def north_modes(field: Cube, ceiling: int = 10, least_share: float = 1.0) -> int
     lam = np.clip(np.linalg.eigvalsh((gram + gram.T) / 2)[::-1][:size], 0.0, None)
     if lam.sum() <= 0:
         return 1
-    keep = 1
-    for i in range(min(size - 1, ceiling)):
-        if lam[i] / lam.sum() < least_share / size:
-            break
-        keep = i + 1
-        if lam[i] - lam[i + 1] <= lam[i] * np.sqrt(2 / n):
-            break
-    return max(1, min(keep, ceiling))
+    strong = lam[:-1] >= least_share * lam.mean()
+    apart = lam[:-1] - lam[1:] > lam[:-1] * np.sqrt(2 / n)
+    # Mode k + 1 is kept if it is strong and all before it are strong and told from their next.
+    kept = np.cumprod(strong & np.append(True, apart[:-1])[: len(strong)])
+    return int(max(1, min(kept.sum(), ceiling)))
 
 
 def modes_north(predictor: Cube, observed: Cube, x_ceiling: int = 10, y_ceiling: int = 10) -> tuple[int, int, int]:

@@ -638,3 +638,9 @@ SELECT {sel('year', 'acc rmse bias rpss')} FROM (SELECT year, corr(fa, oa) AS ac
 def modes_north(spark, sf):
     x, y, k = linear.modes_north(cube.hindcast(spark, sf), cube.observed(spark, sf))
     return spark.createDataFrame([(x, y, k)], "x_modes long, y_modes long, modes long")
+
+
+@put("cca_modes_kendall")  # 11.8
+def cca_modes_kendall(spark, sf):
+    found = linear.search_modes(_all_models(spark, sf), cube.observed(spark, sf), 1, (1, 3), (1, 3), (1, 3))
+    return found.select("model", *(F.col(c).cast("long").alias(c) for c in ("x_modes", "y_modes", "modes", "cells")), (F.round("tau", 6) + 0.0).alias("tau"), "best")

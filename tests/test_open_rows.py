@@ -66,22 +66,21 @@ def test_cca_fills_missing_and_leaves_out_empty_cells(spark):
     assert [got[2000, j] for j in (0, 1)] == pytest.approx(list(predict((fx[0] * root(3))[None])[0] / root(2)), rel=1e-7)
 
 
-def test_north_modes_as_by_singular_values(spark):
-    rng = np.random.default_rng(5)
-    t = rng.normal(size=(20, 2))
-    strong = np.outer(t[:, 0], [9.0, 8, 7, 9, 8, 7]) + np.outer(t[:, 1], [3.0, -3, 3, -3, 3, -3]) + 0.1 * rng.normal(size=(20, 6))
-    for a in (strong, rng.normal(size=(20, 6)), rng.normal(size=(4, 6))):
-        w = np.sqrt(np.cos(np.radians(np.arange(6))))
-        lam = np.linalg.svd((a - a.mean(0)) * w, compute_uv=False) ** 2
-        share, gap = lam / lam.sum() >= 1 / len(lam), lam[:-1] - lam[1:] > lam[:-1] * np.sqrt(2 / len(a))
-        want = 1  # modes up to the first below the average, or not told from the next
-        for i in range(len(lam) - 1):
-            if not share[i]:
-                break
-            want = i + 1
-            if not gap[i]:
-                break
-        assert linear.north_modes(_cube(spark, a)) == want
+def test_north_modes_of_known_spectra(spark):
+    q = np.linalg.qr(np.random.default_rng(5).normal(size=(20, 6)) - 0)[0]
+    q = np.linalg.qr(q - q.mean(0))[0]  # orthonormal columns whose means are 0
+    w = np.sqrt(np.cos(np.radians(np.arange(6))))
+    # 20 years: the sampling error is 0.316 of an eigenvalue.
+    for spectrum, want in (
+        ((100, 50, 5, 1, 1, 1), 2),  # two above the average of 26.3, both told from the next
+        ((100, 90, 50, 10, 1, 1), 1),  # the first is not told from the second, and ends the run
+        ((100, 40, 35, 1, 1, 1), 2),  # the second is not told from the third
+        ((100, 60, 40, 2, 1, 1), 3),  # the third, above the average of 34, is told from the fourth
+        ((100, 1, 1, 1, 1, 1), 1), ((7, 7, 7, 7, 7, 7), 1),
+    ):
+        field = q * np.sqrt(spectrum) / w
+        assert linear.north_modes(_cube(spark, field)) == want, spectrum
+    assert linear.north_modes(_cube(spark, q * np.sqrt((100, 60, 40, 2, 1, 1)) / w), ceiling=2) == 2
     assert linear.north_modes(_cube(spark, np.ones((4, 2)))) == 1
 
 

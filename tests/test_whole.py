@@ -19,10 +19,10 @@ def test_bma_equals_plain_em(spark):
     models = spark.createDataFrame([(f"m{k}", i, float(x[i, k])) for i in range(80) for k in range(7)], "model string, cell int, value double").cache()
     seen = spark.createDataFrame([(i, float(v)) for i, v in enumerate(o)], "cell int, value double")
     df, got, var = ensemble.bma(models, ["cell"], seen, rounds=12, tolerance=0.0)
-    w, s = np.full(7, 1 / 7), (o[:, None] - x).var(axis=0).mean()
+    w, s = np.full(7, 1 / 7), (o[:, None] - x).var(axis=0)  # a variance for each model
     for _ in range(12):
-        d = w * np.exp(-((o[:, None] - x) ** 2) / (2 * s))
+        d = w * np.exp(-((o[:, None] - x) ** 2) / (2 * s)) / np.sqrt(s)
         d /= d.sum(axis=1, keepdims=True)
-        w, s = d.mean(axis=0), (d * (o[:, None] - x) ** 2).sum() / 80
-    assert np.allclose([got[f"m{k}"] for k in range(7)], w) and np.isclose(var, s)
+        w, s = d.mean(axis=0), (d * (o[:, None] - x) ** 2).sum(axis=0) / d.sum(axis=0)
+    assert np.allclose([got[f"m{k}"] for k in range(7)], w) and np.allclose([var[f"m{k}"] for k in range(7)], s)
     assert np.allclose([r["value"] for r in df.orderBy("cell").collect()], x @ w)
