@@ -123,8 +123,20 @@ def dqm(forecast: Cube, hindcast: Cube, observed: Cube, axis: str = "year", memb
     return forecast.over(mapped.df.join(shift, cell or None).select(*forecast.dims, (F.col(forecast.value) + F.col("_shift")).alias(forecast.value)))
 
 
+def _rank_analog(forecast: Cube, hindcast: Cube, observed: Cube, **options) -> Cube:
+    from pluvion.operators.terrain import rank_analog
+
+    return rank_analog(forecast, hindcast, observed, **options)
+
+
+def _orographic(forecast: Cube, hindcast: Cube, observed: Cube, *, terrain: DataFrame, **options) -> Cube:
+    from pluvion.operators.terrain import orographic
+
+    return orographic(forecast, terrain, **options)
+
+
 #: Methods of ``downscale`` by name.
-METHODS = {"climatology": lambda f, h, o, **k: climatology(o), "delta": delta, "bcsd": bcsd, "qm": lambda f, h, o, **k: quantile_map(f, h.mean("member"), o, **k), "dqm": dqm}
+METHODS = {"rank-analog": _rank_analog, "chelsa": _orographic, "climatology": lambda f, h, o, **k: climatology(o), "delta": delta, "bcsd": bcsd, "qm": lambda f, h, o, **k: quantile_map(f, h.mean("member"), o, **k), "dqm": dqm}
 
 
 def get_method(name: str):

@@ -16,7 +16,7 @@ from pluvion import cube
 from pluvion.cube import Cube
 from pluvion.functions import calendar, special
 from pluvion.functions.special import density_sql, phi_inverse_sql, phi_sql, t_cdf_sql
-from pluvion.operators import analog, calibrate, climate, ensemble, linear, metrics, regrid, subseasonal, tercile, timing
+from pluvion.operators import analog, calibrate, climate, ensemble, linear, metrics, regrid, subseasonal, tercile, terrain, timing
 from pluvion.sources import terciles as store
 from pluvion.streaming import scoring
 
@@ -644,3 +644,37 @@ def modes_north(spark, sf):
 def cca_modes_kendall(spark, sf):
     found = linear.search_modes(_all_models(spark, sf), cube.observed(spark, sf), 1, (1, 3), (1, 3), (1, 3))
     return found.select("model", *(F.col(c).cast("long").alias(c) for c in ("x_modes", "y_modes", "modes", "cells")), (F.round("tau", 6) + 0.0).alias("tau"), "best")
+
+
+def _fine(spark, sf) -> Cube:
+    """Mean price by year and one of 20 x 20 cells that parts are dealt to."""
+    line = spark.read.parquet(f"{sf}/lineitem.parquet")
+    cell = F.pmod("l_partkey", F.lit(400))
+    df = line.groupBy(F.year("l_shipdate").alias("year"), (F.floor(cell / 20) * 0.25).alias("lat"), (cell % 20 * 0.25).alias("lon")).agg(F.avg("l_extendedprice").alias("value"))
+    return Cube(df, ("year", "lat", "lon"))
+
+
+def _land(spark, sf) -> DataFrame:
+    """Parts on a grid 50 cells wide: price as height, size as wind."""
+    at = F.col("p_partkey") - 1
+    return spark.read.parquet(f"{sf}/part.parquet").select((F.floor(at / 50) * 0.001).alias("lat"), (at % 50 * 0.001).alias("lon"), F.col("p_retailprice").alias("z"), (F.col("p_size") / 50 + 0.5).alias("u"), (F.col("p_size") % 7 - 3).cast("double").alias("v"))
+
+
+@put("rank_analog")  # 11.10
+def rank_analog(spark, sf):
+    h = cube.hindcast(spark, sf)
+    now = h.over(h.df.where("year = 2001").drop("year"), ["member", "lat", "lon"])
+    df = terrain.rank_analog(now, h.over(h.df.where("year < 2001")), _fine(spark, sf), closing=5, sigma=1.0, size=8).df
+    return df.select(F.col("member").cast("long").alias("member"), "lat", "lon", (F.round("value", 6) + 0.0).alias("value"))
+
+
+@put("wind_effect")  # 11.11
+def wind_effect(spark, sf):
+    return terrain.wind_effect(_land(spark, sf), reach_km=1.5, size=64).select(*(F.round(c, 6).alias(c) for c in ("lat", "lon", "effect")))
+
+
+@put("orographic")  # 11.11, 4.16
+def orographic(spark, sf):
+    land = _land(spark, sf)
+    blocks = land.groupBy(*((F.floor(F.round(F.col(c) / 0.001) / 10) * 0.01 + 0.0045).alias(c) for c in ("lat", "lon"))).agg(F.avg("u").alias("value"))
+    return terrain.orographic(Cube(blocks, ("lat", "lon")), land, reach_km=1.5, size=64).df.select(*(F.round(c, 6).alias(c) for c in ("lat", "lon", "value")))
