@@ -18,7 +18,8 @@ from pluvion.functions import calendar, special
 from pluvion.functions.special import density_sql, phi_inverse_sql, phi_sql, t_cdf_sql
 from pluvion.operators import analog, calibrate, climate, ensemble, linear, metrics, regrid, subseasonal, tercile, terrain, timing
 from pluvion.sources import terciles as store
-from pluvion.streaming import scoring
+from pluvion.streaming import scoring, spells
+from pluvion.streaming.places import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -678,3 +679,33 @@ def orographic(spark, sf):
     land = _land(spark, sf)
     blocks = land.groupBy(*((F.floor(F.round(F.col(c) / 0.001) / 10) * 0.01 + 0.0045).alias(c) for c in ("lat", "lon"))).agg(F.avg("u").alias("value"))
     return terrain.orographic(Cube(blocks, ("lat", "lon")), land, reach_km=1.5, size=64).df.select(*(F.round(c, 6).alias(c) for c in ("lat", "lon", "value")))
+
+
+@put("dry_runs_stream", f"{DAILY}, r AS (SELECT nation, date, value, row_number() OVER (PARTITION BY nation ORDER BY date) AS i FROM daily), w AS (SELECT *, max(CASE WHEN value > 1 THEN i END) OVER (PARTITION BY nation ORDER BY date) AS wet FROM r) SELECT {sel('nation')}, CAST(date AS VARCHAR) AS date, {sel('run')} FROM (SELECT nation, date, i - coalesce(wet, 0) AS run FROM w)")  # S.5
+def dry_runs_stream(spark, sf):
+    """Two years a batch, and a row that makes all days final."""
+    folder = shared_folder(spark, "dry-runs")
+    days = cube.daily(spark, sf).df
+    for first in range(1995, 2002, 2):
+        days.where(F.year("date").between(first, first + 1)).coalesce(1).write.parquet(f"{folder}/in/{first}")
+    days.limit(1).select(F.lit(-1).alias("nation"), F.lit("2003-01-01").cast("date").alias("date"), F.lit(0.0).alias("value")).coalesce(1).write.parquet(f"{folder}/in/end")
+    spells.use_state(spark)
+    stream = spark.readStream.schema(days.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{folder}/in")
+    runs = spells.dry_runs_of(stream, ["nation"], 1.0)
+    runs.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(runs.schema).parquet(f"{folder}/out").where("nation >= 0").select(F.col("nation").cast("long").alias("nation"), F.col("date").cast("string").alias("date"), F.col("run").cast("long").alias("run"))
+
+
+@put("pending_scores", f"{BASE}{PRED} SELECT {sel('year n', 'bias rmse')}, CASE WHEN year < 2001 THEN 'final' ELSE 'live' END AS source FROM (SELECT year, count(*) AS n, avg(f - o) AS bias, sqrt(avg((f - o) * (f - o))) AS rmse FROM pair GROUP BY year)")  # S.1, 10.16
+def pending_scores(spark, sf):
+    """Forecasts of each year are issued in a file of its own; the last year's observations are live."""
+    folder, (told, seen) = shared_folder(spark, "pending"), _predicted(spark, sf)
+    issued = told.df.select("year", "lat", "lon", F.col("value").alias("forecast"))
+    issued.repartition(4, "year").write.parquet(f"{folder}/in")
+    observed = lambda s: seen.df.select(*_K, "value").withColumn("source", F.when(F.col("year") < 2001, "final").otherwise("live"))
+    error = F.col("forecast") - F.col("value")
+    score = lambda rows: rows.groupBy("year").agg(F.count(F.lit(1)).alias("n"), F.avg(error).alias("bias"), F.sqrt(F.avg(error * error)).alias("rmse"))
+    sink = scoring.PendingScores(f"{folder}/store", f"{folder}/log", ("year",), ("lat", "lon"), observed, score)
+    stream = spark.readStream.schema(issued.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
+    scoring.score_stream(stream, sink, f"{folder}/state").awaitTermination()
+    return scoring.current_scores(spark, sink.log, ["year"]).select(*(F.col(c).cast("long").alias(c) for c in ("year", "n")), *((F.round(c, 6) + 0.0).alias(c) for c in ("bias", "rmse")), "source")
