@@ -66,13 +66,26 @@ def interp(x: Column, xs: Column, ys: Column) -> Column:
     return F.when(n == 1, F.get(ys, F.lit(0))).when(x <= F.get(xs, F.lit(0)), F.get(ys, F.lit(0))).when(x >= F.get(xs, n - 1), F.get(ys, n - 1)).otherwise(inner)
 
 
-def quantile_map(values: Cube, source: Cube, target: Cube, axis: str = "year", variant: str = "empirical") -> Cube:
+def _tails(x: Column, mapped: Column, xs: Column, ys: Column) -> Column:
+    """``mapped``, beyond the ends of ``xs`` continued with the slope between the two outermost values of
+    ``xs`` and ``ys``; where these are one, the end stays."""
+    for far, near, beyond in ((1, 2, x < F.element_at(xs, 1)), (-1, -2, x > F.element_at(xs, -1))):
+        run = F.try_element_at(xs, F.lit(far)) - F.try_element_at(xs, F.lit(near))
+        slope = F.when(run != 0, (F.try_element_at(ys, F.lit(far)) - F.try_element_at(ys, F.lit(near))) / run)
+        mapped = F.when(beyond & slope.isNotNull(), F.element_at(ys, far) + slope * (x - F.element_at(xs, far))).otherwise(mapped)
+    return mapped
+
+
+def quantile_map(values: Cube, source: Cube, target: Cube, axis: str = "year", variant: str = "empirical", extrapolate: str = "clamp") -> Cube:
     """Values from the source's distribution to the target's, per cell.
 
     empirical: plotting positions (i + 0.5) / n of the sorted samples, two linear
-    interpolations, clamped; any missing reference value makes the cell missing. parametric:
+    interpolations; beyond the source's range the end value (clamp), or the line through the two outermost
+    values (linear); any missing reference value makes the cell missing. parametric:
     mean and sample deviation, a deviation below 1e-12 counting as 1.
     """
+    if variant not in ("empirical", "parametric") or extrapolate not in ("clamp", "linear"):
+        raise ValueError(f"variant {variant!r}, extrapolate {extrapolate!r}: empirical or parametric, clamp or linear")
     cell, v = source.key(axis), F.col(values.value)
     if variant == "parametric":
         stats = lambda c, p: c.df.groupBy(*cell).agg(F.avg(c.value).alias(f"{p}m"), F.stddev_samp(c.value).alias(f"{p}s"))
@@ -84,19 +97,33 @@ def quantile_map(values: Cube, source: Cube, target: Cube, axis: str = "year", v
     spots = lambda a: F.transform(a, lambda _, i: (i + 0.5) / F.size(a))
     mapped = interp(interp(v, F.col("sv"), spots(F.col("sv"))), spots(F.col("tv")), F.col("tv"))
     whole = (F.size("sv") == F.col("sn")) & (F.size("tv") == F.col("tn"))
+    if extrapolate == "linear":
+        mapped = F.when(whole, _tails(v, mapped, F.col("sv"), F.col("tv")))
     return values.over(df.select(*values.dims, F.when(whole & v.isNotNull(), mapped).alias(values.value)))
 
 
+def quantile_map_series(values: Cube, source: DataFrame, target: DataFrame, variant: str = "empirical", extrapolate: str = "clamp") -> Cube:
+    """Values of any dims from the distribution of one series to that of another (columns value): missing
+    reference values are dropped, and the series may differ in length."""
+    samples = []
+    for name, df in (("source", source), ("target", target)):
+        known = df.select(F.lit(0).alias("_n"), F.col("value").cast("double").alias("value")).where("value IS NOT NULL AND NOT isnan(value)")
+        if known.isEmpty():
+            raise ValueError(f"{name} has no value")
+        samples.append(Cube(known, ("_n",)))
+    return quantile_map(values, *samples, axis="_n", variant=variant, extrapolate=extrapolate)
+
+
 def bcsd(forecast: Cube, hindcast: Cube, observed: Cube, axis: str = "year", member: str = "member") -> Cube:
     """Bias correction on a common grid: the share of the hindcast's years below a value, kept in
     [0.01, 0.99], read off the sorted observations linearly. To downscale, ``regrid.linear`` the
     observations to the model's grid before and the result to the fine grid after."""
-    cell, n = observed.key(axis), F.size("_xs")
+    cell, n = observed.key(axis), F.least(F.size("_xs"), F.size("_ys"))
     h = hindcast.mean(member) if member in hindcast.dims else hindcast
     sorted_ = lambda c, name: c.df.where(F.col(c.value).isNotNull()).groupBy(*cell).agg(F.sort_array(F.collect_list(c.value)).alias(name))
     df = forecast.df.join(sorted_(h, "_xs"), cell or None).join(sorted_(observed, "_ys"), cell or None)
     v = F.col(forecast.value)
-    share = F.size(F.filter("_xs", lambda x: x < v)) / n
+    share = F.size(F.filter("_xs", lambda x: x < v)) / F.size("_xs")
     df = df.withColumn("_at", F.greatest(F.least(share, F.lit(0.99)), F.lit(0.01)) * (n - 1)).withColumn("_lo", F.floor("_at").cast("int"))
     low, high, w = F.get("_ys", F.col("_lo")), F.get("_ys", F.least(F.col("_lo") + 1, n - 1)), F.col("_at") - F.col("_lo")
     return forecast.over(df.select(*forecast.dims, F.when(v.isNotNull(), low * (1 - w) + high * w).alias(forecast.value)))
@@ -179,6 +206,16 @@ def ereg(forecast: Cube, hindcast: Cube, observed: Cube, axis: str = "year", cli
     return df.select(*cell, "mu", "sigma", phi("_a").alias("p_bn"), (phi("_b") - phi("_a")).alias("p_nn"), (1 - phi("_b")).alias("p_an"))
 
 
+def without(values: str, place: str, q: float) -> Column:
+    """The linear quantile of a sorted array less the value at a 1-based place: behind it indices move up by one."""
+    n = F.size(values) - 1
+    at = (n - 1) * F.lit(q)
+    low = F.floor(at).cast("int")
+    pick = lambda k: F.get(values, F.when(k >= F.col(place) - 1, k + 1).otherwise(k))
+    high = F.least(low + 1, n - 1)
+    return F.when(n >= 1, pick(low) + (at - low) * (pick(high) - pick(low)))
+
+
 def ereg_loyo(hindcast: Cube, observed: Cube, axis: str = "year") -> DataFrame:
     """eReg probabilities of every year from all other years, in one pass: the sums of a
     cell without one year follow from the whole sums."""
@@ -187,15 +224,17 @@ def ereg_loyo(hindcast: Cube, observed: Cube, axis: str = "year") -> DataFrame:
     cell, keep = observed.key(axis), list(observed.dims)
     df = h.df.select(*h.dims, F.col(h.value).alias("x")).join(observed.df.select(*observed.dims, F.col(observed.value).alias("y")), keep).where("x IS NOT NULL AND y IS NOT NULL")
     w = W.partitionBy(*cell)
-    total = {n: F.sum(e).over(w) - e for n, e in {"n": F.lit(1.0), "sx": F.col("x"), "sy": F.col("y"), "qx": F.col("x") * F.col("x"), "qy": F.col("y") * F.col("y"), "qxy": F.col("x") * F.col("y")}.items()}
-    s = df.withColumns(total)
-    s = s.withColumns({"mx": F.col("sx") / F.col("n"), "my": F.col("sy") / F.col("n")})
-    s = s.withColumns({"sxx": F.col("qx") - F.col("n") * F.col("mx") * F.col("mx"), "syy": F.col("qy") - F.col("n") * F.col("my") * F.col("my"), "sxy": F.col("qxy") - F.col("n") * F.col("mx") * F.col("my")})
+    # Deviations from the cell's mean, so that an offset costs no digits.
+    s = df.withColumns({"_cx": F.avg("x").over(w), "_cy": F.avg("y").over(w)}).withColumns({"_dx": F.col("x") - F.col("_cx"), "_dy": F.col("y") - F.col("_cy")})
+    total = {n: F.sum(e).over(w) - e for n, e in {"n": F.lit(1.0), "sx": F.col("_dx"), "sy": F.col("_dy"), "qx": F.col("_dx") * F.col("_dx"), "qy": F.col("_dy") * F.col("_dy"), "qxy": F.col("_dx") * F.col("_dy")}.items()}
+    s = s.withColumns(total).withColumn("n1", F.greatest(F.col("n"), F.lit(1.0)))
+    s = s.withColumns({"_mx": F.col("sx") / F.col("n1"), "_my": F.col("sy") / F.col("n1")})
+    s = s.withColumns({"sxx": F.col("qx") - F.col("n") * F.col("_mx") * F.col("_mx"), "syy": F.col("qy") - F.col("n") * F.col("_my") * F.col("_my"), "sxy": F.col("qxy") - F.col("n") * F.col("_mx") * F.col("_my"), "mx": F.col("_cx") + F.col("_mx"), "my": F.col("_cy") + F.col("_my")})
     fine = (F.col("n") >= 3) & (F.col("sxx") >= 1e-12)
     s = s.withColumn("slope", F.when(fine, F.col("sxy") / F.col("sxx")))
     s = s.withColumn("pev", F.greatest(F.col("syy") - F.col("slope") * F.col("sxy"), F.lit(0.0)) / F.greatest(F.col("n") - 2, F.lit(1.0)))
-    s = s.withColumns({"mu": F.col("my") + F.col("slope") * (F.col("x") - F.col("mx")), "sigma": F.sqrt(F.greatest(F.col("pev") * (1 + 1 / F.col("n") + F.pow(F.col("x") - F.col("mx"), 2) / F.col("sxx")), F.lit(1e-24)))})
-    others = df.select(*cell, F.col(axis).alias("_j"), F.col("y").alias("_y"))
-    limits = s.select(*keep).join(others, cell or None).where(F.col(axis) != F.col("_j")).groupBy(*keep).agg(F.percentile("_y", F.lit(1 / 3)).alias("t33"), F.percentile("_y", F.lit(2 / 3)).alias("t67"))
-    p = s.join(limits, keep).withColumn("_a", (F.col("t33") - F.col("mu")) / F.col("sigma")).withColumn("_b", (F.col("t67") - F.col("mu")) / F.col("sigma"))
+    s = s.withColumns({"mu": F.col("my") + F.col("slope") * (F.col("x") - F.col("mx")), "sigma": F.when(fine, F.sqrt(F.greatest(F.col("pev") * (1 + 1 / F.col("n1") + F.pow(F.col("x") - F.col("mx"), 2) / F.col("sxx")), F.lit(1e-24))))})
+    s = s.withColumn("_all", F.sort_array(F.collect_list("y").over(w))).withColumn("_own", F.expr("array_position(_all, y)").cast("int"))
+    s = s.withColumns({"t33": without("_all", "_own", 1 / 3), "t67": without("_all", "_own", 2 / 3)})
+    p = s.withColumn("_a", (F.col("t33") - F.col("mu")) / F.col("sigma")).withColumn("_b", (F.col("t67") - F.col("mu")) / F.col("sigma"))
     return p.select(*keep, "mu", "sigma", phi("_a").alias("p_bn"), (phi("_b") - phi("_a")).alias("p_nn"), (1 - phi("_b")).alias("p_an"))

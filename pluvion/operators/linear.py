@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from pluvion.cube import Cube
 from pluvion.functions.special import phi
-from pluvion.operators.climate import quantiles
 
 
 def cca_fit(x, y, x_modes: int, y_modes: int, modes: int):
@@ -325,28 +324,10 @@ def logit_fit(x, label, ridge: float = 1e-6, rounds: int = 50):
 
 
 def logit(index: DataFrame, observed: Cube, at: float, least_years: int = 10, ridge: float = 1e-6) -> DataFrame:
-    """Tercile probabilities at an index value: three binomial logits per cell, renormalised,
-    with the p of the below category. Cells with too few years are missing."""
-    cell = observed.key("year")
-    limits = quantiles(observed, "year", t33=1 / 3, t67=2 / 3)
-    v = F.col(observed.value)
-    rows = observed.df.where(v.isNotNull()).join(limits, cell).join(index.select("year", F.col("value").alias("x")), "year")
-    rows = rows.select(*cell, "x", F.when(v < F.col("t33"), 0).when(v > F.col("t67"), 2).otherwise(1).alias("c"))
-    kinds = ", ".join(f"{n} {dict(observed.df.dtypes)[n]}" for n in cell)
-
-    def run(key, pdf):
-        import numpy as np
-        import pandas as pd
-
-        if len(pdf) < least_years:
-            return pd.DataFrame([[*key, None, None, None, None]], columns=[*cell, "p_bn", "p_nn", "p_an", "p_value"])
-        x, c = pdf["x"].to_numpy(float), pdf["c"].to_numpy()
-        fits = [logit_fit(x, (c == k).astype(float), ridge) for k in range(3)]
-        p = np.array([float(a > 0) if np.isinf(a) else 1 / (1 + np.exp(-np.clip(a + b * at, -30, 30))) for a, b, _ in fits])
-        p /= p.sum()
-        return pd.DataFrame([[*key, *p, fits[0][2]]], columns=[*cell, "p_bn", "p_nn", "p_an", "p_value"])
+    """Tercile probabilities at an index value by three binomial logits a cell; see ``solvers.logistic``."""
+    from pluvion.operators.solvers import logistic
 
-    return rows.groupBy(*cell).applyInPandas(run, f"{kinds}, p_bn double, p_nn double, p_an double, p_value double")
+    return logistic(index, observed, at, least_years=least_years, ridge=ridge)
 
 
 def cyclic_weights(n: int, sigma: float) -> list[tuple[int, float]]:

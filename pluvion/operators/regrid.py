@@ -41,9 +41,9 @@ def linear(cube: Cube, lat: list[float], lon: list[float]) -> Cube:
     )
     full = (F.col("_c") == F.col("_n")) & (F.col("_w") > 0.999999)
     rows = out.select(*others, "lat", "lon", F.when(full, F.col("_v")).alias(cube.value))
-    grid = spark.createDataFrame([(float(a), float(b)) for a in lat for b in lon], "lat double, lon double")
-    keys = src.select(*others).distinct() if others else None
-    spine = keys.crossJoin(F.broadcast(grid)) if others else grid  # every target cell of each slice
+    axes = spark.createDataFrame([([float(a) for a in lat], [float(b) for b in lon])], "_lats array<double>, _lons array<double>")  # one row
+    keys = src.select(*others).distinct().crossJoin(F.broadcast(axes)) if others else axes
+    spine = keys.withColumn("lat", F.explode("_lats")).withColumn("lon", F.explode("_lons")).drop("_lats", "_lons")  # every target cell of each slice
     return cube.over(spine.join(rows, [*others, "lat", "lon"], "left"), [*others, "lat", "lon"])
 
 
@@ -65,12 +65,24 @@ def coarsen(cube: Cube, factor: int) -> Cube:
     return cube.over(out.where(F.col("_n") == factor * factor).drop("_n"), [*others, "lat", "lon"])
 
 
-def range_stats(points: DataFrame, edges: DataFrame) -> DataFrame:
-    """mean and population deviation of (lat, lon, value) points by (cell, south, north, west,
-    east) boxes, closed below. ``edges`` is one row per target cell; Spark sizes the join."""
+def in_boxes(points: DataFrame, boxes: DataFrame, step: float = 1.0) -> DataFrame:
+    """Points (lat, lon, ...) with the columns of each box (south, north, west, east, ...) that holds them, closed below.
+
+    The plane is cut into squares of ``step`` degrees: a point lies in one, a box names all that it touches, and
+    the two meet by an equi-join on the square, so that no pair is tried that shares none and none is found twice.
+    Boxes much larger than ``step`` are named often; choose it near their size.
+    """
+    square = lambda c: F.floor(F.col(c) / step).cast("long")
+    spread = boxes.where("south < north AND west < east").withColumn("_i", F.explode(F.sequence(square("south"), square("north")))).withColumn("_j", F.explode(F.sequence(square("west"), square("east"))))
+    placed = points.where("lat IS NOT NULL AND lon IS NOT NULL").withColumn("_i", square("lat")).withColumn("_j", square("lon"))
     inside = (F.col("lat") >= F.col("south")) & (F.col("lat") < F.col("north")) & (F.col("lon") >= F.col("west")) & (F.col("lon") < F.col("east"))
-    spread = F.sqrt(F.greatest(F.avg(F.col("value") * F.col("value")) - F.avg("value") * F.avg("value"), F.lit(0.0)))
-    return points.join(edges, inside).groupBy("cell").agg(F.avg("value").alias("elevation"), spread.alias("roughness"))
+    return placed.join(spread, ["_i", "_j"]).where(inside).drop("_i", "_j")
+
+
+def range_stats(points: DataFrame, edges: DataFrame, step: float = 1.0) -> DataFrame:
+    """mean and population deviation of (lat, lon, value) points by (cell, south, north, west,
+    east) boxes, closed below; see ``in_boxes``."""
+    return in_boxes(points, edges, step).groupBy("cell").agg(F.avg("value").alias("elevation"), F.stddev_pop("value").alias("roughness"))
 
 
 def with_parent(cube: Cube, factor: int) -> DataFrame:

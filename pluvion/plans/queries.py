@@ -16,7 +16,7 @@ from pluvion import cube
 from pluvion.cube import Cube
 from pluvion.functions import calendar, special
 from pluvion.functions.special import density_sql, phi_inverse_sql, phi_sql, t_cdf_sql
-from pluvion.operators import analog, calibrate, climate, ensemble, linear, metrics, regrid, subseasonal, tercile, terrain, timing
+from pluvion.operators import analog, calibrate, climate, ensemble, linear, metrics, regrid, solvers, subseasonal, tercile, terrain, timing
 from pluvion.sources import terciles as store
 from pluvion.streaming import scoring, spells
 from pluvion.streaming.places import shared_folder
@@ -647,7 +647,7 @@ def cca_modes_kendall(spark, sf):
     return found.select("model", *(F.col(c).cast("long").alias(c) for c in ("x_modes", "y_modes", "modes", "cells")), (F.round("tau", 6) + 0.0).alias("tau"), "best")
 
 
-def _fine(spark, sf) -> Cube:
+def _dealt(spark, sf) -> Cube:
     """Mean price by year and one of 20 x 20 cells that parts are dealt to."""
     line = spark.read.parquet(f"{sf}/lineitem.parquet")
     cell = F.pmod("l_partkey", F.lit(400))
@@ -665,7 +665,7 @@ def _land(spark, sf) -> DataFrame:
 def rank_analog(spark, sf):
     h = cube.hindcast(spark, sf)
     now = h.over(h.df.where("year = 2001").drop("year"), ["member", "lat", "lon"])
-    df = terrain.rank_analog(now, h.over(h.df.where("year < 2001")), _fine(spark, sf), closing=5, sigma=1.0, size=8).df
+    df = terrain.rank_analog(now, h.over(h.df.where("year < 2001")), _dealt(spark, sf), closing=5, sigma=1.0, size=8).df
     return df.select(F.col("member").cast("long").alias("member"), "lat", "lon", (F.round("value", 6) + 0.0).alias("value"))
 
 
@@ -709,3 +709,43 @@ def pending_scores(spark, sf):
     stream = spark.readStream.schema(issued.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
     scoring.score_stream(stream, sink, f"{folder}/state").awaitTermination()
     return scoring.current_scores(spark, sink.log, ["year"]).select(*(F.col(c).cast("long").alias(c) for c in ("year", "n")), *((F.round(c, 6) + 0.0).alias(c) for c in ("bias", "rmse")), "source")
+
+
+@put("spread_factors")  # 11.16
+def spread_factors(spark, sf):
+    o = cube.observed(spark, sf)
+    return out(solvers.spread_factors(cube.hindcast(spark, sf), o.over(o.df.withColumn("value", F.col("value") / 1500.0)), constrained=False), "lat lon", "a b").select("lat", "lon", *(F.round(c, 4).alias(c) for c in "ab"))
+
+
+@put("logit_multinomial")  # 11.14
+def logit_multinomial(spark, sf):
+    return out(solvers.logistic(_index(spark, sf), cube.observed(spark, sf), 0.5, "multinomial", least_years=5), "lat lon", "p_bn p_nn p_an p_value")
+
+
+@put("permutation_test")  # 9.16
+def permutation_test(spark, sf):
+    return out(solvers.permutation(cube.hindcast(spark, sf), cube.observed(spark, sf), n=1000, seed=1), "lat lon", "statistic p")
+
+
+_BOX = "SELECT n_nationkey AS cell, n_nationkey * 0.0007 AS south, n_nationkey * 0.0007 + 0.0061 AS north, n_nationkey % 5 * 0.009 AS west, n_nationkey % 5 * 0.009 + 0.0123 AS east FROM nation"
+_BOXES = f"WITH points AS (SELECT ((p_partkey - 1) // 50) * CAST(0.001 AS DOUBLE) AS lat, ((p_partkey - 1) % 50) * CAST(0.001 AS DOUBLE) AS lon, p_retailprice AS value FROM part), boxes AS ({_BOX})".replace("0.0007", "CAST(0.0007 AS DOUBLE)").replace("0.0061", "CAST(0.0061 AS DOUBLE)").replace("0.009 ", "CAST(0.009 AS DOUBLE) ").replace("0.0123", "CAST(0.0123 AS DOUBLE)")
+
+
+@put("range_stats", f"{_BOXES} SELECT {sel('cell', 'elevation roughness')} FROM (SELECT cell, avg(value) AS elevation, stddev_pop(value) AS roughness FROM points JOIN boxes ON lat >= south AND lat < north AND lon >= west AND lon < east GROUP BY cell)")  # 3.9
+def range_stats(spark, sf):
+    k = F.col("n_nationkey")
+    boxes = spark.read.parquet(f"{sf}/nation.parquet").select(k.alias("cell"), (k * 0.0007).alias("south"), (k * 0.0007 + 0.0061).alias("north"), (k % 5 * 0.009).alias("west"), (k % 5 * 0.009 + 0.0123).alias("east"))
+    return out(regrid.range_stats(_land(spark, sf).select("lat", "lon", F.col("z").alias("value")), boxes, step=0.006), "cell", "elevation roughness")
+
+
+_TAIL = "CASE WHEN f < s1 AND s2 > s1 THEN t1 + (t2 - t1) / (s2 - s1) * (f - s1) WHEN f > s7 AND s7 > s6 THEN t7 + (t7 - t6) / (s7 - s6) * (f - s7) END"
+
+
+@put("quantile_map_tails", f"{BASE}, s AS (SELECT lat, lon, list_sort(list(value)) AS s FROM past GROUP BY ALL), t AS (SELECT lat, lon, list_sort(list(value)) AS t FROM obs GROUP BY ALL), x AS (SELECT lat, lon, member, value * k AS f FROM hind, (SELECT unnest([0.5, 2.0]) AS k) WHERE year = 2001), j AS (SELECT lat, lon, member, f, s[1] AS s1, s[2] AS s2, s[-1] AS s7, s[-2] AS s6, t[1] AS t1, t[2] AS t2, t[-1] AS t7, t[-2] AS t6 FROM x JOIN s USING (lat, lon) JOIN t USING (lat, lon)) SELECT {sel('lat lon member', 'value')} FROM (SELECT lat, lon, member, {_TAIL} AS value FROM j WHERE (f < s1 AND s2 > s1) OR (f > s7 AND s7 > s6))")  # 5.12
+def quantile_map_tails(spark, sf):
+    """Values of half and twice the latest ones that lie beyond the hindcast's range."""
+    (_, past), h, o = _hist(spark, sf), cube.hindcast(spark, sf), cube.observed(spark, sf)
+    now = h.df.where("year = 2001").select("lat", "lon", "member", F.explode(F.array(F.lit(0.5), F.lit(2.0))).alias("k"), "value").withColumn("value", F.col("value") * F.col("k"))
+    ends = past.df.groupBy("lat", "lon").agg(F.sort_array(F.collect_list("value")).alias("_s")).select("lat", "lon", F.element_at("_s", 1).alias("_lo"), F.element_at("_s", -1).alias("_hi"), F.element_at("_s", 2).alias("_lo2"), F.element_at("_s", -2).alias("_hi2"))
+    far = now.join(ends, ["lat", "lon"]).where("(value < _lo AND _lo2 > _lo) OR (value > _hi AND _hi > _hi2)").select("lat", "lon", "member", "k", "value")
+    return out(calibrate.quantile_map(Cube(far, ("lat", "lon", "member", "k")), past, o, extrapolate="linear").df, "lat lon member", "value")
