@@ -48,7 +48,7 @@ def climatology(observed: Cube, axis: str = "year") -> Cube:
 
 def delta(forecast: Cube, hindcast: Cube, observed: Cube, axis: str = "year") -> Cube:
     """Observed mean plus the forecast's anomaly from the hindcast's mean, on a common grid."""
-    reduce = [d for d in hindcast.dims if d not in ("lat", "lon")]
+    reduce = [d for d in hindcast.dims if d not in observed.key(axis)]
     h = hindcast.mean(*reduce).df.withColumnRenamed(hindcast.value, "_h")
     o = observed.mean(axis).df.withColumnRenamed(observed.value, "_o")
     cell = observed.key(axis)
@@ -134,17 +134,19 @@ def dqm(forecast: Cube, hindcast: Cube, observed: Cube, axis: str = "year", memb
     are taken out, values are mapped, and the hindcast's trend at its last year is put back."""
     cell = observed.key(axis)
     h = hindcast.mean(member) if member in hindcast.dims else hindcast
-    years = h.df.select(axis).distinct().agg(F.avg(axis).alias("_mid"), F.max(axis).alias("_last"))  # one row
+    slices = [d for d in cell if d not in ("lat", "lon")]  # folds, for one
+    years = h.df.select(*slices, axis).distinct().groupBy(*slices).agg(F.avg(axis).alias("_mid"), F.max(axis).alias("_last"))  # a row a slice
+    meet = lambda df: df.join(F.broadcast(years), slices) if slices else df.crossJoin(F.broadcast(years))
 
     def without_trend(c: Cube) -> tuple[Cube, DataFrame]:
-        timed = c.df.join(h.df.select(axis).distinct(), axis, "left_semi").crossJoin(F.broadcast(years)).withColumn("_t", F.col(axis) - F.col("_mid"))
+        timed = meet(c.df.join(h.df.select(*slices, axis).distinct(), [*slices, axis], "left_semi")).withColumn("_t", F.col(axis) - F.col("_mid"))
         tt = F.sum(F.col("_t") * F.col("_t"))
         slope = timed.groupBy(*cell).agg(F.when(tt > 0, F.sum(F.col("_t") * F.col(c.value)) / F.greatest(tt, F.lit(1e-300))).otherwise(0.0).alias("_b"))
         flat = timed.join(slope, cell or None).select(*c.dims, (F.col(c.value) - F.col("_b") * F.col("_t")).alias(c.value))
         return c.over(flat), slope
 
     (source, slope), (target, _) = without_trend(h), without_trend(observed)
-    shift = slope.crossJoin(F.broadcast(years)).select(*cell, (F.col("_b") * (F.col("_last") - F.col("_mid"))).alias("_shift"))
+    shift = meet(slope).select(*cell, (F.col("_b") * (F.col("_last") - F.col("_mid"))).alias("_shift"))
     less = forecast.df.join(shift, cell or None).select(*forecast.dims, (F.col(forecast.value) - F.col("_shift")).alias(forecast.value))
     mapped = quantile_map(forecast.over(less), source, target, axis, variant)
     return forecast.over(mapped.df.join(shift, cell or None).select(*forecast.dims, (F.col(forecast.value) + F.col("_shift")).alias(forecast.value)))

@@ -77,17 +77,18 @@ def pearson_by(df: DataFrame, key: list[str], x: str, y: str) -> DataFrame:
     return s.select(*key, F.when(den > 0, F.col("_xy") / den).alias("value"))
 
 
-def _pooled(cells: DataFrame, spatial: bool) -> DataFrame:
-    return cells if spatial else cells.agg(F.avg("value").alias("value"))
+def _pooled(cells: DataFrame, spatial: bool, by: tuple[str, ...] = ()) -> DataFrame:
+    """Cells as they are, or the mean over them, of each group of ``by``."""
+    return cells if spatial else cells.groupBy(*by).agg(F.avg("value").alias("value"))
 
 
 @metric("pearson_r")
-def pearson_r(forecast: Cube, observed: Cube, spatial: bool = False, axis: str = "year") -> DataFrame:
-    return _pooled(pearson_by(_pairs(forecast, observed), observed.key(axis), "f", "o"), spatial)
+def pearson_r(forecast: Cube, observed: Cube, spatial: bool = False, axis: str = "year", by: tuple[str, ...] = ()) -> DataFrame:
+    return _pooled(pearson_by(_pairs(forecast, observed), observed.key(axis), "f", "o"), spatial, by)
 
 
 @metric("spearman")
-def spearman(forecast: Cube, observed: Cube, spatial: bool = False, axis: str = "year") -> DataFrame:
+def spearman(forecast: Cube, observed: Cube, spatial: bool = False, axis: str = "year", by: tuple[str, ...] = ()) -> DataFrame:
     """Pearson's r of average ranks."""
     key, df = observed.key(axis), _pairs(forecast, observed)
 
@@ -98,35 +99,35 @@ def spearman(forecast: Cube, observed: Cube, spatial: bool = False, axis: str =
         return F.when(F.col(c).isNotNull(), place + (ties - 1) / 2)
 
     ranks = df.withColumn("_rf", ranked("f")).withColumn("_ro", ranked("o"))
-    return _pooled(pearson_by(ranks, key, "_rf", "_ro"), spatial)
+    return _pooled(pearson_by(ranks, key, "_rf", "_ro"), spatial, by)
 
 
 @metric("2afc")
-def two_afc(forecast: Cube, observed: Cube, spatial: bool = False, axis: str = "year") -> DataFrame:
+def two_afc(forecast: Cube, observed: Cube, spatial: bool = False, axis: str = "year", by: tuple[str, ...] = ()) -> DataFrame:
     """Of pairs of years with different observations, the share that the forecast orders right."""
     key, df = observed.key(axis), _pairs(forecast, observed).where("f IS NOT NULL AND o IS NOT NULL")
     # The key is the cell, so this grows with the square of the years of one cell.
     other = df.select(*key, F.col(axis).alias("_j"), F.col("f").alias("_f"), F.col("o").alias("_o"))
     pairs = df.join(other, key or None).where((F.col("o") < F.col("_o")))
     right = F.when(F.col("f") < F.col("_f"), 1.0).when(F.col("f") == F.col("_f"), 0.5).otherwise(0.0)
-    return _pooled(pairs.groupBy(*key).agg(F.avg(right).alias("value")), spatial)
+    return _pooled(pairs.groupBy(*key).agg(F.avg(right).alias("value")), spatial, by)
 
 
 @metric("root_mean_squared_error", "rmse")
-def rmse(forecast: Cube, observed: Cube, spatial: bool = False, axis: str = "year") -> DataFrame:
+def rmse(forecast: Cube, observed: Cube, spatial: bool = False, axis: str = "year", by: tuple[str, ...] = ()) -> DataFrame:
     """The mean over cells of each cell's error."""
     d = F.col("f") - F.col("o")
-    return _pooled(_pairs(forecast, observed).groupBy(*observed.key(axis)).agg(F.sqrt(F.avg(d * d)).alias("value")), spatial)
+    return _pooled(_pairs(forecast, observed).groupBy(*observed.key(axis)).agg(F.sqrt(F.avg(d * d)).alias("value")), spatial, by)
 
 
 @metric("mean_square_skill_score", "msss")
-def msss(forecast: Cube, observed: Cube, spatial: bool = False, axis: str = "year") -> DataFrame:
+def msss(forecast: Cube, observed: Cube, spatial: bool = False, axis: str = "year", by: tuple[str, ...] = ()) -> DataFrame:
     """1 - mean squared error / variance; pooled, the two are averaged over cells first."""
     d = F.col("f") - F.col("o")
     cells = _pairs(forecast, observed).groupBy(*observed.key(axis)).agg(F.avg(d * d).alias("_e"), F.var_pop("o").alias("_v"))
     if not spatial:
-        cells = cells.agg(F.avg("_e").alias("_e"), F.avg("_v").alias("_v"))
-    return cells.select(*(observed.key(axis) if spatial else []), F.when(F.col("_v") > 0, 1 - F.col("_e") / F.col("_v")).alias("value"))
+        cells = cells.groupBy(*by).agg(F.avg("_e").alias("_e"), F.avg("_v").alias("_v"))
+    return cells.select(*(observed.key(axis) if spatial else by), F.when(F.col("_v") > 0, 1 - F.col("_e") / F.col("_v")).alias("value"))
 
 
 def _probabilities_with(terciles: DataFrame, observed: Cube, axis: str, limits: DataFrame) -> DataFrame:
@@ -135,7 +136,7 @@ def _probabilities_with(terciles: DataFrame, observed: Cube, axis: str, limits:
 
 
 @metric("rpss")
-def rpss(terciles: DataFrame, observed: Cube, spatial: bool = False, axis: str = "year", strict_mask: bool = False) -> DataFrame:
+def rpss(terciles: DataFrame, observed: Cube, spatial: bool = False, axis: str = "year", by: tuple[str, ...] = (), strict_mask: bool = False) -> DataFrame:
     """1 - mean RPS / mean RPS of equal odds, against CPT terciles (above is x >= t67).
 
     A missing observation or boundary counts as a perfect forecast in the numerator but not in
@@ -147,19 +148,19 @@ def rpss(terciles: DataFrame, observed: Cube, spatial: bool = False, axis: str =
     rps = lambda a, b: (F.pow(a - c1, 2) + F.pow(b - c2, 2)) / 2
     score = F.when(known, rps(F.col("p_bn"), F.col("p_bn") + F.col("p_nn"))).otherwise(None if strict_mask else 0.0)
     df = df.withColumn("_s", score).withColumn("_c", F.when(known, rps(F.lit(1 / 3), F.lit(2 / 3))))
-    key = observed.key(axis) if spatial else []
+    key = observed.key(axis) if spatial else list(by)
     out = df.groupBy(*key).agg(F.avg("_s").alias("_s"), F.avg("_c").alias("_c"))
     return out.select(*key, F.when(F.col("_c") > 0, 1 - F.col("_s") / F.col("_c")).otherwise(0.0).alias("value"))
 
 
 @metric("heidke_skill_score", "hss")
-def hss(terciles: DataFrame, observed: Cube, spatial: bool = False, axis: str = "year") -> DataFrame:
+def hss(terciles: DataFrame, observed: Cube, spatial: bool = False, axis: str = "year", by: tuple[str, ...] = ()) -> DataFrame:
     """(hits - expected) / (n - expected) of the most likely category, first of equals. Expected
     hits are the products of how often each category was said and seen; missing if all n are expected."""
     df = _probabilities_with(terciles, observed, axis, cpt_boundaries(observed, axis)).where("o IS NOT NULL AND t33 IS NOT NULL AND p_bn IS NOT NULL AND p_nn IS NOT NULL AND p_an IS NOT NULL")
     said = F.when((F.col("p_bn") >= F.col("p_nn")) & (F.col("p_bn") >= F.col("p_an")), 0).when(F.col("p_nn") >= F.col("p_an"), 1).otherwise(2)
     was = F.when(F.col("t33") > F.col("o"), 0).when(F.col("t67") > F.col("o"), 1).otherwise(2)
-    key = observed.key(axis) if spatial else []
+    key = observed.key(axis) if spatial else list(by)
     times = lambda c, k: F.count(F.when(c == k, 1)).cast("double")
     chance = sum((times(said, k) * times(was, k) for k in range(1, 3)), times(said, 0) * times(was, 0))
     out = df.groupBy(*key).agg(F.count(F.when(said == was, 1)).alias("_h"), F.count(F.lit(1)).alias("_n"), chance.alias("_x"))
