@@ -6,7 +6,10 @@ per cell; otherwise one row with ``value``.
 
 from __future__ import annotations
 
+import inspect
+import warnings
 from collections.abc import Callable
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -34,28 +37,110 @@ def get_metric(name: str) -> Callable[..., DataFrame]:
     return METRICS[name]
 
 
-#: What ``skill`` scores of a forecast of each kind.
-PRESETS = {"deterministic": ("pearson_r", "spearman", "2afc", "rmse", "msss"), "tercile": ("rpss", "hss", "groc", "roc_area_below_normal", "roc_area_above_normal", "reliability")}
+#: Named sets of metrics; "all" tries every metric and leaves out those of another kind of forecast.
+PRESETS = {"svslrf": ("rpss", "roc", "reliability"), "deterministic": ("pearson_r", "spearman", "2afc", "rmse", "msss"), "tercile": ("rpss", "hss", "groc", "roc_area_below_normal", "roc_area_above_normal", "reliability")}
+#: Metrics of probabilities, of an ensemble's spread, of a normal law; the others are of single values.
+_OF_TERCILES = {"rpss", "heidke_skill_score", "hss", "roc", "roc_area_below_normal", "roc_area_above_normal", "reliability", "generalized_roc", "groc"}
+_OF_NORMAL = {"continuous_ranked_probability_skill_score", "crpss"}
 
 
-def skill(forecast: Cube | DataFrame, observed: Cube, names: tuple[str, ...] | None = None) -> DataFrame:
-    """A table (metric, value) of several metrics of one forecast, by default those of its kind:
-    a cube is deterministic, a table of probabilities is tercile."""
-    chosen = names or PRESETS["deterministic" if isinstance(forecast, Cube) else "tercile"]
-    rows = [get_metric(n)(forecast, observed).select(F.lit(n).alias("metric"), "value") for n in chosen]
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+def _kind(forecast: Cube | DataFrame) -> str:
+    if isinstance(forecast, Cube):
+        return "ensemble" if "member" in forecast.dims else "values"
+    return "terciles" if "p_bn" in forecast.columns else "normal"
+
+
+def _fits(name: str, forecast: Cube | DataFrame) -> bool:
+    wanted = "terciles" if name in _OF_TERCILES else "normal" if name in _OF_NORMAL else "ensemble" if name.startswith("spread_error") else "values"
+    return _kind(forecast) == wanted or (wanted == "values" and _kind(forecast) == "ensemble")
+
+
+def _names(names, forecast: Cube | DataFrame) -> list[str]:
+    if names is None:
+        return ["rpss"]
+    if names == "all":
+        firsts: dict = {}
+        for n, f in METRICS.items():
+            firsts.setdefault(f, n)  # a metric of two names once
+        return list(firsts.values())
+    if isinstance(names, str):
+        return list(PRESETS.get(names, (names,)))
+    return list(names)
+
+
+@dataclass
+class SkillReport:
+    """Scores of one forecast: ``scores`` (metric, value), maps of metrics by cell, and diagrams."""
 
+    scores: DataFrame
+    spatial: dict[str, DataFrame] = field(default_factory=dict)
+    diagrams: dict[str, DataFrame] = field(default_factory=dict)
+    left_out: tuple[str, ...] = ()
 
-def skill_compare(forecasts: dict[str, Cube | DataFrame], observed: Cube, names: tuple[str, ...] | None = None) -> DataFrame:
-    """The skill tables of several named forecasts in one: forecast, metric, value."""
+    def to_table(self) -> DataFrame:
+        return self.scores
+
+    def to_dict(self) -> dict:
+        """Plain numbers and lists, ready for JSON: brings scores, and every map and diagram asked for, to the driver."""
+        plain = lambda df: [r.asDict() for r in df.collect()]
+        return {"scores": {r["metric"]: r["value"] for r in self.scores.collect()}, "spatial": {k: plain(v) for k, v in self.spatial.items()}, "diagrams": {k: plain(v) for k, v in self.diagrams.items()}, "left_out": list(self.left_out)}
+
+
+def skill_report(forecast: Cube | DataFrame, observed: Cube, names=None, spatial: bool = False, axis: str = "year") -> SkillReport:
+    """Scores of a cube of values or of a table of tercile probabilities (or of mu and sigma).
+
+    ``names``: metrics, a preset, or "all"; by default RPSS. A metric of another kind of forecast raises, but is
+    left out of "all" with a warning. A metric of several scores gives a row for each. With ``spatial`` metrics
+    that have one are mapped, and the map's mean is the score; ROC and reliability give diagrams.
+    """
+    chosen, left, rows, maps, diagrams = _names(names, forecast), [], None, {}, {}
+    for n in chosen:
+        score = get_metric(n)
+        if not _fits(n, forecast):
+            if names != "all":
+                raise ValueError(f"{n!r} does not score a forecast of {_kind(forecast)}")
+            left.append(n)
+            continue
+        mapped = spatial and {"spatial", "by"} <= set(inspect.signature(score).parameters)
+        if mapped:
+            maps[n] = score(forecast, observed, spatial=True, axis=axis)
+            got = maps[n].agg(F.avg("value").alias("value"))
+        else:
+            got = score(forecast, observed, axis=axis)
+        if "value" not in got.columns:
+            left.append(n)  # several series, no score
+            continue
+        got = got.select((F.col("metric") if "metric" in got.columns else F.lit(n)).alias("metric"), F.col("value").cast("double").alias("value"))
+        rows = got if rows is None else rows.unionByName(got)
+        if n == "roc":
+            diagrams[n] = roc_diagram(forecast, observed, axis)
+        elif n == "reliability":
+            diagrams[n] = reliability_diagram(forecast, observed, axis)
+    if left:
+        warnings.warn(f"left out, not scores of a forecast of {_kind(forecast)}: {', '.join(left)}", RuntimeWarning, stacklevel=2)
+    if rows is None:
+        raise ValueError("no metric fits the forecast")
+    return SkillReport(rows, maps, diagrams, tuple(left))
+
+
+def skill(forecast: Cube | DataFrame, observed: Cube, names=None, axis: str = "year") -> DataFrame:
+    """The table (metric, value) of ``skill_report``."""
+    return skill_report(forecast, observed, names, axis=axis).scores
+
+
+def skill_compare(forecasts: dict[str, Cube | DataFrame], observed: Cube, names=None, axis: str = "year") -> DataFrame:
+    """The skill tables of several named forecasts in one: forecast, metric, value. All must have
+    the years and cells of the first, else the scores would not compare."""
     if not forecasts:
         raise ValueError("no forecast to compare")
-    out = None
+    out, first = None, None
     for name, f in forecasts.items():
-        rows = skill(f, observed, names).select(F.lit(name).alias("forecast"), "metric", "value")
+        keys = (f.df if isinstance(f, Cube) else f).select(*observed.dims).distinct()
+        if first is None:
+            first = keys
+        elif not first.exceptAll(keys).unionByName(keys.exceptAll(first)).isEmpty():
+            raise ValueError(f"{name!r} has other years or cells than {next(iter(forecasts))!r}")
+        rows = skill(f, observed, names, axis).select(F.lit(name).alias("forecast"), "metric", "value")
         out = rows if out is None else out.unionByName(rows)
     return out
 
@@ -194,6 +279,29 @@ def roc_area(scored: DataFrame, prob: str, event: str) -> DataFrame:
     return out.select(F.when((F.col("_t") > 0) & (F.col("_f") > 0), F.col("_a") / (F.col("_t") * F.col("_f"))).otherwise(0.5).alias("value"))
 
 
+def roc_curve(scored: DataFrame, prob: str, event: str) -> DataFrame:
+    """prob, hits and alarms: for each probability the share of events, and of others, that have it or more."""
+    steps = scored.where(F.col(prob).isNotNull()).groupBy(prob).agg(F.count(F.when(F.col(event), 1)).alias("_t"), F.count(F.when(~F.col(event), 1)).alias("_f"))
+    steps = _pieces(steps, prob)
+    every = steps.groupBy("_piece").agg(F.sum("_t").alias("_t"), F.sum("_f").alias("_f"))  # a row a range
+    above, whole = W.orderBy(F.desc("_piece")).rowsBetween(W.unboundedPreceding, -1), W.orderBy("_piece").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    before = every.select("_piece", *(F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"{c}0") for c in ("_t", "_f")), *(F.sum(c).over(whole).alias(f"{c}n") for c in ("_t", "_f")))
+    order = W.partitionBy("_piece").orderBy(F.desc(prob)).rowsBetween(W.unboundedPreceding, 0)
+    share = lambda c: F.when(F.col(f"{c}n") > 0, (F.col(f"{c}0") + F.sum(c).over(order)) / F.col(f"{c}n"))
+    return steps.join(F.broadcast(before), "_piece").select(prob, share("_t").alias("hits"), share("_f").alias("alarms"))
+
+
+def roc_diagram(terciles: DataFrame, observed: Cube, axis: str = "year") -> DataFrame:
+    """tercile, p, hits, alarms: the points of each category's ROC curve, pooled over cells and years."""
+    df = _probabilities_with(terciles, observed, axis, cpt_boundaries(observed, axis))
+    was = F.when(F.col("t33") > F.col("o"), 0).when(F.col("t67") > F.col("o"), 1).otherwise(2)
+    out = None
+    for i, p in enumerate(("p_bn", "p_nn", "p_an")):
+        points = roc_curve(df.withColumn("_e", was == i), p, "_e").select(F.lit(i).alias("tercile"), F.col(p).alias("p"), "hits", "alarms")
+        out = points if out is None else out.unionByName(points)
+    return out
+
+
 @metric("roc")
 def roc(terciles: DataFrame, observed: Cube, axis: str = "year") -> DataFrame:
     """roc_bn, roc_nn, roc_an: areas per category, pooled over cells and years."""
@@ -325,6 +433,13 @@ def permutation_test(x, y, statistic, alternative: str = "greater", n: int = 500
     return float(seen), float((1 + int((far & np.isfinite(draws)).sum())) / (n + 1))
 
 
+@metric("loo_corr")
+def loo_corr(forecast: Cube, observed: Cube, spatial: bool = False, axis: str = "year", by: tuple[str, ...] = ()) -> DataFrame:
+    """The correlation of leave-one-out predictions of a line with the observations, by cell; missing with
+    fewer than five pairs or without variation."""
+    return _pooled(pearson_by(loo(forecast, observed, axis).where("loo IS NOT NULL"), observed.key(axis), "loo", "o"), spatial, by)
+
+
 def loo(cube: Cube, observed: Cube, axis: str = "year") -> DataFrame:
     """Leave-one-out predictions of a least-squares line, in closed form (PRESS): adds
     leverage and loo; missing where x does not vary or fewer than five pairs are there."""

@@ -552,7 +552,7 @@ hb AS (SELECT lat, lon, sum((year - mid) * value) / sum((year - mid) * (year - m
 hs AS (SELECT lat, lon, avg(value - b * (year - mid)) AS m, stddev_samp(value - b * (year - mid)) AS d FROM past JOIN hb USING (lat, lon) CROSS JOIN mid GROUP BY ALL), os AS (SELECT lat, lon, avg(value - b * (year - mid)) AS m, stddev_samp(value - b * (year - mid)) AS d FROM obs JOIN ob USING (lat, lon) CROSS JOIN mid WHERE year < 2001 GROUP BY ALL)"""
 put("dqm_parametric", f"{_DQM} SELECT {sel('member lat lon', 'value')} FROM (SELECT h.member, h.lat, h.lon, os.m + (h.value - hb.b * (last - mid) - hs.m) / hs.d * os.d + hb.b * (last - mid) AS value FROM hind h JOIN hb USING (lat, lon) JOIN hs USING (lat, lon) JOIN os USING (lat, lon) CROSS JOIN mid WHERE h.year = 2001)")(lambda spark, sf: out(calibrate.downscale(*_split(spark, sf), "dqm", variant="parametric").df, "member lat lon", "value"))  # 11.5
 _TABLE = " UNION ALL ".join(f"SELECT '{n}' AS metric, value FROM ({ORACLES[q]})" for n, q in (("pearson_r", "pearson_r_pooled"), ("spearman", "spearman_pooled"), ("2afc", "two_afc_pooled"), ("rmse", "rmse_pooled"), ("msss", "msss_pooled")))
-put("skill", _TABLE)(lambda spark, sf: metrics.skill(*_predicted(spark, sf)).select("metric", (F.round("value", 6) + 0.0).alias("value")))  # 9.19
+put("skill", _TABLE)(lambda spark, sf: metrics.skill(*_predicted(spark, sf), "deterministic").select("metric", (F.round("value", 6) + 0.0).alias("value")))  # 9.19
 
 
 # Masks, gamma fits, years, analogs by hand, contributions, and the sub-seasonal chain.
@@ -749,3 +749,11 @@ def quantile_map_tails(spark, sf):
     ends = past.df.groupBy("lat", "lon").agg(F.sort_array(F.collect_list("value")).alias("_s")).select("lat", "lon", F.element_at("_s", 1).alias("_lo"), F.element_at("_s", -1).alias("_hi"), F.element_at("_s", 2).alias("_lo2"), F.element_at("_s", -2).alias("_hi2"))
     far = now.join(ends, ["lat", "lon"]).where("(value < _lo AND _lo2 > _lo) OR (value > _hi AND _hi > _hi2)").select("lat", "lon", "member", "k", "value")
     return out(calibrate.quantile_map(Cube(far, ("lat", "lon", "member", "k")), past, o, extrapolate="linear").df, "lat lon member", "value")
+
+
+_SVSLRF = f"SELECT 'rpss' AS metric, value FROM ({ORACLES['rpss_pooled']}) UNION ALL SELECT metric, value FROM ({ORACLES['roc_areas']}) UNION ALL SELECT 'reliability' AS metric, value FROM ({ORACLES['reliability']})"
+
+
+@put("skill_svslrf", _SVSLRF)  # 9.19
+def skill_svslrf(spark, sf):
+    return metrics.skill(*_probs(spark, sf), "svslrf").select("metric", (F.round("value", 6) + 0.0).alias("value"))
