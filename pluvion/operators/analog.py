@@ -101,13 +101,14 @@ def analogs_from_field(field: Cube, target: DataFrame, n: int, metric: str = "rm
     t = target.select("lat", "lon", F.col("value").alias("_t"))
     j = field.df.join(t, ["lat", "lon"]).withColumn("_w", F.greatest(F.cos(F.radians("lat")), F.lit(0.0)))
     x, w = F.col(field.value), F.col("_w")
+    total = F.when(F.sum("_w") > 0, F.sum("_w"))  # at the poles alone there is no weight, and no score
     if metric in ("rmse", "mae"):
         d = x - F.col("_t")
-        err = F.sum(w * (d * d if metric == "rmse" else F.abs(d))) / F.sum(w)
+        err = F.sum(w * (d * d if metric == "rmse" else F.abs(d))) / total
         scores = j.groupBy(axis).agg((F.sqrt(err) if metric == "rmse" else err).alias("score"))
     else:
         if metric == "pattern":
-            m = j.groupBy(axis).agg((F.sum(w * x) / F.sum(w)).alias("_mx"), (F.sum(w * F.col("_t")) / F.sum(w)).alias("_mt"))
+            m = j.groupBy(axis).agg((F.sum(w * x) / total).alias("_mx"), (F.sum(w * F.col("_t")) / total).alias("_mt"))
             j = j.join(m, axis)
         elif metric == "anomaly":
             j = j.withColumns({"_mx": F.lit(0.0), "_mt": F.lit(0.0)})
@@ -130,13 +131,14 @@ def both(a: DataFrame, b: DataFrame, n: int, axis: str = "year", either: bool =
 
 def analog_weights(analogs: DataFrame, kind: str = "uniform", scale: float | None = None, axis: str = "year") -> DataFrame:
     """Weights of the selected years, summing to 1: uniform, s / (x + s), or exp(-(x / s)^2 / 2);
-    s is the median of the positive selected scores, or 1."""
+    s is the median of the positive selected scores, or 1. A year whose formula divides by 0 has none."""
     chosen = analogs.where("rank IS NOT NULL")
     s = chosen.agg(F.coalesce(F.lit(scale).cast("double"), F.percentile(F.when(F.col("score") > 0, F.col("score")), F.lit(0.5)), F.lit(1.0)).alias("_s"))
     x = F.col("score")
-    raw = {"uniform": F.lit(1.0), "inverse": F.col("_s") / (x + F.col("_s")), "gaussian": F.exp(-0.5 * F.pow(x / F.col("_s"), 2))}[kind]
+    over = lambda a, b: a / F.when(b != 0, b)
+    raw = {"uniform": F.lit(1.0), "inverse": over(F.col("_s"), x + F.col("_s")), "gaussian": F.exp(-0.5 * F.pow(over(x, F.col("_s")), 2))}[kind]
     w = chosen.crossJoin(F.broadcast(s)).withColumn("_w", raw)  # one row
-    return w.crossJoin(F.broadcast(w.agg(F.sum("_w").alias("_t")))).select(axis, (F.col("_w") / F.col("_t")).alias("weight"))
+    return w.crossJoin(F.broadcast(w.agg(F.sum("_w").alias("_t")))).select(axis, over(F.col("_w"), F.col("_t")).alias("weight"))
 
 
 def complete(seasons: Cube, analogs: DataFrame, observed: DataFrame, forecast: DataFrame | None = None, overlap: str = "observed") -> DataFrame:

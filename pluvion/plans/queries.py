@@ -424,7 +424,15 @@ r AS (SELECT a.year, a.lat, a.lon, a.x, count(*) AS n, avg(b.x) AS mx, regr_sxx(
 m AS (SELECT *, a + b * x AS mu, sqrt(pev * (1 + 1.0 / n + power(x - mx, 2) / sxx)) AS sigma FROM r), z AS (SELECT *, (t33 - mu) / sigma AS za, (t67 - mu) / sigma AS zb FROM m)"""
 put("ereg_loyo", f"{BASE}{_ELOYO} SELECT {sel('year lat lon', 'p_bn p_nn p_an')} FROM (SELECT year, lat, lon, {phi_sql('za')} AS p_bn, {phi_sql('zb')} - {phi_sql('za')} AS p_nn, 1 - {phi_sql('zb')} AS p_an FROM z)")(lambda spark, sf: out(calibrate.ereg_loyo(cube.hindcast(spark, sf), cube.observed(spark, sf)), "year lat lon", "p_bn p_nn p_an"))  # 10.14
 _Y7 = "(SELECT unnest(range(1995, 2002)) AS y)"
-put("loyo_folds", f"SELECT CAST(t.y - 1995 AS BIGINT) AS fold, CAST(t.y AS BIGINT) AS year, 'test' AS role FROM {_Y7} t UNION ALL SELECT t.y - 1995, x.y, 'train' FROM {_Y7} t, {_Y7} x WHERE abs(t.y - x.y) > 1")(lambda spark, sf: calibrate.folds(spark, list(range(1995, 2002)), "loyo", window=3).selectExpr("CAST(fold AS BIGINT) AS fold", "CAST(year AS BIGINT) AS year", "role"))  # 10.13
+_YL = "(SELECT DISTINCT year(l_shipdate) AS y FROM lineitem)"
+
+
+def _years_of(spark, sf) -> list[int]:
+    """The years that anything was shipped in: a few."""
+    return sorted(r[0] for r in spark.read.parquet(f"{sf}/lineitem.parquet").select(F.year("l_shipdate")).distinct().collect())
+
+
+put("loyo_folds", f"SELECT CAST(t.y - 1995 AS BIGINT) AS fold, CAST(t.y AS BIGINT) AS year, 'test' AS role FROM {_YL} t UNION ALL SELECT t.y - 1995, x.y, 'train' FROM {_YL} t, {_YL} x WHERE abs(t.y - x.y) > 1")(lambda spark, sf: calibrate.folds(spark, _years_of(spark, sf), "loyo", window=3).selectExpr("CAST(fold AS BIGINT) AS fold", "CAST(year AS BIGINT) AS year", "role"))  # 10.13
 
 
 def _models(spark, sf) -> DataFrame:
@@ -471,7 +479,7 @@ def _completion(spark, sf) -> DataFrame:
 _DONE = SEASONS.format(tail=0).replace("stack AS (", "stack AS MATERIALIZED (") + ", done AS (SELECT a.year AS scenario, a.nation, a.step, CASE WHEN o.value IS NULL THEN 'analog' ELSE 'observed' END AS segment, coalesce(o.value, a.value) AS value FROM stack a LEFT JOIN (SELECT * FROM stack WHERE year = 2000 AND step < 40) o USING (nation, step) WHERE a.year IN (1996, 1998))"
 put("complete", f"{_DONE} SELECT segment, {sel('scenario nation step', 'value')} FROM done")(lambda spark, sf: _completion(spark, sf).select("segment", *(F.col(c).cast("long").alias(c) for c in ("scenario", "nation", "step")), F.round("value", 6).alias("value")))  # 12.9
 put("scenario_totals", f"{_DONE} SELECT {sel('scenario nation', 'total')} FROM (SELECT scenario, nation, sum(value) AS total FROM done GROUP BY ALL)")(lambda spark, sf: out(analog.scenario_totals(_completion(spark, sf), "nation"), "scenario nation", "total"))  # 12.9
-put("issuance_dates", "SELECT CAST(d AS VARCHAR) AS issuance FROM (SELECT CAST(unnest(generate_series(DATE '2024-01-01', DATE '2024-03-31', INTERVAL 1 DAY)) AS DATE) AS d) WHERE dayofweek(d) IN (1, 4)")(lambda spark, sf: store.issuance_dates(spark, "2024-01-01", "2024-03-31").select(F.col("issuance").cast("string").alias("issuance")))  # 1.13
+put("issuance_dates", "SELECT CAST(d AS VARCHAR) AS issuance FROM (SELECT CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS d FROM (SELECT CAST(min(ts) AS DATE) AS a, CAST(max(ts) AS DATE) AS b FROM events)) WHERE dayofweek(d) IN (1, 4)")(lambda spark, sf: store.issuance_dates(spark, *(str(d) for d in spark.read.parquet(f"{sf}/events.parquet").agg(F.to_date(F.min("ts")), F.to_date(F.max("ts"))).first())).select(F.col("issuance").cast("string").alias("issuance")))  # 1.13
 put("dekad_totals", "SELECT CAST(dekad AS VARCHAR) AS dekad, event_type, CAST(n AS BIGINT) AS n, round(total, 4) AS total FROM (SELECT CAST(date_trunc('month', ts) AS DATE) + CAST(least((day(ts) - 1) // 10, 2) AS INTEGER) * 10 AS dekad, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY ALL)")(lambda spark, sf: scoring.dekad_totals(spark.read.parquet(f"{sf}/events.parquet"), "ts", "value", "10 days", "event_type").select(F.to_date("dekad").cast("string").alias("dekad"), "event_type", "n", F.round("total", 4).alias("total")))  # 2.13
 
 
@@ -573,7 +581,7 @@ put("parent_cells", f"{BASE} SELECT {sel('year lat lon', 'parent_mean parent_max
 put("native_years", f"{BASE} SELECT model, {sel('year')} FROM (SELECT DISTINCT concat('m', member) AS model, year FROM hind WHERE year IN (SELECT year FROM obs))")(lambda spark, sf: climate.native_years(_all_models(spark, sf), cube.observed(spark, sf).df).select("model", F.col("year").cast("long").alias("year")))  # 8.9, 2.12
 put("shared_years", f"{BASE} SELECT {sel('year')} FROM (SELECT year FROM hind INTERSECT SELECT year FROM obs)")(lambda spark, sf: out(climate.shared_years([cube.hindcast(spark, sf).df, cube.observed(spark, sf).df]), "year"))  # 8.8
 put("tercile_mae", f"{BASE}{PROBS} SELECT {sel('', 'value')} FROM (SELECT avg((abs(a.p_bn - b.p_bn) + abs(a.p_nn - b.p_nn) + abs(a.p_an - b.p_an)) * 100 / 3) AS value FROM probs a JOIN probs b ON b.year = a.year - 1 AND a.lat = b.lat AND a.lon = b.lon)")(lambda spark, sf: out(tercile.tercile_mae(p := _probs(spark, sf)[0], p.select((F.col("year") + 1).alias("year"), "lat", "lon", *(F.col(c).__mul__(100).alias(c) for c in tercile.P)), _K), "", "value"))  # 4.14
-put("season_times", "SELECT CAST(year AS BIGINT) AS year, CAST(row_number() OVER (PARTITION BY year ORDER BY t) - 1 AS BIGINT) AS step, CAST(t AS VARCHAR) AS time FROM (SELECT DISTINCT year, CAST(date_trunc('month', d) AS DATE) + CAST(10 * least((day(d) - 1) // 10, 2) AS INTEGER) AS t FROM (SELECT y AS year, CAST(unnest(generate_series(make_date(y, 11, 1), make_date(y + 1, 1, 31), INTERVAL 1 DAY)) AS DATE) AS d FROM (SELECT unnest(range(1995, 2002)) AS y)))")(lambda spark, sf: calendar.season_times(spark, "NDJ", list(_ALL_YEARS), "dekad").select(F.col("year").cast("long").alias("year"), F.col("step").cast("long").alias("step"), F.col("time").cast("string").alias("time")))  # 5.8
+put("season_times", "SELECT CAST(year AS BIGINT) AS year, CAST(row_number() OVER (PARTITION BY year ORDER BY t) - 1 AS BIGINT) AS step, CAST(t AS VARCHAR) AS time FROM (SELECT DISTINCT year, CAST(date_trunc('month', d) AS DATE) + CAST(10 * least((day(d) - 1) // 10, 2) AS INTEGER) AS t FROM (SELECT y AS year, CAST(unnest(generate_series(make_date(y, 11, 1), make_date(y + 1, 1, 31), INTERVAL 1 DAY)) AS DATE) AS d FROM (SELECT DISTINCT year(l_shipdate) AS y FROM lineitem)))")(lambda spark, sf: calendar.season_times(spark, "NDJ", _years_of(spark, sf), "dekad").select(F.col("year").cast("long").alias("year"), F.col("step").cast("long").alias("step"), F.col("time").cast("string").alias("time")))  # 5.8
 put("analogs_where", f"{_IDX} SELECT {sel('year rank', 'score')} FROM (SELECT year, CASE WHEN value >= 0 THEN 0.0 END AS score, CASE WHEN value >= 0 THEN sum(CASE WHEN value >= 0 THEN 1 ELSE 0 END) OVER (ORDER BY year) END AS rank FROM idx)")(lambda spark, sf: out(analog.analogs_where(_index(spark, sf).select("year", (F.col("value") >= 0).alias("condition"))), "year rank", "score"))  # 12.5
 put("analogs_from_years", f"{BASE} SELECT {sel('year rank', 'score')} FROM (SELECT DISTINCT year, CASE year WHEN 1999 THEN 1 WHEN 1996 THEN 2 END AS rank, CASE WHEN year IN (1999, 1996) THEN 0.0 END AS score FROM obs)")(lambda spark, sf: out(analog.top(analog.analogs_from_years([1999, 1996, 2001], cube.observed(spark, sf).df.select("year")), 2).withColumn("score", F.when(F.col("rank").isNotNull(), F.col("score"))), "year rank", "score"))  # 12.5, 8.3
 put("analogs_filtered", f"{_IDX}, s2 AS (SELECT year, abs(value - 0.5) AS score, value FROM idx), r AS ({_RANKED.replace('SELECT year,', 'SELECT year, value,', 1)}) SELECT {sel('year rank', 'score')} FROM (SELECT year, score, CASE WHEN rank IS NOT NULL AND value > 0 THEN row_number() OVER (PARTITION BY rank IS NOT NULL AND value > 0 ORDER BY rank) END AS rank FROM r)")(lambda spark, sf: out(analog.keep_years(analog.analogs_from_index(i := _index(spark, sf), 0.5, 3), i.select("year", (F.col("value") > 0).alias("keep"))), "year rank", "score"))  # 2.15
