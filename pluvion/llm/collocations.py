@@ -36,10 +36,13 @@ _ENDS = b".,;:!?\n\x0b\x0c\r"
 _END = b"\xff"  # no byte of UTF-8
 _FOLD = bytes.maketrans(bytes(range(65, 91)) + _ENDS + b"\t", bytes(range(97, 123)) + _END * len(_ENDS) + b" ")
 KEYS = ["lang", "w1", "w2", "w3"]
+#: Between the words of a phrase: a space, which no word holds.
+_GAP = " "
 _BITS = 25  # of a bitmap's size: 4 MB
 _CODE = 21  # bits of a word in a node's key
-_SCHEMA = pa.schema([*((k, pa.string()) for k in KEYS), ("f", pa.int64())])
-_TYPES = "lang string, w1 string, w2 string, w3 string, f long"
+_RUN = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("f", pa.int64())])
+_NODE = pa.schema([*((k, pa.string()) for k in KEYS), ("f", pa.int64())])
+_NODES = "lang string, w1 string, w2 string, w3 string, f long"
 
 
 def words_of(texts: list[str]) -> list[bytes]:
@@ -79,6 +82,11 @@ class Trie:
     def add(self, tokens: list[bytes]) -> None:
         """Counts the n-grams that begin at any token; as many more may follow as complete the last ones."""
         code = np.fromiter(map(self.words.__getitem__, tokens), np.int64, len(tokens))
+        if self.depth == 1:
+            count = np.bincount(code[code >= 0], minlength=1)
+            self.runs.append((found := np.flatnonzero(count), count[found]))
+            self.pending += len(found)
+            return
         good, key = code >= 0, code
         if self.depth > 1:
             key, good = (code[:-1] << _CODE) | code[1:], good[:-1] & good[1:]
@@ -90,12 +98,14 @@ class Trie:
         self.pending += len(self.runs[-1][0])
 
     def merge(self) -> None:
+        """The sorted runs of counted nodes become one."""
         if len(self.runs) < 2:
             return
-        keys, at = np.unique(np.concatenate([k for k, _ in self.runs]), return_inverse=True)
-        total = np.zeros(len(keys), np.int64)
-        np.add.at(total, at, np.concatenate([c for _, c in self.runs]))
-        self.runs, self.pending = [(keys, total)], len(keys)
+        keys, counts = (np.concatenate(x) for x in zip(*self.runs))
+        order = np.argsort(keys, kind="stable")  # merges runs that are sorted
+        keys = keys[order]
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))[: len(keys)]
+        self.runs, self.pending = [(keys[first], np.add.reduceat(counts[order], first) if len(keys) else counts)], len(first)
 
     def serialised(self):
         """Nodes sorted by the bytes of their words, as record batches."""
@@ -107,17 +117,20 @@ class Trie:
         rank = np.empty(len(known), np.int64)
         rank[order] = np.arange(len(known))
         names = pa.array([known[i] for i in order], pa.binary()).cast(pa.string())
-        levels = [rank[(keys >> (_CODE * (self.depth - 1 - d))) & ((1 << _CODE) - 1)] for d in range(self.depth)]
-        by = np.lexsort(levels[::-1])
-        for at in range(0, len(by), 20_000):
-            part = by[at : at + 20_000]
-            empty = pa.nulls(len(part), pa.string())
-            words = [names.take(pa.array(levels[d][part])) if d < self.depth else empty for d in range(3)]
-            yield pa.RecordBatch.from_arrays([pa.array([self.lang] * len(part)), *words, pa.array(counts[part])], schema=_SCHEMA)
+        low, place = (1 << _CODE) - 1, np.zeros(len(keys), np.int64)
+        for d in range(self.depth):
+            place = (place << _CODE) | rank[(keys >> (_CODE * (self.depth - 1 - d))) & low]
+        by = np.argsort(place)
+        place, counts = place[by], counts[by]
+        for at in range(0, len(by), 50_000):
+            part = place[at : at + 50_000]
+            words = [names.take(pa.array((part >> (_CODE * (self.depth - 1 - d))) & low)) for d in range(self.depth)]
+            phrase = pc.binary_join_element_wise(*words, _GAP) if self.depth > 1 else words[0]
+            yield pa.RecordBatch.from_arrays([pa.array([self.lang] * len(part)), phrase, pa.array(counts[at : at + 50_000])], schema=_RUN)
 
 
 def shard_tries(docs: DataFrame, depth: int, words=None, pairs=None, chars: int = 4_000_000, window: int = 1_000_000, nodes: int = 1_500_000) -> DataFrame:
-    """The sorted tries of all shards: KEYS and f; words beyond ``depth`` are null."""
+    """The sorted tries of all shards: lang, phrase (its words joined by a space) and f."""
     def run(batches):
         release()
         tries: dict[str, Trie] = {}
@@ -155,20 +168,11 @@ def shard_tries(docs: DataFrame, depth: int, words=None, pairs=None, chars: int
             yield from trie.serialised()
 
     texts = docs.where(F.length("text") > 0).select(F.coalesce("lang", F.lit("und")), "text")
-    return texts.mapInArrow(run, _TYPES)
-
-
-def _changes(batch: pa.RecordBatch, columns: int) -> np.ndarray:
-    """Where a row's key differs from the row before it, from the second row on."""
-    differs = np.zeros(batch.num_rows - 1, bool)
-    for c in range(columns):
-        col = batch.column(c)
-        differs |= pc.not_equal(col[1:], col[:-1]).to_numpy(zero_copy_only=False)
-    return differs
+    return texts.mapInArrow(run, "lang string, phrase string, f long")
 
 
 def merged(runs: DataFrame, depth: int, least: int) -> DataFrame:
-    """Sorted runs dealt by prefix ranges and merged: nodes of one level with f >= ``least``."""
+    """Sorted runs dealt by prefix ranges and merged: nodes of one level with f >= ``least``, by KEYS."""
     def run(batches):
         last = None
         for batch in batches:
@@ -176,23 +180,27 @@ def merged(runs: DataFrame, depth: int, least: int) -> DataFrame:
                 continue
             if last is not None:
                 batch = pa.Table.from_batches([last, batch]).combine_chunks().to_batches()[0]
-            first = np.flatnonzero(np.append(True, _changes(batch, depth + 1)))
-            sums = np.add.reduceat(batch.column(4).to_numpy(), first)
-            nodes = pa.RecordBatch.from_arrays([*batch.take(pa.array(first)).columns[:4], pa.array(sums)], schema=_SCHEMA)
-            last, nodes = nodes.slice(len(first) - 1), nodes.slice(0, len(first) - 1)
-            yield nodes.filter(pc.greater_equal(nodes.column(4), least))
+            lang, phrase = batch.column(0), batch.column(1)
+            new = pc.or_(pc.not_equal(phrase[1:], phrase[:-1]), pc.not_equal(lang[1:], lang[:-1])).to_numpy(zero_copy_only=False)
+            first = np.flatnonzero(np.append(True, new))
+            sums = np.add.reduceat(batch.column(2).to_numpy(), first)
+            keep = np.flatnonzero(sums[:-1] >= least)
+            yield pa.RecordBatch.from_arrays([lang.take(pa.array(first[keep])), phrase.take(pa.array(first[keep])), pa.array(sums[keep])], schema=_RUN)
+            end = int(first[-1])
+            last = pa.RecordBatch.from_arrays([lang[end : end + 1], phrase[end : end + 1], pa.array(sums[-1:])], schema=_RUN)
         if last is not None:
-            yield last.filter(pc.greater_equal(last.column(4), least))
+            yield last.filter(pc.greater_equal(last.column(2), least))
 
-    keys = KEYS[: depth + 1]
-    return runs.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(run, _TYPES)
+    nodes = runs.repartitionByRange("lang", "phrase").sortWithinPartitions("lang", "phrase").mapInArrow(run, "lang string, phrase string, f long")
+    words = F.split("phrase", _GAP)
+    return nodes.select("lang", *(words[d].alias(f"w{d + 1}") if d < depth else F.lit(None).cast("string").alias(f"w{d + 1}") for d in range(3)), "f")
 
 
 def walk(nodes: DataFrame) -> DataFrame:
     """Nodes of all levels with l1 and l2, the counts of their first word and first pair, where these
     ancestors lie in the same range. In sorted order a node's ancestor of a level is the last node of that level
     before it: had another come between, it would not be below that ancestor."""
-    schema = pa.schema([*_SCHEMA, ("l1", pa.int64()), ("l2", pa.int64())])
+    schema = pa.schema([*_NODE, ("l1", pa.int64()), ("l2", pa.int64())])
 
     def run(batches):
         before = [-1, -1]
@@ -209,7 +217,7 @@ def walk(nodes: DataFrame) -> DataFrame:
                 found.append(pa.array(above, mask=(deep <= level) | (above < 0)))
             yield pa.RecordBatch.from_arrays([*batch.columns, *found], schema=schema)
 
-    return nodes.repartitionByRange(*KEYS).sortWithinPartitions(*KEYS).mapInArrow(run, _TYPES + ", l1 long, l2 long")
+    return nodes.repartitionByRange(*KEYS).sortWithinPartitions(*KEYS).mapInArrow(run, _NODES + ", l1 long, l2 long")
 
 
 def bitmap(nodes: DataFrame, *words: str):
@@ -228,23 +236,26 @@ def _score(a: str, left: str, right: str) -> Column:
     return F.expr(f"(cast(1000000 AS decimal(7, 0)) * ({exact(a)} * {exact(a)})) div ({exact(left)} * {exact(right)})")
 
 
-def _filled(rows: DataFrame, column: str, table: DataFrame, on: list[str], total: int) -> DataFrame:
-    """``rows`` whose ``column`` is null take it from ``table``."""
-    asked = look_up(rows.where(F.col(column).isNull()).drop(column), table.withColumnRenamed("f", column), on, column, total)
-    return rows.where(F.col(column).isNotNull()).unionByName(asked)
+def _filled(rows: DataFrame, columns: list[str], table: DataFrame, on: list[str], weight: str, total: int) -> DataFrame:
+    """``rows`` of which one of ``columns`` is null take all of them from ``table``."""
+    known = F.lit(True)
+    for c in columns:
+        known &= F.col(c).isNotNull()
+    asked = look_up(rows.where(~known).drop(*columns), table, on, weight, total)
+    return rows.where(known).unionByName(asked.select(*rows.columns))
 
 
-def scored(nodes: DataFrame, total: int, share: int = 50) -> DataFrame:
-    """lang, phrase, a, l, r, score of every phrase of the walked ``nodes`` that no longer phrase covers."""
-    words = nodes.where("w2 IS NULL").select("lang", "w1", "f")
+def scored(nodes: DataFrame, total: int, share: int = 50) -> tuple[DataFrame, list[DataFrame]]:
+    """lang, phrase, a, l, r, score of every phrase of the walked ``nodes`` that no longer phrase covers,
+    and the tables stored on the way."""
+    words = nodes.where("w2 IS NULL").select("lang", "w1", F.col("f").alias("l1"))
     two = nodes.where("w2 IS NOT NULL AND w3 IS NULL").select("lang", "w1", "w2", F.col("f").alias("a"), "l1")
+    two = _filled(two, ["l1"], words, ["lang", "w1"], "l1", total)
+    two = stored(look_up(two, words.select("lang", F.col("w1").alias("w2"), F.col("l1").alias("r1")), ["lang", "w2"], "r1", total))
     three = nodes.where("w3 IS NOT NULL").select(*KEYS, F.col("f").alias("a"), "l1", "l2")
-    two = _filled(two, "l1", words, ["lang", "w1"], total)
-    three = _filled(_filled(three, "l1", words, ["lang", "w1"], total), "l2", two.select("lang", "w1", "w2", F.col("a").alias("f")), ["lang", "w1", "w2"], total)
-    last = words.select("lang", F.col("w1").alias("w2"), F.col("f").alias("r1"))
-    two = look_up(two, last, ["lang", "w2"], "r1", total)
+    three = _filled(three, ["l1", "l2"], two.select("lang", "w1", "w2", "l1", F.col("a").alias("l2")), ["lang", "w1", "w2"], "l2", total)
     links = two.select("lang", F.col("w1").alias("w2"), F.col("w2").alias("w3"), F.col("a").alias("r2"), "r1")
-    three = look_up(three, links, ["lang", "w2", "w3"], "r2", total)
+    three = stored(look_up(three, links, ["lang", "w2", "w3"], "r2", total))
     longer = three.select("lang", "w1", "w2", "a").unionByName(three.select("lang", F.col("w2").alias("w1"), F.col("w3").alias("w2"), "a"))
     longer = longer.groupBy("lang", "w1", "w2").agg(F.max("a").alias("most"))
     pairs = two.join(longer, ["lang", "w1", "w2"], "left").where(f"most IS NULL OR 100 * most < {share} * a")
@@ -252,7 +263,7 @@ def scored(nodes: DataFrame, total: int, share: int = 50) -> DataFrame:
     both = three.withColumn("s1", _score("a", "l1", "r2")).withColumn("s2", _score("a", "l2", "r1"))
     cut = lambda x, y: F.when(F.col("s1") <= F.col("s2"), F.col(x)).otherwise(F.col(y))
     triples = both.select("lang", F.concat_ws(" ", "w1", "w2", "w3").alias("phrase"), "a", cut("l1", "l2").alias("l"), cut("r2", "r1").alias("r"), cut("s1", "s2").alias("score"))
-    return pairs.unionByName(triples)
+    return pairs.unionByName(triples), [two, three]
 
 
 def first_of_each(rows: DataFrame, by: str, order: list[Column], most: int, parts: int = 256) -> DataFrame:
@@ -282,9 +293,10 @@ def collocations(docs: DataFrame, least: int = 10, share: int = 50, most: int =
         discard(runs)
         nodes = stored(walk(words.unionByName(pairs).unionByName(triples)))
     order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
-    best = first_of_each(scored(nodes, total, share), "lang", order, most)
+    phrases, between = scored(nodes, total, share)
+    best = first_of_each(phrases, "lang", order, most)
     out = stored(best.join(sizes, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score"))
-    discard(words, pairs, triples, nodes, sizes)
+    discard(words, pairs, triples, nodes, sizes, *between)
     return out
 
 

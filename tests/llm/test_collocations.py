@@ -95,7 +95,7 @@ def test_walk_gives_ancestors_or_leaves_them(spark):
 def test_scores_beyond_64_bits(spark):
     rows = [("en", "a", None, None, 3 * 10**14, None, None), ("en", "b", None, None, 4 * 10**14, None, None), ("en", "a", "b", None, 2 * 10**14 + 7, 3 * 10**14, None)]
     nodes = spark.createDataFrame(rows, "lang string, w1 string, w2 string, w3 string, f long, l1 long, l2 long")
-    (r,) = co.scored(nodes, 10**15).collect()
+    (r,) = co.scored(nodes, 10**15)[0].collect()
     assert r["score"] == 10**6 * (2 * 10**14 + 7) ** 2 // (12 * 10**28)
 
 
