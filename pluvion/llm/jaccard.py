@@ -292,35 +292,54 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _in_blocks(rows: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
-    """Pairs (a, b) of different components that sketches leave possible, among the
+    """Pairs (a, b) of different components that sizes and sketches leave possible, among the
     (sig, node, component) of each signature.
 
-    Members are dealt to blocks of about ``block``, and blocks meet pairwise, each pair of
-    blocks in a group of its own that holds sketches only.
+    Sizes fall into bands whose ends are ``percent`` apart, so that similar sets lie in one band or in two that
+    follow each other. The members of a signature and band are packed into blocks of about ``block``, a row
+    a block; what meets are rows of blocks, of bands that can hold similar sets, and not rows of members.
     """
-    sizes = rows.groupBy("sig").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
-    dealt = rows.join(sizes, "sig").withColumn("own", F.pmod(F.xxhash64("node", "sig"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    short = sets.select("node", "n", "sketch")
-    sides = dealt.select("sig", "node", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).join(short, "node")
-
-    def compare(key, table):
-        own, node, label, size = (table.column(c).to_numpy() for c in ("own", "node", "component", "n"))
-        each = [np.frombuffer(s, _U) for s in table.column("sketch").to_pylist()]
-        words = min(map(len, each))
-        flat = np.stack([_folded(s, words) for s in each])
-        i, j = (k.as_py() for k in key[1:])
-        a, b = [], []
-        rights = np.flatnonzero(own == j)
-        for x in np.flatnonzero(own == i):
-            apart = rights[(label[rights] != label[x]) & ((rights > x) | (i != j))]
-            bits = np.bitwise_count(flat[apart] ^ flat[x]).sum(axis=1)
-            near = node[apart[bits <= most_differing(size[apart], size[x], percent)]]
-            a.append(np.minimum(near, node[x]))
-            b.append(np.maximum(near, node[x]))
-        both = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in (a, b)]
-        return pa.table({"a": pa.array(both[0], pa.int64()), "b": pa.array(both[1], pa.int64())})
-
-    return sides.groupBy("sig", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+    spark = rows.sparkSession
+    place = ["sig", "band", "own"]
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(max(1e-3, math.log(100 / percent)) * (1 + 1e-9))).cast("int")
+    placed = rows.join(sets.select("node", "n", "sketch"), "node").withColumn("band", band)
+    sizes = rows.join(sets.select("node", "n"), "node").groupBy("sig", band.alias("band")).agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
+    dealt = placed.join(sizes, ["sig", "band"]).withColumn("own", F.pmod(F.xxhash64("node", "sig"), F.col("blocks")).cast("int"))
+    packed = stored(dealt.groupBy(*place).agg(F.collect_list(F.struct("node", "component", "n", "sketch")).alias("members")))
+    each = packed.select(*place)
+    other = each.select("sig", F.col("band").alias("band2"), F.col("own").alias("own2"))
+    meets = "band2 = band AND own2 >= own OR band2 = band + 1"
+    pairs = each.withColumn("band2", F.explode(F.array("band", F.col("band") + 1))).join(other, ["sig", "band2"]).where(meets)
+    right = packed.select("sig", F.col("band").alias("band2"), F.col("own").alias("own2"), F.col("members").alias("others"))
+    both = pairs.join(packed, place).join(right, ["sig", "band2", "own2"])
+    same = (F.col("band") == F.col("band2")) & (F.col("own") == F.col("own2"))
+    spread = both.select("sig", *place[1:], "band2", "own2", "members", "others", same.alias("same")).repartition("sig", "band", "own", "band2", "own2")
+
+    def flat(members):
+        found = pa.StructArray.from_arrays(members.flatten(), names=["node", "component", "n", "sketch"])
+        each = [np.frombuffer(s, _U) for s in found.field("sketch").to_pylist()]
+        return *(found.field(c).to_numpy() for c in ("node", "component", "n")), each
+
+    def compare(batches):
+        for batch in batches:
+            for left, right, same in zip(batch.column(0), batch.column(1), batch.column(2).to_pylist()):
+                (a, ca, na, sa), (b, cb, nb, sb) = flat(left.values), flat(right.values)
+                words = min(map(len, sa + sb))
+                fa, fb = (np.stack([_folded(s, words) for s in x]) for x in (sa, sb))
+                low, high = [], []
+                for x in range(len(a)):
+                    first = x + 1 if same else 0
+                    apart = first + np.flatnonzero(cb[first:] != ca[x])
+                    bits = np.bitwise_count(fb[apart] ^ fa[x]).sum(axis=1)
+                    near = b[apart[bits <= most_differing(nb[apart], na[x], percent)]]
+                    low.append(np.minimum(near, a[x]))
+                    high.append(np.maximum(near, a[x]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v), pa.int64()) for v in (low, high)], names=["a", "b"])
+
+    with batches_of(spark, 1):  # a row holds two blocks
+        found = cut(spread.select("members", "others", "same").mapInArrow(compare, "a long, b long").distinct())
+    discard(packed)
+    return found
 
 
 class _Links:
