@@ -120,28 +120,39 @@ def cca_folds(gx, gy, train, at: int, combos: list[tuple[int, int, int]]):
     return out
 
 
-def _cca_cells(predictor: DataFrame, observed: Cube):
-    """What a cross-validated CCA needs: the years, each model's own years, one row per model and cell
-    with both sides' values by year (missing ones filled with the side's mean), and Gram matrices
-    of both sides. Cells are weighted by the root of the cosine of latitude; those wholly missing weigh nothing."""
-    obs = observed.df.select("year", "lat", "lon", F.col(observed.value).alias("o"))
-    both = predictor.where("model IS NOT NULL").join(obs, ["year", "lat", "lon"], "left")
+def _cca_cells(predictor: DataFrame, observed: Cube, now: DataFrame | None = None):
+    """What a cross-validated CCA needs: the years, each model's own years (with values on both
+    sides), one row per model and predictand cell with its values by year (missing ones filled with the side's
+    mean), and Gram matrices of both sides, whose grids may differ. Cells are weighted by the root of the cosine of
+    latitude; those wholly missing weigh nothing. ``now`` (model, lat, lon, value) is a predictor field beyond the
+    years, the last row of the Gram matrices.
+    """
+    spark = predictor.sparkSession
+    told = predictor.where("model IS NOT NULL").select("model", "year", "lat", "lon", F.col("value").alias("v"))
+    seen = observed.df.select("year", "lat", "lon", F.col(observed.value).alias("v"))
     own: dict = {}
-    usable = both.groupBy("model", "year").agg(F.count("value").alias("_x"), F.count("o").alias("_y")).where("_x > 0 AND _y > 0")
-    for r in usable.select("model", "year").collect():  # a row per model and year
+    with_x, with_y = told.groupBy("model", "year").agg(F.count("v").alias("n")).where("n > 0"), seen.groupBy("year").agg(F.count("v").alias("n")).where("n > 0")
+    for r in with_x.join(with_y, "year", "left_semi").select("model", "year").collect():  # a row per model and year
         own.setdefault(r["model"], []).append(r["year"])
     years = sorted({y for v in own.values() for y in v})
     if not years:
         return [], own, None, {}
-    kept = both.join(F.broadcast(predictor.sparkSession.createDataFrame([(m, y) for m, v in own.items() for y in v], "model string, year int")), ["model", "year"], "left_semi")
-    cells = kept.groupBy("model", "lat", "lon").agg(_by_year(years, "value").alias("x"), _by_year(years, "o").alias("y"), F.avg("value").alias("_cx"), F.avg("o").alias("_cy"))
-    fill = F.broadcast(kept.groupBy("model").agg(F.avg("value").alias("_fx"), F.avg("o").alias("_fy")))  # a row per model
-    cells = cells.join(fill, "model")
-    filled = lambda side: F.transform(side, lambda v: F.coalesce(v, F.col(f"_f{side}")))
+    mine = F.broadcast(spark.createDataFrame([(m, y) for m, v in own.items() for y in v], "model string, year int"))
+
+    def cells(kept: DataFrame) -> DataFrame:
+        fill = F.broadcast(kept.groupBy("model").agg(F.avg("v").alias("_fill")))  # a row per model
+        each = kept.groupBy("model", "lat", "lon").agg(_by_year(years, "v").alias("own"), F.avg("v").alias("_mean")).join(fill, "model")
+        return each.withColumn("_filled", F.transform("own", lambda v: F.coalesce(v, F.col("_fill"))))
+
     weight = F.sqrt(F.cos(F.radians("lat")))
-    level = lambda side: F.transform(filled(side), lambda v: F.coalesce((v - F.col(f"_c{side}")) * weight, F.lit(0.0)))
-    grams = _grams(cells.select("model", level("x").alias("x"), level("y").alias("y")), ("x", "y"), len(years))
-    return years, own, cells.withColumn("_filled", filled("y")), grams
+    level = lambda v: F.coalesce((v - F.col("_mean")) * weight, F.lit(0.0))
+    x, y = cells(told.join(mine, ["model", "year"], "left_semi")), cells(seen.join(mine, "year"))
+    rows_x, rows_y, size = F.transform("_filled", level), F.transform("_filled", level), len(years)
+    if now is not None:
+        x, size = x.join(now.select("model", "lat", "lon", F.col("value").alias("_now")), ["model", "lat", "lon"], "left"), size + 1
+        rows_x, rows_y = F.concat(rows_x, F.array(level(F.coalesce("_now", "_fill")))), F.concat(rows_y, F.array(F.lit(0.0)))
+    grams = _grams(x.select("model", rows_x.alias("x")), ("x",), size) | _grams(y.select("model", rows_y.alias("y")), ("y",), size)
+    return years, own, y.select("model", "lat", "lon", F.col("own").alias("y"), F.col("_mean").alias("_cy"), "_filled"), grams
 
 
 def _plan(years: list[int], mine: list[int], window: int):
@@ -154,9 +165,9 @@ def _plan(years: list[int], mine: list[int], window: int):
 
 
 def cca_cv(predictor: DataFrame, observed: Cube, modes: tuple[int, int, int] = (2, 2, 1), window: int = 1) -> DataFrame:
-    """Leave-years-out CCA predictions: model, year, lat, lon, value and leverage.
+    """Leave-years-out CCA predictions of the observed cells: model, year, lat, lon, value and leverage.
 
-    ``predictor`` holds model, year, lat, lon, value; see ``_cca_cells`` for missing values.
+    ``predictor`` holds model, year, lat, lon, value, on a grid of its own; see ``_cca_cells`` for missing values.
     Predictions are weighted sums over years, and the weights follow from products summed over
     cells: the fields stay in Spark, and the driver sees years squared numbers a model.
     """

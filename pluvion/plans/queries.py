@@ -16,7 +16,7 @@ from pluvion import cube
 from pluvion.cube import Cube
 from pluvion.functions import calendar, special
 from pluvion.functions.special import density_sql, phi_inverse_sql, phi_sql, t_cdf_sql
-from pluvion.operators import analog, calibrate, climate, ensemble, linear, metrics, regrid, solvers, subseasonal, tercile, terrain, timing
+from pluvion.operators import analog, calibrate, climate, ensemble, linear, metrics, nested, regrid, seasonal, solvers, subseasonal, tercile, terrain, timing
 from pluvion.sources import terciles as store
 from pluvion.streaming import scoring, spells
 from pluvion.streaming.places import shared_folder
@@ -765,3 +765,28 @@ _SVSLRF = f"SELECT 'rpss' AS metric, value FROM ({ORACLES['rpss_pooled']}) UNION
 @put("skill_svslrf", _SVSLRF)  # 9.19
 def skill_svslrf(spark, sf):
     return metrics.skill(*_probs(spark, sf), "svslrf").select("metric", (F.round("value", 6) + 0.0).alias("value"))
+
+
+def _tracks(spark, sf) -> DataFrame:
+    """Line numbers as seven models of two tracks, one member each."""
+    m = F.col("member")
+    return cube.hindcast(spark, sf).df.select(F.when(m <= 3, "a").otherwise("b").alias("track"), F.concat(F.lit("m"), m).alias("model"), "year", F.lit(0).alias("member"), "lat", "lon", "value")
+
+
+@put("seasonal_mme")  # 10.12, 2.13, 6.11, 11.17
+def seasonal_mme(spark, sf):
+    got = seasonal.seasonal_mme(_tracks(spark, sf), cube.observed(spark, sf), modes=(2, 2, 1), aggregation="per_model", names=["pearson_r"])
+    return out(got.terciles.join(got.forecast, ["lat", "lon"]), "lat lon", "value p_bn p_nn p_an")
+
+
+@put("ensemble_nested")  # 10.5, 10.6
+def ensemble_nested(spark, sf):
+    o = cube.observed(spark, sf)
+    got = nested.ensemble(_all_models(spark, sf), o.over(o.df.withColumn("value", F.col("value") / 1500.0)), "skill_weighted", True, guards={"shrinkage": 0.2})
+    return out(got.predictions, "year lat lon", "value")
+
+
+@put("optimize_methods")  # 10.9
+def optimize_methods(spark, sf):
+    got = nested.optimize(cube.hindcast(spark, sf), cube.observed(spark, sf), ("delta", "bcsd", "qm"))
+    return out(got.forecast.df, "member lat lon", "value").withColumn("method", F.lit(got.method))
