@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from dataclasses import dataclass, field
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -174,9 +177,103 @@ def get_method(name: str):
     return METHODS[name]
 
 
-def downscale(forecast: Cube, hindcast: Cube, observed: Cube, method: str = "bcsd", **options) -> Cube:
-    """The forecast by a registered method, fitted on hindcast and observations of a common grid."""
-    return get_method(method)(forecast, hindcast, observed, **options)
+def hold_out_last(hindcast: Cube, axis: str = "year") -> tuple[Cube, Cube]:
+    """The hindcast without its last year, and that year as a forecast."""
+    last = hindcast.df.agg(F.max(axis)).first()[0]
+    if hindcast.df.agg(F.min(axis)).first()[0] == last:
+        raise ValueError("one year can't be fitted and predicted")
+    now = hindcast.over(hindcast.df.where(F.col(axis) == last).drop(axis), hindcast.key(axis))
+    return hindcast.over(hindcast.df.where(F.col(axis) < last)), now
+
+
+def _between_grids(forecast: Cube, hindcast: Cube, observed: Cube, method: str, axis: str, **options) -> Cube:
+    """A method of a common grid between a coarse hindcast and finer observations: fitted and applied
+    on the coarse grid, then interpolated. delta adds the interpolated anomaly to the fine climatology; bcsd adds
+    what the fine climatology has beyond the coarse one."""
+    from pluvion.operators import regrid
+    from pluvion.operators.tiles import axes
+
+    (coarse_lat, coarse_lon), (lat, lon) = axes(hindcast), axes(observed)
+    up = lambda c: regrid.linear(c, lat, lon)
+    mean = observed.mean(axis)
+    if method == "climatology":
+        return mean
+
+    def plus(field: Cube, more: Cube) -> Cube:
+        extra = more.df.select("lat", "lon", F.col(more.value).alias("_more"))
+        return field.over(field.df.join(extra, ["lat", "lon"]).select(*field.dims, (F.col(field.value) + F.col("_more")).alias(field.value)))
+
+    if method == "delta":
+        base = hindcast.mean(*[d for d in hindcast.dims if d not in ("lat", "lon")])
+        gap = base.over(base.df.withColumn(base.value, -F.col(base.value)))
+        return plus(up(plus(forecast, gap)), mean)
+    told = up(get_method(method)(forecast, hindcast, regrid.linear(observed, coarse_lat, coarse_lon), **options))
+    if method != "bcsd":
+        return told
+    back = up(regrid.linear(mean, coarse_lat, coarse_lon))
+    return plus(plus(told, mean), back.over(back.df.withColumn(back.value, -F.col(back.value))))
+
+
+def downscale(forecast: Cube | None, hindcast: Cube, observed: Cube, method: str = "bcsd", regrid: bool = False, output: str = "continuous", axis: str = "year", **options) -> Cube | DataFrame:
+    """The forecast by a registered method, fitted on hindcast and observations.
+
+    Without a ``forecast`` the hindcast's last year is held out and predicted. ``regrid``: the hindcast is coarser
+    than the observations, see ``_between_grids`` (rank-analog and chelsa have grids of their own). ``output``
+    tercile: probabilities of the predicted members against the observed terciles, of the years fitted on.
+    """
+    from pluvion.operators.tercile import to_tercile
+
+    if output not in ("continuous", "tercile"):
+        raise ValueError(f"unknown output {output!r}")
+    if forecast is None:
+        hindcast, forecast = hold_out_last(hindcast, axis)
+        observed = observed.over(observed.df.join(hindcast.df.select(axis).distinct(), axis, "left_semi"))
+    run = get_method(method)
+    told = _between_grids(forecast, hindcast, observed, method, axis, **options) if regrid and method not in ("rank-analog", "chelsa") else run(forecast, hindcast, observed, **options)
+    return told if output == "continuous" else to_tercile(told, observed)
+
+
+@dataclass
+class Downscaler:
+    """A method with what it was fitted on, to be kept and used again: its state are tables."""
+
+    method: str = "bcsd"
+    options: dict = field(default_factory=dict)
+    hindcast: Cube | None = None
+    observed: Cube | None = None
+
+    def __post_init__(self):
+        get_method(self.method)
+
+    @property
+    def is_trained(self) -> bool:
+        return self.hindcast is not None
+
+    def fit(self, hindcast: Cube, observed: Cube) -> "Downscaler":
+        self.hindcast, self.observed = hindcast, observed
+        return self
+
+    def predict(self, forecast: Cube) -> Cube:
+        if not self.is_trained:
+            raise RuntimeError("fit or load first")
+        return downscale(forecast, self.hindcast, self.observed, self.method, **self.options)
+
+    def save(self, path: str) -> None:
+        """Writes the fitted tables as Parquet, and method, options and dims beside them."""
+        if not self.is_trained:
+            raise RuntimeError("nothing to save: fit first")
+        notes = {"method": self.method, "options": self.options}
+        for name in ("hindcast", "observed"):
+            cube = getattr(self, name)
+            cube.df.write.mode("overwrite").parquet(f"{path}/{name}")
+            notes[name] = {"dims": list(cube.dims), "value": cube.value}
+        self.hindcast.df.sparkSession.createDataFrame([(json.dumps(notes),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/notes")
+
+    @classmethod
+    def load(cls, spark, path: str) -> "Downscaler":
+        notes = json.loads(spark.read.text(f"{path}/notes").first()[0])
+        cubes = {n: Cube(spark.read.parquet(f"{path}/{n}"), tuple(notes[n]["dims"]), notes[n]["value"]) for n in ("hindcast", "observed")}
+        return cls(notes["method"], notes["options"], **cubes)
 
 
 def _regression(x: Cube, y: Cube, axis: str) -> DataFrame:

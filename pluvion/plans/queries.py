@@ -790,3 +790,12 @@ def ensemble_nested(spark, sf):
 def optimize_methods(spark, sf):
     got = nested.optimize(cube.hindcast(spark, sf), cube.observed(spark, sf), ("delta", "bcsd", "qm"))
     return out(got.forecast.df, "member lat lon", "value").withColumn("method", F.lit(got.method))
+
+
+@put("downscale_grids")  # 10.10, 11.2, 11.3
+def downscale_grids(spark, sf):
+    """The last year by the years before it, from 5 x 5 cells to 20 x 20."""
+    h, o = cube.hindcast(spark, sf), _dealt(spark, sf)
+    wide = o.over(o.df.withColumn("value", F.col("value") / 1500.0))
+    parts = [calibrate.downscale(None, h, wide, m, regrid=True).df.withColumn("method", F.lit(m)) for m in ("delta", "bcsd")]
+    return parts[0].unionByName(parts[1]).select("method", F.col("member").cast("long").alias("member"), "lat", "lon", (F.round("value", 6) + 0.0).alias("value"))
