@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -13,11 +14,14 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the session names none (tests on one machine) a temporary folder is set.
+    Where the session names none, as in tests on one machine, a temporary folder is set; on a cluster that
+    would lie on each executor's own disk, so there it raises.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="pluvion-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(named)
@@ -87,6 +91,7 @@ def cut(df: DataFrame, rows_each: int = 50_000) -> DataFrame:
     a small table need not write a shuffle file for each of many empty partitions."""
     shared_dir(df.sparkSession)
     done = df.checkpoint(eager=True)
+    gc.collect()  # frames of earlier rounds hold their plans in the driver until they are let go
     return done.coalesce(max(1, done.count() // rows_each))
 
 
