@@ -278,20 +278,23 @@ def collocations(docs: DataFrame, least: int = 10, share: int = 50, most: int =
 
     ``least`` occurrences make a candidate; a longer candidate with ``share`` percent of them covers it.
     """
-    with batches_of(docs.sparkSession, 1000):
-        runs = stored(shard_tries(docs, 1))
-        words = stored(merged(runs, 1, least))
-        sizes = stored(runs.groupBy("lang").agg(F.sum("f").alias("n")))
-        total = sizes.agg(F.sum("n")).first()[0] or 0
-        discard(runs)
-        frequent = bitmap(words, "w1")
-        runs = stored(shard_tries(docs, 2, frequent))
-        pairs = stored(merged(runs, 2, least))
-        discard(runs)
-        runs = stored(shard_tries(docs, 3, frequent, bitmap(pairs, "w1", "w2")))
-        triples = stored(merged(runs, 3, least))
+    def shards(*bitmaps) -> DataFrame:
+        with batches_of(docs.sparkSession, 1000):  # whole texts; what is merged below has short rows and comes in larger batches
+            return stored(shard_tries(docs, len(bitmaps) + 1, *bitmaps))
+
+    def frequent(runs: DataFrame, depth: int) -> DataFrame:
+        nodes = stored(merged(runs, depth, least))
         discard(runs)
-        nodes = stored(walk(words.unionByName(pairs).unionByName(triples)))
+        return nodes
+
+    runs = shards()
+    sizes = stored(runs.groupBy("lang").agg(F.sum("f").alias("n")))
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    words = frequent(runs, 1)
+    often = bitmap(words, "w1")
+    pairs = frequent(shards(often), 2)
+    triples = frequent(shards(often, bitmap(pairs, "w1", "w2")), 3)
+    nodes = stored(walk(words.unionByName(pairs).unionByName(triples)))
     order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
     phrases, between = scored(nodes, total, share)
     best = first_of_each(phrases, "lang", order, most)
