@@ -302,8 +302,8 @@ def _in_blocks(rows: DataFrame, sets: DataFrame, percent: int, block: int) -> Da
     spark = rows.sparkSession
     place = ["sig", "band", "own"]
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(max(1e-3, math.log(100 / percent)) * (1 + 1e-9))).cast("int")
-    placed = rows.join(sets.select("node", "n", "sketch"), "node").withColumn("band", band)
-    sizes = rows.join(sets.select("node", "n"), "node").groupBy("sig", band.alias("band")).agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
+    placed = stored(rows.join(sets.select("node", "n", "sketch"), "node").withColumn("band", band))  # read twice
+    sizes = placed.groupBy("sig", "band").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
     dealt = placed.join(sizes, ["sig", "band"]).withColumn("own", F.pmod(F.xxhash64("node", "sig"), F.col("blocks")).cast("int"))
     packed = stored(dealt.groupBy(*place).agg(F.collect_list(F.struct("node", "component", "n", "sketch")).alias("members")))
     each = packed.select(*place)
@@ -338,7 +338,7 @@ def _in_blocks(rows: DataFrame, sets: DataFrame, percent: int, block: int) -> Da
 
     with batches_of(spark, 1):  # a row holds two blocks
         found = cut(spread.select("members", "others", "same").mapInArrow(compare, "a long, b long").distinct())
-    discard(packed)
+    discard(placed, packed)
     return found
 
 
