@@ -48,6 +48,8 @@ _U, _ALL = np.uint64, (1 << 64) - 1
 _M1, _M2, _STEP = _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB), _U(0x9E3779B97F4A7C15)
 #: Low bits of a signature: spare (4), parity of the band (1), how often the set was bare (2).
 _MARKS, _MOST_SPARE, _TRIES = 7, 15, 3
+#: Signatures that a member has with it where blocks meet. A bound on repeated pairs, not on what is found.
+_LEAST = 16
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -298,14 +300,18 @@ def _in_blocks(rows: DataFrame, sets: DataFrame, percent: int, block: int) -> Da
     Sizes fall into bands whose ends are ``percent`` apart, so that similar sets lie in one band or in two that
     follow each other. The members of a signature and band are packed into blocks of about ``block``, a row
     a block; what meets are rows of blocks, of bands that can hold similar sets, and not rows of members.
+
+    Members that share many signatures would give their pair in each. A member has the ``_LEAST`` smallest of its
+    signatures with it, and a pair that has a smaller one of these in common is left to that signature.
     """
     spark = rows.sparkSession
     place = ["sig", "band", "own"]
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(max(1e-3, math.log(100 / percent)) * (1 + 1e-9))).cast("int")
-    placed = stored(rows.join(sets.select("node", "n", "sketch"), "node").withColumn("band", band))  # read twice
+    least = rows.groupBy("node").agg(F.slice(F.sort_array(F.collect_list("sig")), 1, _LEAST).alias("least"))
+    placed = stored(rows.join(least.join(sets.select("node", "n", "sketch"), "node"), "node").withColumn("band", band))  # read twice
     sizes = placed.groupBy("sig", "band").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
     dealt = placed.join(sizes, ["sig", "band"]).withColumn("own", F.pmod(F.xxhash64("node", "sig"), F.col("blocks")).cast("int"))
-    packed = stored(dealt.groupBy(*place).agg(F.collect_list(F.struct("node", "component", "n", "sketch")).alias("members")))
+    packed = stored(dealt.groupBy(*place).agg(F.collect_list(F.struct("node", "component", "n", "sketch", "least")).alias("members")))
     each = packed.select(*place)
     other = each.select("sig", F.col("band").alias("band2"), F.col("own").alias("own2"))
     meets = "band2 = band AND own2 >= own OR band2 = band + 1"
@@ -316,14 +322,17 @@ def _in_blocks(rows: DataFrame, sets: DataFrame, percent: int, block: int) -> Da
     spread = both.select("sig", *place[1:], "band2", "own2", "members", "others", same.alias("same")).repartition("sig", "band", "own", "band2", "own2")
 
     def flat(members):
-        found = pa.StructArray.from_arrays(members.flatten(), names=["node", "component", "n", "sketch"])
+        found = pa.StructArray.from_arrays(members.flatten(), names=["node", "component", "n", "sketch", "least"])
         each = [np.frombuffer(s, _U) for s in found.field("sketch").to_pylist()]
-        return *(found.field(c).to_numpy() for c in ("node", "component", "n")), each
+        sigs = found.field("least")
+        table = np.full((len(found), _LEAST), np.iinfo(np.int64).max)
+        table[np.arange(_LEAST) < sigs.value_lengths().to_numpy()[:, None]] = sigs.flatten().to_numpy()
+        return *(found.field(c).to_numpy() for c in ("node", "component", "n")), each, table
 
     def compare(batches):
         for batch in batches:
-            for left, right, same in zip(batch.column(0), batch.column(1), batch.column(2).to_pylist()):
-                (a, ca, na, sa), (b, cb, nb, sb) = flat(left.values), flat(right.values)
+            for sig, left, right, same in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3).to_pylist()):
+                (a, ca, na, sa, la), (b, cb, nb, sb, lb) = flat(left.values), flat(right.values)
                 words = min(map(len, sa + sb))
                 fa, fb = (np.stack([_folded(s, words) for s in x]) for x in (sa, sb))
                 low, high = [], []
@@ -331,13 +340,16 @@ def _in_blocks(rows: DataFrame, sets: DataFrame, percent: int, block: int) -> Da
                     first = x + 1 if same else 0
                     apart = first + np.flatnonzero(cb[first:] != ca[x])
                     bits = np.bitwise_count(fb[apart] ^ fa[x]).sum(axis=1)
-                    near = b[apart[bits <= most_differing(nb[apart], na[x], percent)]]
+                    close = apart[bits <= most_differing(nb[apart], na[x], percent)]
+                    for s in la[x][la[x] < sig] if len(close) else ():
+                        close = close[(lb[close] != s).all(axis=1)]
+                    near = b[close]
                     low.append(np.minimum(near, a[x]))
                     high.append(np.maximum(near, a[x]))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v), pa.int64()) for v in (low, high)], names=["a", "b"])
 
     with batches_of(spark, 1):  # a row holds two blocks
-        found = cut(spread.select("members", "others", "same").mapInArrow(compare, "a long, b long").distinct())
+        found = cut(spread.select("sig", "members", "others", "same").mapInArrow(compare, "a long, b long"))
     discard(placed, packed)
     return found
 

@@ -36,3 +36,15 @@ def test_blocks_lose_no_link(spark, block, rounds):
     found, _ = jaccard._placed(df, 4, 85, "doc_id", "text", hub_rounds=rounds, few=0, block=block)
     assert {r["doc_id"]: r["component_id"] for r in found.collect()} == dict(enumerate(label))
     assert len(set(label)) < len(label)
+
+
+def test_a_pair_comes_from_one_shared_signature(spark, monkeypatch):
+    near = [" ".join(f"w{i}" if (i, k) not in ((40 * k, k), (40 * k + 20, k)) else f"z{i}" for i in range(400)) for k in range(9)]
+    docs = spark.createDataFrame(list(enumerate(near)), "doc_id long, text string")
+    sets = jaccard._sets(docs, 4)
+    rows = jaccard._candidates(jaccard._signed(docs, 4, 85)).select("sig", "node", "node").toDF("sig", "node", "component")
+    monkeypatch.setattr(type(rows), "distinct", lambda df: df)  # what the blocks return, before repeats are dropped
+    found = sorted(tuple(r) for r in jaccard._in_blocks(rows, sets, 85, 4).collect())
+    nodes = sorted(r["node"] for r in sets.collect())
+    assert sorted(set(found)) == [(a, b) for i, a in enumerate(nodes) for b in nodes[i + 1 :]]
+    assert rows.count() > 20 * len(nodes) and len(found) < 1.2 * len(set(found))
