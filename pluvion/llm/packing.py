@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pluvion.llm.bpe import byte_alphabet
 from pluvion.llm.textcache import Memo, per_worker
 
 _WIDE = re.compile("[^\x00-\xff]")
@@ -30,6 +31,9 @@ _WIDE = re.compile("[^\x00-\xff]")
 _L, _N, _S = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
 _FAST = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
 _WORD = re.compile("[^ \n]+")
+#: One word to the pre-tokeniser that the normaliser leaves as it is.
+_PLAIN = re.compile(f"[{_L}]+")
+_STAND_IN = {b: c for c, b in byte_alphabet().items()}
 
 
 class WordTokenizer:
@@ -44,13 +48,21 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.memo = Memo(self.ids, memo)
+        self.memo = Memo(self.word_ids, memo)
 
     def ids(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    def word_ids(self, word: str) -> bytes:
+        """The ids of a word; one that is whole and normal already goes straight to the library's model."""
+        if not _PLAIN.fullmatch(word):
+            return self.ids(word)
+        ids = [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(_STAND_IN))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def encode(self, text: str) -> bytes:
         if any(s in text for s in self.special):
             words = [text]

@@ -3,6 +3,7 @@
 import random
 import struct
 import zlib
+from types import SimpleNamespace
 
 import public_tokenizers as P
 import pytest
@@ -46,6 +47,16 @@ def test_prefix_counts_equal_encoding_each_prefix(texts):
         assert counts[own.within(counts, 5)] <= 5
 
 
+def test_plain_words_go_to_the_model_alone(texts):
+    own = packing.WordTokenizer(P.path("word_bpe_49k.json"))
+    words = {w for t in texts for w in packing._FAST.findall(t.lower()) if w.isalpha() and max(w) <= "ÿ"}
+    lib, asked = own.tokenizer, []
+    own.tokenizer = SimpleNamespace(encode=lambda w, **how: asked.append(w) or lib.encode(w, **how))
+    for w in words:
+        assert own.memo[w] == pack_ids(lib.encode(w, add_special_tokens=False).ids), w
+    assert len(words) > 100 and not asked
+
+
 def test_packing_ids_and_lengths(texts):
     own = packing.WordTokenizer(P.path("word_bpe_49k.json"), memo=500)
     for t in texts:
