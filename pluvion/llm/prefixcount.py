@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +26,14 @@ from pyspark.sql import DataFrame
 from pluvion.llm.textcache import Memo, per_worker
 
 MARK = "▁"
+#: Sizes of tokens that any characters may end, and characters from one kept beginning of a word to the next.
+_SHORT, _STEP = (2, 1), 5
 
 
 class PrefixCounter:
     """Prefix token counts under a sentencepiece BPE model with byte fallback."""
 
-    def __init__(self, path: str, memo: int = 100_000):
+    def __init__(self, path: str, memo: int = 300_000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -40,7 +43,6 @@ class PrefixCounter:
                 self.score[sp.id_to_piece(i)] = sp.get_score(i)
         if any(re.search(f"[^{MARK}]{MARK}", p) for p in self.score):
             raise ValueError("a piece spans two words")
-        self.longest = max(map(len, self.score))
         pairs = {p[i : i + 2] for p in self.score for i in range(len(p) - 1)}
         # Where no piece holds two characters side by side, a text can be cut between them:
         # around line feeds, and between a Latin letter and a full stop or comma.
@@ -53,7 +55,14 @@ class PrefixCounter:
         self.parts = re.compile(parts)
         #: Pieces that can be tokens: those that encoding gives back whole.
         self.tokens = {p for p in self.score if self.encode(p) == [p]}
+        #: The sizes of tokens that end in given three characters, longest first.
+        ends: dict[str, set[int]] = {}
+        for p in self.tokens:
+            if len(p) > 2:
+                ends.setdefault(p[-3:], set()).add(len(p))
+        self.sizes = {end: (*sorted(found, reverse=True), *_SHORT) for end, found in ends.items()}
         self.memo = Memo(self.word_counts, memo)
+        self.begun = Memo(self.extended, memo // 4)
         self.fit: dict[tuple[str, str], bool] = {}
 
     def encode(self, text: str) -> list[str]:
@@ -94,27 +103,35 @@ class PrefixCounter:
 
     def word_counts(self, word: str) -> bytes:
         """Token counts of the word's prefixes of 1, 2, ... characters (32-bit)."""
-        score, tokens, longest, fit, fits = self.score, self.tokens, self.longest, self.fit, self.fits
-        counts, last = [0], [""]
-        for i in range(1, len(word) + 1):
+        return array("i", self.extended(word)[0][1:]).tobytes()
+
+    def extended(self, word: str) -> tuple[list[int], list[str]]:
+        """Count and last token of the word's prefixes of 0, 1, ... characters; those of a beginning are kept."""
+        known = (len(word) - 1) // _STEP * _STEP
+        if known > 0:
+            begun = self.begun[word[:known]] if known <= 4 * _STEP else self.extended(word[:known])
+            counts, last = begun[0][:], begun[1][:]
+        else:
+            counts, last = [0], [""]
+        score, tokens, fit, fits, sizes = self.score, self.tokens, self.fit, self.fits, self.sizes
+        for i in range(known + 1, len(word) + 1):
             c = word[i - 1]
             if c not in score:  # falls back to its bytes, and no token spans it
                 counts.append(counts[-1] + len(c.encode()))
                 last.append("")
                 continue
-            for j in range(i - longest if i > longest else 0, i):
-                piece = word[j:i]
-                if piece in tokens:
-                    before = last[j]
+            for size in sizes.get(word[i - 3 : i], _SHORT) if i > 2 else _SHORT[2 - i :]:
+                if size <= i and (piece := word[i - size : i]) in tokens:
+                    before = last[i - size]
                     if not before or (ok if (ok := fit.get((before, piece))) is not None else fits(before, piece)):
-                        counts.append(counts[j] + 1)
+                        counts.append(counts[i - size] + 1)
                         last.append(piece)
                         break
             else:
                 pieces = self.encode(word[:i])  # no token fits what was found for shorter prefixes
                 counts.append(sum(1 if p in score else len(p.encode()) for p in pieces))
                 last.append(pieces[-1] if pieces[-1] in score else "")
-        return np.array(counts[1:], np.int32).tobytes()
+        return counts, last
 
     def prefixes(self, text: str) -> np.ndarray:
         """Counts of the text's prefixes of 0, 1, ... len(text) characters."""

@@ -1,5 +1,6 @@
 """Operators 6, 8 and 10 against the libraries that define them."""
 
+import itertools
 import random
 import struct
 import zlib
@@ -47,6 +48,23 @@ def test_prefix_counts_equal_encoding_each_prefix(texts):
         assert counts[own.within(counts, 5)] <= 5
 
 
+def test_shared_beginnings_of_words_are_counted_once():
+    class Asked(set):
+        times = 0
+
+        def __contains__(self, piece):
+            Asked.times += 1
+            return super().__contains__(piece)
+
+    own = prefixcount.PrefixCounter(P.path("piece_bpe_32k.model"))
+    words = ["▁" + "".join(w) for w in itertools.product(("inter", "erung", "ation"), ("heit", "ción"), ("ness", "able", "ment"), ("ly", "s", "en"))]
+    sp = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    own.tokens = Asked(own.tokens)
+    got = [own.memo[w] for w in words]
+    assert [x[-4:] for x in got] == [struct.pack("<i", len(sp.encode(w[1:]))) for w in words]
+    assert Asked.times < 2.5 * sum(map(len, words))
+
+
 def test_plain_words_go_to_the_model_alone(texts):
     own = packing.WordTokenizer(P.path("word_bpe_49k.json"))
     words = {w for t in texts for w in packing._FAST.findall(t.lower()) if w.isalpha() and max(w) <= "ÿ"}
