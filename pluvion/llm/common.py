@@ -92,6 +92,7 @@ def cut(df: DataFrame, rows_each: int = 50_000) -> DataFrame:
     shared_dir(df.sparkSession)
     done = df.checkpoint(eager=True)
     gc.collect()  # frames of earlier rounds hold their plans in the driver until they are let go
+    df.sparkSession._jvm.System.gc()  # and the driver's heap grows beyond what it needs before it lets them go itself
     return done.coalesce(max(1, done.count() // rows_each))
 
 
