@@ -33,6 +33,11 @@ class Cube:
     def over(self, df: DataFrame, dims: list[str] | tuple[str, ...] | None = None) -> "Cube":
         return replace(self, df=df, dims=tuple(self.dims if dims is None else dims))
 
+    def same(self, other: "Cube") -> bool:
+        """Whether both have the same dims and value, and their frames the same plan."""
+        mine, its = ((c.dims, c.value, c.df.columns) for c in (self, other))
+        return mine == its and self.df.sameSemantics(other.df)
+
     def mean(self, *axes: str) -> "Cube":
         """The mean over axes, without missing values."""
         key = self.key(*axes)

@@ -27,6 +27,16 @@ def quantiles(cube: Cube, axis: str, **named: float) -> DataFrame:
     return cube.df.groupBy(*cube.key(axis)).agg(*(F.percentile(cube.value, F.lit(p)).alias(n) for n, p in named.items()))
 
 
+def beside(cube: Cube, axis: str, **named: Column) -> DataFrame:
+    """The cube's rows, each with aggregates over ``axis`` of its own cell.
+
+    Both come of one reading. A frame that is read twice may add its doubles in another order the
+    second time, and a value that is a quantile of its cell would then lie beyond it.
+    """
+    cell = W.partitionBy(*cube.key(axis))
+    return cube.df.withColumns({n: c.over(cell) for n, c in named.items()})
+
+
 def accumulate(cube: Cube, axis: str, how: str = "sum", window: int | None = None, min_count: int | None = None) -> Cube:
     """Collapse an axis, or roll over its last ``window`` steps.
 

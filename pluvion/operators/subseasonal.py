@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pluvion.cube import Cube
 from pluvion.functions.calendar import dekad_end, dekad_start
-from pluvion.operators.climate import quantiles
+from pluvion.operators.climate import beside, quantiles
 from pluvion.operators.tercile import P
 
 
@@ -58,11 +58,16 @@ def score_pairs(predicted: Cube, observed: Cube, climatology: Cube, pair: list[s
 
     ``pair`` names the dims that tell pairs apart; the others are cells. Anomalies are from the
     climatology's mean. Categories are below its 33 % and above its 67 % quantile, and an
-    observation that is missing counts as normal.
+    observation that is missing counts as normal. A climatology of the observations themselves
+    is taken of the same rows.
     """
-    dims, cell = list(observed.dims), climatology.key(axis)
-    m = climatology.df.groupBy(*cell).agg(F.avg(climatology.value).alias("_m"), F.percentile(climatology.value, F.lit(1 / 3)).alias("_t33"), F.percentile(climatology.value, F.lit(2 / 3)).alias("_t67"))
-    j = predicted.df.select(*dims, F.col(predicted.value).alias("_f")).join(observed.df.select(*dims, F.col(observed.value).alias("_o")), dims).join(m, cell)
+    dims, cell, v = list(observed.dims), climatology.key(axis), climatology.value
+    told = {"_m": F.avg(v), "_t33": F.percentile(v, F.lit(1 / 3)), "_t67": F.percentile(v, F.lit(2 / 3))}
+    if climatology.same(observed):
+        o = beside(observed, axis, **told)
+    else:
+        o = observed.df.join(climatology.df.groupBy(*cell).agg(*(c.alias(n) for n, c in told.items())), cell or None)
+    j = predicted.df.select(*dims, F.col(predicted.value).alias("_f")).join(o.select(*dims, F.col(observed.value).alias("_o"), *told), dims)
     if terciles is not None:
         j = j.join(terciles.select(*dims, *P), dims, "left")
     d, both = F.col("_f") - F.col("_o"), F.col("_f").isNotNull() & F.col("_o").isNotNull() & F.col("_m").isNotNull()
