@@ -28,13 +28,16 @@ def quantiles(cube: Cube, axis: str, **named: float) -> DataFrame:
 
 
 def beside(cube: Cube, axis: str, **named: Column) -> DataFrame:
-    """The cube's rows, each with aggregates over ``axis`` of its own cell.
+    """The cube's rows, each with aggregates over ``axis`` of its own cell; rows that lack a
+    dimension of the cell are left out, as an equi-join leaves them out.
 
     Both come of one reading. A frame that is read twice may add its doubles in another order the
     second time, and a value that is a quantile of its cell would then lie beyond it.
     """
-    cell = W.partitionBy(*cube.key(axis))
-    return cube.df.withColumns({n: c.over(cell) for n, c in named.items()})
+    key, rows = cube.key(axis), cube.df
+    for k in key:
+        rows = rows.where(F.col(k).isNotNull())
+    return rows.withColumns({n: c.over(W.partitionBy(*key)) for n, c in named.items()})
 
 
 def accumulate(cube: Cube, axis: str, how: str = "sum", window: int | None = None, min_count: int | None = None) -> Cube:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pluvion.cube import Cube
 from pluvion.functions.special import phi, t_cdf
-from pluvion.operators.climate import cpt_boundaries, quantiles
+from pluvion.operators.climate import beside, cpt_boundaries, quantiles
 
 P = ("p_bn", "p_nn", "p_an")
 
@@ -92,10 +92,10 @@ def to_tercile_cv(predicted: Cube, observed: Cube, axis: str = "year", method: s
 
 def labels(observed: Cube, axis: str = "year", below_wins: bool = False) -> DataFrame:
     """0 / 1 / 2 against linear terciles: below is x < t33 (or <=), above is x > t67."""
-    limits = quantiles(observed, axis, t33=1 / 3, t67=2 / 3)
     v = F.col(observed.value)
-    below = v <= F.col("t33") if below_wins else v < F.col("t33")
-    return observed.df.join(limits, observed.key(axis) or None).select(*observed.dims, F.when(v.isNull(), None).when(below, 0).when(v > F.col("t67"), 2).otherwise(1).alias("category"))
+    df = beside(observed, axis, _t33=F.percentile(v, F.lit(1 / 3)), _t67=F.percentile(v, F.lit(2 / 3)))
+    below = v <= F.col("_t33") if below_wins else v < F.col("_t33")
+    return df.select(*observed.dims, F.when(v.isNull(), None).when(below, 0).when(v > F.col("_t67"), 2).otherwise(1).alias("category"))
 
 
 def simplex_or_null(df: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pluvion import cube
 from pluvion.cube import Cube
-from pluvion.operators import subseasonal
+from pluvion.operators import subseasonal, tercile
 
 DIMS = ("year", "lat", "lon")
 CELLS = [(j // 5, j % 5) for j in range(25)]
@@ -42,3 +42,19 @@ def test_a_climatology_of_its_own_still_counts(spark, unsteady):
 def test_cubes_of_the_same_tables_are_the_same(spark, small):
     o, again = cube.observed(spark, small), cube.observed(spark, small)
     assert o.same(again) and not o.same(o.over(o.df.where("year < 2001"))) and not o.same(cube.hindcast(spark, small))
+
+
+def test_labels_take_values_and_their_terciles_of_the_same_rows(spark, unsteady):
+    got = {(r["year"], r["lat"], r["lon"]): r["category"] for r in tercile.labels(unsteady).collect()}
+    assert got == CATEGORY
+    closed = {(r["year"], r["lat"], r["lon"]): r["category"] for r in tercile.labels(unsteady, below_wins=True).collect()}
+    assert closed == {k: 0 if r < 3 else c for (k, r), c in zip(RANK.items(), CATEGORY.values())}
+
+
+def test_labels_of_a_series_of_missing_values_and_of_no_cell(spark):
+    series = Cube(spark.createDataFrame([(y, float(y) if y < 7 else None) for y in range(8)], "year int, value double"), ("year",))
+    assert [r["category"] for r in tercile.labels(series).orderBy("year").collect()] == [0, 0, 1, 1, 1, 2, 2, None]
+    rows = [(y, x, float(y)) for y in range(7) for x in (0, None)]
+    nowhere = Cube(spark.createDataFrame(rows, "year int, lat int, value double"), ("year", "lat"))
+    got = tercile.labels(nowhere).orderBy("year").collect()
+    assert [(r["lat"], r["category"]) for r in got] == [(0, c) for c in (0, 0, 1, 1, 1, 2, 2)]
